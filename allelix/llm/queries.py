@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import LanguageModel, fit_language_id, identify
+from .near_dedup import near_duplicates
+from .sampled_pieces import sample_pieces
 from .substring_dedup import dedup_substrings
 from .token_files import token_dataset
+from .url_filter import filter_urls
+from .url_filter import oracle as url_oracle
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,15 +25,51 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sample_pieces(_read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_read(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_dataset(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
     return out.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def held_out() -> Column:
+    """The rows on which language ID is not fitted."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> LanguageModel:
+    known = _read(spark, sf_dir, "documents").filter(~F.coalesce(held_out(), F.lit(True)))
+    return fit_language_id(known, vocabulary("piece_bpe_32k.model"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
+    return identify(texts, language_model(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op10_substring_dedup": op10_substring_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_sampled_pieces": op1_sampled_pieces,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op5_token_files": op5_token_files,
+    "op7_language_id": op7_language_id,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+ORACLES: dict[str, str] = {"op4_url_filter": url_oracle()}
