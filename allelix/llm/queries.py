@@ -12,6 +12,7 @@ from .substring_dedup import dedup_substrings
 from .token_files import token_dataset
 from .url_filter import filter_urls
 from .url_filter import oracle as url_oracle
+from .vector_dedup import near_vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(texts, language_model(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_substrings(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op9_vector_dedup": op9_vector_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op4_url_filter": url_oracle()}
