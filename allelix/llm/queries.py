@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import mark_contaminated
 from .language_id import LanguageModel, fit_language_id, identify
 from .near_dedup import near_duplicates
 from .sampled_pieces import sample_pieces
@@ -31,6 +32,11 @@ def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mark_contaminated(texts, _read(spark, sf_dir, "benchmark")).drop("text")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -71,6 +77,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sampled_pieces": op1_sampled_pieces,
+    "op2_decontaminate": op2_decontaminate,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
