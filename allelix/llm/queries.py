@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import new_path
 from .decontaminate import mark_contaminated
 from .language_id import LanguageModel, fit_language_id, identify
 from .near_dedup import near_duplicates
+from .pii import KINDS, as_text, find_private
 from .sampled_pieces import sample_pieces
+from .shards import ShardStore
 from .substring_dedup import dedup_substrings
 from .token_files import token_dataset
 from .url_filter import filter_urls
@@ -51,6 +54,22 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op6_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("private")
+    base = F.filter(spans, lambda s: s["kind"] < len(KINDS))
+    count = lambda i: F.size(F.filter(spans, lambda s: s["kind"] == i)).cast("long")
+    return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(as_text(base), 256).alias("base_sha256"), as_text(spans).alias("spans"))
+
+
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by source, compacted as they come; every document as the last version's shards have it."""
+    docs = _read(spark, sf_dir, "documents")
+    store = ShardStore(spark, new_path(spark, "shards"))
+    store.append_each(docs, F.pmod(F.xxhash64("source"), F.lit(8)))
+    return store.read().select("doc_id", F.md5("text").alias("text_md5"), "lang", "source", "n_chars")
+
+
 def held_out() -> Column:
     """The rows on which language ID is not fitted."""
     return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
@@ -81,8 +100,13 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
     "op5_token_files": op5_token_files,
+    "op6_private": op6_private,
     "op7_language_id": op7_language_id,
+    "op8_shards": op8_shards,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op4_url_filter": url_oracle()}
+ORACLES: dict[str, str] = {
+    "op4_url_filter": url_oracle(),
+    "op8_shards": "select doc_id, md5(text) as text_md5, lang, source, n_chars from documents",
+}
