@@ -162,6 +162,70 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out + np.arange(total)
 
 
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, ascending; an index of each; and for each element its value's number."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.concatenate(([True], s[1:] != s[:-1])) if len(s) else np.zeros(0, bool)
+    number = np.empty(len(h), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return s[new], order[new], number
+
+
+class HashIndex:
+    """Numbers 64-bit hashes in the order they are added."""
+
+    def __init__(self):
+        self.old, self.new = (np.zeros(0, U64), np.zeros(0, np.int64)), (np.zeros(0, U64), np.zeros(0, np.int64))
+        self.n = 0
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of distinct ascending hashes; -1: not known."""
+        out = np.full(len(h), -1)
+        for keys, numbers in (self.old, self.new):
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[k] == h
+                out[hit] = numbers[k[hit]]
+        return out
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        numbers = np.arange(self.n, self.n + len(h))
+        self.n += len(h)
+        self.new = self._joined(self.new, (h, numbers))
+        if 4 * len(self.new[0]) > len(self.old[0]):
+            self.old, self.new = self._joined(self.old, self.new), (np.zeros(0, U64), np.zeros(0, np.int64))
+        return numbers
+
+    @staticmethod
+    def _joined(a: tuple, b: tuple) -> tuple:
+        keys, numbers = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+        order = np.argsort(keys)
+        return keys[order], numbers[order]
+
+
+class Grown:
+    """An array that is appended to."""
+
+    def __init__(self, kind, width: int = 0):
+        self.data, self.n = np.zeros((1024, width) if width else 1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.data):
+            more = np.zeros((max(2 * len(self.data), self.n + len(x)), *self.data.shape[1:]), self.data.dtype)
+            more[: self.n] = self.data[: self.n]
+            self.data = more
+        self.data[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+def codes_of(column) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a text column and the n + 1 offsets of its rows; null counts as empty."""
+    data, offsets = utf8(column)
+    lead = (data & 0xC0) != 0x80
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), sums(lead.astype(np.int64))[offsets]
+
+
 # ---------------------------------------------------------------- components of links
 
 

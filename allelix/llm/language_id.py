@@ -14,10 +14,9 @@ probability; texts are not changed or dropped; no labelled text at all is an err
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,12 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import in_slices
-from .pieces import MARK, MOST, backward, edge_values, forward, table, zipf
+from .common import Grown, HashIndex, codes_of, grouped, in_slices, span_hash
+from .pieces import backward, edge_values, forward, marked, table, zipf
 
-LETTERS = re.compile(r"[^\W\d_]+")
 LOG_BYTE = -12.0
-MOST_WORDS = 500_000  # words whose probabilities a worker keeps
+MOST_WORDS = 1_000_000  # words whose probabilities a worker keeps
 
 
 @dataclass
@@ -41,11 +39,6 @@ class LanguageModel:
     log_p: np.ndarray  # pieces x languages
 
 
-def _units(word: str) -> list[str]:
-    w = MARK + word
-    return [w[i : i + MOST] for i in range(0, len(w), MOST)]
-
-
 def fit_language_id(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 800, rounds: int = 4) -> LanguageModel:
     """Fits the model on about `most` rows of each language of df; rows without text or language are not used."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
@@ -64,8 +57,9 @@ def _estimate(words: pd.DataFrame, languages: list[str], vocabulary: str, rounds
     found = []
     for language in languages:
         own = words[words["lang"] == language]
-        units = [(u, n) for w, n in zip(own["word"], own["count"], strict=True) for u in _units(w)]
-        found.append((pieces.lattice([u for u, _ in units]), np.array([n for _, n in units], float)))
+        sizes = own["word"].str.len().to_numpy(np.int64)
+        codes, cut, units = marked(np.frombuffer("".join(own["word"]).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes)
+        found.append((pieces.lattice(codes, cut), np.repeat(own["count"].to_numpy(float), units)))
     log_p = np.repeat(start[:, None], len(languages), 1)
     for _ in range(rounds):
         expected = np.zeros_like(log_p)
@@ -74,7 +68,7 @@ def _estimate(words: pd.DataFrame, languages: list[str], vocabulary: str, rounds
                 continue
             value = edge_values(lattice, log_p[:, k], LOG_BYTE)
             after, before = backward(lattice, value), forward(lattice, value)
-            unit = np.searchsorted(lattice.stop, lattice.start)
+            unit = lattice.unit
             share = before[lattice.start] * value * after[lattice.end] / after[lattice.root[unit]] * n[unit]
             some = lattice.piece >= 0
             expected[:, k] = np.bincount(lattice.piece[some], share[some], pieces.n)
@@ -84,49 +78,67 @@ def _estimate(words: pd.DataFrame, languages: list[str], vocabulary: str, rounds
     return log_p
 
 
+@functools.cache
+def character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point its lower-case one and whether it is a letter."""
+    lower, letter = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for c in range(0x110000):
+        x = chr(c)
+        if x.isalpha():
+            letter[c] = True
+            low = x.lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+    return lower, letter
+
+
 class Scorer:
-    """Log probabilities of words by language; keeps a bounded number of words."""
+    """Log probabilities of words by language; keeps a bounded number of words, told apart by a 64-bit hash."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.pieces = model, table(model.vocabulary)
+        self.lower, self.letter = character_tables()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1 << 12, len(self.model.languages)))
-
-    def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 50_000):
-            part = words[i : i + 50_000]
-            units = [_units(w) for w in part]
-            lattice = self.pieces.lattice(list(chain.from_iterable(units)))
+        self.known, self.rows = HashIndex(), Grown(float, len(self.model.languages))
+
+    def learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        for i in range(0, len(starts), 50_000):
+            some, cut, units = marked(codes, starts[i : i + 50_000], sizes[i : i + 50_000])
+            lattice = self.pieces.lattice(some, cut)
             total = np.log(backward(lattice, edge_values(lattice, self.model.log_p, LOG_BYTE))[lattice.root])
-            first = np.cumsum([0, *map(len, units[:-1])])
-            at = len(self.known)
-            while at + len(part) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[at : at + len(part)] = np.add.reduceat(total, first)
-            self.known.update(zip(part, range(at, at + len(part)), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
-        if len(self.known) > MOST_WORDS:
+            self.rows.add(np.add.reduceat(total, np.cumsum(units) - units))
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the most probable language of each text (-1: no letter), and its probability."""
+        codes, offsets = codes_of(column)
+        n = len(offsets) - 1
+        best, score = np.full(n, -1), np.zeros(n)
+        inside = self.letter[codes]
+        before, after = np.concatenate(([False], inside[:-1])), np.concatenate((inside[1:], [False]))
+        inner = offsets[(offsets > 0) & (offsets < len(codes))]
+        before[inner], after[inner - 1] = False, False
+        starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+        if not len(starts):
+            return best, score
+        codes = self.lower[codes]
+        h, first, number = grouped(span_hash(codes, starts, ends))
+        if self.known.n > MOST_WORDS:
             self.forget()
-        self.learn(list(set().union(*words).difference(self.known)))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        total = np.zeros((len(texts), len(self.model.languages)))
-        some = np.flatnonzero(sizes)
-        if len(some):
-            index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
-            total[some] = np.add.reduceat(self.rows[index], (np.cumsum(sizes) - sizes)[some])
-        best = total.argmax(1)
+        found = self.known(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at = starts[first[new]]
+            self.learn(codes, at, ends[first[new]] - at)
+            found[new] = self.known.add(h[new])
+        rows = np.searchsorted(starts, offsets)
+        some = np.flatnonzero(np.diff(rows))
+        total = np.add.reduceat(self.rows.data[found[number]], rows[some])
+        best[some] = total.argmax(1)
         with np.errstate(under="ignore"):
-            score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        names = [self.model.languages[b] for b in best]
-        for i, w in enumerate(words):
-            if not any(c.isalpha() for x in w for c in x):
-                names[i], score[i] = "und", 0.0
-        return names, score
+            score[some] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return best, score
 
 
 _scorers: dict[int, Scorer] = {}
@@ -149,7 +161,9 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
         scorer = _scorer(key, model)
         for batch in batches:
             for part in in_slices(batch, text_col):
-                names, score = scorer(part.column(text_col).to_pylist())
+                best, score = scorer(part.column(text_col))
+                names = [*model.languages, "und"]
+                names = [names[b] for b in best]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(predict, schema)

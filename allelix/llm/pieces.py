@@ -10,10 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import U64
+from .common import U64, ragged
 
 MARK, MOST = "▁", 64
-LITERAL_MARK = "\U0010ffff"  # stands for a space-mark character that is in the text itself
+LITERAL_MARK = 0x10FFFF  # stands for a space-mark character that is in the text itself
 _BASE = U64(0x9DDFEA08EB382D69)
 SCALE = 2.5  # natural logarithm of a factor per character that keeps sums over segmentations near 1
 
@@ -29,6 +29,7 @@ class Lattice:
     end: np.ndarray
     piece: np.ndarray  # id; -1 .. -4: that many byte pieces
     char: np.ndarray  # position of the edge's first character
+    unit: np.ndarray  # of the edge
 
 
 class Pieces:
@@ -58,11 +59,10 @@ class Pieces:
         sizes = np.fromiter(map(len, self.text), np.int64, self.n)
         self.text_at, self.text_size, self.text_bytes = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.text), np.uint8)
 
-    def lattice(self, units: list[str]) -> Lattice:
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
+    def lattice(self, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
+        """Of units given by their code points, one after the other, and their sizes."""
         past = np.cumsum(sizes)
-        unit, limit = np.repeat(np.arange(len(units)), sizes), np.repeat(past, sizes)
+        unit, limit = np.repeat(np.arange(len(sizes)), sizes), np.repeat(past, sizes)
         at, h, found = np.arange(len(codes)), np.zeros(len(codes), U64), []
         single = np.zeros(len(codes), bool)
         length = 0
@@ -73,20 +73,26 @@ class Pieces:
             ok = self.hash[k] == h
             at, h, piece = at[ok], h[ok], self.id[k[ok]]
             some = piece >= 0
-            found.append((at[some], np.full(int(some.sum()), length), piece[some]))
+            found.append((at[some], length, piece[some]))
             if length == 1:
                 single[at[some]] = True
             more = at + length < limit[at]
             at, h = at[more], h[more]
         odd = np.flatnonzero(~single)
         c = codes[odd]
-        found.append((odd, np.ones(len(odd), np.int64), -(1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + ((c > 0xFFFF) & (c != 0x10FFFF)))))
-        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(start, kind="stable")
-        start, size, piece = start[order], size[order], piece[order]
-        u = unit[start] if len(start) else start
+        found.append((odd, 1, -(1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + ((c > 0xFFFF) & (c != LITERAL_MARK)))))
+        # put the edges in order of their start
+        count = np.zeros(len(codes), np.int64)
+        for at, _, _ in found:
+            count[at] += 1
+        put = np.cumsum(count) - count
+        start, size, piece = np.repeat(np.arange(len(codes)), count), np.empty(int(count.sum()), np.int64), np.empty(int(count.sum()), np.int64)
+        for at, length, ids in found:
+            size[put[at]], piece[put[at]] = length, ids
+            put[at] += 1
+        u = unit[start]
         first = past - sizes
-        return Lattice(codes, first + np.arange(len(units)), past + np.arange(len(units)), start + u, start + u + size, piece, start)
+        return Lattice(codes, first + np.arange(len(sizes)), past + np.arange(len(sizes)), start + u, start + u + size, piece, start, u)
 
 
 def edge_values(lattice: Lattice, log_p: np.ndarray, log_byte: float) -> np.ndarray:
@@ -102,8 +108,7 @@ def backward(lattice: Lattice, value: np.ndarray) -> np.ndarray:
     n = int(lattice.stop[-1]) + 1 if len(lattice.stop) else 0
     total = np.zeros((n, *value.shape[1:]))
     total[lattice.stop] = 1
-    unit = np.searchsorted(lattice.stop, lattice.start)
-    left = lattice.stop[unit] - lattice.start
+    left = (lattice.stop[lattice.unit] - lattice.start).astype(np.uint8)
     order = np.argsort(left, kind="stable")
     start, end, value, left = lattice.start[order], lattice.end[order], value[order], left[order]
     first = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1]))) if len(start) else start
@@ -120,8 +125,7 @@ def forward(lattice: Lattice, value: np.ndarray) -> np.ndarray:
     n = int(lattice.stop[-1]) + 1 if len(lattice.stop) else 0
     total = np.zeros((n, *value.shape[1:]))
     total[lattice.root] = 1
-    unit = np.searchsorted(lattice.stop, lattice.start)
-    depth = lattice.end - lattice.root[unit]
+    depth = lattice.end - lattice.root[lattice.unit]
     order = np.lexsort((lattice.end, depth))
     start, end, value, depth = lattice.start[order], lattice.end[order], value[order], depth[order]
     first = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1]))) if len(end) else end
@@ -141,6 +145,17 @@ def zipf(n: int, skip: int = 259, shift: float = 10.0) -> np.ndarray:
     return np.log(p / p.sum())
 
 
+def marked(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Units of words codes[start : start + size], each with a space mark before it and cut at MOST characters: codes, sizes, and the number of units of each word."""
+    n = sizes + 1
+    out = np.full(int(n.sum()), ord(MARK), np.uint32)
+    head = np.cumsum(n) - n
+    out[ragged(head + 1, sizes)] = codes[ragged(starts, sizes)]
+    units = -(-n // MOST)
+    place = ragged(np.zeros(len(n), np.int64), units)
+    return out, np.minimum(MOST, np.repeat(n, units) - MOST * place), units
+
+
 _tables: dict[str, Pieces] = {}
 
 

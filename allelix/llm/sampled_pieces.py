@@ -20,18 +20,21 @@ segmentations give all they have, with inclusion 1; rows with equal keys and tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, in_slices, mix, ragged
-from .pieces import LITERAL_MARK, MARK, MOST, Lattice, Pieces, backward, edge_values, table, zipf
+from .common import U64, Grown, HashIndex, codes_of, grouped, in_slices, mix, ragged, span_hash, sums, utf8
+from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_values, table, zipf
 
 LOG_BYTE = -14.0
+MOST_UNITS = 300_000  # units whose lattices a worker keeps
 ONE = 1 << 32
 
 
@@ -40,34 +43,87 @@ def _uniform(seed: np.ndarray) -> np.ndarray:
     return ((mix(seed) >> U64(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def _units(text: str) -> list[str]:
-    if MARK in text:
-        text = text.replace(MARK, LITERAL_MARK)
-    units = [MARK + w for w in text.split(" ")]
-    if max(map(len, units)) > MOST:
-        units = [u[i : i + MOST] for u in units for i in range(0, len(u), MOST)]
-    return units
-
-
 class Sampler:
+    """Draws segmentations; keeps the lattices of a bounded number of units, told apart by a 64-bit hash."""
+
     def __init__(self, vocabulary: str, power: float = 1.0):
         self.pieces = table(vocabulary)
-        self.log_p = power * zipf(self.pieces.n)
-        self.log_byte = power * LOG_BYTE
-
-    def ids_of(self, lattice: Lattice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Piece ids of all edges, one after the other; where each edge's begin and how many they are."""
-        count = np.where(lattice.piece < 0, -lattice.piece, 1)
-        at = np.cumsum(count) - count
+        self.log_p, self.log_byte = power * zipf(self.pieces.n), power * LOG_BYTE
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = HashIndex()
+        self.root, self.open, self.best = Grown(np.int64), Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first and most probable edge
+        self.end, self.stop = Grown(np.int64), Grown(bool)  # of edges: node they lead to, and whether the unit ends there
+        self.start, self.low, self.high, self.share = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(float)
+        self.key, self.id_at, self.id_n, self.ids = Grown(U64), Grown(np.int64), Grown(np.int64), Grown(np.int64)
+
+    def learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds units' lattices. A node's edges divide 0 .. 2**32 by probability."""
+        x = self.pieces.lattice(codes, sizes)
+        value = edge_values(x, self.log_p, self.log_byte)
+        after = backward(x, value)
+        with np.errstate(invalid="ignore"):
+            p = value * after[x.end] / after[x.start]
+        start, end = x.start, x.end
+        first = np.concatenate(([True], start[1:] != start[:-1]))
+        opens = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        total = np.cumsum(p)
+        high = np.minimum(np.rint((total - (total[opens] - p[opens])[group]) * ONE), ONE).astype(np.int64)
+        high[np.append(opens[1:], len(p)) - 1] = ONE
+        low = np.concatenate(([0], high[:-1]))
+        low[opens] = 0
+        keep = np.flatnonzero(high > low)
+        count = np.where(x.piece < 0, -x.piece, 1)
+        id_at = np.cumsum(count) - count
         ids = np.empty(int(count.sum()), np.int64)
-        plain = lattice.piece >= 0
-        ids[at[plain]] = lattice.piece[plain]
+        plain = x.piece >= 0
+        ids[id_at[plain]] = x.piece[plain]
         odd = np.flatnonzero(~plain)
         if len(odd):
-            chars = lattice.codes[lattice.char[odd]]
-            raw = np.where(chars == 0x10FFFF, ord(MARK), chars).astype("<u4").tobytes().decode("utf-32-le").encode()
-            ids[ragged(at[odd], count[odd])] = self.pieces.byte_id[np.frombuffer(raw, np.uint8)]
-        return ids, at, count
+            chars = x.codes[x.char[odd]]
+            raw = np.where(chars == LITERAL_MARK, ord(MARK), chars).astype("<u4").tobytes().decode("utf-32-le").encode()
+            ids[ragged(id_at[odd], count[odd])] = self.pieces.byte_id[np.frombuffer(raw, np.uint8)]
+        base, edges = self.open.n, self.start.n
+        start, end, low, high = start[keep], end[keep], low[keep], high[keep]
+        nodes = int(x.stop[-1]) + 1
+        stops = np.zeros(nodes, bool)
+        stops[x.stop] = True
+        self.root.add(x.root + base)
+        n = np.bincount(start, minlength=nodes)
+        at = np.cumsum(n) - n
+        self.open.add(edges + at)
+        wide, some = high - low, np.flatnonzero(n)
+        most = np.flatnonzero(wide == np.repeat(np.maximum.reduceat(wide, at[some]), n[some]))
+        best = np.zeros(nodes, np.int64)
+        best[start[most]] = edges + most
+        self.best.add(best)
+        for to, what in ((self.start, start + base), (self.end, end + base), (self.stop, stops[end]), (self.low, low), (self.high, high), (self.share, np.log((high - low) / ONE)), (self.key, ((start + base).astype(U64) << U64(32)) + high.astype(U64)), (self.id_at, self.ids.n + id_at[keep]), (self.id_n, count[keep])):
+            to.add(what)
+        self.ids.add(ids)
+
+    def units(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the units of all texts, and how many each text has. No text may be empty."""
+        codes, offsets = codes_of(column)
+        n = len(offsets) - 1
+        text = np.insert(np.where(codes == ord(MARK), LITERAL_MARK, np.where(codes == 32, ord(MARK), codes)).astype(np.uint32), offsets[:-1], ord(MARK))
+        start = text == ord(MARK)
+        begin = np.flatnonzero(start)
+        if np.diff(np.append(begin, len(text))).max() > MOST:
+            start |= (np.arange(len(text)) - np.repeat(begin, np.diff(np.append(begin, len(text))))) % MOST == 0
+            begin = np.flatnonzero(start)
+        past = np.append(begin[1:], len(text))
+        h, first, number = grouped(span_hash(text, begin, past))
+        if self.known.n > MOST_UNITS:
+            self.forget()
+        found = self.known(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            at, size = begin[first[new]], (past - begin)[first[new]]
+            self.learn(text[ragged(at, size)], size)
+            found[new] = self.known.add(h[new])
+        return found[number], np.diff(np.searchsorted(begin, offsets + np.arange(n + 1)))
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """Texts of runs of piece ids."""
@@ -76,175 +132,179 @@ class Sampler:
         past = np.cumsum(np.concatenate(([0], p.text_size[ids])))[np.concatenate(([0], np.cumsum(sizes)))]
         return [raw[a + 1 : b] for a, b in zip(past[:-1].tolist(), past[1:].tolist(), strict=True)]
 
-    def sample(self, texts: list[str], seeds: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """For each rank: documents, sizes, ids, log probability, perturbed value, whether it ends there; then the thresholds."""
-        names: dict[str, int] = {}
-        cut = [_units(t) for t in texts]
-        unit = np.fromiter((names.setdefault(u, len(names)) for c in cut for u in c), np.int64)
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+    def walk(self, unit: np.ndarray, seed: np.ndarray, head: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Draws a path through each unit; those at `head` go on at `node` (-1: at their root, -2: they are over). Returns all edges, and how many each unit took."""
+        now = self.root.data[unit]
+        some = node != -1
+        now[head[some]] = node[some]
+        live = np.arange(len(unit))
+        over = head[node == -2]
+        if len(over):
+            live = np.delete(live, over)
+        now, out, step = now[live], [], 0
+        best, low, high, end, stop, key = self.best.data, self.low.data, self.high.data, self.end.data, self.stop.data, self.key.data[: self.key.n]
+        count = np.zeros(len(unit), np.int64)
+        while len(live):
+            u = (mix(seed[live] + U64(step)) >> U64(32)).astype(np.int64)
+            e = best[now]
+            other = np.flatnonzero((u >= high[e]) | (u < low[e]))
+            e[other] = np.searchsorted(key, (now[other].astype(U64) << U64(32)) + u[other].astype(U64), "right")
+            out.append((live, e))
+            step += 1
+            go = ~stop[e]
+            count[live[~go]] = step
+            live, now = live[go], end[e[go]]
+        at = np.cumsum(count) - count
+        edges = np.empty(int(count.sum()), np.int64)
+        for k, (who, e) in enumerate(out):
+            edges[at[who] + k] = e
+        return edges, count
+
+    def sample(self, column, seeds: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+        """For each rank: documents, numbers of ids, ids, log probabilities, perturbed values; and each document's (k+1)-th value.
+
+        After a segmentation comes out, what is left of the tree below it is one region: the siblings that hang off its
+        path from the branch at which it left its parent. A region's maximum is one truncated Gumbel draw; to open it,
+        the decision at which the new path leaves is drawn by the siblings' masses, then the sibling.
+        """
+        unit, sizes = self.units(column)
         first = np.cumsum(sizes) - sizes
-        lattice = self.pieces.lattice(list(names))
-        value = edge_values(lattice, self.log_p, self.log_byte)
-        after = backward(lattice, value)
-        p = value * after[lattice.end] / after[lattice.start]
-        # each node's edges divide 0 .. 2**32 among them
-        opens = np.flatnonzero(np.concatenate(([True], lattice.start[1:] != lattice.start[:-1])))
-        total = np.cumsum(p)
-        before = np.repeat(total[opens] - p[opens], np.diff(np.append(opens, len(p))))
-        high = np.minimum(np.rint((total - before) * ONE), ONE).astype(np.int64)
-        high[np.append(opens[1:], len(p)) - 1] = ONE
-        low = np.concatenate(([0], high[:-1]))
-        low[opens] = 0
-        wide = high - low
-        key = (lattice.start.astype(U64) << U64(32)) + high.astype(U64)
-        share = wide / ONE
-        with np.errstate(divide="ignore"):
-            log_share, log_rest = np.log(share), np.log1p(-share)
-        ends = np.zeros(len(after), bool)
-        ends[lattice.stop] = True
-        ids, id_at, id_n = self.ids_of(lattice)
-        doc_of = np.repeat(np.arange(len(cut)), sizes)
-
-        def choose(node: np.ndarray, r: np.ndarray) -> np.ndarray:
-            return np.searchsorted(key, (node.astype(U64) << U64(32)) + r, "right")
-
-        def walk(doc: np.ndarray, begin: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Draws paths of the given documents from unit `begin`, which goes on at `node` (-1: at its root). Returns place of document, unit and edge of each decision, in order."""
-            n = first[doc] + sizes[doc] - begin
-            at, row = ragged(begin, n), np.repeat(np.arange(len(doc)), n)
-            now = lattice.root[unit[at]]
-            head = np.cumsum(n) - n
-            some = node >= 0
-            now[head[some]] = node[some]
-            seed = mix(seeds[doc[row]] + (at - first[doc[row]]).astype(U64) * U64(0x9E3779B97F4A7C15) + U64(k + 1))
-            live, out, step = np.arange(len(at)), [], 0
-            live = live[~ends[now]]
-            now = now[live]
-            while len(live):
-                e = choose(now, mix(seed[live] + U64(step)) >> U64(32))
-                out.append((live, e))
-                step += 1
-                now = lattice.end[e]
-                go = ~ends[now]
-                live, now = live[go], now[go]
-            if not out:
-                return row[:0], at[:0], at[:0]
-            who, e = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
-            order = np.argsort(who, kind="stable")
-            return row[who[order]], at[who[order]], e[order]
-
-        def truncated(phi: np.ndarray, bound: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        n_docs = len(sizes)
+        share, end, stop = self.share.data, self.end.data, self.stop.data
+        place = ragged(np.zeros(n_docs, np.int64), sizes)
+        unit_seed = np.repeat(seeds, sizes) + place.astype(U64) * U64(0x9E3779B97F4A7C15)
+
+        def truncated(phi: np.ndarray, bound: np.ndarray, salt: int, doc: np.ndarray) -> np.ndarray:
             with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                x = phi - np.log(np.exp(phi - bound) - np.log(_uniform(seed)))
+                x = phi - np.log(np.exp(phi - bound) - np.log(_uniform(seeds[doc] + U64(salt))))
             return np.where(np.isfinite(phi), np.minimum(x, bound), -np.inf)
 
-        docs = np.arange(len(cut))
-        top = -np.log(-np.log(_uniform(seeds + U64(0x51ED))))
-        leaves: list[dict] = []  # each: what its own decisions are, from where it left its parent
-        pops: list[tuple[np.ndarray, ...]] = []  # per document: leaf, decision, edge
-
-        def add(leaf: int, doc: np.ndarray, row: np.ndarray, at: np.ndarray, e: np.ndarray, base: np.ndarray, bound: np.ndarray, skip: np.ndarray, parent: np.ndarray, keep: np.ndarray) -> None:
-            """skip: the first decision of each row took a sibling, whose group stays with the parent."""
-            n = np.bincount(row, minlength=len(doc)) if len(row) else np.zeros(len(doc), np.int64)
-            begin = np.cumsum(n) - n
-            c = np.cumsum(log_share[e])
-            inside = c - log_share[e] - np.repeat((c - log_share[e])[np.minimum(begin, max(len(e) - 1, 0))], n) if len(e) else c
-            phi = inside + base[row] + log_rest[e]
-            seed = seeds[doc[row]] + (at - first[doc[row]]).astype(U64) * U64(0xD1B54A32D192ED03) + (lattice.start[e] - lattice.root[unit[at]]).astype(U64) * U64(0x8CB92BA72F3D8DD7) + U64((leaf + 7) * 1_000_003)
-            best = truncated(phi, bound[row], seed)
-            best[begin[skip & (n > 0)]] = -np.inf
-            where = np.full(len(cut), -1)
-            where[doc] = np.arange(len(doc))
-            end = inside + base[row] + log_share[e]
-            final = base.copy()
-            final[n > 0] = end[(begin + n - 1)[n > 0]]
-            leaves.append({"where": where, "n": n, "begin": begin, "at": at, "e": e, "pre": inside + base[row], "best": best, "final": final, "parent": parent, "keep": keep})
-
-        row, at, e = walk(docs, first, np.full(len(docs), -1), 0)
-        none = np.zeros(len(docs), np.int64)
-        add(0, docs, row, at, e, np.zeros(len(docs)), top, np.zeros(len(docs), bool), none - 1, none)
-        doc, bound = docs, top
-
-        def path(leaf: int, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Edges of the leaf's whole paths, and how many each document's has."""
-            x = leaves[leaf]
-            k = x["where"][doc]
-            own_n, own_at = x["n"][k], x["begin"][k]
-            if leaf == 0:
-                return x["e"][ragged(own_at, own_n)], own_n
-            up_n = x["keep"][k]
-            up = [np.zeros(0, np.int64)] * len(doc)
-            for parent in np.unique(x["parent"][k]):
-                sel = np.flatnonzero(x["parent"][k] == parent)
-                e, n = path(int(parent), doc[sel])
-                for j, part in zip(sel, np.split(e, np.cumsum(n)[:-1]), strict=True):
-                    up[j] = part[: up_n[j]]
-            own = np.split(x["e"][ragged(own_at, own_n)], np.cumsum(own_n)[:-1])
-            return np.concatenate([y for pair in zip(up, own, strict=True) for y in pair]) if len(doc) else x["e"][:0], up_n + own_n
-
-        def largest() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Per document the largest waiting value, its leaf and its decision."""
-            value, leaf, place = np.full(len(cut), -np.inf), np.full(len(cut), -1), np.full(len(cut), -1)
-            for i, x in enumerate(leaves):
-                has = np.flatnonzero((x["where"] >= 0))
-                k = x["where"][has]
-                has, k = has[x["n"][k] > 0], k[x["n"][k] > 0]
-                if not len(has):
-                    continue
-                flat = ragged(x["begin"][k], x["n"][k])
-                heads = np.cumsum(x["n"][k]) - x["n"][k]
-                m = np.maximum.reduceat(x["best"][flat], heads)
-                hit = np.flatnonzero(x["best"][flat] == np.repeat(m, x["n"][k]))
-                pos = flat[hit[np.searchsorted(hit, heads)]]
-                better = m > value[has]
-                value[has[better]], leaf[has[better]], place[has[better]] = m[better], i, pos[better]
-            return value, leaf, place
-
+        def follow(rank: int, doc: np.ndarray, begin: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Paths of the documents from a unit on: edges, the unit of each, and how many each document has."""
+            n = first[doc] + sizes[doc] - begin
+            at = ragged(begin, n)
+            edges, count = self.walk(unit[at], mix(unit_seed[at] + U64(rank + 1)), np.cumsum(n) - n, node)
+            total = sums(count)
+            past = np.concatenate(([0], np.cumsum(n)))
+            return edges, np.repeat(at, count), np.diff(total[past])
+
+        full: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []  # of ranks: edges and units of whole paths, where each document's begin (-1: none), how many
+        own_at, own_n, pre, value, gone = [], [], [], [], []  # of regions: where in the path they begin, decisions, log probability before them, maximum, mass taken out
+        cut: list[list[tuple[np.ndarray, ...]]] = []  # of regions: decision, edge and mass of each child taken out, per document
+        docs = np.arange(n_docs)
+        edges, units_of, n = follow(0, docs, first, np.full(n_docs, -1))
+        doc, up, bound = docs, np.zeros(n_docs, np.int64), -np.log(-np.log(_uniform(seeds + U64(0x51ED))))
+        base = np.zeros(n_docs)
+        out = []
         for rank in range(k):
-            if len(doc):
-                edges, n = path(rank, doc)
-                count = np.add.reduceat(id_n[edges], np.cumsum(n) - n) if len(edges) and (n > 0).all() else np.array([id_n[x].sum() for x in np.split(edges, np.cumsum(n)[:-1])], np.int64)
-                yield doc, count, ids[ragged(id_at[edges], id_n[edges])], leaves[rank]["final"][leaves[rank]["where"][doc]], bound
-            value, leaf, place = largest()
-            if rank == k - 1:
-                yield (value,)
-                return
-            doc = np.flatnonzero(np.isfinite(value))
-            bound = value[doc]
-            taken = np.full((len(doc), len(pops) + 1), -1)
-            at, pre, old, keep = (np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64))
-            for i, x in enumerate(leaves):
-                s = leaf[doc] == i
-                q = place[doc[s]]
-                at[s], pre[s], old[s] = x["at"][q], x["pre"][q], x["e"][q]
-                w = x["where"][doc[s]]
-                keep[s] = q - x["begin"][w] + (x["keep"][w] if i else 0)
-            taken[:, 0] = old
-            for j, (l0, p0, e0) in enumerate(pops):
-                same = (l0[doc] == leaf[doc]) & (p0[doc] == place[doc])
-                taken[same, j + 1] = e0[doc[same]]
-            taken = -np.sort(-taken, axis=1)[:, ::-1]  # ascending; -1 is none
-            width = np.where(taken >= 0, wide[taken], 0)
-            room = ONE - width.sum(1)
-            r = (_uniform(seeds[doc] + U64(0xABCD0 + rank)) * room).astype(np.int64)
-            for j in range(taken.shape[1]):
-                r = np.where((taken[:, j] >= 0) & (r >= low[taken[:, j]]), r + width[:, j], r)
-            node = lattice.start[old]
-            new = choose(node, np.minimum(r, ONE - 1).astype(U64))
-            rest = (room - wide[new]) / ONE
+            # the new leaf's whole path is in edges, n; its own decisions begin at up, after log probability base
+            at = np.cumsum(n) - n
+            where = np.full(n_docs, -1)
+            where[doc] = at
+            length = np.zeros(n_docs, np.int64)
+            length[doc] = n
+            c = sums(share[edges])
+            full.append((edges, units_of, where, length, c))
+            tail = c[at + n] - c[at + up]
+            final = base + tail
+            out.append((doc, np.add.reduceat(self.id_n.data[edges], at) if len(edges) else n, self._ids(edges), final, bound))
+            x = np.full(n_docs, -np.inf)
             with np.errstate(divide="ignore"):
-                again = truncated(pre + np.log(np.maximum(rest, 0)), bound, seeds[doc] + U64(0x77770 + rank))
-            for i, x in enumerate(leaves):
-                s = leaf[doc] == i
-                x["best"][place[doc[s]]] = again[s]
-            record = tuple(np.full(len(cut), -2) for _ in range(3))
-            for a, b in zip(record, (leaf[doc], place[doc], new), strict=True):
-                a[doc] = b
-            pops.append(record)
-            row, more_at, more = walk(doc, at, lattice.end[new], rank + 1)
-            n = np.bincount(row, minlength=len(doc)) if len(row) else np.zeros(len(doc), np.int64)
-            put = np.cumsum(n) - n
-            add(rank + 1, doc, np.insert(row, put, np.arange(len(doc))), np.insert(more_at, put, at), np.insert(more, put, new), pre, bound, np.ones(len(doc), bool), leaf[doc], keep)
+                x[doc] = truncated(base + np.log(-np.expm1(tail)), bound, 0x77000 + rank, doc)
+            for name, what in ((own_at, up), (pre, base)):
+                y = np.zeros(n_docs, what.dtype)
+                y[doc] = what
+                name.append(y)
+            value.append(x)
+            gone.append(np.zeros(n_docs))
+            cut.append([])
+            best = np.argmax(np.stack(value), 0)
+            top = np.stack(value)[best, docs]
+            if rank == k - 1:
+                return out, top
+            doc = np.flatnonzero(np.isfinite(top))
+            if not len(doc):
+                return out, top
+            bound = top[doc]
+            leaf = best[doc]
+            t, new, up, base = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64), np.zeros(len(doc))
+            u = _uniform(seeds[doc] + U64(0xABC00 + rank)), _uniform(seeds[doc] + U64(0xDEF00 + rank))
+            mass = np.zeros(len(doc))
+            for i, d in enumerate(doc.tolist()):
+                j = int(leaf[i])
+                e, _, w, m, c = full[j]
+                a, b = int(w[d] + own_at[j][d]), int(w[d] + m[d])
+                path, before = e[a:b], c[a : b + 1] - c[a]
+                taken = [(int(s[d]), int(f[d]), float(g[d])) for s, f, g in cut[j] if s[d] >= 0]
+                t[i], new[i], mass[i] = self._open(path, before, taken, float(u[0][i]), float(u[1][i]))
+                up[i] = own_at[j][d] + t[i] + 1
+                base[i] = pre[j][d] + before[t[i]] + share[new[i]]
+            left = np.zeros(len(doc))
+            for j in range(rank + 1):
+                s = np.flatnonzero(leaf == j)
+                if not len(s):
+                    continue
+                record = (np.full(n_docs, -1), np.zeros(n_docs, np.int64), np.zeros(n_docs))
+                for r, y in zip(record, (t, new, mass), strict=True):
+                    r[doc[s]] = y[s]
+                cut[j].append(record)
+                gone[j][doc[s]] += mass[s]
+                _, _, w, m, c = full[j]
+                whole = -np.expm1(c[w[doc[s]] + m[doc[s]]] - c[w[doc[s]] + own_at[j][doc[s]]])
+                left[s] = np.maximum(whole - gone[j][doc[s]], 0)
+                left[s[left[s] < 1e-15 * whole]] = 0
+                with np.errstate(divide="ignore"):
+                    value[j][doc[s]] = truncated(pre[j][doc[s]] + np.log(left[s]), bound[s], 0x99000 + rank, doc[s])
+            # the parent's path up to the branch, the new edge, and a walk from there on
+            begin = np.array([full[int(j)][1][full[int(j)][2][d] + p - 1] for j, d, p in zip(leaf, doc, up, strict=True)], np.int64)
+            more, more_units, more_n = follow(rank + 1, doc, begin, np.where(stop[new], -2, end[new]))
+            n = up + more_n
+            edges, units_of = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
+            at = np.cumsum(n) - n
+            for j in range(rank + 1):
+                s = np.flatnonzero(leaf == j)
+                source = ragged(full[j][2][doc[s]], up[s] - 1)
+                to = ragged(at[s], up[s] - 1)
+                edges[to], units_of[to] = full[j][0][source], full[j][1][source]
+            edges[at + up - 1], units_of[at + up - 1] = new, begin
+            to = ragged(at + up, more_n)
+            edges[to], units_of[to] = more, more_units
+        return out, top
+
+    def _open(self, path: np.ndarray, before: np.ndarray, taken: list[tuple[int, int, float]], u: float, v: float) -> tuple[int, int, float]:
+        """Of a region (a path's edges, log probabilities before them, children taken out of it) draws the decision and the sibling there, and gives the child's mass."""
+        share, low, high = self.share.data, self.low.data, self.high.data
+        by_place: dict[int, list[tuple[int, float]]] = {}
+        for t, e, m in taken:
+            by_place.setdefault(t, []).append((e, m))
+        r = u * max(-math.expm1(before[-1]) - sum(m for _, _, m in taken), 0.0)
+        for t in sorted(by_place):
+            m = sum(m for _, m in by_place[t])
+            if r >= -math.expm1(before[t + 1]) - m:
+                r += m
+        limit = math.log1p(-min(r, 1 - 1e-16))
+        t = min(int(np.searchsorted(-before[1:], -limit, "right")), len(path) - 1)
+        while True:  # steps back only where rounding has led to a decision without siblings left
+            out = sorted([int(path[t]), *(e for e, _ in by_place.get(t, ()))])
+            room = ONE - sum(int(high[e] - low[e]) for e in out)
+            if room > 0 or t == 0:
+                break
+            t -= 1
+        if room <= 0:
+            t = next(t for t in range(len(path)) if ONE > sum(int(high[e] - low[e]) for e in [int(path[t]), *(e for e, _ in by_place.get(t, ()))]))
+            out = sorted([int(path[t]), *(e for e, _ in by_place.get(t, ()))])
+            room = ONE - sum(int(high[e] - low[e]) for e in out)
+        x = min(int(v * room), room - 1)
+        for e in out:
+            if x >= low[e]:
+                x += int(high[e] - low[e])
+        e = int(self.open.data[self.start.data[path[t]]])
+        while x >= high[e]:
+            e += 1
+        return t, e, math.exp(before[t] + share[e])
+
+    def _ids(self, edges: np.ndarray) -> np.ndarray:
+        return self.ids.data[ragged(self.id_at.data[edges], self.id_n.data[edges])]
 
 
 _samplers: dict[tuple, Sampler] = {}
@@ -270,25 +330,25 @@ def sample_pieces(df: DataFrame, vocabulary: str, k: int = 3, id_col: str = "doc
         s = sampler(vocabulary, power)
         for batch in batches:
             for part in in_slices(batch, "text", 2 << 20):
-                given = [t or "" for t in part.column("text").to_pylist()]
-                some = [i for i, t in enumerate(given) if t]
-                ids = part.column("id")
-                blank = [i for i, t in enumerate(given) if not t]
-                n = len(blank)
+                size = pc.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
+                blank = part.filter(pa.array(size == 0))
+                n = blank.num_rows
                 if n:
-                    yield _rows(ids.take(pa.array(blank)), [0] * n, [0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [True] * n, [b""] * n)
-                if not some:
+                    yield _rows(blank.column("id"), [0] * n, [0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [True] * n, [b""] * n)
+                part = part.filter(pa.array(size > 0))
+                if not part.num_rows:
                     continue
-                seeds = mix(part.column("seed").to_numpy()[some].view(U64))
-                found = list(s.sample([given[i] for i in some], seeds, k))
-                limit = found.pop()[0]
+                ids = part.column("id")
+                data, offsets = utf8(part.column("text"))
+                raw_text = data.tobytes()
+                found, limit = s.sample(part.column("text"), mix(part.column("seed").to_numpy().view(U64)), k)
                 for rank, (doc, count, tokens, phi, value) in enumerate(found):
                     with np.errstate(over="ignore", under="ignore", divide="ignore"):
                         x = phi - limit[doc]
                         inclusion = np.where(x < -30, x, np.log(-np.expm1(-np.exp(np.minimum(x, 700)))))
                     raw, past = tokens.astype("<u4").tobytes(), (4 * np.cumsum(np.concatenate(([0], count)))).tolist()
-                    back = [a == given[some[d]].encode() for a, d in zip(s.decode(tokens, count), doc, strict=True)]
-                    yield _rows(ids.take(pa.array([some[d] for d in doc])), [rank] * len(doc), count, phi, value, inclusion, back, [raw[a:b] for a, b in zip(past, past[1:], strict=False)])
+                    back = [a == raw_text[p:q] for a, p, q in zip(s.decode(tokens, count), offsets[doc].tolist(), offsets[doc + 1].tolist(), strict=True)]
+                    yield _rows(ids.take(pa.array(doc)), [rank] * len(doc), count, phi, value, inclusion, back, [raw[a:b] for a, b in zip(past, past[1:], strict=False)])
 
     return texts.mapInArrow(draw, SAMPLES)
 

@@ -22,6 +22,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
@@ -31,14 +32,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, in_slices, new_path, shuffle_parts
+from .common import NULL_ID, SPACE, Grown, HashIndex, grouped, in_slices, new_path, ragged, shuffle_parts, span_hash, sums, utf8
 
-MOST_PIECES = 600_000  # distinct pieces that a worker keeps
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-# A piece: letters before ASCII punctuation other than the apostrophe; or what else stands between white space, with one
-# space or line feed before it; or longer white space with what follows it. The pre-tokenizer always cuts between these.
-PIECES = re.compile(rf"[ \n]?[{_LETTERS}]+(?=[!-&(-/:-@\[-`{{-~])|[ \n]?\S+|\s+\S*")
-_ODD = re.compile("[\x1c-\x1f]")  # white space for Python but not for the tokenizer
+MOST_PIECES = 1_500_000  # distinct pieces that a worker keeps, told apart by a 64-bit hash
+
+_MARK = np.zeros(256, bool)  # ASCII punctuation other than the apostrophe
+_MARK[[c for c in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)) if c != 39]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+_PLAIN = re.compile(r" \S")
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Bytes of Unicode white space."""
+    white = SPACE[data]
+    if len(data) > 2:
+        two = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        lead = np.flatnonzero((a == 0xE1) | (a == 0xE2) | (a == 0xE3))
+        a, b, c = a[lead], b[lead], c[lead]
+        three = lead[((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80))]
+        for k, at in ((0, two), (1, two), (0, three), (1, three), (2, three)):
+            white[at + k] = True
+    return white
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where to cut texts so that encoding the parts is encoding the text.
+
+    The pre-tokenizer always cuts before a run of white space, and between a letter and ASCII punctuation other than
+    the apostrophe.
+    """
+    white = _white(data)
+    start = np.zeros(len(data) + 1, bool)
+    start[1:-1] = (white[1:] & ~white[:-1]) | (_MARK[data[1:]] & _LETTER[data[:-1]])
+    start[offsets] = True
+    return np.flatnonzero(start[:-1])
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,26 +78,66 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Encoder:
-    """Encodes texts to bytes of little-endian 32-bit ids."""
+    """Encodes the texts of an Arrow column to ids, and gives how many each text has."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _ODD.search(t) else PIECES.findall(t) for t in texts]
-        if len(self.known) > MOST_PIECES:
-            self.known = {}
-        missing = list(set().union(*cut).difference(self.known))
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, "<u4").tobytes()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in cut]
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.width = np.zeros(max(names.values()) + 1, np.int64)  # a token's name has a character for each of its bytes
+        self.width[list(names.values())] = [len(n) for n in names]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.at, self.size = HashIndex(), Grown(np.uint32), Grown(np.int64), Grown(np.int64)
+
+    def learn(self, pieces: list[str]) -> None:
+        """Adds pieces. Those that begin with one space are encoded many at a time, as the text they make in a row, and told apart by their tokens' bytes."""
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            plain = [k for k, p in enumerate(part) if _PLAIN.match(p)]
+            groups = [plain[j : j + 1000] for j in range(0, len(plain), 1000)]
+            rest = sorted({*range(len(part))}.difference(plain))
+            found = self.tokenizer.encode_batch_fast([*("".join(part[k] for k in g) for g in groups), *(part[k] for k in rest)], add_special_tokens=False)
+            order = np.array([*plain, *rest], np.int64)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64)
+            past = np.cumsum([len(part[k].encode()) for k in order])
+            bytes_ = np.cumsum(self.width[ids])
+            to = np.searchsorted(bytes_, past) + 1
+            if not (bytes_[to - 1] == past).all():
+                raise RuntimeError("a token spans two pieces")
+            size = np.empty(len(part), np.int64)
+            size[order] = np.diff(np.concatenate(([0], to)))
+            at = np.empty(len(part), np.int64)
+            at[order] = self.ids.n + np.concatenate(([0], to[:-1]))
+            self.at.add(at)
+            self.size.add(size)
+            self.ids.add(ids.astype(np.uint32))
+
+    def __call__(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by the end id; and their numbers."""
+        data, offsets = utf8(column)
+        starts = piece_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        h, first, number = grouped(span_hash(data, starts, ends))
+        if self.known.n > MOST_PIECES:
+            self.forget()
+        found = self.known(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            raw, at = data.tobytes(), first[new]
+            self.learn([raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            found[new] = self.known.add(h[new])
+        piece = found[number]
+        sizes = self.size.data[piece]
+        rows = np.searchsorted(starts, offsets)
+        doc = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
+        total = sums(sizes)
+        out = np.full(int(total[-1]) + len(offsets) - 1, end_id, "<u4")
+        out[ragged(total[:-1] + doc, sizes)] = self.ids.data[ragged(self.at.data[piece], sizes)]
+        return out, np.diff(total[rows]) + 1
 
 
 _encoders: dict[str, Encoder] = {}
@@ -90,7 +160,6 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     """Writes the dataset to path, and its manifest as a table there; returns the manifest with bases."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -99,21 +168,20 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
         fs, root = filesystem(path)
         part = TaskContext.get().partitionId()
         own, name = f"{root}/.attempt-{uuid.uuid4().hex}", f"shard-{part:06d}"
-        encode, ids, sizes, out = encoder(vocabulary), [], [0], None
+        encode, ids, sizes, out = encoder(vocabulary), [], [np.zeros(1, np.int64)], None
         for batch in batches:
             for some in in_slices(batch, "text"):
                 if out is None:
                     fs.create_dir(own, recursive=True)
                     out = fs.open_output_stream(f"{own}/bin")
                 ids.append(some.column("id").to_numpy())
-                for tokens in encode([t or "" for t in some.column("text").to_pylist()]):
-                    out.write(tokens)
-                    out.write(end)
-                    sizes.append(len(tokens) // 4 + 1)
+                tokens, n = encode(some.column("text"), end_id)
+                out.write(tokens.tobytes())
+                sizes.append(n)
         if out is None:
             return
         out.close()
-        every, offsets = np.concatenate(ids).astype("<i8"), np.cumsum(np.array(sizes, "<i8"))
+        every, offsets = np.concatenate(ids).astype("<i8"), np.cumsum(np.concatenate(sizes))
         with fs.open_output_stream(f"{own}/idx") as f:
             f.write(every.tobytes() + offsets.astype("<i8").tobytes())
         for kind in ("bin", "idx"):
