@@ -70,7 +70,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def in_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of whole rows of about `most` bytes of text; one longer text makes a run of its own."""
     _, offsets = utf8(batch.column(column))
     at, n = 0, batch.num_rows
@@ -119,7 +119,7 @@ class Powers:
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             for name, b in (("up", self.base), ("down", self.inverse)):
-                powers = np.full(max(n, 1 << 16), b, U64)
+                powers = np.full(max(n + n // 4, 1 << 16), b, U64)
                 powers[0] = 1
                 setattr(self, name, np.cumprod(powers, dtype=U64))
         return self.up[:n], self.down[:n]
@@ -134,13 +134,17 @@ def sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial modulo 2**64."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = BYTES.to(len(data) + 1)
-    p = sums((data.astype(U64) + U64(1)) * up[:-1])
-    return mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0x2545F4914F6CDD1D))
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+    """A 64-bit hash of each span of items, from prefix sums of a polynomial modulo 2**64. Spans ascend; runs of them of about `most` items are done at a time."""
+    out, i = np.empty(len(starts), U64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + most, "right")))
+        at, s, e = starts[i], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        up, down = BYTES.to(int(e[-1]) + 1)
+        p = sums((data[at : at + e[-1]].astype(U64) + U64(1)) * up[:-1])
+        out[i:j] = mix((p[e] - p[s]) * down[s] + (e - s).astype(U64) * U64(0x2545F4914F6CDD1D))
+        i = j
+    return out
 
 
 def run_hash(h: np.ndarray, at: np.ndarray, n: int | np.ndarray, powers: Powers = WORDS) -> np.ndarray:

@@ -122,7 +122,7 @@ def repeated_ranges(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     spark = df.sparkSession
     parts = shuffle_parts(spark)
-    buckets = 4 * parts
+    buckets = 8 * parts
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "at", "sizes", "packed")), ("local", pa.bool_())])

@@ -1,6 +1,7 @@
-"""Token-id output: flat unsigned 32-bit files with 64-bit document offsets, read by memory mapping.
+"""Token-id output: flat unsigned integer files with 64-bit document offsets, read by memory mapping.
 
-A dataset is a folder of shards in ascending id order. Shard s has `s.bin` (token ids, little endian) and `s.idx`
+A dataset is a folder of shards in ascending id order. Shard s has `s.bin` (token ids, little endian, of 16 bits
+if the vocabulary and the end id fit in them, else of 32) and `s.idx`
 (document ids, then the offsets of the documents and the shard's end, both 64-bit). The manifest has one row per shard:
 its documents, its tokens, and the number of tokens in all shards before it, a prefix sum over shards.
 
@@ -87,6 +88,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(names.values()) + 1, np.int64)  # a token's name has a character for each of its bytes
+        self.top = len(self.width) - 1
         self.width[list(names.values())] = [len(n) for n in names]
         self.forget()
 
@@ -135,7 +137,7 @@ class Encoder:
         rows = np.searchsorted(starts, offsets)
         doc = np.repeat(np.arange(len(offsets) - 1), np.diff(rows))
         total = sums(sizes)
-        out = np.full(int(total[-1]) + len(offsets) - 1, end_id, "<u4")
+        out = np.full(int(total[-1]) + len(offsets) - 1, end_id, np.uint32)
         out[ragged(total[:-1] + doc, sizes)] = self.ids.data[ragged(self.at.data[piece], sizes)]
         return out, np.diff(total[rows]) + 1
 
@@ -161,6 +163,8 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
+    dtype = "<u2" if max(encoder(vocabulary).top, end_id) < 1 << 16 else "<u4"
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -176,7 +180,7 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
                     out = fs.open_output_stream(f"{own}/bin")
                 ids.append(some.column("id").to_numpy())
                 tokens, n = encode(some.column("text"), end_id)
-                out.write(tokens.tobytes())
+                out.write(tokens.astype(dtype).tobytes())
                 sizes.append(n)
         if out is None:
             return
@@ -198,14 +202,14 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
         manifest.append({**r.asDict(), "base": base})
         base += r["n_tokens"]
     with fs.open_output_stream(f"{root}/manifest.json") as f:
-        f.write(json.dumps({"dtype": "<u4", "end_id": end_id, "n_tokens": base, "shards": manifest}).encode())
+        f.write(json.dumps({"dtype": dtype, "end_id": end_id, "n_tokens": base, "shards": manifest}).encode())
     return spark.createDataFrame(manifest, SHARD + ", base long")
 
 
 class Shard:
     """A shard's ids, offsets and tokens; local files are memory-mapped, others read whole."""
 
-    def __init__(self, path: str, name: str, n_docs: int, dtype: str = "<u4"):
+    def __init__(self, path: str, name: str, n_docs: int, dtype: str):
         fs, root = filesystem(path)
         if isinstance(fs, pafs.LocalFileSystem):
             idx, self.tokens = np.memmap(f"{root}/{name}.idx", "<i8", "r"), np.memmap(f"{root}/{name}.bin", dtype, "r")
@@ -218,7 +222,7 @@ class Shard:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document in file order: doc_id, start, n_tokens, tokens (its bytes, end id included)."""
+    """One row per document in file order: doc_id, start, n_tokens, tokens (end id included, as 32-bit little-endian integers)."""
     fs, root = filesystem(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
@@ -232,7 +236,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, row["n_docs"], 500):
                     k = range(i, min(i + 500, row["n_docs"]))
                     ids = s.ids[k.start : k.stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([s[j].tobytes() for j in k], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([s[j].astype("<u4").tobytes() for j in k], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, tokens binary")
 
