@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from allelix.functions.chroms import detect_chr_style, normalize_chr_names
 from allelix.functions.scalars import snp_key
@@ -27,15 +28,10 @@ def numbered(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     if "_ord" in df.columns and by is None:
         return df
-    spark = df.sparkSession
-    if by is not None:
-        df = df.orderBy(by)
-    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
     names = [c for c in df.columns if c != "_ord"]
-    schema = df.schema if "_ord" not in df.columns else df.select(*names).schema
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    return spark.createDataFrame(rows, StructType([*schema.fields, StructField("_ord", LongType(), False)]))
+    df = (df.orderBy(by) if by is not None else df).select(*names)
+    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
+    return df.sparkSession.createDataFrame(rows, StructType([*df.schema.fields, StructField("_ord", LongType(), False)]))
 
 
 def assign_snp_ids(snps: DataFrame) -> DataFrame:
