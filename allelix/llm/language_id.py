@@ -39,7 +39,7 @@ class LanguageModel:
     log_p: np.ndarray  # pieces x languages
 
 
-def fit_language_id(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 800, rounds: int = 4) -> LanguageModel:
+def fit_language_id(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 400, rounds: int = 4) -> LanguageModel:
     """Fits the model on about `most` rows of each language of df; rows without text or language are not used."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
@@ -104,8 +104,8 @@ class Scorer:
         self.known, self.rows = HashIndex(), Grown(float, len(self.model.languages))
 
     def learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        for i in range(0, len(starts), 50_000):
-            some, cut, units = marked(codes, starts[i : i + 50_000], sizes[i : i + 50_000])
+        for i in range(0, len(starts), 15_000):
+            some, cut, units = marked(codes, starts[i : i + 15_000], sizes[i : i + 15_000])
             lattice = self.pieces.lattice(some, cut)
             total = np.log(backward(lattice, edge_values(lattice, self.model.log_p, LOG_BYTE))[lattice.root])
             self.rows.add(np.add.reduceat(total, np.cumsum(units) - units))

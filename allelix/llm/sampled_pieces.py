@@ -34,7 +34,7 @@ from .common import U64, Grown, HashIndex, codes_of, grouped, in_slices, mix, ra
 from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_values, table, zipf
 
 LOG_BYTE = -14.0
-MOST_UNITS = 300_000  # units whose lattices a worker keeps
+MOST_UNITS = 80_000  # units whose lattices a worker keeps
 ONE = 1 << 32
 
 
@@ -54,9 +54,9 @@ class Sampler:
     def forget(self) -> None:
         self.known = HashIndex()
         self.root, self.open, self.best = Grown(np.int64), Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first and most probable edge
-        self.end, self.stop = Grown(np.int64), Grown(bool)  # of edges: node they lead to, and whether the unit ends there
-        self.start, self.low, self.high, self.share = Grown(np.int64), Grown(np.int64), Grown(np.int64), Grown(float)
-        self.key, self.id_at, self.id_n, self.ids = Grown(U64), Grown(np.int64), Grown(np.int64), Grown(np.int64)
+        self.end, self.stop = Grown(np.int32), Grown(bool)  # of edges: node they lead to, and whether the unit ends there
+        self.start, self.low, self.high, self.share = Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(float)
+        self.key, self.id_at, self.id_n, self.ids = Grown(U64), Grown(np.int32), Grown(np.int64), Grown(np.int32)
 
     def learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Adds units' lattices. A node's edges divide 0 .. 2**32 by probability."""
@@ -121,7 +121,8 @@ class Sampler:
         new = np.flatnonzero(found < 0)
         if len(new):
             at, size = begin[first[new]], (past - begin)[first[new]]
-            self.learn(text[ragged(at, size)], size)
+            for i in range(0, len(new), 8000):
+                self.learn(text[ragged(at[i : i + 8000], size[i : i + 8000])], size[i : i + 8000])
             found[new] = self.known.add(h[new])
         return found[number], np.diff(np.searchsorted(begin, offsets + np.arange(n + 1)))
 
@@ -329,7 +330,7 @@ def sample_pieces(df: DataFrame, vocabulary: str, k: int = 3, id_col: str = "doc
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(vocabulary, power)
         for batch in batches:
-            for part in in_slices(batch, "text", 2 << 20):
+            for part in in_slices(batch, "text", 1 << 20):
                 size = pc.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
                 blank = part.filter(pa.array(size == 0))
                 n = blank.num_rows
