@@ -17,12 +17,18 @@ NULL_ID = (1 << 63) - 1  # a null id sorts after every other id
 # ---------------------------------------------------------------- shared folder
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one, once for each application, only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="allelix-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="allelix-shared-")
+            spark.sparkContext.setCheckpointDir(_own[app])
+        path = _own[app]
     return path.rstrip("/")
 
 

@@ -10,8 +10,10 @@ a coordinate with probability equal to their weighted Jaccard similarity, at a c
 Signatures are cut into bands. Texts that are equal are one class from the start, by their hash; only class
 representatives enter the bands. In each band bucket every member is compared with the bucket's smallest member; the
 shingle sets are compared exactly. What is linked then forms components; only members of a bucket that are still in
-different components are compared further, all of them, so no link between different texts that share a bucket is lost,
-and a bucket of many copies costs one comparison each.
+different components are compared further, so no link between different texts that share a bucket is lost, and a bucket
+of many copies costs one comparison each. Two bounds leave out pairs that can't be links: set sizes that differ by more
+than the similarity allows, and, as 1 - J obeys the triangle inequality, distances from the bucket's smallest member that
+differ by more than 1 - least.
 
 Defined results: words are runs of characters other than ASCII white space, unchanged; a text of fewer words than a
 shingle has one shingle of all its words; texts without words are alike only when equal; null texts equal each other and
@@ -105,7 +107,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, per_band: int, weighted: bool) -> DataFrame:
-    """id, a and b (128 bits of the text's hash), bands (null without words)."""
+    """id, copy (the text's hash), size (of the set of shingles), bands (null without words)."""
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.md5(text_col), F.lit("null")).alias("copy"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,20 +117,20 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 e, r, c = counted(found, n)
                 s, has = dart_minhash(e, r, c.astype(float) if weighted else np.ones(len(e)), part.num_rows, bands * per_band)
                 keys = band_keys(s, bands).view(np.int64)
+                size = np.bincount(r, c if weighted else None, part.num_rows).astype(np.int64)
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), column], ["id", "copy", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), pa.array(size), column], ["id", "copy", "size", "bands"])
 
-    return texts.mapInArrow(sign, "id long, copy string, bands array<long>")
+    return texts.mapInArrow(sign, "id long, copy string, size long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of ids whose shingle sets have a Jaccard similarity of `least` or more. The texts travel, as they compress better than shingle hashes."""
+def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """The pairs (a, b) of ids with the exact Jaccard similarity of their shingle sets. The texts travel, as they compress better than shingle hashes."""
     both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "left"):
-                good = np.zeros(part.num_rows, bool)
                 sides = []
                 for name in ("left", "right"):
                     sides.append(counted(*shingles(*utf8(part.column(name)), width)))
@@ -140,10 +142,30 @@ def _similar(pairs: DataFrame, texts: DataFrame, width: int, least: float, weigh
                 twin = np.flatnonzero((e[1:] == e[:-1]) & (r[1:] == r[:-1]))
                 shared = np.bincount(r[twin], np.minimum(c[twin], c[twin + 1]), part.num_rows)
                 union = np.bincount(r, c, part.num_rows) - shared
-                good = (union > 0) & (shared >= least * union - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(x).filter(pa.array(good)) for x in ("a", "b")], ["a", "b"])
+                score = shared / np.maximum(union, 1)
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score)], ["a", "b", "score"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, score double")
+
+
+def _apart(members: DataFrame, parts: DataFrame, scores: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components that may still be links; the hub has met all others.
+
+    Components of a bucket are paired first, by the ranges of their members, so no member meets its own component.
+    """
+    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
+    placed = placed.filter("id != hub").join(apart, "key", "left_semi")
+    known = scores.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("score")).alias("far"))
+    open_ = written(placed.join(known, ["hub", "id"]).select("key", "part", "id", "size", "far"), "open")
+    ranges = open_.groupBy("key", "part").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.min("size").alias("small"), F.max("size").alias("large"))
+    may = f"p < q and {{0}} - {{1}} <= {1 - least + 1e-9} and {{2}} - {{3}} <= {1 - least + 1e-9} and {{4}} >= {least - 1e-9} * {{5}} and {{6}} >= {least - 1e-9} * {{7}}"
+    one, two = (ranges.select("key", F.col("part").alias(p), *(F.col(c).alias(p + c) for c in ("near", "far", "small", "large"))) for p in ("p", "q"))
+    sides = one.join(two, "key").filter(may.format("pnear", "qfar", "qnear", "pfar", "plarge", "qsmall", "qlarge", "psmall")).select("key", "p", "q")
+    left, right = (open_.select("key", F.col("part").alias(p), F.col("id").alias(i), F.col("size").alias(f"{i}size"), F.col("far").alias(f"{i}far")) for p, i in (("p", "a"), ("q", "b")))
+    pairs = sides.join(left, ["key", "p"]).join(right, ["key", "q"])
+    pairs = pairs.filter(may.format("afar", "bfar", "bfar", "afar", "asize", "bsize", "bsize", "asize"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = False) -> DataFrame:
@@ -153,25 +175,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     multisets). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
     """
     signed = written(signatures(df, id_col, text_col, width, bands, per_band, weighted), "signatures")
-    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    rows = written(classes.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "key"), "bands")
+    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    rows = written(classes.select("id", "size", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "size", "key"), "bands")
     hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(rows.join(hubs, "key").select("id", "key", "hub"), "members")
+    members = written(rows.join(hubs, "key").select("id", "size", "key", "hub"), "members")
     candidates = written(members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
     near = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text"))
     # of rows that share an id, the one whose text represents its class
     texts = texts.join(near, "id", "left_semi").join(classes.select("id", "copy"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "text")
     texts = written(texts, "texts")
-    links = written(_similar(candidates, texts, width, least, weighted), "links")
+    scores = written(_scored(candidates, texts, width, weighted), "scores")
+    links = scores.filter(F.col("score") >= least - 1e-12).select("a", "b")
     parts = components(links)
-    # members of one bucket that are still apart
-    placed = members.select("id", "key").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    open_ = written(placed.join(apart, "key", "left_semi"), "open")
-    left, right = (open_.select("key", F.col("id").alias(i), F.col("part").alias(p)) for i, p in (("a", "p"), ("b", "q")))
-    more = left.join(right, "key").filter("a < b and p != q").select("a", "b").distinct().join(candidates, ["a", "b"], "left_anti")
-    more = written(_similar(more, texts, width, least, weighted), "links")
+    more = written(_apart(members, parts, scores, least).join(candidates, ["a", "b"], "left_anti"), "pairs")
+    more = written(_scored(more, texts, width, weighted).filter(F.col("score") >= least - 1e-12).select("a", "b"), "links")
     found = components(links.unionAll(more))
     roots = classes.select(F.col("id").alias("node"), "copy").join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"))
     out = signed.select("id", "copy").join(roots, "copy")
