@@ -126,7 +126,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
 
 def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
     """The pairs (a, b) of ids with the exact Jaccard similarity of their shingle sets. The texts travel, as they compress better than shingle hashes."""
-    both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
+    both = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +183,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text"))
     # of rows that share an id, the one whose text represents its class
-    texts = texts.join(near, "id", "left_semi").join(classes.select("id", "copy"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "text")
+    texts = texts.join(near.hint("merge"), "id", "left_semi").join(classes.select("id", "copy").hint("merge"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "text")
     texts = written(texts, "texts")
     scores = written(_scored(candidates, texts, width, weighted), "scores")
     links = scores.filter(F.col("score") >= least - 1e-12).select("a", "b")
@@ -192,7 +192,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = written(_scored(more, texts, width, weighted).filter(F.col("score") >= least - 1e-12).select("a", "b"), "links")
     found = components(links.unionAll(more))
     roots = classes.select(F.col("id").alias("node"), "copy").join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"))
-    out = signed.select("id", "copy").join(roots, "copy")
+    out = signed.select("id", "copy").join(roots.hint("merge"), "copy")
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "copy", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"))
 
 
