@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,38 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- memory of Python workers
+
+#: What operators keep in a worker between tasks, by name.
+CACHES: dict[str, dict] = {}
+
+
+def keep_only(*names: str) -> None:
+    for name, cache in CACHES.items():
+        if name not in names:
+            cache.clear()
+
+
+def trim() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(work: Callable[[Iterator], Iterator], *names: str) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow whose worker, which later stages use again, keeps only the caches named, and no freed memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        keep_only(*names)
+        yield from work(batches)
+        trim()
+
+    return run
+
+
 # ---------------------------------------------------------------- Arrow text as bytes
 
 

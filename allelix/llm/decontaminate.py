@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
-from .common import in_slices, ragged, sums, utf8
+from .common import in_slices, lean, ragged, sums, utf8
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -210,7 +210,7 @@ def _mark(df: DataFrame, block: list[tuple[int, str]], text_col: str, q: int, si
                 kept = [(name, c) for name, c in zip(part.schema.names, part.columns, strict=True) if name not in own]
                 yield pa.RecordBatch.from_arrays([*(c for _, c in kept), *(pa.array(v, t) for v, t in zip(values, kinds, strict=True))], [*(name for name, _ in kept), *own])
 
-    return df.mapInArrow(mark, schema)
+    return df.mapInArrow(lean(mark), schema)
 
 
 def brute_force(texts: list[str | None], items: list[tuple[int, str]], size: int = 64, rate: float = 1 / 16, q: int = 10) -> pd.DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Grown, HashIndex, codes_of, grouped, in_slices, span_hash
+from .common import CACHES, Grown, HashIndex, codes_of, grouped, in_slices, lean, span_hash
 from .pieces import backward, edge_values, forward, marked, table, zipf
 
 LOG_BYTE = -12.0
@@ -142,6 +142,7 @@ class Scorer:
 
 
 _scorers: dict[int, Scorer] = {}
+CACHES["scorers"] = _scorers
 
 
 def _scorer(key: int, model: LanguageModel) -> Scorer:
@@ -166,4 +167,4 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
                 names = [names[b] for b in best]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "score"])
 
-    return kept.mapInArrow(predict, schema)
+    return kept.mapInArrow(lean(predict, "scorers", "pieces"), schema)

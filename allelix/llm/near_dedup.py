@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Powers, components, in_slices, mix, ragged, run_hash, span_hash, utf8, word_spans, written
+from .common import NULL_ID, U64, Powers, components, in_slices, lean, mix, ragged, run_hash, span_hash, utf8, word_spans, written
 
 SHINGLES = Powers(0x8EBC6AF09C88C6E3)
 
@@ -121,7 +121,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)), mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), pa.array(size), column], ["id", "copy", "size", "bands"])
 
-    return texts.mapInArrow(sign, "id long, copy string, size long, bands array<long>")
+    return texts.mapInArrow(lean(sign), "id long, copy string, size long, bands array<long>")
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
@@ -145,7 +145,7 @@ def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> D
                 score = shared / np.maximum(union, 1)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score)], ["a", "b", "score"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, score double")
+    return both.select("a", "b", "left", "right").mapInArrow(lean(compare), "a long, b long, score double")
 
 
 def _apart(members: DataFrame, parts: DataFrame, scores: DataFrame, least: float) -> DataFrame:

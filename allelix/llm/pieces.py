@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .common import U64, ragged
+from .common import CACHES, U64, ragged
 
 MARK, MOST = "▁", 64
 LITERAL_MARK = 0x10FFFF  # stands for a space-mark character that is in the text itself
@@ -157,6 +157,7 @@ def marked(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
 
 
 _tables: dict[str, Pieces] = {}
+CACHES["pieces"] = _tables
 
 
 def table(model: str) -> Pieces:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import U64, Grown, HashIndex, codes_of, grouped, in_slices, mix, ragged, span_hash, sums, utf8
+from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices, lean, mix, ragged, span_hash, sums, utf8
 from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_values, table, zipf
 
 LOG_BYTE = -14.0
@@ -309,6 +309,7 @@ class Sampler:
 
 
 _samplers: dict[tuple, Sampler] = {}
+CACHES["samplers"] = _samplers
 
 
 def sampler(vocabulary: str, power: float = 1.0) -> Sampler:
@@ -351,7 +352,7 @@ def sample_pieces(df: DataFrame, vocabulary: str, k: int = 3, id_col: str = "doc
                     back = [a == raw_text[p:q] for a, p, q in zip(s.decode(tokens, count), offsets[doc].tolist(), offsets[doc + 1].tolist(), strict=True)]
                     yield _rows(ids.take(pa.array(doc)), [rank] * len(doc), count, phi, value, inclusion, back, [raw[a:b] for a, b in zip(past, past[1:], strict=False)])
 
-    return texts.mapInArrow(draw, SAMPLES)
+    return texts.mapInArrow(lean(draw, "samplers", "pieces"), SAMPLES)
 
 
 def _rows(*columns) -> pa.RecordBatch:
@@ -371,4 +372,4 @@ def decode_pieces(df: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataF
             texts = s.decode(np.concatenate(tokens).astype(np.int64), np.array(list(map(len, tokens)))) if tokens else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], [*batch.schema.names, "decoded"])
 
-    return kept.mapInArrow(decode, schema)
+    return kept.mapInArrow(lean(decode, "samplers", "pieces"), schema)
