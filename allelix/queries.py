@@ -334,14 +334,14 @@ def _on_x(spark, d) -> AlleleCube:
 
 @_query("xci_assignments")
 def _(spark, d):
-    return X.xci_assignments(X.assign_inactive_x(_on_x(spark, d), n_inits=3, strict=False))
+    return X.xci_assignments(X.assign_inactive_x(_on_x(spark, d), strict=False))
 
 
 @_query("xci_haplotypes")
 def _(spark, d):
-    return X.xci_haplotypes(X.assign_inactive_x_by_clonotype(_on_x(spark, d), n_inits=3, strict=False))
+    return X.xci_haplotypes(X.assign_inactive_x_by_clonotype(_on_x(spark, d), strict=False))
 
 
 @_query("heatmap_frame")
 def _(spark, d):
-    return X.heatmap_frame(X.assign_inactive_x(_on_x(spark, d), n_inits=3, strict=False), "ASIA")
+    return X.heatmap_frame(X.assign_inactive_x(_on_x(spark, d), strict=False), "ASIA")

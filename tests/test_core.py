@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from allelix import queries
 from allelix.functions.binomial import binom_tail
 from allelix.functions.chroms import convert_chr_style, normalize_chr_names, style_of
 from allelix.model import AlleleCube
@@ -215,6 +216,14 @@ def test_inactive_x(spark):
     assert X.assign_inactive_x_by_clonotype(cube, n_inits=2).cell_dim.filter("inactive_x is not null").count() == 80
 
 
+@pytest.mark.parametrize("name", ["xci_assignments", "xci_haplotypes", "heatmap_frame"])
+def test_registered_fits_use_every_restart(spark, monkeypatch, name):
+    tried, fit = [], X.fit
+    monkeypatch.setattr(X, "fit", lambda cube, by, n_inits, *how: tried.append(n_inits) or fit(cube, by, n_inits, *how))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert tried == [10]
+
+
 def test_kernel_on_distinct_arguments_is_the_same():
     rng = np.random.default_rng(0)
     n = rng.integers(1, 5, 200)
