@@ -7,8 +7,8 @@ darts of its elements up to a time at which about t (ln t + 5) fall into its reg
 of t, and keeps the earliest of each; documents with an empty coordinate go on to twice the time. Two documents agree on
 a coordinate with probability equal to their weighted Jaccard similarity, at a cost of elements + t log t per document.
 
-Signatures are cut into bands. Texts that are equal are one class from the start, by their hash; only class
-representatives enter the bands. In each band bucket every member is compared with the bucket's smallest member; the
+Signatures are cut into bands. Texts that are equal are one class from the start, by their hash; each class enters the
+bands once, as a node that is a 64-bit hash of its text, and ids count only when the components are known. In each band bucket every member is compared with the bucket's smallest member; the
 shingle sets are compared exactly. What is linked then forms components; only members of a bucket that are still in
 different components are compared further, so no link between different texts that share a bucket is lost, and a bucket
 of many copies costs one comparison each. Two bounds leave out pairs that can't be links: set sizes that differ by more
@@ -18,7 +18,7 @@ differ by more than 1 - least.
 Defined results: words are runs of characters other than ASCII white space, unchanged; a text of fewer words than a
 shingle has one shingle of all its words; texts without words are alike only when equal; null texts equal each other and
 are apart from empty ones; a null id counts as larger than every other id; rows with the same id and text get the same
-class; other columns are ignored.
+class, and different texts are apart unless linked, also where their ids are null or repeated; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,8 +125,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of ids with the exact Jaccard similarity of their shingle sets. The texts travel, as they compress better than shingle hashes."""
-    both = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "left"}), "a").hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "right"}), "b")
+    """The pairs (a, b) of nodes with the exact Jaccard similarity of their shingle sets. The texts travel, as they compress better than shingle hashes."""
+    both = pairs.hint("merge").join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").hint("merge").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,37 +153,39 @@ def _apart(members: DataFrame, parts: DataFrame, scores: DataFrame, least: float
 
     Components of a bucket are paired first, by the ranges of their members, so no member meets its own component.
     """
-    placed = members.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    placed = placed.filter("id != hub").join(apart, "key", "left_semi")
-    known = scores.select(F.col("a").alias("hub"), F.col("b").alias("id"), (1 - F.col("score")).alias("far"))
-    open_ = written(placed.join(known, ["hub", "id"]).select("key", "part", "id", "size", "far"), "open")
+    placed = placed.filter("node != hub").join(apart, "key", "left_semi")
+    known = scores.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("score")).alias("far"))
+    open_ = written(placed.join(known, ["hub", "node"]).select("key", "part", "node", "size", "far"), "open")
     ranges = open_.groupBy("key", "part").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.min("size").alias("small"), F.max("size").alias("large"))
     may = f"p < q and {{0}} - {{1}} <= {1 - least + 1e-9} and {{2}} - {{3}} <= {1 - least + 1e-9} and {{4}} >= {least - 1e-9} * {{5}} and {{6}} >= {least - 1e-9} * {{7}}"
     one, two = (ranges.select("key", F.col("part").alias(p), *(F.col(c).alias(p + c) for c in ("near", "far", "small", "large"))) for p in ("p", "q"))
     sides = one.join(two, "key").filter(may.format("pnear", "qfar", "qnear", "pfar", "plarge", "qsmall", "qlarge", "psmall")).select("key", "p", "q")
-    left, right = (open_.select("key", F.col("part").alias(p), F.col("id").alias(i), F.col("size").alias(f"{i}size"), F.col("far").alias(f"{i}far")) for p, i in (("p", "a"), ("q", "b")))
+    left, right = (open_.select("key", F.col("part").alias(p), F.col("node").alias(i), F.col("size").alias(f"{i}size"), F.col("far").alias(f"{i}far")) for p, i in (("p", "a"), ("q", "b")))
     pairs = sides.join(left, ["key", "p"]).join(right, ["key", "q"])
     pairs = pairs.filter(may.format("afar", "bfar", "bfar", "afar", "asize", "bsize", "bsize", "asize"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = False) -> DataFrame:
-    """One row per row of df: doc_id, copy (hash of its text), class_id, the smallest id of the documents tied to it by links.
+    """One row per row of df: doc_id, copy (hash of its text), class_id, the smallest id of the documents tied to it by links,
+    and root, the copy of the text that stands for the class: of those with that id the one whose hash sorts first.
 
     A link is a Jaccard similarity of `least` or more between sets of `width`-word shingles (`weighted`: between
     multisets). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
     """
     signed = written(signatures(df, id_col, text_col, width, bands, per_band, weighted), "signatures")
-    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    rows = written(classes.select("id", "size", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "size", "key"), "bands")
-    hubs = rows.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(rows.join(hubs, "key").select("id", "size", "key", "hub"), "members")
-    candidates = written(members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "candidates")
-    near = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
+    rows = written(classes.select("node", "size", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("node", "size", "key"), "bands")
+    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    members = written(rows.join(hubs, "key").select("node", "size", "key", "hub"), "members")
+    candidates = written(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text"))
-    # of rows that share an id, the one whose text represents its class
-    texts = texts.join(near.hint("merge"), "id", "left_semi").join(classes.select("id", "copy").hint("merge"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select("id", "text")
+    # of rows with equal texts, one with the smallest id
+    chosen = classes.select("node", "id", "copy").join(near.hint("merge"), "node", "left_semi").drop("node")
+    texts = texts.join(chosen.hint("merge"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select(F.xxhash64("copy").alias("node"), "text")
     texts = written(texts, "texts")
     scores = written(_scored(candidates, texts, width, weighted), "scores")
     links = scores.filter(F.col("score") >= least - 1e-12).select("a", "b")
@@ -191,9 +193,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = written(_apart(members, parts, scores, least).join(candidates, ["a", "b"], "left_anti"), "pairs")
     more = written(_scored(more, texts, width, weighted).filter(F.col("score") >= least - 1e-12).select("a", "b"), "links")
     found = components(links.unionAll(more))
-    roots = classes.select(F.col("id").alias("node"), "copy").join(found, "node", "left").select("copy", F.coalesce("component", "node").alias("class_id"))
+    tied = classes.select("node", "id", "copy").join(found, "node", "left").select("id", "copy", F.coalesce("component", "node").alias("part"))
+    first = tied.groupBy("part").agg(F.min(F.struct("id", "copy")).alias("first"))
+    roots = tied.join(first.hint("merge"), "part").select("copy", F.col("first.id").alias("class_id"), F.col("first.copy").alias("root"))
     out = signed.select("id", "copy").join(roots.hint("merge"), "copy")
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "copy", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"))
+    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "copy", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "root")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = 5, least: float = 0.8) -> dict[int, int]:

@@ -42,7 +42,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("root"))).alias("kept"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

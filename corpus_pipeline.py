@@ -34,7 +34,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("copy").alias("__copy")).distinct()
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("root"))).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("copy").alias("__copy")).distinct()
     keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__copy": F.coalesce(F.md5("text"), F.lit("null"))})
     return keyed.join(kept, ["__id", "__copy"], "left_semi").dropDuplicates(["__id", "__copy"]).select(docs.columns)
 

@@ -75,6 +75,21 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    text = lambda k, tail="": " ".join(f"w{k}x{i}" for i in range(60)) + tail
+    rows = [(5, text(0)), (None, text(0, " end")), (None, text(1)), (None, text(2)), (None, text(2, " end")), (7, text(3)), (7, text(4)), (3, text(4, " end")), (9, text(5)), (9, text(5, " end"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    copy = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = {r["copy"]: (r.class_id, r.root) for r in near_dedup.near_duplicates(df).collect()}
+    classes = {}
+    for _, t in rows:
+        classes.setdefault(got[copy(t)], []).append(t)
+    assert [got[copy(t)][0] for _, t in rows] == [5, 5, None, None, None, 7, 3, 3, 9, 9]
+    assert len(classes) == 6
+    kept = [r.text for r in corpus_pipeline.one_of_each(spark, df, "").collect()]
+    assert len(kept) == 6 and {text(0), text(1), text(3), text(4, " end")} < set(kept)
+
+
 def test_dart_minhash_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     a = rng.gamma(1, 2, 300)
