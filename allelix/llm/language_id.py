@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import CACHES, Grown, HashIndex, codes_of, grouped, in_slices, lean, span_hash
-from .pieces import backward, edge_values, forward, marked, table, zipf
+from .pieces import MOST, backward, edge_scores, edge_values, forward, marked, table, zipf
 
 LOG_BYTE = -12.0
 MOST_WORDS = 1_000_000  # words whose probabilities a worker keeps
@@ -58,26 +58,31 @@ def _estimate(words: pd.DataFrame, languages: list[str], vocabulary: str, rounds
     for language in languages:
         own = words[words["lang"] == language]
         sizes = own["word"].str.len().to_numpy(np.int64)
-        codes, cut, units = marked(np.frombuffer("".join(own["word"]).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, sizes)
-        found.append((pieces.lattice(codes, cut), np.repeat(own["count"].to_numpy(float), units)))
+        codes, starts, n = np.frombuffer("".join(own["word"]).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, own["count"].to_numpy(float)
+        found.append([(pieces.lattice(*marked(codes, starts[some], sizes[some])), n[some], logs) for some, logs in _by_length(sizes)])
     log_p = np.repeat(start[:, None], len(languages), 1)
     for _ in range(rounds):
         expected = np.zeros_like(log_p)
-        for k, (lattice, n) in enumerate(found):
-            if not len(n):
-                continue
-            value = edge_values(lattice, log_p[:, k], LOG_BYTE)
-            after, before = backward(lattice, value), forward(lattice, value)
+        for k, lattice, n, logs in ((k, *x) for k, parts in enumerate(found) for x in parts):
+            score = edge_scores(lattice, log_p[:, k], LOG_BYTE)
+            value = score if logs else np.exp(score)
+            after, before = backward(lattice, value, logs), forward(lattice, value, logs)
             unit = lattice.unit
-            share = before[lattice.start] * value * after[lattice.end] / after[lattice.root[unit]] * n[unit]
+            share = np.exp(before[lattice.start] + score + after[lattice.end] - after[lattice.root[unit]]) if logs else before[lattice.start] * value * after[lattice.end] / after[lattice.root[unit]]
             some = lattice.piece >= 0
-            expected[:, k] = np.bincount(lattice.piece[some], share[some], pieces.n)
+            expected[:, k] += np.bincount(lattice.piece[some], (share * n[unit])[some], pieces.n)
         pooled = expected.sum(1) + np.exp(start)
         smooth = expected + 50 * (pooled / pooled.sum())[:, None]
         log_p = np.log(smooth / smooth.sum(0))
     return log_p
 
 
+def _by_length(sizes: np.ndarray) -> list[tuple[np.ndarray, bool]]:
+    """The words whose units have up to MOST characters, and the longer ones, whose sums are logarithms; those of the two that are there."""
+    long = sizes >= MOST
+    return [(some, logs) for some, logs in ((np.flatnonzero(~long), False), (np.flatnonzero(long), True)) if len(some)]
+
+
 @functools.cache
 def character_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each code point its lower-case one and whether it is a letter."""
@@ -105,10 +110,13 @@ class Scorer:
 
     def learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         for i in range(0, len(starts), 15_000):
-            some, cut, units = marked(codes, starts[i : i + 15_000], sizes[i : i + 15_000])
-            lattice = self.pieces.lattice(some, cut)
-            total = np.log(backward(lattice, edge_values(lattice, self.model.log_p, LOG_BYTE))[lattice.root])
-            self.rows.add(np.add.reduceat(total, np.cumsum(units) - units))
+            a, n = starts[i : i + 15_000], sizes[i : i + 15_000]
+            total = np.empty((len(a), len(self.model.languages)))
+            for some, logs in _by_length(n):
+                lattice = self.pieces.lattice(*marked(codes, a[some], n[some]))
+                score = edge_scores(lattice, self.model.log_p, LOG_BYTE)
+                total[some] = backward(lattice, score, True)[lattice.root] if logs else np.log(backward(lattice, np.exp(score))[lattice.root])
+            self.rows.add(total)
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Number of the most probable language of each text (-1: no letter), and its probability."""

@@ -1,7 +1,8 @@
 """Segmentation lattices over a fixed public piece vocabulary, for many units of text at once.
 
-A unit is a space mark followed by characters other than space; no piece has a space mark behind another character, so
-a text's lattice is the chain of its units' lattices. Units longer than MOST characters are cut there.
+A unit is a run of space marks followed by characters other than space; no piece has a space mark behind another
+character, so a text's lattice is the chain of its units' lattices. Sums over units longer than MOST characters are kept
+as logarithms, as they may leave the range of numbers.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ class Pieces:
             if p.type == p.BYTE:
                 value = int(p.piece[3:5], 16)
                 self.byte_id[value], self.text[i] = i, bytes([value])
-            elif p.type == p.NORMAL and MARK not in p.piece[1:]:
+            elif p.type == p.NORMAL:
+                if MARK in p.piece.lstrip(MARK):
+                    raise ValueError(f"piece {i} has a space mark behind another character")
                 self.text[i] = p.piece.replace(MARK, " ").encode()
                 h = 0
                 for c in p.piece:
@@ -95,45 +98,58 @@ class Pieces:
         return Lattice(codes, first + np.arange(len(sizes)), past + np.arange(len(sizes)), start + u, start + u + size, piece, start, u)
 
 
-def edge_values(lattice: Lattice, log_p: np.ndarray, log_byte: float) -> np.ndarray:
-    """exp of each edge's log probability, scaled per character; log_p may have a column per model."""
+def edge_scores(lattice: Lattice, log_p: np.ndarray, log_byte: float) -> np.ndarray:
+    """Each edge's log probability, scaled per character; log_p may have a column per model."""
     score = log_p[np.maximum(lattice.piece, 0)]
     low = lattice.piece < 0
     score = np.where(low.reshape(-1, *[1] * (score.ndim - 1)), (-lattice.piece * log_byte).reshape(-1, *[1] * (score.ndim - 1)), score)
-    return np.exp(score + SCALE * (lattice.end - lattice.start).reshape(-1, *[1] * (score.ndim - 1)))
+    return score + SCALE * (lattice.end - lattice.start).reshape(-1, *[1] * (score.ndim - 1))
+
+
+def edge_values(lattice: Lattice, log_p: np.ndarray, log_byte: float) -> np.ndarray:
+    return np.exp(edge_scores(lattice, log_p, log_byte))
+
+
+def _log_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exp(x) over the runs that begin at `first`."""
+    most = np.maximum.reduceat(x, first)
+    return most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, np.diff(np.append(first, len(x))), axis=0)), first))
 
 
-def backward(lattice: Lattice, value: np.ndarray) -> np.ndarray:
-    """For each node the sum over all segmentations of what follows it in its unit."""
+def backward(lattice: Lattice, value: np.ndarray, logs: bool = False) -> np.ndarray:
+    """For each node the sum over all segmentations of what follows it in its unit; `logs`: of scores, as logarithm."""
     n = int(lattice.stop[-1]) + 1 if len(lattice.stop) else 0
-    total = np.zeros((n, *value.shape[1:]))
-    total[lattice.stop] = 1
-    left = (lattice.stop[lattice.unit] - lattice.start).astype(np.uint8)
+    total = np.full((n, *value.shape[1:]), -np.inf if logs else 0.0)
+    total[lattice.stop] = 0 if logs else 1
+    left = lattice.stop[lattice.unit] - lattice.start
+    top = int(left.max()) if len(left) else 0
+    left = left.astype(np.uint8 if top < 256 else np.int64)
     order = np.argsort(left, kind="stable")
     start, end, value, left = lattice.start[order], lattice.end[order], value[order], left[order]
     first = np.flatnonzero(np.concatenate(([True], start[1:] != start[:-1]))) if len(start) else start
     step = left[first]
-    edges, groups = np.searchsorted(left, np.arange(1, MOST + 3)), np.searchsorted(step, np.arange(1, MOST + 3))
+    edges, groups = np.searchsorted(left, np.arange(1, top + 2)), np.searchsorted(step, np.arange(1, top + 2))
     for a, b, g, z in zip(edges, edges[1:], groups, groups[1:], strict=False):
         if b > a:
-            total[start[first[g:z]]] = np.add.reduceat(value[a:b] * total[end[a:b]], first[g:z] - a)
+            total[start[first[g:z]]] = _log_sums(value[a:b] + total[end[a:b]], first[g:z] - a) if logs else np.add.reduceat(value[a:b] * total[end[a:b]], first[g:z] - a)
     return total
 
 
-def forward(lattice: Lattice, value: np.ndarray) -> np.ndarray:
-    """For each node the sum over all segmentations of what precedes it in its unit."""
+def forward(lattice: Lattice, value: np.ndarray, logs: bool = False) -> np.ndarray:
+    """For each node the sum over all segmentations of what precedes it in its unit; `logs`: of scores, as logarithm."""
     n = int(lattice.stop[-1]) + 1 if len(lattice.stop) else 0
-    total = np.zeros((n, *value.shape[1:]))
-    total[lattice.root] = 1
+    total = np.full((n, *value.shape[1:]), -np.inf if logs else 0.0)
+    total[lattice.root] = 0 if logs else 1
     depth = lattice.end - lattice.root[lattice.unit]
+    top = int(depth.max()) if len(depth) else 0
     order = np.lexsort((lattice.end, depth))
     start, end, value, depth = lattice.start[order], lattice.end[order], value[order], depth[order]
     first = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1]))) if len(end) else end
     step = depth[first]
-    edges, groups = np.searchsorted(depth, np.arange(1, MOST + 3)), np.searchsorted(step, np.arange(1, MOST + 3))
+    edges, groups = np.searchsorted(depth, np.arange(1, top + 2)), np.searchsorted(step, np.arange(1, top + 2))
     for a, b, g, z in zip(edges, edges[1:], groups, groups[1:], strict=False):
         if b > a:
-            total[end[first[g:z]]] = np.add.reduceat(value[a:b] * total[start[a:b]], first[g:z] - a)
+            total[end[first[g:z]]] = _log_sums(value[a:b] + total[start[a:b]], first[g:z] - a) if logs else np.add.reduceat(value[a:b] * total[start[a:b]], first[g:z] - a)
     return total
 
 
@@ -145,15 +161,13 @@ def zipf(n: int, skip: int = 259, shift: float = 10.0) -> np.ndarray:
     return np.log(p / p.sum())
 
 
-def marked(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of words codes[start : start + size], each with a space mark before it and cut at MOST characters: codes, sizes, and the number of units of each word."""
+def marked(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Units of words codes[start : start + size], each with a space mark before it: codes and sizes."""
     n = sizes + 1
     out = np.full(int(n.sum()), ord(MARK), np.uint32)
     head = np.cumsum(n) - n
     out[ragged(head + 1, sizes)] = codes[ragged(starts, sizes)]
-    units = -(-n // MOST)
-    place = ragged(np.zeros(len(n), np.int64), units)
-    return out, np.minimum(MOST, np.repeat(n, units) - MOST * place), units
+    return out, n
 
 
 _tables: dict[str, Pieces] = {}

@@ -8,7 +8,7 @@ branch is a Gumbel variable truncated by the value of the node above it, so it i
 only the branch with the largest value is opened, which gives the next segmentation at once.
 
 Conditional probabilities along a path come from the sums over all continuations (backward recursion). Units of text
-(space mark and word) are distinct lattices, and all documents of a slice walk them together.
+(a run of space marks and a word) are distinct lattices, and all documents of a slice walk them together.
 
 With the (k+1)-th largest value t as threshold, a sampled segmentation of log probability phi has inclusion probability
 1 - exp(-exp(phi - t)); its logarithm is given. All draws are hashes of the row's key, the sample and the place.
@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices, lean, mix, ragged, span_hash, sums, utf8
-from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_values, table, zipf
+from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_scores, table, zipf
 
 LOG_BYTE = -14.0
-MOST_UNITS = 80_000  # units whose lattices a worker keeps
+MOST_UNITS, MOST_EDGES = 80_000, 6_000_000  # units whose lattices a worker keeps, and edges of these
 ONE = 1 << 32
 
 
@@ -61,10 +61,15 @@ class Sampler:
     def learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Adds units' lattices. A node's edges divide 0 .. 2**32 by probability."""
         x = self.pieces.lattice(codes, sizes)
-        value = edge_values(x, self.log_p, self.log_byte)
-        after = backward(x, value)
-        with np.errstate(invalid="ignore"):
-            p = value * after[x.end] / after[x.start]
+        score = edge_scores(x, self.log_p, self.log_byte)
+        if sizes.max() > MOST:
+            after = backward(x, score, True)
+            p = np.exp(score + after[x.end] - after[x.start])
+        else:
+            value = np.exp(score)
+            after = backward(x, value)
+            with np.errstate(invalid="ignore"):
+                p = value * after[x.end] / after[x.start]
         start, end = x.start, x.end
         first = np.concatenate(([True], start[1:] != start[:-1]))
         opens = np.flatnonzero(first)
@@ -109,20 +114,22 @@ class Sampler:
         n = len(offsets) - 1
         text = np.insert(np.where(codes == ord(MARK), LITERAL_MARK, np.where(codes == 32, ord(MARK), codes)).astype(np.uint32), offsets[:-1], ord(MARK))
         start = text == ord(MARK)
+        start[1:] &= ~start[:-1]
+        start[offsets[:-1] + np.arange(n)] = True  # a text may end in spaces
         begin = np.flatnonzero(start)
-        if np.diff(np.append(begin, len(text))).max() > MOST:
-            start |= (np.arange(len(text)) - np.repeat(begin, np.diff(np.append(begin, len(text))))) % MOST == 0
-            begin = np.flatnonzero(start)
         past = np.append(begin[1:], len(text))
         h, first, number = grouped(span_hash(text, begin, past))
-        if self.known.n > MOST_UNITS:
+        if self.known.n > MOST_UNITS or self.start.n > MOST_EDGES:
             self.forget()
         found = self.known(h)
         new = np.flatnonzero(found < 0)
         if len(new):
+            long = (past - begin)[first[new]] > MOST
+            new = np.concatenate((new[~long], new[long]))
             at, size = begin[first[new]], (past - begin)[first[new]]
-            for i in range(0, len(new), 8000):
-                self.learn(text[ragged(at[i : i + 8000], size[i : i + 8000])], size[i : i + 8000])
+            short = len(new) - int(long.sum())
+            for i, j in ((i, min(i + 8000, z)) for a, z in ((0, short), (short, len(new))) for i in range(a, z, 8000)):
+                self.learn(text[ragged(at[i:j], size[i:j])], size[i:j])
             found[new] = self.known.add(h[new])
         return found[number], np.diff(np.searchsorted(begin, offsets + np.arange(n + 1)))
 

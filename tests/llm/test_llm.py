@@ -164,6 +164,53 @@ def test_segmentation_sums_equal_enumeration():
     assert language_id.backward(x, value)[0] == pytest.approx(total(0)) and language_id.forward(x, value)[-1] == pytest.approx(total(0))
 
 
+def test_lattices_of_runs_of_spaces_and_long_words_are_whole():
+    s = sampled_pieces.Sampler(PIECES)
+    p, rng = s.pieces, random.Random(6)
+    tokens = {tuple(map(ord, t.decode().replace(" ", "▁"))): i for i, t in enumerate(p.text) if t and i not in set(p.byte_id.tolist())}
+    assert {i for t, i in tokens.items() if set(t) == {ord("▁")} and len(t) > 1} >= {259, 260, 273}
+    long = "".join(rng.choice("abcdefghij") for _ in range(150))
+    texts = ["a" + " " * 9 + "b", long, "\n".join("xy%d" % i for i in range(40)), "ab   ", "  ", "z" * 1200]
+    unit, sizes = s.units(pa.array(texts))
+    assert sizes.tolist() == [2, 1, 1, 2, 1, 1]
+    for text, u in zip(texts, np.cumsum(sizes) - 1, strict=True):
+        whole = "▁" + text.replace(" ", "▁")
+        begin = next((i for i in range(len(whole) - 1, 0, -1) if whole[i] == "▁" and whole[i - 1] != "▁"), 0)
+        codes = [ord(c) for c in whole[begin:]]
+        n, after = len(codes), np.full(len(codes) + 1, -np.inf)
+        after[n] = 0
+        for i in range(n - 1, -1, -1):
+            edges = {j: s.log_p[tokens[tuple(codes[i:j])]] for j in range(i + 1, min(n, i + 16) + 1) if tuple(codes[i:j]) in tokens}
+            edges.setdefault(i + 1, s.log_byte)
+            after[i] = np.logaddexp.reduce([w + after[j] for j, w in edges.items()])
+        node, got = int(s.root.data[unit[u]]), 0.0
+        while True:
+            e = int(s.best.data[node])
+            got += s.share.data[e]
+            at = s.ids.data[s.id_at.data[e] : s.id_at.data[e] + s.id_n.data[e]]
+            got -= s.log_p[at[0]] if len(at) == 1 and p.byte_id[ord("\n")] != at[0] else s.log_byte
+            if s.stop.data[e]:
+                break
+            node = int(s.end.data[e])
+        assert got == pytest.approx(-after[0], rel=1e-5)
+    docs, _ = s.sample(pa.array(texts), sampled_pieces.mix(np.arange(6, dtype=np.uint64)), 3)
+    for doc, count, ids, _, _ in docs:
+        assert s.decode(ids, count) == [texts[d].encode() for d in doc]
+
+
+def test_words_longer_than_the_fast_sums_reach_have_whole_sums():
+    t = language_id.table(PIECES)
+    codes, sizes = language_id.marked(np.array([ord("a") + i % 7 for i in range(200)], np.uint32), np.array([0]), np.array([200]))
+    x = t.lattice(codes, sizes)
+    score = language_id.edge_scores(x, language_id.zipf(t.n), -12.0)
+    after = np.full(202, -np.inf)
+    after[201] = 0
+    for node in range(200, -1, -1):
+        after[node] = np.logaddexp.reduce([score[e] + after[x.end[e]] for e in np.flatnonzero(x.start == node)])
+    assert len(sizes) == 1 and language_id.backward(x, score, True) == pytest.approx(after)
+    assert language_id.forward(x, score, True)[-1] == pytest.approx(after[0])
+
+
 def test_samples(docs, empty):
     rows = sampled_pieces.sample_pieces(docs.dropDuplicates(["doc_id"]), PIECES).collect()
     assert all(r.round_trip for r in rows)
