@@ -15,7 +15,7 @@ workers as an index whose size is checked: a benchmark over `most` bytes is deal
 texts. Items shorter than q bytes can't be told from chance and are not searched.
 
 Defined results: null and empty texts, and an empty benchmark, give no contamination; equal items are found under each
-of their ids; each row of a table is judged by its text alone; other columns are kept and own names replaced.
+of their ids; an item without id is searched, and stands last in the list as null; each row of a table is judged by its text alone; other columns are kept and own names replaced.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def _short(data: np.ndarray, q: int) -> np.ndarray:
 
 
 class SegmentIndex:
-    def __init__(self, items: list[tuple[int, str]], q: int, size: int, rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, size: int, rate: float):
         self.q, self.items, self.segments, self.budget, self.bound = q, [], [], [], []
         for item, text in items:
             raw = FOLD[np.frombuffer((text or "").encode(), np.uint8)]
@@ -74,7 +74,6 @@ class SegmentIndex:
                     self.budget.append(e)
                     self.bound.append(len(s) - q + 1 - q * e)
         self.budget, self.bound, self.sizes = (np.array(x, np.int64) for x in (self.budget, self.bound, [len(s) for s in self.segments]))
-        self.items = np.array(self.items, np.int64)
         grams = [qgrams(s, q) for s in self.segments]
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         where = np.concatenate([np.full(len(g), i) for i, g in enumerate(grams)]) if grams else np.zeros(0, np.int64)
@@ -164,12 +163,12 @@ class SegmentIndex:
 RESULT = (("contaminated", BooleanType()), ("n_regions", LongType()), ("items", ArrayType(LongType())), ("first_byte", LongType()), ("past_byte", LongType()), ("fewest_edits", LongType()))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[int | None, str]]]:
     """The benchmark in blocks of at most `most` bytes (one larger item is a block of its own)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + 2 * total // most
-    return [[(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k).orderBy("item").collect()] for k in range(n)]
+    return [[(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item").collect()] for k in range(n)]
 
 
 def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, size: int = 64, rate: float = 1 / 16, most: int = 8 << 20) -> DataFrame:
@@ -182,7 +181,11 @@ def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
     return out
 
 
-def _mark(df: DataFrame, block: list[tuple[int, str]], text_col: str, q: int, size: int, rate: float, more: bool) -> DataFrame:
+def _in_order(items: set[int | None]) -> list[int | None]:
+    return sorted(items, key=lambda i: (i is None, i or 0))
+
+
+def _mark(df: DataFrame, block: list[tuple[int | None, str]], text_col: str, q: int, size: int, rate: float, more: bool) -> DataFrame:
     own = [name for name, _ in RESULT]
     schema = StructType([f for f in df.schema.fields if f.name not in own])
     for name, kind in RESULT:
@@ -198,13 +201,13 @@ def _mark(df: DataFrame, block: list[tuple[int, str]], text_col: str, q: int, si
                 for r, s, a, z, e in zip(row.tolist(), seg.tolist(), start.tolist(), end.tolist(), edits.tolist(), strict=True):
                     f = found[r] = found[r] or {"segments": set(), "items": set(), "at": (a, z), "edits": e}
                     f["segments"].add(s)
-                    f["items"].add(int(index.items[s]))
+                    f["items"].add(index.items[s])
                     f["at"], f["edits"] = min(f["at"], (a, z)), min(f["edits"], e)
-                values = [[f is not None for f in found], [len(f["segments"]) if f else 0 for f in found], [sorted(f["items"]) if f else [] for f in found], [f["at"][0] if f else None for f in found], [f["at"][1] if f else None for f in found], [f["edits"] if f else None for f in found]]
+                values = [[f is not None for f in found], [len(f["segments"]) if f else 0 for f in found], [_in_order(f["items"]) if f else [] for f in found], [f["at"][0] if f else None for f in found], [f["at"][1] if f else None for f in found], [f["edits"] if f else None for f in found]]
                 if more:  # what earlier blocks found
                     old = [part.column(name).to_pylist() for name in own]
                     none = lambda x, y, f: y if x is None else x if y is None else f(x, y)
-                    joined = [lambda x, y: x or y, lambda x, y: x + y, lambda x, y: sorted({*x, *y}), lambda x, y: none(x, y, min), lambda x, y: none(x, y, min), lambda x, y: none(x, y, min)]
+                    joined = [lambda x, y: x or y, lambda x, y: x + y, lambda x, y: _in_order({*x, *y}), lambda x, y: none(x, y, min), lambda x, y: none(x, y, min), lambda x, y: none(x, y, min)]
                     values = [[f(x, y) for x, y in zip(o, v, strict=True)] for f, o, v in zip(joined, old, values, strict=True)]
                 kinds = (pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
                 kept = [(name, c) for name, c in zip(part.schema.names, part.columns, strict=True) if name not in own]

@@ -126,6 +126,15 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.mark_contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    passage = [" ".join(f"{w}{i}" for i in range(k, k + 30)) for k, w in ((0, "leaked"), (50, "second"), (90, "third"))]
+    bench = spark.createDataFrame([(None, passage[0]), (4, passage[1]), (None, passage[2])], "item_id long, text string")
+    df = spark.createDataFrame([(0, "x " + passage[0]), (1, passage[1] + " and " + passage[2]), (2, "clean")], "doc_id long, text string")
+    for most in (8 << 20, 300):
+        got = [(r.contaminated, r["items"]) for r in decontaminate.mark_contaminated(df, bench, most=most).orderBy("doc_id").collect()]
+        assert got == [(True, [None]), (True, [4, None]), (False, [])]
+
+
 def test_base_spans(spark):
     rng = random.Random(5)
     odd = ["".join(rng.choice("aé1234567890..--  ()@+%_\n漢😀") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
