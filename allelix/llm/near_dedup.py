@@ -8,12 +8,11 @@ of t, and keeps the earliest of each; documents with an empty coordinate go on t
 a coordinate with probability equal to their weighted Jaccard similarity, at a cost of elements + t log t per document.
 
 Signatures are cut into bands. Texts that are equal are one class from the start, by their hash; each class enters the
-bands once, as a node that is a 64-bit hash of its text, and ids count only when the components are known. In each band bucket every member is compared with the bucket's smallest member; the
-shingle sets are compared exactly. What is linked then forms components; only members of a bucket that are still in
-different components are compared further, so no link between different texts that share a bucket is lost, and a bucket
-of many copies costs one comparison each. Two bounds leave out pairs that can't be links: set sizes that differ by more
-than the similarity allows, and, as 1 - J obeys the triangle inequality, distances from the bucket's smallest member that
-differ by more than 1 - least.
+bands once, as a node that is a 64-bit hash of its text, and ids count only when the components are known. In each band
+bucket every member is compared with the bucket's smallest member, its hub; the shingle sets are compared exactly. What
+is linked then forms components, and a bucket of many copies costs one comparison each. Members of a bucket that are
+still in different components are compared with each other only where a bound on their similarity, from how each departs
+from the hub, leaves a link possible (see _apart), so no link between different texts that share a bucket is lost.
 
 Defined results: words are runs of characters other than ASCII white space, unchanged; a text of fewer words than a
 shingle has one shingle of all its words; texts without words are alike only when equal; null texts equal each other and
@@ -30,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Powers, components, in_slices, lean, mix, ragged, run_hash, span_hash, utf8, word_spans, written
+from .common import NULL_ID, U64, Powers, components, grouped, in_slices, lean, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
 
 SHINGLES = Powers(0x8EBC6AF09C88C6E3)
+BLOCKS = 16  # stretches of a hub's text in which lost shingles are counted
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,13 +46,14 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return run_hash(h, at, size, SHINGLES), n
 
 
-def counted(elements: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements of each row: elements, rows, counts."""
+def counted(elements: np.ndarray, n: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Distinct elements of each row: elements, rows, counts; and where each comes first in its row."""
     row = np.repeat(np.arange(len(n)), n)
     order = np.lexsort((elements, row))
     e, r = elements[order], row[order]
     new = np.flatnonzero(np.concatenate(([True], (e[1:] != e[:-1]) | (r[1:] != r[:-1])))) if len(e) else np.zeros(0, np.int64)
-    return e[new], r[new], np.diff(np.append(new, len(e)))
+    out = e[new], r[new], np.diff(np.append(new, len(e)))
+    return (*out, order[new] - (np.cumsum(n) - n)[r[new]]) if places else out
 
 
 def dart_minhash(elements: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int, t: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +108,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, per_band: int, weighted: bool) -> DataFrame:
-    """id, copy (the text's hash), size (of the set of shingles), bands (null without words)."""
+    """id, copy (the text's hash), bands (null without words)."""
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.md5(text_col), F.lit("null")).alias("copy"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,55 +118,130 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
                 e, r, c = counted(found, n)
                 s, has = dart_minhash(e, r, c.astype(float) if weighted else np.ones(len(e)), part.num_rows, bands * per_band)
                 keys = band_keys(s, bands).view(np.int64)
-                size = np.bincount(r, c if weighted else None, part.num_rows).astype(np.int64)
                 column = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1)), mask=pa.array(~has))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), pa.array(size), column], ["id", "copy", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copy"), column], ["id", "copy", "bands"])
 
-    return texts.mapInArrow(lean(sign), "id long, copy string, size long, bands array<long>")
+    return texts.mapInArrow(lean(sign), "id long, copy string, bands array<long>")
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of nodes with the exact Jaccard similarity of their shingle sets. The texts travel, as they compress better than shingle hashes."""
+    """The pairs (a, b) of nodes with the exact Jaccard similarity of their shingle sets, and how b's set departs from a's.
+
+    base: shingles of a; lost: those of them that b lacks, by BLOCKS stretches of a's text; more: shingles of b that a lacks.
+    The texts travel, as they compress better than shingle hashes.
+    """
     both = pairs.hint("merge").join(texts.withColumnsRenamed({"node": "a", "text": "left"}), "a").hint("merge").join(texts.withColumnsRenamed({"node": "b", "text": "right"}), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in in_slices(batch, "left"):
-                sides = []
-                for name in ("left", "right"):
-                    sides.append(counted(*shingles(*utf8(part.column(name)), width)))
-                e = np.concatenate([s[0] for s in sides])
-                r = np.concatenate([s[1] for s in sides])
-                c = np.concatenate([s[2] for s in sides]) if weighted else np.ones(len(e), np.int64)
-                order = np.lexsort((e, r))
-                e, r, c = e[order], r[order], c[order]
+                n = part.num_rows
+                found, many = shingles(*utf8(part.column("left")), width)
+                le, lr, lc, place = counted(found, many, places=True)
+                re_, rr, rc = counted(*shingles(*utf8(part.column("right")), width))
+                if not weighted:
+                    lc, rc = np.ones(len(le), np.int64), np.ones(len(re_), np.int64)
+                e, r, c, side = np.concatenate((le, re_)), np.concatenate((lr, rr)), np.concatenate((lc, rc)), np.repeat((0, 1), (len(le), len(re_)))
+                order = np.lexsort((side, e, r))
+                e, r = e[order], r[order]
                 twin = np.flatnonzero((e[1:] == e[:-1]) & (r[1:] == r[:-1]))
-                shared = np.bincount(r[twin], np.minimum(c[twin], c[twin + 1]), part.num_rows)
-                union = np.bincount(r, c, part.num_rows) - shared
-                score = shared / np.maximum(union, 1)
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score)], ["a", "b", "score"])
+                common = np.minimum(c[order[twin]], c[order[twin + 1]])
+                shared = np.bincount(r[twin], common, n)
+                mine, others = np.bincount(lr, lc, n), np.bincount(rr, rc, n)
+                lost = lc.copy()
+                lost[order[twin]] -= common
+                blocks = np.bincount(lr * BLOCKS + place * BLOCKS // np.maximum(many, 1)[lr], lost, n * BLOCKS).astype(np.int32)
+                score = shared / np.maximum(mine + others - shared, 1)
+                column = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BLOCKS + 1, BLOCKS, dtype=np.int32)), pa.array(blocks))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(score), pa.array(mine.astype(np.int64)), column, pa.array((others - shared).astype(np.int64))], ["a", "b", "score", "base", "lost", "more"])
+
+    return both.select("a", "b", "left", "right").mapInArrow(lean(compare), "a long, b long, score double, base long, lost array<int>, more long")
+
+
+def _alone(texts: DataFrame, width: int, weighted: bool) -> DataFrame:
+    """(node, alone): how many of each text's shingles no other of the texts has.
+
+    Shingles travel packed, by a slot of their hash; one that a slice of texts has twice travels once, as shared.
+    """
+    parts = shuffle_parts(texts.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in in_slices(batch, "text"):
+                nodes = part.column("node").to_numpy()
+                e, r, c = counted(*shingles(*utf8(part.column("text")), width))
+                seen, first, number = grouped(e)
+                owner = np.where(np.bincount(number, minlength=len(seen)) == 1, r[first], -1)
+                slot = (seen % U64(parts)).astype(np.int32)
+                order = np.argsort(slot, kind="stable")
+                begin = np.flatnonzero(np.concatenate(([True], np.diff(slot[order]) != 0))) if len(order) else order
+                rows = []
+                for take in np.split(order, begin[1:]) if len(order) else ():
+                    whose = owner[take]
+                    rows.append({"slot": int(slot[take[0]]), "grams": seen[take].tobytes(), "nodes": np.where(whose >= 0, nodes[whose], 0).tobytes(), "counts": np.where(whose >= 0, c[first[take]] if weighted else 1, 0).astype(np.int32).tobytes()})
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("slot", pa.int32()), ("grams", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())]))
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            grams, nodes, counts = (np.frombuffer(b"".join(x[c] for x in rows), t) for c, t in (("grams", U64), ("nodes", np.int64), ("counts", np.int32)))
+            _, first, number = grouped(grams)
+            once = first[np.bincount(number) == 1]
+            once = once[counts[once] > 0]
+            who, at = np.unique(nodes[once], return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.bincount(at, counts[once], len(who)).astype(np.int64))], ["node", "alone"])
+
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[0]["slot"] != row["slot"]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
+
+    packed = texts.select("node", "text").mapInArrow(lean(pack), "slot int, grams binary, nodes binary, counts binary").repartition(parts, "slot").sortWithinPartitions("slot")
+    return packed.mapInArrow(lean(settle), "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
+
 
-    return both.select("a", "b", "left", "right").mapInArrow(lean(compare), "a long, b long, score double")
+def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, least: float, weighted: bool, block: int = 2000) -> DataFrame:
+    """Pairs (a, b) of texts that met the same hub, are in different components and may still be a link.
 
+    Let x and y depart from a hub of `base` shingles by what they lost and what they have more. Then
 
-def _apart(members: DataFrame, parts: DataFrame, scores: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components that may still be links; the hub has met all others.
+        |x & y| = base - lost(x) - lost(y) + |lost(x) & lost(y)| + |more(x) & more(y)|,
 
-    Components of a bucket are paired first, by the ranges of their members, so no member meets its own component.
+    and J(x, y) >= least asks for |x & y| >= share (|x| + |y|) with share = least / (1 + least). Shingles that no other
+    text has are in no intersection, and what two texts lost in a stretch of the hub is at most the lesser of the two
+    numbers. That bounds the right side from above; pairs it rules out are no links, so none is lost. A pair is judged
+    under the first hub that both have met (by the number of texts that met the hub), since one bound is enough.
     """
-    placed = members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    placed = placed.filter("node != hub").join(apart, "key", "left_semi")
-    known = scores.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("score")).alias("far"))
-    open_ = written(placed.join(known, ["hub", "node"]).select("key", "part", "node", "size", "far"), "open")
-    ranges = open_.groupBy("key", "part").agg(F.min("far").alias("near"), F.max("far").alias("far"), F.min("size").alias("small"), F.max("size").alias("large"))
-    may = f"p < q and {{0}} - {{1}} <= {1 - least + 1e-9} and {{2}} - {{3}} <= {1 - least + 1e-9} and {{4}} >= {least - 1e-9} * {{5}} and {{6}} >= {least - 1e-9} * {{7}}"
-    one, two = (ranges.select("key", F.col("part").alias(p), *(F.col(c).alias(p + c) for c in ("near", "far", "small", "large"))) for p in ("p", "q"))
-    sides = one.join(two, "key").filter(may.format("pnear", "qfar", "qnear", "pfar", "plarge", "qsmall", "qlarge", "psmall")).select("key", "p", "q")
-    left, right = (open_.select("key", F.col("part").alias(p), F.col("node").alias(i), F.col("size").alias(f"{i}size"), F.col("far").alias(f"{i}far")) for p, i in (("p", "a"), ("q", "b")))
-    pairs = sides.join(left, ["key", "p"]).join(right, ["key", "q"])
-    pairs = pairs.filter(may.format("afar", "bfar", "bfar", "afar", "asize", "bsize", "bsize", "asize"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    share = least / (1 + least)
+    placed = scores.join(parts.withColumnsRenamed({"node": "b", "component": "part"}), "b", "left").join(parts.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left")
+    placed = placed.withColumn("part", F.coalesce("part", "b"))
+    own = F.coalesce("own", "a")
+    hubs = placed.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("part"), F.min(own)).alias("low"), F.greatest(F.max("part"), F.max(own)).alias("high")).filter("low != high")
+    hubs = hubs.select("a", (-F.col("n")).alias("rank"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = written(placed.join(hubs, "a").select("a", "b", "rank", "blocks", "part", "base", "lost", "more"), "met")
+    nodes = met.select(F.col("b").alias("node")).union(met.select("a")).distinct()
+    alone = _alone(texts.hint("merge").join(nodes.hint("merge"), "node", "left_semi"), width, weighted)
+    by_node = met.groupBy("b").agg(F.collect_set(F.struct("rank", "a")).alias("hubs")).hint("merge").join(alone.withColumnRenamed("node", "b").hint("merge"), "b", "left")  # a text meets a hub in each band at most
+    met = met.hint("merge").join(by_node.hint("merge"), "b")
+    some = F.col("more") - F.least(F.coalesce("alone", F.lit(0)), "more")
+    gone = F.aggregate("lost", F.lit(0), lambda s, x: s + x)
+    # base * (1 - 2 share) - c(x) - c(y) + shared >= 0 with c = (1 - share) lost + share more
+    met = met.withColumns({"cost": (1 - share) * gone + share * F.col("more"), "some": some, "room": F.col("base") * (1 - 2 * share), **{f"l{i}": F.col("lost")[i] for i in range(BLOCKS)}}).drop("lost", "more", "alone", "base")
+    met = written(met, "departures")
+    left = met.withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    right = met.drop("room", "rank").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    one, two = left.alias("x"), right.alias("y")
+    shared = F.least("x.some", "y.some")
+    for i in range(BLOCKS):
+        shared = shared + F.least(f"x.l{i}", f"y.l{i}")
+    first = F.array_min(F.array_intersect("x.hubs", "y.hubs"))["a"]
+    may = (F.col("x.b") < F.col("y.b")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.room") - F.col("x.cost") - F.col("y.cost") + shared >= -1e-6) & (first == F.col("x.a"))
+    pairs = one.hint("merge").join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.block") == F.col("y.block")) & may)
+    return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = False) -> DataFrame:
@@ -176,11 +252,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     multisets). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
     """
     signed = written(signatures(df, id_col, text_col, width, bands, per_band, weighted), "signatures")
-    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
-    rows = written(classes.select("node", "size", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("node", "size", "key"), "bands")
+    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
+    rows = written(classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key")), "bands")
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = written(rows.join(hubs, "key").select("node", "size", "key", "hub"), "members")
-    candidates = written(members.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
+    candidates = written(rows.join(hubs, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
     near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text"))
     # of rows with equal texts, one with the smallest id
@@ -190,7 +265,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scores = written(_scored(candidates, texts, width, weighted), "scores")
     links = scores.filter(F.col("score") >= least - 1e-12).select("a", "b")
     parts = components(links)
-    more = written(_apart(members, parts, scores, least).join(candidates, ["a", "b"], "left_anti"), "pairs")
+    more = written(_apart(scores, parts, texts, width, least, weighted).join(candidates, ["a", "b"], "left_anti"), "pairs")
     more = written(_scored(more, texts, width, weighted).filter(F.col("score") >= least - 1e-12).select("a", "b"), "links")
     found = components(links.unionAll(more))
     tied = classes.select("node", "id", "copy").join(found, "node", "left").select("id", "copy", F.coalesce("component", "node").alias("part"))

@@ -278,3 +278,31 @@ def test_pipeline_stages(spark, docs, tmp_path):
 
 def test_digest_of_no_words():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_near_group_of_many_edits(spark, weighted):
+    """One text with 0 to 14 edits, 250 times: components as all pairs give them, and few pairs left to compare."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(rng.randrange(15)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], ["n" + str(rng.randrange(10**6))], [w[at], w[at]]))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    if not weighted:
+        want = near_dedup.brute_force(rows)
+        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
+        assert 1 < len(set(want.values())) < 250
+    texts = df.select(F.col("doc_id").alias("node"), "text")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 250)], "a long, b long")
+    scores = near_dedup._scored(pairs, texts, 5, weighted).cache()
+    links = components(scores.filter("score >= 0.8").select("a", "b"))
+    part = {r.node: r.component for r in links.collect()}
+    left = {(r.a, r.b) for r in near_dedup._apart(scores, links, texts, 5, 0.8, weighted, block=60).collect()}
+    every = [(i, j) for i in range(1, 250) for j in range(i + 1, 250) if part.get(i, i) != part.get(j, j)]
+    exact = near_dedup._scored(spark.createDataFrame(every, "a long, b long"), texts, 5, weighted).filter("score >= 0.8").select("a", "b").collect()
+    assert {(r.a, r.b) for r in exact} <= left and len(left) < len(every) / 5
