@@ -22,6 +22,7 @@ class, and different texts are apart unless linked, also where their ids are nul
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,7 +126,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int
 
 
 def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> DataFrame:
-    """The pairs (a, b) of nodes with the exact Jaccard similarity of their shingle sets, and how b's set departs from a's.
+    """The pairs (a, b) of nodes with the exact Jaccard similarity of their shingles, and how b's departs from a's.
 
     base: shingles of a; lost: those of them that b lacks, by BLOCKS stretches of a's text; more: shingles of b that a lacks.
     The texts travel, as they compress better than shingle hashes.
@@ -244,12 +245,12 @@ def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, le
     return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = True) -> DataFrame:
     """One row per row of df: doc_id, copy (hash of its text), class_id, the smallest id of the documents tied to it by links,
     and root, the copy of the text that stands for the class: of those with that id the one whose hash sorts first.
 
-    A link is a Jaccard similarity of `least` or more between sets of `width`-word shingles (`weighted`: between
-    multisets). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
+    A link is a weighted Jaccard similarity of `least` or more, a shingle of `width` words weighing as often as the text
+    has it (not `weighted`: 1, so sets are compared). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
     """
     signed = written(signatures(df, id_col, text_col, width, bands, per_band, weighted), "signatures")
     classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
@@ -275,13 +276,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "copy", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "root")
 
 
-def brute_force(rows: list[tuple[int, str | None]], width: int = 5, least: float = 0.8) -> dict[int, int]:
-    """Class of each id by comparing all pairs, for tests."""
-    def sets(t: str | None) -> frozenset:
+def brute_force(rows: list[tuple[int, str | None]], width: int = 5, least: float = 0.8, weighted: bool = True) -> dict[int, int]:
+    """Class of each id by comparing all pairs that share a shingle, for tests."""
+
+    def bag(t: str | None) -> Counter:
         w = (t or "").encode().split()
-        return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+        found = Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or Counter([tuple(w)] if w else [])
+        return found if weighted else Counter(found.keys())
 
-    s, root = {i: sets(t) for i, t in rows}, {i: i for i, _ in rows}
+    s, root = {i: bag(t) for i, t in rows}, {i: i for i, _ in rows}
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -295,7 +298,7 @@ def brute_force(rows: list[tuple[int, str | None]], width: int = 5, least: float
             where.setdefault(g, []).append(i)
     pairs = {(a, b) for v in where.values() for a in v for b in v if a < b} | {(a, b) for a in s for b in s if a < b and text[a] == text[b]}
     for a, b in pairs:
-        if text[a] == text[b] or (s[a] | s[b]) and len(s[a] & s[b]) >= least * len(s[a] | s[b]) - 1e-9:
+        if text[a] == text[b] or s[a] and (s[a] & s[b]).total() >= least * (s[a] | s[b]).total() - 1e-9:
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return {i: find(i) for i in s}

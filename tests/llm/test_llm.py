@@ -70,8 +70,9 @@ def test_pieces_cut_where_the_tokenizer_cuts():
 
 
 def test_near_duplicates(docs, empty):
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == near_dedup.brute_force(corpus())
+    for weighted in (True, False):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, weighted=weighted).collect()}
+        assert got == near_dedup.brute_force(corpus(), weighted=weighted)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
@@ -293,10 +294,9 @@ def test_near_group_of_many_edits(spark, weighted):
             w[at : at + 1] = rng.choice(([], ["n" + str(rng.randrange(10**6))], [w[at], w[at]]))
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    if not weighted:
-        want = near_dedup.brute_force(rows)
-        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == want
-        assert 1 < len(set(want.values())) < 250
+    want = near_dedup.brute_force(rows, weighted=weighted)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df, weighted=weighted).collect()} == want
+    assert 1 < len(set(want.values())) < 250
     texts = df.select(F.col("doc_id").alias("node"), "text")
     pairs = spark.createDataFrame([(0, i) for i in range(1, 250)], "a long, b long")
     scores = near_dedup._scored(pairs, texts, 5, weighted).cache()
