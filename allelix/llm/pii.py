@@ -9,8 +9,11 @@ says how strongly, by the share of the entity's information content that the ter
 
 with df(entity, term) the documents where the term stands within `reach` characters of a mention, df(term) all documents
 that have the term, and N all documents. A term at `least` or more is sanitised in the documents that mention the
-entity near it: removed if the ratio is 1 (the term tells the entity for certain), otherwise generalised. A pair counts
-only if it was seen in `contexts` different surroundings, so copies of one passage are one piece of evidence.
+entity near it. It is removed if the ratio is 1 (the term tells the entity for certain). Otherwise it is generalised to
+the class of all terms that begin as it does, by its longest prefix whose class tells too little: a class with a member
+in df documents has a ratio of log(N / df) / log(N / df(entity)) at most, whatever it occurs with. A term without such a
+prefix becomes the class of all terms. A pair counts only if it was seen in `contexts` different surroundings, so copies
+of one passage are one piece of evidence.
 
 The patterns are written so that matching takes time linear in the text: a local part begins only where a run of its
 characters or the search begins, and repeats don't give back characters. This changes no match.
@@ -21,6 +24,8 @@ text get equal spans; spans of different kinds may overlap and are replaced as o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +44,13 @@ _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: What a text must contain for the kind to be searched.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
+WORD = r"\p{L}{3,}"
+HIDDEN = "[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*"  # what is near an address is judged without the address
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
-def _placed(text: Column, found: Column, pattern: str | Column, kind: int) -> Column:
-    """Spans of the matches `found`, from the lengths of what lies between them."""
+def _placed(text: Column, found: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the matches `found` (of those that are to be kept), from the lengths of what lies between them."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
     steps = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("value")))
     first = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
@@ -52,7 +59,8 @@ def _placed(text: Column, found: Column, pattern: str | Column, kind: int) -> Co
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        more = F.concat(acc["out"], F.array(span))
+        return F.struct(end.alias("at"), (F.when(keep(x["value"]), more).otherwise(acc["out"]) if keep else more).alias("out"))
 
     return F.when(F.size(found) > 0, F.aggregate(steps, first, add, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {SPAN})"))
 
@@ -73,77 +81,95 @@ def base_spans(df: DataFrame, text_col: str = "text", out: str = "base") -> Data
     return df.withColumn(out, F.concat(*(spans[k] for k in KINDS))).drop(*names.values())
 
 
-def disclosing_terms(mentions: DataFrame, texts: DataFrame, least: float = 0.9, contexts: int = 3, reach: int = 80, small: int = 50_000) -> DataFrame:
-    """(id, key, term, remove) for the documents and terms to sanitise.
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(_words(text), F.lower))
+
+
+def _prefixes(term: Column) -> Column:
+    return F.explode(F.transform(F.sequence(F.lit(1), F.length(term) - 1), lambda n: F.left(term, n)))
+
+
+def disclosing_terms(mentions: DataFrame, texts: DataFrame, least: float = 0.9, contexts: int = 3, reach: int = 80) -> DataFrame:
+    """(id, key, term, form) for the documents and terms to sanitise; form: what takes the term's place.
 
-    mentions: id, key, text, base; texts: all texts. The document frequencies of terms are counted over all texts. The
-    terms that may disclose something are broadcast to that count if they are at most `small`, else joined after it.
+    mentions: id, key, text, base; texts: all texts. The document frequency of every term of the corpus is counted
+    first, with partial sums, so that each later join has a row for each term and not for each occurrence.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{3,}"), F.lit(0))
     m = mentions.select("id", "key", "text", F.explode("base").alias("s"))
-    # whole words only: what the window cuts through at its outer ends is left out
-    left = F.regexp_replace(F.substring("text", F.greatest(F.col("s.start") - reach + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(reach))), r"^\p{L}+", " ")
-    right = F.regexp_replace(F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach)), r"\p{L}+$", " ")
-    hidden = F.lit("[A-Za-z0-9._%+-]*@[A-Za-z0-9.-]*")
-    around = F.regexp_replace(F.concat_ws(" ", left, right), hidden, " ")
-    near = m.select("id", "key", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), F.array_distinct(words(around)).alias("terms"))
+    # one character more than the window tells whether it cuts through a word; such a word is left out
+    left = F.substring("text", F.greatest(F.col("s.start") - reach, F.lit(1)), F.least(F.col("s.start"), F.lit(reach + 1)))
+    left = F.when(F.col("s.start") > reach, F.regexp_replace(left, r"^(?:\p{L}+|[^\p{L}])", " ")).otherwise(left)
+    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(reach + 1))
+    right = F.when(F.length(right) > reach, F.regexp_replace(right, r"(?:\p{L}+|[^\p{L}])$", " ")).otherwise(right)
+    around = F.regexp_replace(F.concat_ws(" ", left, right), HIDDEN, " ")
+    near = m.select("id", "key", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"), F.xxhash64(around).alias("context"), _terms(around).alias("terms"))
     near = written(near, "mentions")
     seen = near.select("id", "key", "entity", "context", F.explode("terms").alias("term"))
     together = seen.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"), F.count_distinct("id", "key").alias("both")).filter(F.col("contexts") >= contexts)
     together = written(together, "together")
-    terms = together.select("term").distinct()
     if together.isEmpty():
-        return near.select("id", "key", F.lit("").alias("term"), F.lit(True).alias("remove")).limit(0)
-    every = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    count = lambda df: df.groupBy("term").agg(F.count("*").alias("of_term"))
-    by_term = count(every.join(F.broadcast(terms), "term")) if terms.count() <= small else count(every).join(terms, "term")
+        return near.select("id", "key", F.lit("").alias("term"), F.lit("").alias("form")).limit(0)
+    by_term = written(texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")), "frequencies")
     by_entity = near.select("id", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
     total = texts.agg(F.count("*").alias("total"))
     scored = together.join(by_term, "term").join(by_entity, "entity").crossJoin(F.broadcast(total))  # one row
     content = F.log(F.col("total") / F.col("of_entity"))
     ratio = F.when(content > 0, F.log(F.col("total") * F.col("both") / (F.col("of_entity") * F.col("of_term"))) / content)
-    told = scored.withColumn("ratio", ratio).filter(F.col("ratio") >= least).select("entity", "term", (F.col("ratio") >= 1 - 1e-9).alias("remove"))
-    return seen.join(told, ["entity", "term"]).groupBy("id", "key", "term").agg(F.bool_or("remove").alias("remove"))
-
-
-def find_private(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with `private`: base spans by kind and start, then term spans (kind 4) by start, and `removed_terms`."""
-    spare = ("private", "removed_terms")
-    df = df.drop(*spare)
-    keyed = df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__key": F.xxhash64(text_col)})
-    mentions = base_spans(df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))).filter(F.size("base") > 0)
-    terms = disclosing_terms(mentions, df.select(F.col(text_col).alias("text")), **how)
-    by_row = written(terms.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("term")).alias("__terms"), F.collect_set(F.when(F.col("remove"), F.col("term"))).alias("removed_terms")), "terms")
-    out = base_spans(keyed, text_col, "private")
-    nothing = F.expr("cast(array() as array<string>)")
+    # a class of terms that occurs in more than `enough` documents tells less than the threshold, whatever it occurs with
+    enough = F.col("total") * F.pow(F.col("of_entity") / F.col("total"), F.lit(least))
+    told = written(scored.withColumn("ratio", ratio).filter(F.col("ratio") >= least).select("entity", "term", (F.col("ratio") >= 1 - 1e-9).alias("remove"), enough.alias("enough")), "told")
+    lowest = told.filter(~F.col("remove")).agg(F.min("enough").alias("lowest"))  # one row
+    common = by_term.join(F.broadcast(lowest), F.col("of_term") > F.col("lowest")).filter(F.length("term") > 1)
+    common = common.select(_prefixes(F.col("term")).alias("prefix"), "of_term").groupBy("prefix").agg(F.max("of_term").alias("widest"))
+    wide = told.filter(~F.col("remove")).select("entity", "term", "enough", _prefixes(F.col("term")).alias("prefix")).join(common, "prefix").filter(F.col("widest") > F.col("enough"))
+    wide = wide.groupBy("entity", "term").agg(F.max(F.length("prefix")).alias("size"))
+    told = told.join(wide, ["entity", "term"], "left").withColumn("size", F.when(F.col("remove"), -1).otherwise(F.coalesce("size", F.lit(0)))).select("entity", "term", "size")
+    chosen = seen.join(told, ["entity", "term"]).groupBy("id", "key", "term").agg(F.min("size").alias("size"))
+    form = F.when(F.col("size") < 0, "").when(F.col("size") == 0, LABELS["term"]).otherwise(F.concat(F.expr("left(term, size)"), F.lit("*")))
+    return chosen.select("id", "key", "term", form.alias("form"))
+
+
+def find_private(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "private", forms: str = "term_forms", **how) -> DataFrame:
+    """df with `out`: base spans by kind and start, then term spans (kind 4) by start; and `forms`: terms and what takes their place."""
+    df = df.drop(out, forms)
+    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    terms = disclosing_terms(base_spans(texts).filter(F.size("base") > 0), texts.select("text"), **how)
+    by_row = written(terms.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "form"))).alias("__forms")), "terms")
+    found = base_spans(df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__key": F.xxhash64(text_col)}), text_col, out)
+    nothing = F.expr("cast(map() as map<string,string>)")
     if by_row.isEmpty():
-        return out.withColumn("removed_terms", nothing).drop("__id", "__key")
-    out = out.join(by_row, ["__id", "__key"], "left").withColumn("removed_terms", F.coalesce("removed_terms", nothing))
-    text = F.col(text_col)
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("__terms", "|"), F.lit(r")(?!\p{L})"))  # terms are letters
-    out = out.withColumn("__pattern", pattern).withColumn("__hits", F.when(F.col("__terms").isNotNull(), F.regexp_extract_all(text, F.col("__pattern"), F.lit(0))))
-    hits = F.coalesce("__hits", nothing)
-    extra = F.when(F.size(hits) > 0, _placed(text, hits, F.col("__pattern"), len(KINDS))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    free = F.filter(extra, lambda t: ~F.exists("private", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return out.withColumn("private", F.concat("private", free)).drop("__id", "__key", "__terms", "__pattern", "__hits")
+        return found.withColumn(forms, nothing).drop("__id", "__key")
+    found = found.join(by_row, ["__id", "__key"], "left")
+    hits = F.when(F.col("__forms").isNotNull(), _words(F.col(text_col))).otherwise(F.expr("cast(array() as array<string>)"))
+    found = found.withColumn("__words", hits)
+    extra = _placed(F.col(text_col), F.col("__words"), WORD, len(KINDS), lambda w: F.map_contains_key(F.col("__forms"), F.lower(w)))
+    free = F.filter(extra, lambda t: ~F.exists(out, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return found.withColumns({out: F.concat(out, free), forms: F.coalesce("__forms", nothing)}).drop("__id", "__key", "__forms", "__words")
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with its texts' private spans replaced by their kind's label, and removed terms left out."""
-    out = find_private(df, id_col, text_col, **how)
-    text = F.col(text_col)
-    spans = F.array_sort("private", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    """df with its texts' private spans replaced by their kind's label, and terms by their broader form or nothing.
+
+    Columns of df whose names begin with two underscores may be replaced; all others are kept.
+    """
+    found = find_private(df, id_col, text_col, "__private", "__term_forms", **how)
+    text, spans = F.col(text_col), F.col("__private")
+    spans = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     label = lambda s: F.element_at(F.array(*map(F.lit, LABELS.values())), s["kind"] + 1)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
-        put = F.when((s["kind"] == len(KINDS)) & F.array_contains("removed_terms", F.lower(s["value"])), "").otherwise(label(s))
+        put = F.coalesce(F.when(s["kind"] == len(KINDS), F.col("__term_forms")[F.lower(s["value"])]), label(s))
         fresh = s["start"] >= acc["at"]
-        joined = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put)
+        joined = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, joined).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(spans, first, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.size("private") > 0, clean).otherwise(text)).drop("private", "removed_terms")
+    clean = F.aggregate(spans, first, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size("__private") > 0, clean).otherwise(text)).drop("__private", "__term_forms")
 
 
 def as_text(spans: Column) -> Column:
@@ -168,3 +194,37 @@ def brute_force(text: str | None) -> list[tuple[str, int, int]]:
                 continue
             out.append((kind, m.start(), m.end()))
     return out
+
+
+def brute_force_terms(rows: list[tuple[int, str | None]], least: float = 0.9, contexts: int = 3, reach: int = 80) -> dict[tuple[int, str], str]:
+    """What takes the place of each term to sanitise, by document, for tests."""
+    import math
+    from collections import Counter, defaultdict
+
+    import regex
+
+    words = lambda t: {w.lower() for w in regex.findall(WORD, t or "")}
+    df = Counter(w for _, t in rows for w in words(t))
+    where, surroundings, of_entity = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in rows:
+        for kind, start, end in brute_force(t):
+            left, right = t[max(0, start - reach - 1) : start], t[end : end + reach + 1]
+            left = regex.sub(r"^(?:\p{L}+|[^\p{L}])", " ", left) if start > reach else left
+            right = regex.sub(r"(?:\p{L}+|[^\p{L}])$", " ", right) if len(right) > reach else right
+            near, entity = regex.sub(HIDDEN, " ", f"{left} {right}"), (kind, t[start:end].lower())
+            of_entity[entity].add((i, t))
+            for w in words(near):
+                where[entity, w].add((i, t))
+                surroundings[entity, w].add(near)
+    n, out = len(rows), {}
+    for (entity, w), docs in where.items():
+        content = math.log(n / len(of_entity[entity]))
+        if len(surroundings[entity, w]) < contexts or content <= 0:
+            continue
+        ratio = math.log(n * len(docs) / (len(of_entity[entity]) * df[w])) / content
+        if ratio >= least:
+            prefixes = [w[:k] for k in range(1, len(w)) if max(c for x, c in df.items() if x.startswith(w[:k]) and len(x) > k) > n * (len(of_entity[entity]) / n) ** least]
+            size = -1 if ratio >= 1 - 1e-9 else max(map(len, prefixes), default=0)
+            for i, _ in docs:
+                out[i, w] = min(size, out.get((i, w), size))
+    return {(i, w): "" if k < 0 else LABELS["term"] if not k else w[:k] + "*" for (i, w), k in out.items()}

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -306,3 +307,38 @@ def test_near_group_of_many_edits(spark, weighted):
     every = [(i, j) for i in range(1, 250) for j in range(i + 1, 250) if part.get(i, i) != part.get(j, j)]
     exact = near_dedup._scored(spark.createDataFrame(every, "a long, b long"), texts, 5, weighted).filter("score >= 0.8").select("a", "b").collect()
     assert {(r.a, r.b) for r in exact} <= left and len(left) < len(every) / 5
+
+
+def disclosing(n=400):
+    """Documents of which some name an address with words that stand with it alone, mostly, or everywhere."""
+    rng = random.Random(8)
+    words = [a + b + c for a in ("gar", "men", "tos", "lin") for b in ("ab", "el", "ur") for c in ("ton", "a", "is")]
+    rows = []
+    for i in range(n):
+        t = [rng.choice(words) for _ in range(rng.randrange(40))]
+        if i % 25 == 0:
+            t.insert(rng.randrange(len(t) + 1), rng.choice(("write Zorblat at anna.k@ex-1.org", "Melurist: anna.k@ex-1.org Qqxen", "of anna.k@ex-1.org, Zorblat's")))
+        if i % 40 == 1:
+            t.insert(0, "call İstanbul +49 30 1234567 mentally")
+        if i in (2, 3):
+            t += ["Mentally", "qqxen"][: i - 1]
+        rows.append((i, " ".join(t)))
+    return [*rows, (n, None), (n + 1, "")]
+
+
+def test_disclosing_terms_by_brute_force(spark):
+    rows = disclosing()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("private", F.lit(1)).withColumn("removed_terms", F.lit("x"))
+    texts = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    want = pii.brute_force_terms(rows)
+    got = {(r.id, r.term): r.form for r in pii.disclosing_terms(pii.base_spans(texts).filter(F.size("base") > 0), texts.select("text")).collect()}
+    assert got == want
+    assert {"", "[TERM]"} < set(want.values()) and any(v.endswith("*") for v in want.values())
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    by_id = {r.doc_id: r.text for r in out.collect()}
+    for (i, term), form in want.items():
+        found = [w.lower() for w in regex.findall(pii.WORD, by_id[i])]
+        assert term not in found and (form in by_id[i])
+    assert by_id[len(rows) - 2] is None and by_id[len(rows) - 1] == ""
+    assert sum(by_id[i] != t for i, t in rows) == len({i for i, t in rows if pii.brute_force(t)})
