@@ -9,7 +9,7 @@ The model is fitted on a bounded sample: about `most` documents of each language
 labelled rows that are given. Prediction reads every word of every text and nothing else.
 
 Defined results: `und` with score 0 for a null text or one without letters; the language that sorts first on equal
-probability; texts are not changed or dropped; no labelled text at all is an error.
+probability; texts are not changed or dropped; a model fitted without any labelled text says `und` with score 0 of all.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def fit_language_id(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
-        raise ValueError("no labelled text to learn languages from")
+        return LanguageModel(vocabulary, [], np.zeros((0, 0)))
     share = [F.when((F.col("lang") == k) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, most / n) * (1 << 20))), True) for k, n in sorted(counts.items())]
     words = rows.filter(F.coalesce(*share, F.lit(False))).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").count().toPandas()
     languages = sorted(counts)
@@ -164,6 +164,8 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
     """df with lang_pred and score; an own column of these names is replaced."""
     kept = df.drop("lang_pred", "score")
     schema = StructType([*kept.schema.fields]).add("lang_pred", "string").add("score", "double")
+    if not model.languages:
+        return kept.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     key = hash((model.vocabulary, tuple(model.languages), model.log_p.tobytes()))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
