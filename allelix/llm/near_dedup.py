@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, U64, Powers, components, grouped, in_slices, lean, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
 
 SHINGLES = Powers(0x8EBC6AF09C88C6E3)
+SLOT = 300_000  # shingles that are sorted at a time
 BLOCKS = 16  # stretches of a hub's text in which lost shingles are counted
 
 
@@ -159,10 +160,11 @@ def _scored(pairs: DataFrame, texts: DataFrame, width: int, weighted: bool) -> D
     return both.select("a", "b", "left", "right").mapInArrow(lean(compare), "a long, b long, score double, base long, lost array<int>, more long")
 
 
-def _alone(texts: DataFrame, width: int, weighted: bool) -> DataFrame:
+def _alone(texts: DataFrame, width: int, weighted: bool, slots: int) -> DataFrame:
     """(node, alone): how many of each text's shingles no other of the texts has.
 
-    Shingles travel packed, by a slot of their hash; one that a slice of texts has twice travels once, as shared.
+    Shingles travel packed, by a slot of their hash; one that a slice of texts has twice travels once, as shared. A task
+    holds one slot at a time.
     """
     parts = shuffle_parts(texts.sparkSession)
 
@@ -173,7 +175,7 @@ def _alone(texts: DataFrame, width: int, weighted: bool) -> DataFrame:
                 e, r, c = counted(*shingles(*utf8(part.column("text")), width))
                 seen, first, number = grouped(e)
                 owner = np.where(np.bincount(number, minlength=len(seen)) == 1, r[first], -1)
-                slot = (seen % U64(parts)).astype(np.int32)
+                slot = (seen % U64(slots)).astype(np.int32)
                 order = np.argsort(slot, kind="stable")
                 begin = np.flatnonzero(np.concatenate(([True], np.diff(slot[order]) != 0))) if len(order) else order
                 rows = []
@@ -225,7 +227,8 @@ def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, le
     hubs = hubs.select("a", (-F.col("n")).alias("rank"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     met = written(placed.join(hubs, "a").select("a", "b", "rank", "blocks", "part", "base", "lost", "more"), "met")
     nodes = met.select(F.col("b").alias("node")).union(met.select("a")).distinct()
-    alone = _alone(texts.hint("merge").join(nodes.hint("merge"), "node", "left_semi"), width, weighted)
+    slots = 1 + (met.agg(F.sum("base")).first()[0] or 0) // SLOT
+    alone = _alone(texts.hint("merge").join(nodes.hint("merge"), "node", "left_semi"), width, weighted, slots)
     by_node = met.groupBy("b").agg(F.collect_set(F.struct("rank", "a")).alias("hubs")).hint("merge").join(alone.withColumnRenamed("node", "b").hint("merge"), "b", "left")  # a text meets a hub in each band at most
     met = met.hint("merge").join(by_node.hint("merge"), "b")
     some = F.col("more") - F.least(F.coalesce("alone", F.lit(0)), "more")
