@@ -9,8 +9,9 @@ A shard is written under a name of the attempt and renamed when complete, so a t
 file. Ids are cut into ranges by Spark's range partitioning; a task holds one shard's offsets and the tokens of one
 Arrow batch.
 
-Encoding goes through the tokenizers library piece by piece: texts are cut where the tokenizer's own pre-tokenizer
-always cuts, and each distinct piece is encoded once and kept in a table of bounded size.
+Ids are those of the tokenizers library at its defaults with add_special_tokens=False. Encoding goes through it piece by
+piece: texts are cut where the tokenizer's own pre-tokenizer always cuts, and each distinct piece is encoded once and
+kept in a table of bounded size. Texts that hold the text of an added token are encoded whole.
 
 Defined results: a null text counts as empty and has the end id alone; a null document id comes last; rows with equal
 ids keep an order by text hash; other columns are ignored.
@@ -85,10 +86,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         names = self.tokenizer.get_vocab(with_added_tokens=False)
         self.width = np.zeros(max(names.values()) + 1, np.int64)  # a token's name has a character for each of its bytes
-        self.top = len(self.width) - 1
+        self.top = max([len(self.width) - 1, *self.tokenizer.get_added_tokens_decoder()])
         self.width[list(names.values())] = [len(n) for n in names]
         self.forget()
 
@@ -118,9 +119,36 @@ class Encoder:
             self.size.add(size)
             self.ids.add(ids.astype(np.uint32))
 
+    def with_added(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold an added token's text. The library matches these before it cuts pieces."""
+        raw, found = data.tobytes(), []
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.append(row)
+                    at = int(offsets[row + 1]) - 1
+                at = raw.find(token, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def mixed(self, column, whole: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As __call__, with the rows of `whole` encoded by the library as they stand."""
+        n, is_whole = len(column), np.zeros(len(column), bool)
+        is_whole[whole] = True
+        texts = column.take(pa.array(whole)).to_pylist()
+        runs = {int(r): np.append(np.array(e.ids, np.uint32), np.uint32(end_id)) for r, e in zip(whole, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)}
+        rest = np.flatnonzero(~is_whole)
+        ids, sizes = self(column.take(pa.array(rest)), end_id) if len(rest) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        runs |= dict(zip(rest.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True)) if len(rest) else {}
+        return np.concatenate([runs[k] for k in range(n)]), np.array([len(runs[k]) for k in range(n)], np.int64)
+
     def __call__(self, column, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id; and their numbers."""
         data, offsets = utf8(column)
+        whole = self.with_added(data, offsets)
+        if len(whole):
+            return self.mixed(column, whole, end_id)
         starts = piece_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
         ends = np.append(starts[1:], len(data))[: len(starts)]
         h, first, number = grouped(span_hash(data, starts, ends))
@@ -195,8 +223,9 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
 
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
-    ordered = texts.repartitionByRange(shards or shuffle_parts(spark), "id").sortWithinPartitions("id", "key")
-    rows = ordered.mapInArrow(write, SHARD).sort("part").collect()  # one row for each shard
+    # rows without id share one place in the order, and are dealt by their texts
+    ordered = texts.repartitionByRange(shards or shuffle_parts(spark), "id", "key").sortWithinPartitions("id", "key")
+    rows = sorted(ordered.mapInArrow(write, SHARD).collect(), key=lambda r: r["part"])  # one row for each shard
     base, manifest = 0, []
     for r in rows:
         manifest.append({**r.asDict(), "base": base})
@@ -207,18 +236,23 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
 
 
 class Shard:
-    """A shard's ids, offsets and tokens; local files are memory-mapped, others read whole."""
+    """A shard's ids, offsets and tokens; local files are memory-mapped, others read by ranges."""
 
     def __init__(self, path: str, name: str, n_docs: int, dtype: str):
         fs, root = filesystem(path)
+        self.n_docs, self.dtype, self.tokens = n_docs, np.dtype(dtype), None
         if isinstance(fs, pafs.LocalFileSystem):
-            idx, self.tokens = np.memmap(f"{root}/{name}.idx", "<i8", "r"), np.memmap(f"{root}/{name}.bin", dtype, "r")
+            self.index, self.tokens = np.memmap(f"{root}/{name}.idx", "<i8", "r"), np.memmap(f"{root}/{name}.bin", dtype, "r")
         else:
-            idx, self.tokens = (np.frombuffer(fs.open_input_file(f"{root}/{name}.{kind}").read(), t) for kind, t in (("idx", "<i8"), ("bin", dtype)))
-        self.ids, self.offsets = idx[:n_docs], idx[n_docs:]
+            self.index, self.file = np.frombuffer(fs.open_input_file(f"{root}/{name}.idx").read(), "<i8"), fs.open_input_file(f"{root}/{name}.bin")
+        self.ids, self.offsets = self.index[:n_docs], self.index[n_docs:]
 
-    def __getitem__(self, i: int) -> np.ndarray:
-        return self.tokens[self.offsets[i] : self.offsets[i + 1]]
+    def run(self, first: int, past: int) -> list[np.ndarray]:
+        """The tokens of documents first .. past - 1."""
+        a, z = int(self.offsets[first]), int(self.offsets[past])
+        size = self.dtype.itemsize
+        tokens = self.tokens[a:z] if self.tokens is not None else np.frombuffer(self.file.read_at((z - a) * size, a * size), self.dtype)
+        return [tokens[p - a : q - a] for p, q in zip(self.offsets[first:past].tolist(), self.offsets[first + 1 : past + 1].tolist(), strict=True)]
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -236,7 +270,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, row["n_docs"], 500):
                     k = range(i, min(i + 500, row["n_docs"]))
                     ids = s.ids[k.start : k.stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([s[j].astype("<u4").tobytes() for j in k], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([x.astype("<u4").tobytes() for x in s.run(k.start, k.stop)], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, tokens binary")
 
@@ -246,7 +280,6 @@ def brute_force(rows: list[tuple[int, str | None]], vocabulary: str, end_id: int
     from tokenizers import Tokenizer
 
     t, start, out = Tokenizer.from_file(vocabulary), 0, []
-    t.encode_special_tokens = True
     for i, text in sorted(rows):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, end_id]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))

@@ -1,5 +1,8 @@
 import hashlib
+import json
 import random
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -8,7 +11,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from allelix.llm import decontaminate, language_id, near_dedup, pii, sampled_pieces, shards, substring_dedup, token_files, url_filter, vector_dedup
+from allelix.llm import decontaminate, language_id, near_dedup, pii, queries, sampled_pieces, shards, substring_dedup, token_files, url_filter, vector_dedup
 from allelix.llm.common import components, new_path
 from allelix.llm.queries import vocabulary
 
@@ -57,11 +60,25 @@ def test_substrings(docs, empty):
 
 
 def test_tokens(docs, empty):
-    got = [(r.doc_id, r.start, r.n_tokens) for r in token_files.token_dataset(docs.dropDuplicates(["doc_id"]), BYTES).orderBy("start").collect()]
-    assert got == [x[:3] for x in token_files.brute_force(corpus(), BYTES)]
+    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.tokens)) for r in token_files.token_dataset(docs.dropDuplicates(["doc_id"]), BYTES).orderBy("start").collect()]
+    assert got == token_files.brute_force(corpus(), BYTES)
     assert token_files.token_dataset(empty, BYTES).count() == 0
 
 
+def test_tokens_of_added_tokens_and_null_ids(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "x<|endoftext|><|endoftext|> y  ", "<|endoftext", "|>", None, "a <|endof", "text|> b", "plain  text\n\n end"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([*rows, (None, "one"), (None, None), (None, "two")], "doc_id long, text string")
+    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.tokens)) for r in token_files.token_dataset(df, BYTES).orderBy("start").collect()]
+    assert got[:9] == token_files.brute_force(rows, BYTES)
+    assert token_files.encoder(BYTES)(pa.array(texts[:1]), 0)[0].tolist() == [31373, 220, 50256, 995, 0]
+    assert [g[0] for g in got[9:]] == [None] * 3
+    path = new_path(spark, "tokens")
+    token_files.write_tokens(df, path, BYTES)
+    s = token_files.Shard(path, next(r["shard"] for r in json.loads(Path(path.removeprefix("file://"), "manifest.json").read_text())["shards"]), 1, "<u2")
+    assert isinstance(s.tokens, np.memmap)
+
+
 def test_pieces_cut_where_the_tokenizer_cuts():
     rng, enc = random.Random(2), token_files.Encoder(BYTES)
     odd = ["".join(rng.choice(" \n\t'a!éZ3\x1c\x85  漢.-s") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
@@ -342,3 +359,31 @@ def test_disclosing_terms_by_brute_force(spark):
         assert term not in found and (form in by_id[i])
     assert by_id[len(rows) - 2] is None and by_id[len(rows) - 1] == ""
     assert sum(by_id[i] != t for i, t in rows) == len({i for i, t in rows if pii.brute_force(t)})
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, tmp_path_factory):
+    """A folder with small tables as the registered queries read them."""
+    folder = tmp_path_factory.mktemp("tables")
+    docs.write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def test_digests_of_queries(spark, tables):
+    """The registered queries' digest columns against brute force."""
+    rows, sha = corpus(), lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows_and_copy = [*rows, rows[20]]
+    crc = {(r.doc_id, r.start): (r.n_tokens, r.ids_crc32) for r in queries.op5_token_files(spark, tables).collect()}
+    assert crc == {(i, start): (n, c) for i, start, n, c in token_files.brute_force(rows_and_copy, BYTES)}
+    spans = {r.doc_id: r for r in queries.op6_private(spark, tables).collect()}
+    for i, text in rows:
+        found = pii.brute_force(text)
+        r = spans[i]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(f[0] == k for f in found) for k in pii.KINDS]
+        assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+    kept = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op10_substring_dedup(spark, tables).collect()}
+    assert kept == {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in substring_dedup.brute_force(rows).itertuples()}
+    classes = near_dedup.brute_force(rows)
+    assert {(r.doc_id, r.class_id, r.kept) for r in queries.op3_near_dedup(spark, tables).collect()} == {(i, c, i == c) for i, c in classes.items()}
+    held = {r.doc_id: r.held_out for r in queries.op7_language_id(spark, tables).collect()}
+    assert held == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows}
