@@ -29,6 +29,7 @@ from .common import CACHES, Grown, HashIndex, codes_of, grouped, in_slices, lean
 from .pieces import MOST, backward, edge_scores, edge_values, forward, marked, table, zipf
 
 LOG_BYTE = -12.0
+CHUNK = 20_000  # words whose lattices are in memory at a time
 MOST_WORDS = 1_000_000  # words whose probabilities a worker keeps
 
 
@@ -59,11 +60,12 @@ def _estimate(words: pd.DataFrame, languages: list[str], vocabulary: str, rounds
         own = words[words["lang"] == language]
         sizes = own["word"].str.len().to_numpy(np.int64)
         codes, starts, n = np.frombuffer("".join(own["word"]).encode("utf-32-le"), np.uint32), np.cumsum(sizes) - sizes, own["count"].to_numpy(float)
-        found.append([(pieces.lattice(*marked(codes, starts[some], sizes[some])), n[some], logs) for some, logs in _by_length(sizes)])
+        found.append([(codes, starts[some[i : i + CHUNK]], sizes[some[i : i + CHUNK]], n[some[i : i + CHUNK]], logs) for some, logs in _by_length(sizes) for i in range(0, len(some), CHUNK)])
     log_p = np.repeat(start[:, None], len(languages), 1)
     for _ in range(rounds):
         expected = np.zeros_like(log_p)
-        for k, lattice, n, logs in ((k, *x) for k, parts in enumerate(found) for x in parts):
+        for k, codes, starts, sizes, n, logs in ((k, *x) for k, parts in enumerate(found) for x in parts):
+            lattice = pieces.lattice(*marked(codes, starts, sizes))  # made anew in each round, as all of them take much memory
             score = edge_scores(lattice, log_p[:, k], LOG_BYTE)
             value = score if logs else np.exp(score)
             after, before = backward(lattice, value, logs), forward(lattice, value, logs)
@@ -109,8 +111,8 @@ class Scorer:
         self.known, self.rows = HashIndex(), Grown(float, len(self.model.languages))
 
     def learn(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        for i in range(0, len(starts), 15_000):
-            a, n = starts[i : i + 15_000], sizes[i : i + 15_000]
+        for i in range(0, len(starts), CHUNK):
+            a, n = starts[i : i + CHUNK], sizes[i : i + CHUNK]
             total = np.empty((len(a), len(self.model.languages)))
             for some, logs in _by_length(n):
                 lattice = self.pieces.lattice(*marked(codes, a[some], n[some]))
