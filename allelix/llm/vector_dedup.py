@@ -10,9 +10,9 @@ bound that loses nothing, and the cosine of what stays is computed in double pre
 Only rows of equal, non-null labels meet. Rows with equal label and vector are one entry with a count. Lists are dealt
 by (label, list) in blocks of bounded size, each pair of blocks a task's group, so a hot list is spread over tasks.
 
-Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components link
-with nothing, nor do rows with a null label; each row of a repeated id is linked as a vector of its own, and counts for
-the others; null ids link with nothing; other columns are ignored; an empty table gives an empty result.
+Defined results: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows with a
+null label; vectors of different lengths never link; each row of a repeated id is linked as a vector of its own, and
+counts for the others; null ids link with nothing; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, ragged, written
 
 
 @dataclass
@@ -94,88 +94,106 @@ def fit(sample: np.ndarray, lists: int, subspaces: int, codes: int, radius: floa
     return q
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, sample: int = 20_000, subspaces: int = 8, codes: int = 64, per_list: int = 256, most_lists: int = 1024, block: int = 2048) -> DataFrame:
-    """One row per row of df: vec_id, n_links, component_id, kept.
+def _table(column: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors as rows, filled up with zeros, each scaled by a power of two to components of 1 at most, which changes no cosine."""
+    n = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(n), width))
+    out[np.repeat(np.arange(len(n)), n), ragged(np.zeros(len(n), np.int64), n)] = column.flatten().to_numpy(zero_copy_only=False)
+    return np.ldexp(out, -np.frexp(np.abs(out).max(1, initial=0))[1][:, None])
 
-    sample bounds the vectors that the quantiser is fitted on. The number of lists is the number of distinct vectors
-    over labels and per_list, between 1 and most_lists.
-    """
-    spark = df.sparkSession
-    v, n = F.col("vector"), F.col("n")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    sizes = rows.filter(good).groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    size = sizes["n"]
-    good = good & (F.size(v) == size)
-    sure = rows.filter(good).withColumn("key", F.md5(F.to_json(F.struct("label", "vector"))))
-    entries = written(sure.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector")), "entries")
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pairs(entries: DataFrame, width: int, least: float, sample: int, subspaces: int, codes: int, per_list: int, most_lists: int, block: int) -> DataFrame:
+    """(a, b): nodes of linked entries (node, label, size, vector); no vector has more than `width` components."""
+    width += -width % subspaces
     total, labels = entries.agg(F.count("*"), F.approx_count_distinct("label")).first()
     lists = max(1, min(most_lists, total // max(1, labels) // per_list * 4))
     share = min(1.0, sample / total)
-    got = entries.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vector").toPandas()  # about `sample` rows
-    x = np.array(got["vector"].tolist(), float).reshape(-1, size)
-    pad = -size % subspaces
-    unit = lambda a: np.pad(a / np.linalg.norm(a, axis=1, keepdims=True), ((0, 0), (0, pad)))
-    q = fit(unit(x), min(lists, max(1, len(x))), subspaces, codes, float(np.sqrt(max(0.0, 2 - 2 * least))))
-
-    def vectors(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size).astype(float)
+    got = entries.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vector")  # about `sample` rows
+    x = _unit(_table(got.toArrow().column("vector").combine_chunks(), width))
+    if not len(x):
+        x = np.eye(1, width)
+    q = fit(x, min(lists, len(x)), subspaces, codes, float(np.sqrt(max(0.0, 2 - 2 * least))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """An entry for its own list, and one query for each list to probe."""
+        names = ["node", "label", "size", "vector"]
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                y = unit(vectors(part.column("vector")))
+                y = _unit(_table(part.column("vector"), width))
                 own, _ = q.nearest(y)
                 row, to = q.probes(y)
                 for rows_, lists_, is_query in ((np.arange(len(y)), own, False), (row, to, True)):
                     take = pa.array(rows_)
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(take), part.column("label").take(take), part.column("vector").take(take), pa.array(lists_.astype(np.int32)), pa.array(np.full(len(rows_), is_query))], ["id", "label", "vector", "list", "is_query"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in names), pa.array(lists_.astype(np.int32)), pa.array(np.full(len(rows_), is_query))], [*names, "list", "is_query"])
 
     kind = dict(entries.dtypes)["label"]
-    placed = written(entries.select("id", "label", "vector").mapInArrow(place, f"id long, label {kind}, vector array<double>, list int, is_query boolean"), "placed")
-    counts = placed.groupBy("label", "list").agg(F.ceil(F.count_if("is_query") / block).cast("int").alias("q_blocks"), F.ceil(F.count_if(~F.col("is_query")) / block).cast("int").alias("e_blocks")).filter("q_blocks > 0 and e_blocks > 0")
-    dealt = placed.join(counts, ["label", "list"])
-    spread = F.pmod(F.xxhash64("id"), F.when(F.col("is_query"), F.col("q_blocks")).otherwise(F.col("e_blocks"))).cast("int")
+    placed = written(entries.select("node", "label", "size", "vector").mapInArrow(place, f"node long, label {kind}, size int, vector array<double>, list int, is_query boolean"), "placed")
+    key = ["label", "size", "list"]
+    counts = placed.groupBy(*key).agg(F.ceil(F.count_if("is_query") / block).cast("int").alias("q_blocks"), F.ceil(F.count_if(~F.col("is_query")) / block).cast("int").alias("e_blocks")).filter("q_blocks > 0 and e_blocks > 0")
+    dealt = placed.join(counts, key)
+    spread = F.pmod(F.xxhash64("node"), F.when(F.col("is_query"), F.col("q_blocks")).otherwise(F.col("e_blocks"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("is_query"), F.col("e_blocks")).otherwise(F.col("q_blocks")) - 1))
     dealt = dealt.withColumn("mine", spread).withColumn("other", other)
-    dealt = dealt.select("label", "list", F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("q_block"), F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("e_block"), "is_query", "id", "vector")
+    dealt = dealt.select(*key, F.when(F.col("is_query"), F.col("mine")).otherwise(F.col("other")).alias("q_block"), F.when(F.col("is_query"), F.col("other")).otherwise(F.col("mine")).alias("e_block"), "is_query", "node", "vector")
 
     def search(group: pa.Table) -> pa.Table:
         asked = group.column("is_query").to_numpy(zero_copy_only=False)
-        ids, raw = group.column("id").to_numpy(), vectors(group.column("vector").combine_chunks())
+        nodes, raw = group.column("node").to_numpy(), _table(group.column("vector").combine_chunks(), width)
         norm = np.linalg.norm(raw, axis=1, keepdims=True)
-        flat = raw / norm
-        centre = q.centroids[group.column("list")[0].as_py()]
-        residual = unit(raw) - centre
+        residual = raw / norm - q.centroids[group.column("list")[0].as_py()]
         e = np.flatnonzero(~asked)
         coded, error = q.encode(residual[e])
         a, b = [], []
-        for i in range(0, len(ids), 512):
+        for i in range(0, len(nodes), 512):
             some = i + np.flatnonzero(asked[i : i + 512])
             if not len(some):
                 continue
             d = q.distances(residual[some], coded)
-            j, k = np.nonzero((d - error <= q.radius + 1e-6) & (ids[some][:, None] < ids[e]))
+            j, k = np.nonzero((d - error <= q.radius + 1e-6) & (nodes[some][:, None] < nodes[e]))
             for s in range(0, len(j), 1 << 16):
                 jj, kk = some[j[s : s + (1 << 16)]], e[k[s : s + (1 << 16)]]
                 exact = (raw[jj] * raw[kk]).sum(1) / (norm[jj, 0] * norm[kk, 0])
                 ok = exact >= least
-                a.append(ids[jj[ok]])
-                b.append(ids[kk[ok]])
+                a.append(nodes[jj[ok]])
+                b.append(nodes[kk[ok]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": a, "b": b})
 
-    pairs = written(dealt.groupBy("label", "list", "q_block", "e_block").applyInArrow(search, "a long, b long"), "pairs")
-    weight = entries.select("id", F.col("n").alias("count"))
-    ends = pairs.join(weight.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "count").unionAll(pairs.join(weight.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "count"))
-    linked = ends.groupBy("id").agg(F.sum("count").alias("links"))
-    parts = components(pairs).withColumnsRenamed({"node": "id"})
-    classes = entries.select("key", "id", "n").join(linked, "id", "left").join(parts, "id", "left").select("key", (n - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    every = rows.withColumn("key", F.when(good, F.md5(F.to_json(F.struct("label", "vector"))))).select("id", "key")
+    return dealt.groupBy(*key, "q_block", "e_block").applyInArrow(search, "a long, b long")
+
+
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, sample: int = 20_000, subspaces: int = 8, codes: int = 64, per_list: int = 256, most_lists: int = 1024, block: int = 2048) -> DataFrame:
+    """One row per row of df: vec_id, n_links, component_id, kept.
+
+    sample bounds the vectors that a quantiser is fitted on. The number of lists is the number of distinct vectors over
+    labels and per_list, between 1 and most_lists. Vectors meet others of their own length only; one quantiser serves
+    the lengths up to each power of two.
+    """
+    v = F.col("vector")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
+    good = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    key = F.md5(F.to_json(F.struct("label", "vector")))
+    entries = rows.filter(good).withColumn("key", key).groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    entries = written(entries.select(F.xxhash64("key").alias("node"), "key", "id", "n", "label", "vector", F.size("vector").alias("size"), F.ceil(F.log2(F.size("vector"))).cast("int").alias("scale")), "entries")
+    scales = sorted(r[0] for r in entries.select("scale").distinct().collect())  # 31 at most
+    if not scales:
+        return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    found = [written(_pairs(entries.filter(F.col("scale") == k), 1 << k, least, sample, subspaces, codes, per_list, most_lists, block), "pairs") for k in scales]
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionAll(more)
+    weight = entries.select("node", F.col("n").alias("count"))
+    ends = pairs.join(weight.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "count").unionAll(pairs.join(weight.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "count"))
+    linked = ends.groupBy("node").agg(F.sum("count").alias("links"))
+    classes = entries.select("node", "key", "id", "n").join(linked, "node", "left").join(components(pairs), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    first = classes.groupBy("part").agg(F.min("id").alias("component_id"))
+    classes = classes.join(first, "part").select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    every = rows.select("id", F.when(good, key).alias("key"))
     out = every.join(classes, "key", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.coalesce(F.col("id") == component, F.lit(True))).alias("kept"))
@@ -191,12 +209,14 @@ def brute_force(rows: list[tuple[int, list | None, int | None]], least: float =
             i = root[i]
         return i
 
-    if ok:
-        x = np.array([rows[i][1] for i in ok], float)
-        cos = x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
-        label = np.array([rows[i][2] for i in ok])
-        for a, b in zip(*np.nonzero(np.triu((cos >= least) & (label[:, None] == label), 1)), strict=True):
-            i, j = ok[a], ok[b]
+    for size in {len(rows[i][1]) for i in ok}:
+        mine = [i for i in ok if len(rows[i][1]) == size]
+        x = np.array([rows[i][1] for i in mine], float)
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        label = np.array([rows[i][2] for i in mine])
+        for a, b in zip(*np.nonzero(np.triu((x @ x.T >= least - 1e-12) & (label[:, None] == label), 1)), strict=True):
+            i, j = mine[a], mine[b]
             n[i] += 1
             n[j] += 1
             p, r = find(i), find(j)

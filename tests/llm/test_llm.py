@@ -122,11 +122,15 @@ def test_vectors(spark, empty):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(40, 16))
     rows = [(i, (base[i % 40] + 0.05 * rng.normal(size=16)).tolist(), int(i % 3)) for i in range(200)]
-    rows += [(200, rows[3][1], rows[3][2]), (201, None, 1), (202, [0.0] * 16, 1), (203, [float("nan")] * 16, 1), (204, rows[5][1], None), (205, [None] * 16, 2), (206, [1.0], 1)]
+    rows += [(200, rows[3][1], rows[3][2]), (201, None, 1), (202, [0.0] * 16, 1), (203, [float("nan")] * 16, 1), (204, rows[5][1], None), (205, [None] * 16, 2)]
+    rows += [(206, [1.0], 1), (207, [1.0, 2.0], 1), (208, [2.0, 4.001], 1), (209, [1.0, 2.0, 0.0], 1), (210, [3.0], 1), (211, [1e200, 2e200], 1), (212, [1e-300, 2e-300], 1), (213, [-1.0], 1)]
+    rows += [(3, rows[8][1], rows[8][2]), (3, (-np.array(rows[9][1])).tolist(), rows[9][2])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = vector_dedup.near_vectors(df).toPandas().sort_values("vec_id").reset_index(drop=True)
-    want = vector_dedup.brute_force([r for r in rows if r[0] < 206])
-    assert (got.iloc[:206] == want[got.columns]).all().all() and want.n_links.sum() > 50
+    by = ["vec_id", "n_links", "component_id"]
+    got = vector_dedup.near_vectors(df).toPandas().sort_values(by).reset_index(drop=True)
+    want = vector_dedup.brute_force(rows).sort_values(by).reset_index(drop=True)
+    assert (got == want[got.columns]).all().all() and want.n_links.sum() > 50
+    assert got[got.vec_id.between(206, 213)].n_links.tolist() == [1, 3, 3, 0, 1, 3, 3, 0]
     assert vector_dedup.near_vectors(df.filter("vec_id < 0")).count() == 0
 
 
