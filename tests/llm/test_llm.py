@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import time
 import zlib
 from pathlib import Path
 
@@ -288,6 +289,44 @@ def test_shards(spark, docs, empty):
         store.commit(version - 1, [], docs.schema.json())
 
 
+def test_shard_versions_writers_and_tiers(spark):
+    rows = lambda a, z: spark.createDataFrame([(i, hashlib.sha512(f"{i} {j}".encode()).hexdigest()) for i in range(a, z) for j in range(10)], "k long, v string").coalesce(1)
+    ids = lambda version=None: sorted(r.k for r in store.read(version).collect())[::10]
+    store = shards.ShardStore(spark, new_path(spark, "versions"), target=1 << 20, fan_in=3, unit=8 << 10)
+    assert [store.append(rows(10 * i, 10 * i + 10)) for i in range(3)] == [1, 2, 3]
+    assert ids(2) == list(range(20)) and len(store.shards()) == 3
+    assert store.compact() == 4 and len(store.shards()) == 1 and ids() == list(range(30)) and len(store.shards(3)) == 3
+    for i in range(3, 5):
+        store.append(rows(10 * i, 10 * i + 10))
+    assert store.compact() == 6 and len(store.shards()) == 3, "two small shards make no full tier"
+    store.append(rows(50, 60))
+    assert sorted(store.tier(s) for s in store.shards()) == [0, 0, 0, 1]
+    store.compact()
+    assert ids() == list(range(60)) and [store.tier(s) for s in store.shards()] == [1, 1]
+    # two writers from one base: one wins, the other appends again
+    base = store.manifest()["version"]
+    other = shards.ShardStore(spark, store.path, patience=0.2)
+    store.append(rows(60, 61))
+    with pytest.raises(shards.Conflict):
+        other.commit(base, [], rows(0, 1).schema.json())
+    assert other.append(rows(61, 62)) == base + 2 and ids() == list(range(62))
+    # a writer that dies between its claim and its manifest
+    dead = store.manifest()["version"] + 1
+    assert store._claim(dead) == 0
+    with pytest.raises(shards.Conflict):
+        store.append(rows(62, 63))
+    time.sleep(0.3)
+    assert other.append(rows(62, 63)) == dead and ids() == list(range(63))
+    # old versions, lost files
+    rows(0, 5).write.parquet(f"{store.path}/data/lost")
+    kept = ids(dead - 1)
+    store.vacuum(keep=2, age=3600)
+    assert store.versions() == [dead - 1, dead] and ids(dead - 1) == kept and ids() == list(range(63))
+    assert any("lost" in p for p, _, _ in store._list(f"{store.path}/data"))
+    store.vacuum(keep=1, age=0)
+    assert store.versions() == [dead] and ids() == list(range(63)) and not any("lost" in p for p, _, _ in store._list(f"{store.path}/data"))
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame([(1, "a benchmark passage that no document has at all, long enough to be searched for")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now = docs
