@@ -10,9 +10,9 @@ m - q + 1 - q e of the segment's q-grams with the text, on diagonals that differ
    occurrence's diagonals fall into one band as a whole; bands with fewer distinct segment q-grams than the bound go;
 3. each remaining region is verified by banded alignment.
 
-Text and items are compared with ASCII letters lower-cased and white space as single bytes of space. Items travel to the
-workers as an index whose size is checked: a benchmark over `most` bytes is dealt into blocks, each run against all
-texts. Items shorter than q bytes can't be told from chance and are not searched.
+Text and items are compared with ASCII letters lower-cased and white space as single bytes of space. Workers read the
+items from the shared folder and index them. A benchmark over `most` bytes is dealt into blocks of about half as much,
+each run against all texts, so that an index stays small; the items never come to the driver. Items shorter than q bytes can't be told from chance and are not searched.
 
 Defined results: null and empty texts, and an empty benchmark, give no contamination; equal items are found under each
 of their ids; an item without id is searched, and stands last in the list as null; each row of a table is judged by its text alone; other columns are kept and own names replaced.
@@ -25,11 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
 
-from .common import in_slices, lean, ragged, sums, utf8
+from .common import filesystem, in_slices, lean, new_path, ragged, sums, utf8
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -163,21 +165,32 @@ class SegmentIndex:
 RESULT = (("contaminated", BooleanType()), ("n_regions", LongType()), ("items", ArrayType(LongType())), ("first_byte", LongType()), ("past_byte", LongType()), ("fewest_edits", LongType()))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[list[tuple[int | None, str]]]:
-    """The benchmark in blocks of at most `most` bytes (one larger item is a block of its own)."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> list[str]:
+    """Folders that hold the benchmark's items, in blocks of about `most` / 2 bytes (a larger item is in a block of its own size)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + 2 * total // most
-    return [[(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item").collect()] for k in range(n)]
+    if not total:
+        return []
+    n, path = 1 + 2 * total // most, new_path(benchmark.sparkSession, "benchmark")
+    items.repartition(n, F.pmod(F.xxhash64("item", "text"), F.lit(n))).withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("block").parquet(path)
+    fs, root = filesystem(path)
+    return sorted(f"{path}/{x.base_name}" for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("block="))
 
 
-def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, size: int = 64, rate: float = 1 / 16, most: int = 8 << 20) -> DataFrame:
+def _items(folder: str) -> list[tuple[int | None, str]]:
+    """A block's items, read by a worker."""
+    fs, root = filesystem(folder)
+    files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet"))
+    found = [(r["item"], r["text"]) for f in files for r in pq.read_table(fs.open_input_file(f), columns=["item", "text"]).to_pylist()]
+    return sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+
+def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, size: int = 64, rate: float = 1 / 16, most: int = 2 << 20) -> DataFrame:
     """df with contaminated, n_regions (segments found), items, the extent of the first region, and the fewest edits."""
     own = [name for name, _ in RESULT]
     out = df.drop(*own)
-    blocks = [b for b in _blocks(benchmark, item_col, item_text_col, most) if b] or [[]]
-    for number, block in enumerate(blocks):
-        out = _mark(out, block, text_col, q, size, rate, number > 0)
+    for number, folder in enumerate(_blocks(benchmark, item_col, item_text_col, most) or [None]):
+        out = _mark(out, folder, text_col, q, size, rate, number > 0)
     return out
 
 
@@ -185,14 +198,14 @@ def _in_order(items: set[int | None]) -> list[int | None]:
     return sorted(items, key=lambda i: (i is None, i or 0))
 
 
-def _mark(df: DataFrame, block: list[tuple[int | None, str]], text_col: str, q: int, size: int, rate: float, more: bool) -> DataFrame:
+def _mark(df: DataFrame, folder: str | None, text_col: str, q: int, size: int, rate: float, more: bool) -> DataFrame:
     own = [name for name, _ in RESULT]
     schema = StructType([f for f in df.schema.fields if f.name not in own])
     for name, kind in RESULT:
         schema = schema.add(name, kind)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SegmentIndex(block, q, size, rate)
+        index = SegmentIndex(_items(folder) if folder else [], q, size, rate)
         for batch in batches:
             for part in in_slices(batch, text_col):
                 n = part.num_rows

@@ -25,7 +25,6 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, SPACE, Grown, HashIndex, grouped, in_slices, new_path, ragged, shuffle_parts, span_hash, sums, utf8
+from .common import NULL_ID, SPACE, Grown, HashIndex, filesystem, grouped, in_slices, new_path, ragged, shuffle_parts, span_hash, sums, utf8
 
 MOST_PIECES = 1_500_000  # distinct pieces that a worker keeps, told apart by a 64-bit hash
 
@@ -73,12 +72,6 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:-1])
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", path))
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-
-
 class Encoder:
     """Encodes the texts of an Arrow column to ids, and gives how many each text has."""
 

@@ -1,9 +1,10 @@
-"""URL filters: site rules by host and path, and pattern rules indexed by their rarest literal token.
+r"""URL filters: site rules by host and path, and pattern rules indexed by their rarest literal token.
 
-A pattern rule is a regular expression over the lower-cased URL. Literal tokens are the whole alphanumeric words that
-every match must contain. Each rule is filed under the one of its tokens that is rarest in the given URLs (counted over
-all of them), so a URL's own tokens fetch the few rules that can match, and only those run. A rule without a literal
-token is tried on every URL. Rules are a parameter and travel to the workers; their total size is checked.
+A pattern rule is a regular expression over the URL; case counts in neither, and classes such as \w are ASCII. Literal
+tokens are the whole alphanumeric words that every match must contain. Each rule is filed under the one of its tokens
+that is rarest in the given URLs (counted over all of them), so a URL's own tokens fetch the few rules that can match,
+and only those run. A rule without a literal token is tried on every URL. Rules are a parameter and travel to the
+workers; their total size is checked.
 
 Site rules (host, path) fit a host and its subdomains if the URL's path starts with the rule's path; the longest wins
 and decides. Where none fits, the verdict is block if a pattern rule matches and allow otherwise.
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 MOST_RULE_BYTES = 64 << 20
 TOKEN = re.compile("[a-z0-9]+")
 PARTS = re.compile(r"(?s).*?://([^/?#]*)([^?#]*)")
+FLAGS = re.IGNORECASE | re.ASCII
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
@@ -56,9 +58,10 @@ PATTERN_RULES = (
 
 
 def literal_tokens(pattern: str) -> set[str]:
-    """Whole alphanumeric words that every URL matched by the pattern contains."""
+    """Whole alphanumeric words, lower-cased, that every URL matched by the pattern contains."""
     found, run, closed = set(), "", False
-    items = [*_parser.parse(pattern), None]
+    items = [*_parser.parse(pattern, FLAGS), None]
+    alike = lambda code: TOKEN.fullmatch(chr(code).translate(LOWER))
 
     def edge(item) -> bool:
         """Whether no alphanumeric character can stand there."""
@@ -66,14 +69,14 @@ def literal_tokens(pattern: str) -> set[str]:
             return False
         op, value = item
         if op is sre.LITERAL:
-            return not TOKEN.fullmatch(chr(value))
+            return not alike(value)
         if op is sre.IN:
-            return all(o is sre.LITERAL and not TOKEN.fullmatch(chr(v)) for o, v in value)
+            return all(o is sre.LITERAL and not alike(v) for o, v in value)
         return op is sre.AT and value in (sre.AT_BEGINNING, sre.AT_BEGINNING_STRING, sre.AT_END, sre.AT_END_STRING, sre.AT_BOUNDARY)
 
     for item in items:
-        if item is not None and item[0] is sre.LITERAL and TOKEN.fullmatch(chr(item[1])):
-            run += chr(item[1])
+        if item is not None and item[0] is sre.LITERAL and alike(item[1]):
+            run += chr(item[1]).translate(LOWER)
             continue
         if run and closed and edge(item):
             found.add(run)
@@ -83,7 +86,7 @@ def literal_tokens(pattern: str) -> set[str]:
 
 class RuleIndex:
     def __init__(self, sites: tuple[SiteRule, ...], patterns: tuple[str, ...], counts: dict[str, int]):
-        self.patterns = [re.compile(p) for p in patterns]
+        self.patterns = [re.compile(p, FLAGS) for p in patterns]
         self.by_token: dict[str, list[int]] = {}
         self.always: list[int] = []
         for i, p in enumerate(patterns):

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import random
+import re
 import time
 import zlib
 from pathlib import Path
@@ -279,6 +280,24 @@ def test_urls(spark):
     assert url_filter.literal_tokens(r"://([^/?#]*\.)?spam-farm\.") == {"farm"} | ({"spam"} & url_filter.literal_tokens(r"://([^/?#]*\.)?spam-farm\."))
 
 
+def test_thousands_of_url_rules_as_if_all_were_tried(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abCdE12") for _ in range(rng.randrange(1, 4)))
+    forms = ("/{0}/", "(?i)/{0}/", "[/.-]{0}[/.-]", "{0}\\.{1}", "/({0}|{1})/", "(?i:{0})-{1}$", "^https?://{0}\\.", "{0}+/", "\\b{0}\\b", "[?&]{0}=", "(?x) / {0} # note", "é{0}[é/]", "{0}(?={1})", "_{0}_")
+    rules = tuple(rng.choice(forms).format(word(), word()) for _ in range(3000))
+    urls = [f"http{rng.choice(('', 's'))}://{word()}.{word()}/{'/'.join(word() for _ in range(rng.randrange(4)))}{rng.choice(('', '/', '?' + word() + '=1', 'é' + word() + 'é', '-' + word(), '_' + word() + '_', 'ſ' + word(), '/\u212a/'))}" for _ in range(400)]
+    counts = {t: rng.randrange(100) for t in set().union(*map(url_filter.literal_tokens, rules))}
+    index = url_filter.RuleIndex((), rules, counts)
+    assert len(index.always) < 2000 and "casino" in url_filter.literal_tokens("(?i)/Casino/")
+    low = str.lower if all(u.isascii() for u in urls) else lambda u: u.translate(url_filter.LOWER)
+    compiled = [re.compile(r, re.IGNORECASE | re.ASCII) for r in rules]
+    for u in urls:
+        first = next((r for r, c in zip(rules, compiled, strict=True) if c.search(low(u))), None)
+        assert index.judge(u)[4] == first and index.judge(u)[3] == ("allow" if first is None else "block")
+    df = spark.createDataFrame([(1, "http://a.com/CASINO/x"), (2, "http://a.com/casinos/x")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(df, (), ("(?i)/Casino/",)).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 def test_shards(spark, docs, empty):
     store = shards.ShardStore(spark, new_path(spark, "store"), target=40 << 10, fan_in=2, unit=1 << 10)
     store.append(docs.limit(0))
