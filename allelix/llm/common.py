@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:

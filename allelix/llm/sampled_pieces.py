@@ -7,7 +7,10 @@ perturbed bounds: the search tree branches at each piece of a path; the exact ma
 branch is a Gumbel variable truncated by the value of the node above it, so it is drawn for the branch as a whole and
 only the branch with the largest value is opened, which gives the next segmentation at once.
 
-Conditional probabilities along a path come from the sums over all continuations (backward recursion). Units of text
+Conditional probabilities along a path come from the sums over all continuations (backward recursion), rounded to whole
+numbers of 2**-32, of one at least, so that every segmentation can be drawn. The public vocabulary's file has merge
+ranks, not weights, and says nothing of probabilities, hence 1 / rank. Texts are taken as they are: the file's normaliser
+is the identity but for the space put before the text, which decoding takes off. Units of text
 (a run of space marks and a word) are distinct lattices, and all documents of a slice walk them together.
 
 With the (k+1)-th largest value t as threshold, a sampled segmentation of log probability phi has inclusion probability
@@ -74,12 +77,15 @@ class Sampler:
         first = np.concatenate(([True], start[1:] != start[:-1]))
         opens = np.flatnonzero(first)
         group = np.cumsum(first) - 1
-        total = np.cumsum(p)
-        high = np.minimum(np.rint((total - (total[opens] - p[opens])[group]) * ONE), ONE).astype(np.int64)
-        high[np.append(opens[1:], len(p)) - 1] = ONE
-        low = np.concatenate(([0], high[:-1]))
-        low[opens] = 0
-        keep = np.flatnonzero(high > low)
+        # every edge has a share of 1 of 2**32 at least, so no segmentation is out of reach; a node's largest edge has the rest
+        wide = np.maximum(np.rint(np.nan_to_num(p) * ONE), 1).astype(np.int64)
+        top = np.maximum.reduceat(wide, opens)
+        largest = np.flatnonzero(wide == top[group])
+        largest = largest[np.concatenate(([True], group[largest[1:]] != group[largest[:-1]]))]
+        wide[largest] += ONE - np.add.reduceat(wide, opens)
+        total = np.cumsum(wide)
+        high = total - (total[opens] - wide[opens])[group]
+        low = high - wide
         count = np.where(x.piece < 0, -x.piece, 1)
         id_at = np.cumsum(count) - count
         ids = np.empty(int(count.sum()), np.int64)
@@ -91,7 +97,6 @@ class Sampler:
             raw = np.where(chars == LITERAL_MARK, ord(MARK), chars).astype("<u4").tobytes().decode("utf-32-le").encode()
             ids[ragged(id_at[odd], count[odd])] = self.pieces.byte_id[np.frombuffer(raw, np.uint8)]
         base, edges = self.open.n, self.start.n
-        start, end, low, high = start[keep], end[keep], low[keep], high[keep]
         nodes = int(x.stop[-1]) + 1
         stops = np.zeros(nodes, bool)
         stops[x.stop] = True
@@ -99,12 +104,12 @@ class Sampler:
         n = np.bincount(start, minlength=nodes)
         at = np.cumsum(n) - n
         self.open.add(edges + at)
-        wide, some = high - low, np.flatnonzero(n)
+        some = np.flatnonzero(n)
         most = np.flatnonzero(wide == np.repeat(np.maximum.reduceat(wide, at[some]), n[some]))
         best = np.zeros(nodes, np.int64)
         best[start[most]] = edges + most
         self.best.add(best)
-        for to, what in ((self.start, start + base), (self.end, end + base), (self.stop, stops[end]), (self.low, low), (self.high, high), (self.share, np.log((high - low) / ONE)), (self.key, ((start + base).astype(U64) << U64(32)) + high.astype(U64)), (self.id_at, self.ids.n + id_at[keep]), (self.id_n, count[keep])):
+        for to, what in ((self.start, start + base), (self.end, end + base), (self.stop, stops[end]), (self.low, low), (self.high, high), (self.share, np.log((high - low) / ONE)), (self.key, ((start + base).astype(U64) << U64(32)) + high.astype(U64)), (self.id_at, self.ids.n + id_at), (self.id_n, count)):
             to.add(what)
         self.ids.add(ids)
 
@@ -260,7 +265,11 @@ class Sampler:
                 _, _, w, m, c = full[j]
                 whole = -np.expm1(c[w[doc[s]] + m[doc[s]]] - c[w[doc[s]] + own_at[j][doc[s]]])
                 left[s] = np.maximum(whole - gone[j][doc[s]], 0)
-                left[s[left[s] < 1e-15 * whole]] = 0
+                for i in s[left[s] < 1e-6 * whole].tolist():  # where rounding may count, whether anything is left is known from whole numbers
+                    d = int(doc[i])
+                    e, _, w, m, c = full[j]
+                    a, b = int(w[d] + own_at[j][d]), int(w[d] + m[d])
+                    left[i] = self._left(e[a:b], c[a:b] - c[a], [(int(t_[d]), int(f[d])) for t_, f, _ in cut[j] if t_[d] >= 0])
                 with np.errstate(divide="ignore"):
                     value[j][doc[s]] = truncated(pre[j][doc[s]] + np.log(left[s]), bound[s], 0x99000 + rank, doc[s])
             # the parent's path up to the branch, the new edge, and a walk from there on
@@ -311,6 +320,14 @@ class Sampler:
             e += 1
         return t, e, math.exp(before[t] + share[e])
 
+    def _left(self, path: np.ndarray, before: np.ndarray, taken: list[tuple[int, int]]) -> float:
+        """Mass of the siblings of a region's path that were not taken out; exactly 0 where there are none."""
+        low, high = self.low.data, self.high.data
+        room = ONE - (high[path] - low[path])
+        for t, e in taken:
+            room[t] -= high[e] - low[e]
+        return float((np.exp(before) * (room / ONE)).sum())
+
     def _ids(self, edges: np.ndarray) -> np.ndarray:
         return self.ids.data[ragged(self.id_at.data[edges], self.id_n.data[edges])]
 

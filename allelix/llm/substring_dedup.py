@@ -2,7 +2,7 @@
 
 A window is `width` consecutive words of one document. Consecutive windows whose smallest `mer`-word hash (their
 minimiser) is the same travel as one packed string to the bucket of that minimiser. There the windows are sorted by a
-128-bit fingerprint of their words, and each learns the smallest document that has it.
+128-bit fingerprint of their words' 64-bit hashes, and each learns the smallest document that has it.
 
 Equal windows have equal minimisers, so they meet in one bucket. Before the shuffle each slice of a task settles its
 own repeats: of equal windows in it, only those of its smallest document travel, the others are known to be repeats.
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, WORDS, WORDS2, in_slices, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
+from .common import NULL_ID, U64, WORDS, WORDS2, in_slices, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
 
 PACKED = "bucket int, ids binary, keys binary, at binary, sizes binary, packed binary, local boolean"
 RANGES = "id long, key long, first int, past int"
@@ -101,17 +101,46 @@ def _pack(batch: pa.RecordBatch, width: int, mer: int, buckets: int) -> Iterator
         yield {"bucket": int(bucket[i]), "ids": ids[doc[first[s]]].tobytes(), "keys": keys[doc[first[s]]].tobytes(), "at": at[s].tobytes(), "sizes": size[s].astype(np.int32).tobytes(), "packed": press.compress(data[ragged(begin[s], size[s])].tobytes()), "local": False}
 
 
-def _count(rows: list[dict], width: int) -> tuple[np.ndarray, ...]:
-    """The repeated ranges among the super-k-mers of one bucket."""
+def _windows(rows: list[dict], width: int) -> tuple[np.ndarray, ...]:
+    """Of packed rows: both fingerprints of each window, its super-k-mer, and its place in that."""
     unpress = zstandard.ZstdDecompressor()
-    ids, keys, at, sizes = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("ids", np.int64), ("keys", np.int64), ("at", np.int32), ("sizes", np.int32)))
+    sizes = np.frombuffer(b"".join(r["sizes"] for r in rows), np.int32)
     data = np.frombuffer(b"".join(unpress.decompress(r["packed"]) for r in rows), np.uint8)
     starts, ends, runs = word_spans(data, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))))
     counts = np.diff(runs) - width + 1
     windows, run = ragged(runs[:-1], counts), np.repeat(np.arange(len(counts)), counts)
-    low = _smallest(*_fingerprints(span_hash(data, starts, ends), windows, width), ids[run])
-    found = low < ids[run]
-    r, a, z = _merged(run[found], (windows - runs[run])[found], width)
+    return *_fingerprints(span_hash(data, starts, ends), windows, width), run, windows - runs[run]
+
+
+def _count(rows: list[dict], width: int, most: int = 16 << 20) -> tuple[np.ndarray, ...]:
+    """The repeated ranges among the super-k-mers of one bucket.
+
+    A bucket of more than `most` bytes is gone through several times, each time for a share of the fingerprints, so that
+    besides the packed rows no more than about `most` bytes are unpacked, and that much sorted, at a time.
+    """
+    ids, keys, at, sizes = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("ids", np.int64), ("keys", np.int64), ("at", np.int32), ("sizes", np.int32)))
+    held = np.array([int(np.frombuffer(r["sizes"], np.int32).sum(dtype=np.int64)) for r in rows])
+    shares = 1 + int(held.sum()) // most
+    part = np.cumsum(held) // most if shares > 1 else np.zeros(len(rows), np.int64)
+    runs, places = [], []
+    for share in range(shares):
+        seen = []
+        before = 0
+        for p in np.unique(part):
+            some = [rows[i] for i in np.flatnonzero(part == p)]
+            one, two, run, place = _windows(some, width)
+            mine = np.flatnonzero(one % U64(shares) == share) if shares > 1 else slice(None)
+            seen.append((one[mine], two[mine], run[mine] + before, place[mine]))
+            before += sum(len(r["sizes"]) // 4 for r in some)
+        one, two, run, place = (np.concatenate(x) for x in zip(*seen, strict=True))
+        found = _smallest(one, two, ids[run]) < ids[run] if len(one) else np.zeros(0, bool)
+        runs.append(run[found])
+        places.append(place[found])
+    run, place = np.concatenate(runs), np.concatenate(places)
+    if shares > 1:
+        order = np.lexsort((place, run))
+        run, place = run[order], place[order]
+    r, a, z = _merged(run, place, width)
     return ids[r], keys[r], at[r] + a, at[r] + z
 
 

@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -57,6 +58,9 @@ def test_substrings(docs, empty):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.dedup_substrings(docs).collect()}
     want = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.brute_force(corpus()).itertuples()}
     assert got == want and sum(v[1] for v in want.values()) > 100
+    packed = [r for part in substring_dedup.in_slices(pa.RecordBatch.from_pydict({"id": [i for i, _ in corpus()], "key": [i for i, _ in corpus()], "text": [t for _, t in corpus()]}), "text", 2000) for r in substring_dedup._pack(part, 13, 4, 1) if not r["local"]]
+    whole = [x.tolist() for x in substring_dedup._count(packed, 13)]
+    assert len(packed) > 5 and len(whole[0]) > 3 and [x.tolist() for x in substring_dedup._count(packed, 13, 1500)] == whole
     assert substring_dedup.dedup_substrings(docs).count() == docs.count()
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
@@ -272,6 +276,82 @@ def test_samples_follow_their_probabilities():
     assert weights.mean() == pytest.approx(1, abs=0.05)
 
 
+def segmentations(pieces, log_p, log_byte, text):
+    """All segmentations of a text without odd characters, with their probabilities."""
+    names = {t.decode(): i for i, t in enumerate(pieces.text) if t and i not in set(pieces.byte_id.tolist())}
+
+    def rest(t):
+        if not t:
+            yield (), 0.0
+        for n in range(1, len(t) + 1):
+            if t[:n] in names or n == 1:
+                ids, w = ((names[t[:n]],), log_p[names[t[:n]]]) if t[:n] in names else (tuple(pieces.byte_id[b] for b in t[:n].encode()), len(t[:n].encode()) * log_byte)
+                for more, v in rest(t[n:]):
+                    yield ids + more, w + v
+
+    found = dict(rest(" " + text))
+    total = np.logaddexp.reduce(list(found.values()))
+    return {k: float(np.exp(v - total)) for k, v in found.items()}
+
+
+def test_ordered_samples_and_inclusion_by_enumeration():
+    s, n = sampled_pieces.Sampler(PIECES, 0.4), 30_000
+    p = segmentations(s.pieces, s.log_p, s.log_byte, "then a")
+    out, limit = s.sample(pa.array(["then a"] * n), sampled_pieces.mix(np.arange(n, dtype=np.uint64)), 3)
+    drawn = [[], [], []]
+    for rank, (doc, count, ids, phi, value) in enumerate(out):
+        assert doc.tolist() == list(range(n))
+        drawn[rank] = [tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1])]
+        assert np.exp(phi) == pytest.approx([p[k] for k in drawn[rank]], rel=1e-6)
+    assert all(len({*x}) == 3 for x in zip(*drawn, strict=True))
+    first, pairs, triples = Counter(drawn[0]), Counter(zip(drawn[0], drawn[1], strict=True)), Counter(zip(*drawn, strict=True))
+    near = lambda seen, want: abs(seen - n * want) <= 5 * (n * want) ** 0.5 + 5
+    assert len(p) > 30 and all(near(first[k], v) for k, v in p.items())
+    assert all(near(pairs[a, b], p[a] * p[b] / (1 - p[a])) for a in p for b in p if a != b and p[a] * p[b] > 1e-4)
+    top = sorted(p, key=p.get)[-6:]
+    assert all(near(triples[a, b, c], p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b])) for a in top for b in top for c in top if len({a, b, c}) == 3)
+    # a segmentation's probability over its inclusion has the segmentation's probability as mean
+    estimate = Counter()
+    for (doc, _, _, phi, _), names in zip(out, drawn, strict=True):
+        inclusion = -np.expm1(-np.exp(np.minimum(phi - limit[doc], 700)))
+        for k, w in zip(names, np.exp(phi) / inclusion, strict=True):
+            estimate[k] += w / n
+    assert all(estimate[k] == pytest.approx(p[k], rel=0.1) for k in top)
+
+
+def test_texts_with_few_segmentations_give_all_of_them(spark):
+    s = sampled_pieces.sampler(PIECES)
+    for text in ("a", "漢", "q"):
+        p = segmentations(s.pieces, s.log_p, s.log_byte, text)
+        rows = sampled_pieces.sample_pieces(spark.createDataFrame([(1, text)], "doc_id long, text string"), PIECES, k=len(p) + 2).collect()
+        assert {tuple(np.frombuffer(r.ids, "<u4").tolist()) for r in rows} == set(p)
+        assert all(r.log_inclusion == pytest.approx(0, abs=1e-6) for r in rows)
+    df = spark.createDataFrame([(1, "two  words\n"), (2, ""), (3, None)], "doc_id long, text string")
+    back = sampled_pieces.decode_pieces(sampled_pieces.sample_pieces(df, PIECES).withColumn("decoded", F.lit(0)), PIECES).collect()
+    assert {(r.doc_id, r.decoded) for r in back} == {(1, "two  words\n"), (2, ""), (3, "")}
+
+
+def test_language_probabilities_by_enumeration(spark):
+    rows = [(i, ("the thing of and" if i % 2 else "der und nicht von") + " x" * (i % 5), "en" if i % 2 else "de") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_language_id(df, PIECES)
+    t = language_id.table(PIECES)
+
+    def whole(word, k):
+        names = {x.decode(): i for i, x in enumerate(t.text) if x and i not in set(t.byte_id.tolist())}
+        text, after = " " + word, [-np.inf] * (len(word) + 2)
+        after[-1] = 0.0
+        for i in range(len(text) - 1, -1, -1):
+            ways = [model.log_p[names[text[i:j]], k] + after[j] for j in range(i + 1, len(text) + 1) if text[i:j] in names]
+            after[i] = np.logaddexp.reduce(ways if text[i] in names else [*ways, len(text[i].encode()) * language_id.LOG_BYTE + after[i + 1]])
+        return after[0]
+
+    for text in ("Thing und", "nicht the of", "zürich " + "ab" * 60):
+        score = [sum(whole(w.lower(), k) for w in text.split()) for k in range(2)]
+        r = language_id.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+        assert r.lang_pred == model.languages[int(np.argmax(score))] and r.score == pytest.approx(1 / (1 + np.exp(-abs(score[0] - score[1]))), rel=1e-6)
+
+
 def test_urls(spark):
     urls = ["https://WWW.Example.com/en/x", "http://a.example.com/en/", "http://b.net/es/?q", "http://spam-farm.org/x", "http://spam-farms.org/x", "http://x.org/a.exe?1", None, "nothing", "http://x.com"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
@@ -449,3 +529,79 @@ def test_digests_of_queries(spark, tables):
     assert {(r.doc_id, r.class_id, r.kept) for r in queries.op3_near_dedup(spark, tables).collect()} == {(i, c, i == c) for i, c in classes.items()}
     held = {r.doc_id: r.held_out for r in queries.op7_language_id(spark, tables).collect()}
     assert held == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows}
+
+
+CLASHING = "id key private removed_terms term_forms score lang_pred contaminated items n_regions class_id copy root node part component bands kept base spans n_links vector list size is_query verdict rule pattern host path rank ids perturbed first past n_words start n_tokens tokens a b label2 arrival block version".split()
+
+
+@pytest.fixture(scope="module", params=["odd", "empty", "bare"])
+def odd_tables(spark, request, tmp_path_factory):
+    """Tables with nulls in any column, empty and very long texts, ties, repeated rows and clashing names; empty ones; and one without any label."""
+    folder, kind, rng = tmp_path_factory.mktemp("odd"), request.param, random.Random(2)
+    word = lambda: rng.choice(("alpha", "beta", "漢字", "ünder", "a@b.co", "10.0.0.1", "+49 30 1234567")) + str(rng.randrange(50))
+    long = " ".join(word() for _ in range(20_000))
+    docs = [(i, " ".join(word() for _ in range(rng.randrange(60))), rng.choice(("en", "de", None)), "s", i) for i in range(30)]
+    docs += [(40, None, "en", None, None), (41, "", None, "s", 0), (42, long, "en", "s", 1), (42, long, "en", "s", 1), (43, "x" * 20_000, None, None, None), (44, " \\n\\t  ", "de", "s", 3), (None, "one two", None, None, None), (None, None, None, None, None), (None, long[:2000], "en", "t", 2), (45, docs[3][1], "de", "s", 3), (3, docs[4][1], "de", "s", 3)]
+    vectors = [(i, [rng.random() for _ in range(8)], i % 2) for i in range(20)] + [(20, None, 1), (21, [], 1), (22, [0.0] * 8, None), (None, [1.0] * 8, 1), (None, None, None), (3, [1.0] * 8, 1), (3, [1.0] * 8, 1)]
+    pages = [(i, rng.choice(("http://a.com/x", "HTTP://b.example.com/en/", "no scheme", "", None, "://", "http://net/es/" + "y" * 100_000)), None) for i in range(20)] + [(None, "http://a.com", None)] * 2
+    bench = [(1, " ".join(word() for _ in range(40))), (None, None), (2, ""), (None, "short"), (3, long[:500]), (3, long[:500])]
+    if kind == "bare":
+        docs = [(i, t, None, None, None) for i, t, _, _, _ in docs]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", vectors, "vec_id long, embedding array<double>, label int"), ("pages", pages, "page_id long, url string, html string"), ("benchmark", bench, "item_id long, text string")):
+        df = spark.createDataFrame([] if kind == "empty" else rows, schema)
+        df.withColumns({c: F.lit(c) for c in CLASHING if c not in df.columns}).write.parquet(str(folder / f"{name}.parquet"))
+    return kind, str(folder), {"documents": len(docs), "embeddings": len(vectors), "pages": len(pages)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_odd_rows(spark, odd_tables, name):
+    kind, folder, sizes = odd_tables
+    table = {"op4_url_filter": "pages", "op9_vector_dedup": "embeddings"}.get(name, "documents")
+    rows = queries.QUERIES[name](spark, folder).collect()
+    if name == "op1_sampled_pieces":
+        assert all(r.round_trip for r in rows) and (len(rows) > sizes[table]) == (kind != "empty")
+        return
+    assert len(rows) == (0 if kind == "empty" else sizes[table])
+    if kind == "bare" and name == "op7_language_id":
+        assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
+
+
+def test_pipeline_run(spark, odd_tables):
+    """Every stage keeps the columns; the whole run gives samples of the documents that a plain reading of the stages keeps."""
+    kind, folder, _ = odd_tables
+    out = corpus_pipeline.run(spark, folder)
+    rows = out.collect()
+    assert all(r.round_trip for r in rows)
+    now = docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = corpus_pipeline.written(stage(spark, now, folder), name)
+        assert now.columns == docs.columns and [f.dataType for f in now.schema] == [f.dataType for f in docs.schema]
+        kept.append(now.collect())
+    assert {r.doc_id for r in rows} == {r.doc_id for r in kept[-1]}
+    if kind == "empty":
+        assert not rows
+        return
+    if kind == "bare":
+        assert {r.text for r in kept[0]} == {r.text for r in docs.collect() if r.text and re.search(r"[^\W\d_]", r.text)}
+    classes = near_dedup.brute_force([(i, r.text) for i, r in enumerate(kept[0])])
+    assert len(kept[1]) == len(set(classes.values())) and {r.text for r in kept[1]} <= {r.text for r in kept[0]}
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect() if r.text]
+    short = [r for r in kept[1] if len(r.text) < 3000]
+    marked = decontaminate.brute_force([r.text for r in short], bench).contaminated.tolist()
+    assert {r.text for r, m in zip(short, marked, strict=True) if not m} == {r.text for r in kept[2] if len(r.text) < 3000}
+    texts = list(enumerate(r.text for r in kept[2]))
+    forms = pii.brute_force_terms(texts)
+    assert sorted(r.text for r in kept[3]) == sorted(plainly_sanitised(t, {w: f for (j, w), f in forms.items() if i == j}) for i, t in texts)
+
+
+def plainly_sanitised(text, forms):
+    base = [(a, -z, pii.LABELS[k]) for k, a, z in pii.brute_force(text)]
+    words = [(m.start(), -m.end(), forms[m[0].lower()]) for m in regex.finditer(pii.WORD, text) if m[0].lower() in forms]
+    free = [w for w in words if not any(a < -w[1] and w[0] < -z for a, z, _ in base)]
+    out, at = [], 0
+    for a, z, put in sorted([*base, *free], key=lambda x: x[:2]):
+        if a >= at:
+            out += [text[at:a], put]
+        at = max(at, -z)
+    return "".join(out) + text[at:]
