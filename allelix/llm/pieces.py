@@ -57,11 +57,39 @@ class Pieces:
                     h = (h * base + ord(c) + 1) & cut
                     known.setdefault(h, -1)
                 known[h] = i
-        self.hash = np.array(sorted(known), U64)
-        self.id = np.array([known[int(h)] for h in self.hash], np.int64)
+        self._place(np.fromiter(known, U64, len(known)), np.fromiter(known.values(), np.int64, len(known)))
         sizes = np.fromiter(map(len, self.text), np.int64, self.n)
         self.text_at, self.text_size, self.text_bytes = np.cumsum(sizes) - sizes, sizes, np.frombuffer(b"".join(self.text), np.uint8)
 
+    def _place(self, hashes: np.ndarray, ids: np.ndarray) -> None:
+        """An open-addressing table of the prefixes' hashes: a look-up touches one place nearly always."""
+        self.bits = max(10, int(np.ceil(np.log2(len(hashes) + 1))) + 3)
+        self.slots, self.id = np.zeros((1 << self.bits) + 64, U64), np.full((1 << self.bits) + 64, -1)
+        todo, at = np.arange(len(hashes)), self._slot(hashes)
+        while len(todo):
+            free = self.slots[at[todo]] == 0
+            _, first = np.unique(at[todo[free]], return_index=True)  # one of those that want the same place gets it
+            put = todo[free][first]
+            self.slots[at[put]], self.id[at[put]] = hashes[put], ids[put]
+            todo = np.setdiff1d(todo, put, assume_unique=True)
+            at[todo] += self.slots[at[todo]] != 0
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are prefixes of pieces, and the numbers of the pieces of those (-1: of a prefix that is none)."""
+        at = self._slot(h)
+        there = self.slots[at]
+        ok = there == h
+        todo = np.flatnonzero(~ok & (there != 0))
+        while len(todo):
+            at[todo] += 1
+            there = self.slots[at[todo]]
+            ok[todo] = there == h[todo]
+            todo = todo[(there != 0) & ~ok[todo]]
+        return ok, self.id[at[ok]]
+
     def lattice(self, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
         """Of units given by their code points, one after the other, and their sizes."""
         past = np.cumsum(sizes)
@@ -72,9 +100,8 @@ class Pieces:
         while len(at):
             h = h * _BASE + codes[at + length].astype(U64) + U64(1)
             length += 1
-            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-            ok = self.hash[k] == h
-            at, h, piece = at[ok], h[ok], self.id[k[ok]]
+            ok, piece = self.find(h)
+            at, h = at[ok], h[ok]
             some = piece >= 0
             found.append((at[some], length, piece[some]))
             if length == 1:

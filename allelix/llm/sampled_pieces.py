@@ -37,7 +37,7 @@ from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices,
 from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_scores, table, zipf
 
 LOG_BYTE = -14.0
-MOST_UNITS, MOST_EDGES = 80_000, 6_000_000  # units whose lattices a worker keeps, and edges of these
+MOST_UNITS, MOST_EDGES = 160_000, 6_000_000  # units whose lattices a worker keeps, and edges of these
 ONE = 1 << 32
 
 
@@ -56,10 +56,10 @@ class Sampler:
 
     def forget(self) -> None:
         self.known = HashIndex()
-        self.root, self.open, self.best = Grown(np.int64), Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first and most probable edge
-        self.end, self.stop = Grown(np.int32), Grown(bool)  # of edges: node they lead to, and whether the unit ends there
-        self.start, self.low, self.high, self.share = Grown(np.int32), Grown(np.int64), Grown(np.int64), Grown(float)
-        self.key, self.id_at, self.id_n, self.ids = Grown(U64), Grown(np.int32), Grown(np.int64), Grown(np.int32)
+        self.root, self.open = Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first edge, which is the most probable
+        # of edges: the node they lead to (-1: the unit ends there), their node, the first and last of their numbers, log probability
+        self.end, self.start, self.low, self.last, self.share = Grown(np.int32), Grown(np.int32), Grown(np.uint32), Grown(np.uint32), Grown(float)
+        self.id_at, self.id_n, self.ids = Grown(np.int32), Grown(np.int8), Grown(np.int32)
 
     def learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Adds units' lattices. A node's edges divide 0 .. 2**32 by probability."""
@@ -73,24 +73,24 @@ class Sampler:
             after = backward(x, value)
             with np.errstate(invalid="ignore"):
                 p = value * after[x.end] / after[x.start]
-        start, end = x.start, x.end
+        start, end, piece = x.start, x.end.copy(), x.piece.copy()
         first = np.concatenate(([True], start[1:] != start[:-1]))
         opens = np.flatnonzero(first)
         group = np.cumsum(first) - 1
         # every edge has a share of 1 of 2**32 at least, so no segmentation is out of reach; a node's largest edge has the rest
         wide = np.maximum(np.rint(np.nan_to_num(p) * ONE), 1).astype(np.int64)
-        top = np.maximum.reduceat(wide, opens)
-        largest = np.flatnonzero(wide == top[group])
+        largest = np.flatnonzero(wide == np.maximum.reduceat(wide, opens)[group])
         largest = largest[np.concatenate(([True], group[largest[1:]] != group[largest[:-1]]))]
         wide[largest] += ONE - np.add.reduceat(wide, opens)
+        for values in (end, piece, wide):  # the most probable edge comes first
+            values[opens], values[largest] = values[largest], values[opens]
         total = np.cumsum(wide)
-        high = total - (total[opens] - wide[opens])[group]
-        low = high - wide
-        count = np.where(x.piece < 0, -x.piece, 1)
+        low = total - wide - (total[opens] - wide[opens])[group]
+        plain = piece >= 0
+        count = np.where(plain, 1, -piece)
         id_at = np.cumsum(count) - count
         ids = np.empty(int(count.sum()), np.int64)
-        plain = x.piece >= 0
-        ids[id_at[plain]] = x.piece[plain]
+        ids[id_at[plain]] = piece[plain]
         odd = np.flatnonzero(~plain)
         if len(odd):
             chars = x.codes[x.char[odd]]
@@ -98,18 +98,13 @@ class Sampler:
             ids[ragged(id_at[odd], count[odd])] = self.pieces.byte_id[np.frombuffer(raw, np.uint8)]
         base, edges = self.open.n, self.start.n
         nodes = int(x.stop[-1]) + 1
-        stops = np.zeros(nodes, bool)
-        stops[x.stop] = True
+        at = np.zeros(nodes, np.int64)
+        at[start[opens]] = edges + opens
+        end += base
+        end[end == (x.stop + base)[x.unit]] = -1
         self.root.add(x.root + base)
-        n = np.bincount(start, minlength=nodes)
-        at = np.cumsum(n) - n
-        self.open.add(edges + at)
-        some = np.flatnonzero(n)
-        most = np.flatnonzero(wide == np.repeat(np.maximum.reduceat(wide, at[some]), n[some]))
-        best = np.zeros(nodes, np.int64)
-        best[start[most]] = edges + most
-        self.best.add(best)
-        for to, what in ((self.start, start + base), (self.end, end + base), (self.stop, stops[end]), (self.low, low), (self.high, high), (self.share, np.log((high - low) / ONE)), (self.key, ((start + base).astype(U64) << U64(32)) + high.astype(U64)), (self.id_at, self.ids.n + id_at), (self.id_n, count)):
+        self.open.add(at)
+        for to, what in ((self.start, start + base), (self.end, end), (self.low, low), (self.last, low + wide - 1), (self.share, np.log(wide / ONE)), (self.id_at, self.ids.n + id_at), (self.id_n, count)):
             to.add(what)
         self.ids.add(ids)
 
@@ -155,18 +150,21 @@ class Sampler:
         if len(over):
             live = np.delete(live, over)
         now, out, step = now[live], [], 0
-        best, low, high, end, stop, key = self.best.data, self.low.data, self.high.data, self.end.data, self.stop.data, self.key.data[: self.key.n]
+        last, end, opens = self.last.data, self.end.data, self.open.data
         count = np.zeros(len(unit), np.int64)
         while len(live):
-            u = (mix(seed[live] + U64(step)) >> U64(32)).astype(np.int64)
-            e = best[now]
-            other = np.flatnonzero((u >= high[e]) | (u < low[e]))
-            e[other] = np.searchsorted(key, (now[other].astype(U64) << U64(32)) + u[other].astype(U64), "right")
+            u = (mix(seed[live] + U64(step)) >> U64(32)).astype(np.uint32)
+            e = opens[now]
+            past = np.flatnonzero(u > last[e])
+            while len(past):  # a node has few edges
+                e[past] += 1
+                past = past[u[past] > last[e[past]]]
             out.append((live, e))
             step += 1
-            go = ~stop[e]
+            now = end[e]
+            go = now >= 0
             count[live[~go]] = step
-            live, now = live[go], end[e[go]]
+            live, now = live[go], now[go]
         at = np.cumsum(count) - count
         edges = np.empty(int(count.sum()), np.int64)
         for k, (who, e) in enumerate(out):
@@ -183,7 +181,7 @@ class Sampler:
         unit, sizes = self.units(column)
         first = np.cumsum(sizes) - sizes
         n_docs = len(sizes)
-        share, end, stop = self.share.data, self.end.data, self.stop.data
+        share, end = self.share.data, self.end.data
         place = ragged(np.zeros(n_docs, np.int64), sizes)
         unit_seed = np.repeat(seeds, sizes) + place.astype(U64) * U64(0x9E3779B97F4A7C15)
 
@@ -220,7 +218,8 @@ class Sampler:
             full.append((edges, units_of, where, length, c))
             tail = c[at + n] - c[at + up]
             final = base + tail
-            out.append((doc, np.add.reduceat(self.id_n.data[edges], at) if len(edges) else n, self._ids(edges), final, bound))
+            ids, pieces = self._ids(edges)
+            out.append((doc, np.add.reduceat(pieces, at, dtype=np.int64) if len(edges) else n, ids, final, bound))
             x = np.full(n_docs, -np.inf)
             with np.errstate(divide="ignore"):
                 x[doc] = truncated(base + np.log(-np.expm1(tail)), bound, 0x77000 + rank, doc)
@@ -274,7 +273,7 @@ class Sampler:
                     value[j][doc[s]] = truncated(pre[j][doc[s]] + np.log(left[s]), bound[s], 0x99000 + rank, doc[s])
             # the parent's path up to the branch, the new edge, and a walk from there on
             begin = np.array([full[int(j)][1][full[int(j)][2][d] + p - 1] for j, d, p in zip(leaf, doc, up, strict=True)], np.int64)
-            more, more_units, more_n = follow(rank + 1, doc, begin, np.where(stop[new], -2, end[new]))
+            more, more_units, more_n = follow(rank + 1, doc, begin, np.where(end[new] < 0, -2, end[new]))
             n = up + more_n
             edges, units_of = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
             at = np.cumsum(n) - n
@@ -290,7 +289,7 @@ class Sampler:
 
     def _open(self, path: np.ndarray, before: np.ndarray, taken: list[tuple[int, int, float]], u: float, v: float) -> tuple[int, int, float]:
         """Of a region (a path's edges, log probabilities before them, children taken out of it) draws the decision and the sibling there, and gives the child's mass."""
-        share, low, high = self.share.data, self.low.data, self.high.data
+        share, low = self.share.data, self.low.data
         by_place: dict[int, list[tuple[int, float]]] = {}
         for t, e, m in taken:
             by_place.setdefault(t, []).append((e, m))
@@ -303,33 +302,37 @@ class Sampler:
         t = min(int(np.searchsorted(-before[1:], -limit, "right")), len(path) - 1)
         while True:  # steps back only where rounding has led to a decision without siblings left
             out = sorted([int(path[t]), *(e for e, _ in by_place.get(t, ()))])
-            room = ONE - sum(int(high[e] - low[e]) for e in out)
+            room = ONE - sum(map(self._width, out))
             if room > 0 or t == 0:
                 break
             t -= 1
         if room <= 0:
-            t = next(t for t in range(len(path)) if ONE > sum(int(high[e] - low[e]) for e in [int(path[t]), *(e for e, _ in by_place.get(t, ()))]))
+            t = next(t for t in range(len(path)) if ONE > sum(map(self._width, [int(path[t]), *(e for e, _ in by_place.get(t, ()))])))
             out = sorted([int(path[t]), *(e for e, _ in by_place.get(t, ()))])
-            room = ONE - sum(int(high[e] - low[e]) for e in out)
+            room = ONE - sum(map(self._width, out))
         x = min(int(v * room), room - 1)
         for e in out:
-            if x >= low[e]:
-                x += int(high[e] - low[e])
+            if x >= int(low[e]):
+                x += self._width(e)
         e = int(self.open.data[self.start.data[path[t]]])
-        while x >= high[e]:
+        while x > self.last.data[e]:
             e += 1
         return t, e, math.exp(before[t] + share[e])
 
     def _left(self, path: np.ndarray, before: np.ndarray, taken: list[tuple[int, int]]) -> float:
         """Mass of the siblings of a region's path that were not taken out; exactly 0 where there are none."""
-        low, high = self.low.data, self.high.data
-        room = ONE - (high[path] - low[path])
+        room = ONE - 1 - (self.last.data[path].astype(np.int64) - self.low.data[path])
         for t, e in taken:
-            room[t] -= high[e] - low[e]
+            room[t] -= self._width(e)
         return float((np.exp(before) * (room / ONE)).sum())
 
-    def _ids(self, edges: np.ndarray) -> np.ndarray:
-        return self.ids.data[ragged(self.id_at.data[edges], self.id_n.data[edges])]
+    def _width(self, e: int) -> int:
+        return int(self.last.data[e]) - int(self.low.data[e]) + 1
+
+    def _ids(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' ids, and how many each edge has."""
+        n, at = self.id_n.data[edges], self.id_at.data[edges]
+        return self.ids.data[at if (n == 1).all() else ragged(at, n)], n
 
 
 _samplers: dict[tuple, Sampler] = {}
