@@ -12,10 +12,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from allelix.functions.chroms import detect_chr_style, normalize_chr_names
 from allelix.functions.scalars import snp_key
+from allelix.tables import written
 
 COUNTS = ("ref_count", "alt_count", "oth_count")
 SNP_METRICS, CELL_METRICS = ("coverage", "non_zero_samples"), ("library_size", "non_zero_snps")
@@ -24,14 +24,17 @@ SNP_METRICS, CELL_METRICS = ("coverage", "non_zero_samples"), ("library_size", "
 def numbered(df: DataFrame, by: str | None = None) -> DataFrame:
     """df with `_ord`, 1-based: by a column, else by the order of its rows.
 
-    Rows are numbered in parallel: counted per partition, with the counts' prefix sums added (one number per partition).
+    The rows are written once with their partition and place in it, so that numbers and the ids made of them stay the
+    same whatever is computed from them later; the partitions' counts give each partition's first number.
     """
     if "_ord" in df.columns and by is None:
         return df
     names = [c for c in df.columns if c != "_ord"]
-    df = (df.orderBy(by) if by is not None else df).select(*names)
-    rows = df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1))
-    return df.sparkSession.createDataFrame(rows, StructType([*df.schema.fields, StructField("_ord", LongType(), False)]))
+    df = (df.orderBy(by) if by is not None else df).select(*names, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    rows = written(df, "numbered")
+    first = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    first = first.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(first), "_part").select(*names, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_ord"))
 
 
 def assign_snp_ids(snps: DataFrame) -> DataFrame:

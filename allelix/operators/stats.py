@@ -8,31 +8,33 @@ from pyspark.sql import functions as F
 from allelix.functions.binomial import binom_column
 from allelix.functions.scalars import smaller
 from allelix.model import AlleleCube
+from allelix.tables import written
 
 
 def bh_adjust(df: DataFrame, p: str = "p_val", weight: str | None = None, within: tuple[str, ...] = (), out: str = "adj_p_val", buckets: int = 64) -> DataFrame:
     """df with Benjamini-Hochberg adjusted p values; null p values stay null and do not count.
 
-    weight: how many tests a row stands for. within: columns that part the tests into families. The values are cut into
-    ranges of p, so that ranks and running minima are windows over a range, joined by the ranges' own sums and minima.
+    weight: how many tests a row stands for. within: columns that part the tests into families. Equal p values become
+    one row first, written once; these are cut into ranges of p, so that ranks and running minima are windows over a
+    range, joined by the ranges' own sums and minima.
     """
-    w = F.col(weight) if weight else F.lit(1)
-    # a row for each range bound and family, as few as buckets times families
-    cuts = df.filter(F.col(p).isNotNull()).groupBy(*within).agg(F.percentile_approx(p, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
     keys = list(within)
-    placed = df.join(cuts, keys, "left") if keys else df.crossJoin(F.broadcast(cuts))
-    placed = placed.withColumn("_range", F.when(F.col(p).isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col(p))))).drop("_cuts")
-    sums = placed.filter(F.col(p).isNotNull()).groupBy(*keys, "_range").agg(F.sum(w).alias("_n"))
-    family = Window.partitionBy(*keys)
-    sums = sums.withColumns({"_before": F.coalesce(F.sum("_n").over(family.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(family)}).drop("_n")
-    here = Window.partitionBy(*keys, "_range")
-    ranked = placed.join(sums, [*keys, "_range"], "left").withColumn("_rank", F.col("_before") + F.sum(w).over(here.orderBy(p)))
-    ranked = ranked.withColumn("_q", F.when(F.col(p).isNotNull(), F.col("_all") * F.col(p) / F.col("_rank")))
-    low = ranked.filter(F.col(p).isNotNull()).groupBy(*keys, "_range").agg(F.min("_q").alias("_least"))
+    distinct = df.filter(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_n"))
+    distinct = written(distinct, "p_values")
+    # a row for each family, with as many bounds as ranges
+    cuts = distinct.groupBy(*keys).agg(F.percentile_approx(p, [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    placed = distinct.join(cuts, keys) if keys else distinct.crossJoin(F.broadcast(cuts))
+    placed = placed.withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(p)))).drop("_cuts")
+    family, here = Window.partitionBy(*keys), Window.partitionBy(*keys, "_range")
+    sums = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_in").over(family.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_in").over(family)}).drop("_in")
+    ranked = placed.join(sums, [*keys, "_range"]).withColumn("_rank", F.col("_before") + F.sum("_n").over(here.orderBy(p)))
+    ranked = ranked.withColumn("_q", F.col("_all") * F.col(p) / F.col("_rank")).select(*keys, p, "_range", "_q")
+    low = ranked.groupBy(*keys, "_range").agg(F.min("_q").alias("_least"))
     low = low.withColumn("_later", F.min("_least").over(family.orderBy("_range").rowsBetween(1, Window.unboundedFollowing))).drop("_least")
-    done = ranked.join(low, [*keys, "_range"], "left").withColumn("_q", F.min("_q").over(here.orderBy(F.desc(p))))
-    value = F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "_q", F.coalesce("_later", F.lit(1.0))))
-    return done.withColumn(out, value).drop("_range", "_before", "_all", "_rank", "_q", "_later")
+    done = ranked.join(low, [*keys, "_range"]).withColumn("_q", F.min("_q").over(here.orderBy(F.desc(p))))
+    done = done.select(*keys, p, F.least(F.lit(1.0), "_q", F.coalesce("_later", F.lit(1.0))).alias(out))
+    return df.drop(out).join(done, [*keys, p], "left").select(*[c for c in df.columns if c != out], out)
 
 
 def check_counts(df: DataFrame) -> None:
@@ -52,7 +54,8 @@ def test_maf(df: DataFrame, p: float = 0.10, within: tuple[str, ...] = (), only:
     """df with minor_allele_count, p_val = P(X >= minor) under Binomial(ceil(total), p), and adj_p_val over all rows.
 
     within: families of the adjustment. only: a boolean column; other rows have null statistics and do not count.
-    The tail is computed once for each distinct pair, and ranks come from the pairs' counts.
+    df is written once, as it is read again for the pairs. The tail is computed once for each distinct pair, and ranks
+    come from the pairs' counts.
     """
     if check:
         check_counts(df)
@@ -60,8 +63,10 @@ def test_maf(df: DataFrame, p: float = 0.10, within: tuple[str, ...] = (), only:
     if only:
         minor = F.when(F.col(only), minor)
     df = df.drop("minor_allele_count", "p_val", "adj_p_val").withColumns({"minor_allele_count": minor, "_n": F.ceil("total_count")})
+    df = written(df, "counts")
     pairs = df.filter("minor_allele_count is not null and _n is not null").groupBy(*within, "minor_allele_count", "_n").agg(F.count("*").alias("_w"))
-    tested = bh_adjust(pairs.withColumn("p_val", binom_column(F.col("minor_allele_count"), F.col("_n"), p)), weight="_w", within=within).drop("_w")
+    pairs = written(pairs.withColumn("p_val", binom_column(F.col("minor_allele_count"), F.col("_n"), p)), "pairs")
+    tested = bh_adjust(pairs, weight="_w", within=within).drop("_w")
     return df.join(tested, [*within, "minor_allele_count", "_n"], "left").select(*[c for c in df.columns if c != "_n"], "p_val", "adj_p_val")
 
 

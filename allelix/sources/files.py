@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelix.tables import counted_up
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,9 +44,8 @@ def write_lines(lines: DataFrame, path: str, head: list[str] = (), gzip: bool =
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_ord, value) of a text file; numbers follow the file."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))
-    return spark.createDataFrame(rows, "_ord long, value string")
+    """(_ord, value) of a text file; numbers follow the file, whose splits are alike in each scan."""
+    return counted_up(spark.read.text(path), "_ord").select("_ord", "value")
 
 
 def delimited(spark: SparkSession, path: str, sep: str, names: list[str] | None = None) -> DataFrame:
