@@ -89,6 +89,13 @@ r as (select m.*, p_val, count(p_val) over ({by}) * p_val / count(p_val) over ({
 t as (select *, case when p_val is not null then least(1.0, min(q) over ({by}order by p_val desc nulls first range unbounded preceding)) end as adj_p_val from r)"""
 
 
+_P = "minor_allele_count, round(p_val, 6) as p_val, round(adj_p_val, 6) as adj_p_val"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("p_val", "adj_p_val")})
+
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -103,22 +110,22 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("barcode_counts", f"{_BASE}\nselect snp_id, gene_name, chrom, pos, cell_id, {_LONG} from counts join snps using (snp_id) where ref_count + alt_count > 0")
+@_query("barcode_counts", f"{_BASE},\ng as (select * from counts where ref_count + alt_count > 0),{_tested('g')}\nselect snp_id, gene_name, chrom, pos, cell_id, {_LONG}, {_P} from t join snps using (snp_id)")
 def _(spark, d):
-    return A.cell_counts(cube_of(spark, d), maf_test=False)
+    return _rounded(A.cell_counts(cube_of(spark, d)))
 
 
-@_query("donor_counts", f"{_BASE},\n{_grouped('donor')}\nselect snp_id, gene_name, chrom, pos, donor, {_LONG} from g join snps using (snp_id)")
+@_query("donor_counts", f"{_BASE},\n{_grouped('donor')},{_tested('g')}\nselect snp_id, gene_name, chrom, pos, donor, {_LONG}, {_P} from t join snps using (snp_id)")
 def _(spark, d):
-    return A.donor_counts(cube_of(spark, d), maf_test=False)
+    return _rounded(A.donor_counts(cube_of(spark, d)))
 
 
 _LIKELY = "k as (select clonotype, donor from (select clonotype, donor, row_number() over (partition by clonotype order by count(*) desc, donor) as rk from cells where donor is not null and clonotype is not null group by 1, 2) where rk = 1)"
 
 
-@_query("clonotype_counts_with_donor", f"{_BASE},\n{_grouped('clonotype')},\n{_LIKELY}\nselect snp_id, gene_name, chrom, pos, clonotype, donor, {_LONG} from g join snps using (snp_id) left join k using (clonotype)")
+@_query("clonotype_counts_with_donor", f"{_BASE},\n{_grouped('clonotype')},\n{_LIKELY},{_tested('g')}\nselect snp_id, gene_name, chrom, pos, clonotype, donor, {_LONG}, {_P} from t join snps using (snp_id) left join k using (clonotype)")
 def _(spark, d):
-    return A.clonotype_counts(cube_of(spark, d), maf_test=False)
+    return _rounded(A.clonotype_counts(cube_of(spark, d)))
 
 
 @_query("most_likely_donor", f"{_BASE.replace('n_name as donor', 'r_name as donor').replace(chr(39) + '_' + chr(39) + ' || c_mktsegment', chr(39) + '_' + chr(39) + ' || c_mktsegment')},\nk as (select segment, donor from (select right(clonotype, 3) as segment, donor, row_number() over (partition by right(clonotype, 3) order by count(*) desc, donor) as rk from cells group by 1, 2) where rk = 1)\nselect segment as clonotype, donor from k")
@@ -128,9 +135,9 @@ def _(spark, d):
     return A.most_likely_donor(AlleleCube(cube.counts, cube.snp_dim, cells, cube.chr_style))
 
 
-@_query("group_counts_custom", f"{_BASE},\n{_grouped('region')}\nselect snp_id, gene_name, chrom, pos, region, {_LONG} from g join snps using (snp_id)")
+@_query("group_counts_custom", f"{_BASE},\n{_grouped('region')},{_tested('g')}\nselect snp_id, gene_name, chrom, pos, region, {_LONG}, {_P} from t join snps using (snp_id)")
 def _(spark, d):
-    return A.group_counts(cube_of(spark, d), "region", maf_test=False)
+    return _rounded(A.group_counts(cube_of(spark, d), "region"))
 
 
 _SNP_METRICS = "select snp_id, cast(coalesce(sum(ref_count + alt_count), 0) as bigint) as coverage, count(*) filter (ref_count + alt_count > 0) as non_zero_samples"
@@ -171,9 +178,9 @@ def _(spark, d):
     return R.remove_doublets(_with_odd_donors(cube_of(spark, d))).cells.select("cell_id", "donor", "library_size")
 
 
-@_query("remove_na_group", f"{_ODD},\n{_grouped('clonotype')}\nselect snp_id, clonotype, {_LONG} from g")
+@_query("remove_na_group", f"{_ODD},\n{_grouped('clonotype')},{_tested('g')}\nselect snp_id, clonotype, {_LONG}, {_P} from t")
 def _(spark, d):
-    return A.group_counts(R.remove_na_clonotypes(_with_odd_donors(cube_of(spark, d))), "clonotype", maf_test=False).drop("gene_name", "chrom", "pos")
+    return _rounded(A.group_counts(R.remove_na_clonotypes(_with_odd_donors(cube_of(spark, d))), "clonotype")).drop("gene_name", "chrom", "pos")
 
 
 @_query("donor_counts_exclusion", f"{_ODD},\n{_grouped('donor', more=chr(100) + 'onor not in (' + chr(39) + 'doublet' + chr(39) + ', ' + chr(39) + 'unassigned' + chr(39) + ')')}\nselect snp_id, donor, ref_count, alt_count from g")
@@ -263,21 +270,32 @@ def _(spark, d):
     return first_of_each(assign_snp_ids(snps)).select("snp_id", "pos")
 
 
-_TWO = "with " + _counts_sql("cx", "o_orderdate < date '1996-01-01' and p_brand < 'Brand#4'") + ",\n" + _counts_sql("cy", "o_orderdate >= date '1995-01-01' and p_brand >= 'Brand#2'") + ",\nu as (select * from cx union all select * from cy), sx as (select distinct p_brand || ':' || p_type as snp_id from part where p_brand < 'Brand#4'), sy as (select distinct p_brand || ':' || p_type as snp_id from part where p_brand >= 'Brand#2'), lx as (select cast(c_custkey as varchar) as cell_id from customer where c_custkey % 3 <> 0), ly as (select cast(c_custkey as varchar) as cell_id from customer where c_custkey % 3 <> 1)"
+def _two_sql(query: str) -> str:
+    """SQL over two overlapping cubes: orders up to 1995 and from 1995 on. Some SNPs and cells go by other names in one of them, so each has ids of its own."""
+    snp_x, snp_y = "case when snp_id >= 'Brand#4' then 'old:' || snp_id else snp_id end", "case when snp_id < 'Brand#2' then 'new:' || snp_id else snp_id end"
+    cell_x, cell_y = "case when cast(cell_id as bigint) % 3 = 0 then 'x' || cell_id else cell_id end", "case when cast(cell_id as bigint) % 3 = 1 then 'y' || cell_id else cell_id end"
+    sides = [f"""
+u{k} as (select {snp} as snp_id, {cell} as cell_id, ref_count, alt_count, oth_count from c{k}),
+s{k} as (select {snp} as snp_id, gene_name, pos from snps), l{k} as (select {cell} as cell_id, ord from cells)""" for k, snp, cell in (("x", snp_x, cell_x), ("y", snp_y, cell_y))]
+    return "with " + _counts_sql("cx", "o_orderdate < date '1996-01-01'") + ",\n" + _counts_sql("cy", "o_orderdate >= date '1995-01-01'") + ",\n" + _DIMS + "," + ",".join(sides) + ",\nu as (select * from ux union all select * from uy)\n" + query
+
+
 _SUMS = "select snp_id, cell_id, cast(sum(ref_count) as bigint) as ref_count, cast(sum(alt_count) as bigint) as alt_count, cast(sum(oth_count) as bigint) as oth_count"
 
 
-def _pair(spark, d) -> tuple[AlleleCube, AlleleCube]:
+def _pair(spark, d, barcodes: bool = False) -> tuple[AlleleCube, AlleleCube]:
     out = []
-    for when, snps, cells in ((_X, "gene_name < 'Brand#4'", "_ord % 3 != 0"), (_Y, "gene_name >= 'Brand#2'", "_ord % 3 != 1")):
+    for when, snp, cell in ((_X, F.when(F.col("snp_id") >= "Brand#4", "old:"), F.when(F.col("cell_id").cast("long") % 3 == 0, "x")), (_Y, F.when(F.col("snp_id") < "Brand#2", "new:"), F.when(F.col("cell_id").cast("long") % 3 == 1, "y"))):
         cube = cube_of(spark, d, when)
-        out.append(cube.keep(cube.snp_dim.filter(snps), cube.cell_dim.drop("barcode").filter(cells)))
-    return tuple(AlleleCube(c.counts, c.snp_dim, c.cell_dim.drop("barcode"), c.chr_style) for c in out)
+        names = {"snp_id": F.concat(F.coalesce(snp, F.lit("")), "snp_id"), "cell_id": F.concat(F.coalesce(cell, F.lit("")), "cell_id")}
+        cells = cube.cell_dim.withColumn("cell_id", names["cell_id"])
+        cells = cells.withColumn("barcode", F.concat(F.lit("BC"), "cell_id")) if barcodes else cells.drop("barcode")
+        out.append(AlleleCube(cube.counts.withColumns(names), cube.snp_dim.withColumn("snp_id", names["snp_id"]), cells, cube.chr_style))
+    return tuple(out)
 
 
 def _merge_sql(snps: str, cells: str) -> str:
-    mine = _TWO.replace("u as (select * from cx union all select * from cy)", "ux as (select cx.* from cx), uy as (select cy.* from cy)")
-    return f"{mine}, u as (select * from ux where cell_id in (select cell_id from lx) union all select * from uy where cell_id in (select cell_id from ly))\n{_SUMS} from u where snp_id in ({snps}) and cell_id in ({cells}) group by 1, 2 having sum(ref_count + alt_count + oth_count) > 0"
+    return _two_sql(f"{_SUMS} from u where snp_id in ({snps}) and cell_id in ({cells}) group by 1, 2 having sum(ref_count + alt_count + oth_count) > 0")
 
 
 def _either(a: str, b: str, key: str, how: str) -> str:
