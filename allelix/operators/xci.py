@@ -1,21 +1,21 @@
 """X-inactivation: which X is inactive in each cell or clonotype, fitted for all donors at once.
 
-Selecting SNPs is DataFrame work over all donors; the fit of a donor runs in one group of an Arrow-backed apply, on the
-covered entries of at most one SNP per gene. A donor that cannot be fitted is left out; if none can be, it is an error.
+Selecting SNPs is DataFrame work over all donors; the fit runs over the covered entries of at most one SNP per gene, with
+units spread over tasks. A donor that cannot be fitted is left out; if none can be, it is an error.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from allelix.model import AlleleCube
+from allelix.model import AlleleCube, numbered
 from allelix.operators.aggregate import top_snp_per_gene
 from allelix.operators.filters import require_clonotypes
-from allelix.operators.stats import donor_het_status
-from allelix.operators.xci_kernel import infer
+from allelix.operators.stats import donor_het_status, outlier_genes
+from allelix.operators.xci_kernel import gene_evidence, kept_genes, posteriors, run_em
+from allelix.tables import written
 
 XCI_CELL = ("inactive_x", "xci_post_X1", "xci_fit_unit")
 XCI_SNP = ("xci_informative", "xci_informative_donor", "xci_allele_on_x1", "xci_escape_fraction")
@@ -44,32 +44,58 @@ def _entries(cube: AlleleCube, snps: DataFrame, by: str) -> DataFrame:
     return e.groupBy("donor", F.col(unit).alias("unit"), "snp_id").agg(F.sum("ref_count").alias("ref_count"), F.sum("alt_count").alias("alt_count"))
 
 
+def pack(entries: DataFrame, genes: DataFrame) -> DataFrame:
+    """A row for each unit: its covered genes, reference counts and depths. genes: (donor, snp_id, donor_no, gene)."""
+    e = entries.join(F.broadcast(genes), ["donor", "snp_id"]).withColumn("n", F.col("ref_count") + F.col("alt_count")).filter("n >= 1")
+    rows = e.groupBy(F.col("donor_no").alias("donor"), "unit").agg(F.sort_array(F.collect_list(F.struct("gene", F.col("ref_count").cast("int").alias("ref"), F.col("n").cast("int").alias("n")))).alias("e"))  # at most as many as genes
+    return written(rows.select("donor", F.col("unit").cast("string").alias("unit"), F.col("e.gene").alias("genes"), F.col("e.ref").alias("refs"), F.col("e.n").alias("depths")), "units")
+
+
 def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False) -> DataFrame:
-    """Rows of two kinds: unit (donor, name, post, label) and snp (donor, name, label = phase, post = escape fraction)."""
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["unit", "snp_id"])
-        units, u = np.unique(rows["unit"].to_numpy(str), return_inverse=True)
-        snps, s = np.unique(rows["snp_id"].to_numpy(str), return_inverse=True)
-        try:
-            r = infer(s, u, rows["ref_count"].to_numpy(np.int64), rows["alt_count"].to_numpy(np.int64), len(snps), len(units), n_inits, confidence_threshold, refit_after_filter)
-        except ValueError:
-            return pd.DataFrame(columns=["donor", "kind", "name", "label", "post"])
-        a = pd.DataFrame({"kind": "unit", "name": units[r["unit"]], "label": r["label"], "post": r["post"]})
-        b = pd.DataFrame({"kind": "snp", "name": snps[r["gene"]], "label": r["phase"], "post": r["escape"]})
-        out = pd.concat([a, b])
-        out.insert(0, "donor", rows["donor"].iloc[0])
-        return out
+    """Rows of two kinds: unit (donor, name, post, label) and snp (donor, name, label = phase, post = escape fraction).
 
+    A round of the fit is one job over all donors' units, whatever their number; the genes of a chromosome, by donor, are
+    with the driver.
+    """
     if by == "clonotype":
         require_clonotypes(cube)
-    entries = _entries(cube, informative_snps(cube), by)
-    return entries.groupBy("donor").applyInPandas(one, "donor string, kind string, name string, label string, post double")
+    spark = cube.counts.sparkSession
+    entries = written(_entries(cube, informative_snps(cube), by), "entries")
+    usual = outlier_genes(entries.withColumnRenamed("snp_id", "gene"), within=("donor",)).filter("keep").select("donor", "gene")
+    names: dict[str, list[str]] = {}
+    for r in usual.orderBy("donor", "gene").collect():  # one gene each, of one chromosome
+        names.setdefault(r["donor"], []).append(r["gene"])
+    donors = sorted(names)
+
+    def numbered_genes(lists: dict[int, list[str]]) -> DataFrame:
+        return spark.createDataFrame([(donors[d], snp, d, k) for d, snps in lists.items() for k, snp in enumerate(snps)], "donor string, snp_id string, donor_no int, gene int")
+
+    lists = {d: names[x] for d, x in enumerate(donors)}
+    packed = pack(entries, numbered_genes(lists))
+    seen = packed
+    fits = run_em(packed, {d: len(x) for d, x in lists.items()}, n_inits)
+    evidence = gene_evidence(packed, fits)
+    keep = {d: kept_genes(evidence[d], f["pi"]) for d, f in fits.items()}
+    if refit_after_filter:
+        again = {d: [x for x, k in zip(lists[d], keep[d], strict=True) if k] for d in fits if keep[d].any() and not keep[d].all()}
+        if again:
+            fewer = pack(entries, numbered_genes(again))
+            packed = packed.filter(~F.col("donor").isin(list(again))).unionByName(fewer)
+            fits |= run_em(fewer, {d: len(x) for d, x in again.items()}, n_inits)
+            lists |= again
+            keep |= {d: np.ones(len(x), bool) for d, x in again.items()}
+    post = F.coalesce("post", F.lit(0.5))  # of a unit that has none of the kept genes
+    label = F.when(post >= confidence_threshold, "X1").when(post <= 1 - confidence_threshold, "X2").otherwise("unassigned")
+    called = seen.select("donor", "unit").join(posteriors(packed, fits), ["donor", "unit"], "left")
+    named = spark.createDataFrame(list(enumerate(donors)), "donor int, name string")
+    units = called.join(F.broadcast(named), "donor").select(F.col("name").alias("donor"), F.lit("unit").alias("kind"), F.col("unit").alias("name"), label.alias("label"), post.alias("post"))
+    snps = [(donors[d], "snp", lists[d][k], "ALT" if f["h"][k] else "REF", float(f["pi"][k])) for d, f in fits.items() for k in np.flatnonzero(keep[d])]
+    return units.unionByName(spark.createDataFrame(snps, "donor string, kind string, name string, label string, post double"))
 
 
 def assign_inactive_x(cube: AlleleCube, n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False, by: str = "cell", strict: bool = True) -> AlleleCube:
     """The cube with inactive_x, xci_post_X1 and xci_fit_unit of cells, and the xci columns of SNPs."""
-    fitted = fit(cube, by, n_inits, confidence_threshold, refit_after_filter).cache()
+    fitted = written(fit(cube, by, n_inits, confidence_threshold, refit_after_filter), "fitted")
     if strict and fitted.isEmpty():
         raise ValueError("no donor could be fitted")
     key = "cell_id" if by == "cell" else "clonotype"
@@ -116,9 +142,10 @@ def heatmap_frame(cube: AlleleCube, donor: str, min_coverage_cells: int = 1, max
     e = cube.counts.join(snps, "snp_id").join(cells, "cell_id").withColumn("depth", F.col("ref_count") + F.col("alt_count")).filter("depth > 0").withColumn("ref_fraction", F.col("ref_count") / F.col("depth"))
     mean = lambda x: (F.sum(F.when(F.col("inactive_x") == x, F.col("ref_fraction")).otherwise(0.0)) + 2.5) / (F.count_if(F.col("inactive_x") == x) + 5)
     genes = e.groupBy("gene").agg(F.count("*").alias("covered"), F.abs(mean("X1") - mean("X2")).alias("discrimination")).filter(F.col("covered") >= min_coverage_cells)
-    genes = genes.withColumn("gene_order", F.row_number().over(Window.orderBy(F.desc("discrimination"), "gene")))  # one row per gene
-    if max_genes is not None:
-        genes = genes.filter(F.col("gene_order") <= max_genes)
+    genes = genes.withColumn("sort", F.struct((-F.col("discrimination")).alias("less"), "gene"))
+    genes = genes.orderBy("sort").limit(max_genes) if max_genes is not None else genes
+    genes = numbered(genes, by="sort").withColumnRenamed("_ord", "gene_order")
     e = e.join(genes.select("gene", "gene_order", "discrimination"), "gene")
-    units = e.select("cell_id", "xci_post_X1").distinct().withColumn("unit_order", F.row_number().over(Window.orderBy(F.desc_nulls_last("xci_post_X1"), "cell_id"))).drop("xci_post_X1")
+    units = e.select("cell_id", F.struct((-F.col("xci_post_X1")).alias("less"), "cell_id").alias("sort")).distinct()
+    units = numbered(units, by="sort").withColumnRenamed("_ord", "unit_order").drop("sort")
     return e.join(units, "cell_id").select("cell_id", "gene", "ref_fraction", "depth", "inactive_x", "xci_post_X1", "unit_order", "gene_order", "discrimination")

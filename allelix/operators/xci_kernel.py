@@ -1,138 +1,211 @@
-"""Beta-binomial expectation maximisation for one donor's X-inactivation, in numpy.
+"""Beta-binomial expectation maximisation for X-inactivation, over units spread across tasks.
 
 Each unit (cell or clonotype) has one of two X chromosomes inactive; each gene has a phase h (whether the alternate
 allele lies on X1) and an escape fraction pi, the share of reads from the inactive chromosome. Given phase and
 inactive X, the reference count is beta-binomial with mean pi or 1 - pi and fixed overdispersion.
+
+A unit is one row with arrays of its covered genes. The state of a donor is a pair of arrays (restarts x genes), as many
+numbers as genes on one chromosome, and travels to the tasks; a round adds up what each task finds for all restarts at
+once, by donor, and the driver makes the next state of it. So no task holds a donor's units together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-
-from allelix.functions.binomial import log_beta
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 RHO, PI_START, PI_LOW, PI_HIGH = 0.05, 0.05, 0.001, 0.499
+PACKED = "donor int, unit string, genes array<int>, refs array<int>, depths array<int>"
+MOST_BYTES = 32 << 20  # of sums that tasks send to the driver
+SUMS = "donor int, sums binary, value binary"
 
 
 @dataclass
-class Data:
-    """Covered entries: gene and unit numbers, reference count, depth; and the distinct (ref, n, gene)."""
+class State:
+    """Of one donor: phases and escape fractions (restarts x genes), and which restarts still change."""
 
-    gene: np.ndarray
-    unit: np.ndarray
-    ref: np.ndarray
-    n: np.ndarray
-    genes: int
-    units: int
+    h: np.ndarray
+    pi: np.ndarray
+    live: np.ndarray
 
-    def __post_init__(self):
-        rows = np.stack([self.ref, self.n, self.gene], 1)
-        self.distinct, self.index = np.unique(rows, axis=0, return_inverse=True)
-        self.index = self.index.reshape(-1)
+    @staticmethod
+    def start(genes: int, seeds: list[int]) -> State:
+        h = np.stack([np.random.default_rng(s).integers(0, 2, genes) for s in seeds])
+        return State(h, np.full(h.shape, PI_START), np.ones(len(seeds), bool))
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """By Stirling's series, after the argument was raised by eight; relative error about 1e-15."""
+    low = np.ones_like(x)
+    for k in range(8):
+        low = low * (x + k)
+    y = x + 8
+    z = 1 / (y * y)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z * (1 / 1188 - z * (691 / 360360 - z / 156)))))) / y
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(low)
 
 
 def log_kernel(ref: np.ndarray, n: np.ndarray, p: np.ndarray, rho: float = RHO) -> np.ndarray:
     """Beta-binomial log likelihood without the binomial coefficient, which cancels in every comparison."""
     a, b = p * (1 - rho) / rho, (1 - p) * (1 - rho) / rho
-    return log_beta(ref + a, n - ref + b) - log_beta(a, b)
-
-
-def both(d: Data, pi: np.ndarray, rho: float = RHO) -> tuple[np.ndarray, np.ndarray]:
-    """Log likelihoods with the reference allele on the inactive and on the active X, from distinct arguments."""
-    ref, n, g = d.distinct.T
-    return log_kernel(ref, n, pi[g], rho)[d.index], log_kernel(ref, n, 1 - pi[g], rho)[d.index]
-
-
-def e_step(d: Data, h: np.ndarray, ll: tuple[np.ndarray, np.ndarray], prior: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-    sign = np.where(h[d.gene] == 0, 1.0, -1.0)
-    odds = np.bincount(d.unit, sign * (ll[0] - ll[1]), d.units) + np.log(prior / (1 - prior))
-    return sigmoid(odds), odds
+    whole = (1 - rho) / rho
+    return log_gamma(ref + a) + log_gamma(n - ref + b) - log_gamma(n + whole) - log_gamma(a) - log_gamma(b) + log_gamma(np.full(1, whole))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def phase_step(d: Data, post: np.ndarray, h: np.ndarray, ll: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """h = 1 only where it is strictly better; genes without data keep theirs."""
-    w = post[d.unit]
-    zero = np.bincount(d.gene, w * ll[0] + (1 - w) * ll[1], d.genes)
-    one = np.bincount(d.gene, w * ll[1] + (1 - w) * ll[0], d.genes)
-    seen = np.bincount(d.gene, minlength=d.genes) > 0
-    return np.where(seen, (one > zero).astype(int), h)
-
-
-def escape_step(d: Data, post: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Share of reads from the inactive chromosome, within bounds."""
-    inactive_ref = np.where(h[d.gene] == 0, post[d.unit], 1 - post[d.unit])
-    inactive = np.bincount(d.gene, inactive_ref * d.ref + (1 - inactive_ref) * (d.n - d.ref), d.genes)
-    total = np.bincount(d.gene, d.n, d.genes)
-    return np.where(total > 0, np.clip(inactive / np.maximum(total, 1), PI_LOW, PI_HIGH), PI_START)
+@dataclass
+class Units:
+    """Units of one donor: of each entry its unit, gene, reference count and depth."""
 
+    unit: np.ndarray
+    gene: np.ndarray
+    ref: np.ndarray
+    n: np.ndarray
+    units: int
 
-def run_em(d: Data, seed: int, most: int = 50, tolerance: float = 1e-4) -> dict:
-    rng = np.random.default_rng(seed)
-    h, pi, last = rng.integers(0, 2, d.genes), np.full(d.genes, PI_START), -np.inf
-    post = np.full(d.units, 0.5)
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> Units:
+        genes = batch.column("genes")
+        sizes = np.diff(genes.offsets.to_numpy())
+        values = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("genes", "refs", "depths"))
+        return Units(np.repeat(np.arange(len(sizes)), sizes), *values, len(sizes))
+
+    def expectation(self, h: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For one state: log likelihoods with the reference allele on the inactive and the active X, of entries; log odds of X1, of units.
+
+        The likelihoods are worked out once for each distinct (ref, n, gene).
+        """
+        if not hasattr(self, "distinct"):
+            rows = np.stack([self.ref, self.n, self.gene], 1)
+            self.distinct, index = np.unique(rows, axis=0, return_inverse=True)
+            self.index = index.reshape(-1)
+        ref, n, g = self.distinct.T
+        inactive, active = log_kernel(ref, n, pi[g])[self.index], log_kernel(ref, n, 1 - pi[g])[self.index]
+        sign = np.where(h[self.gene] == 0, 1.0, -1.0)
+        return inactive, active, np.bincount(self.unit, sign * (inactive - active), self.units)
+
+    def sums(self, state: State) -> tuple[np.ndarray, np.ndarray]:
+        """What the next state is made of: (restarts x 5 x genes) evidence for both phases, reads by the first phase, reads, entries; and log likelihoods."""
+        genes = state.h.shape[1]
+        out, value = np.zeros((len(state.h), 5, genes)), np.zeros(len(state.h))
+        for k in np.flatnonzero(state.live):
+            inactive, active, odds = self.expectation(state.h[k], state.pi[k])
+            value[k] = -np.logaddexp(0, -odds).sum()
+            w = sigmoid(odds)[self.unit]
+            per = (w * inactive + (1 - w) * active, w * active + (1 - w) * inactive, w * self.ref + (1 - w) * (self.n - self.ref), self.n, np.ones(len(w)))
+            out[k] = [np.bincount(self.gene, x, genes) for x in per]
+        return out, value
+
+    def evidence(self, h: np.ndarray, pi: np.ndarray, odds: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each gene, weighted by the units' probability of X1."""
+        inactive, active, _ = self.expectation(h, pi)
+        sign = np.where(h[self.gene] == 0, 1.0, -1.0)
+        return np.bincount(self.gene, sigmoid(odds)[self.unit] * sign * (inactive - active), len(h))
+
+
+def by_donor(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        donor = batch.column("donor").to_numpy()
+        for d in np.unique(donor):
+            yield int(d), batch.filter(pa.array(donor == d))
+
+
+def added_up(packed: DataFrame, work, shapes: dict[int, tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By donor, the sums over all its units of work(donor, units): two arrays.
+
+    Tasks add up what they see. What they send meets by donor before it comes to the driver, unless it is little.
+    """
+
+    def total(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[np.ndarray]] = {}
+        for d, a, b in rows:
+            if d in found:
+                found[d][0] += a
+                found[d][1] += b
+            else:
+                found[d] = [a.copy(), b.copy()]
+        for d, (a, b) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["donor", "sums", "value"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield row["donor"], np.frombuffer(row["sums"]), np.frombuffer(row["value"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total((d, *work(d, Units.of(some))) for d, some in by_donor(batches) if d in shapes)
+
+    parts = packed.mapInArrow(each, SUMS)
+    size = 8 * sum(int(np.prod(a)) + b for a, b in shapes.values())
+    if size * packed.rdd.getNumPartitions() > MOST_BYTES:
+        parts = parts.repartition("donor").mapInArrow(lambda batches: total(read(batches)), SUMS)
+    rows = total((r["donor"], np.frombuffer(r["sums"]), np.frombuffer(r["value"])) for r in parts.collect())
+    out = {}
+    for r in (x for batch in rows for x in batch.to_pylist()):
+        a, b = shapes[r["donor"]]
+        out[r["donor"]] = np.frombuffer(r["sums"]).reshape(a), np.frombuffer(r["value"]).reshape(b)
+    return out
+
+
+def run_em(packed: DataFrame, genes: dict[int, int], n_inits: int, most: int = 50, tolerance: float = 1e-4) -> dict[int, dict]:
+    """By donor the best of n_inits restarts: h and pi, those that its posteriors were made with, and the likelihood.
+
+    genes: number of genes by donor. A restart ends when its likelihood stays, and the first of equal ones is taken.
+    """
+    now = {d: State.start(n, list(range(1, n_inits + 1))) for d, n in genes.items()}
+    used = {d: (s.h, s.pi) for d, s in now.items()}
+    last = {d: np.full(n_inits, -np.inf) for d in genes}
     for _ in range(most):
-        ll = both(d, pi)
-        post, odds = e_step(d, h, ll)
-        value = float(-np.logaddexp(0, -odds).sum())
-        h = phase_step(d, post, h, ll)
-        pi = escape_step(d, post, h)
-        if abs(value - last) < tolerance:
+        live = {d: s for d, s in now.items() if s.live.any()}
+        if not live:
             break
-        last = value
-    return {"post": post, "h": h, "pi": pi, "ll": value}
-
-
-def gene_evidence(d: Data, fit: dict) -> np.ndarray:
-    """Log-likelihood ratio of each gene, weighted by the units' probability of X1."""
-    ll = both(d, fit["pi"])
-    sign = np.where(fit["h"][d.gene] == 0, 1.0, -1.0)
-    return np.bincount(d.gene, fit["post"][d.unit] * sign * (ll[0] - ll[1]), d.genes)
+        found = added_up(packed, lambda d, units, live=live: units.sums(live[d]), {d: ((n_inits, 5, genes[d]), n_inits) for d in live})
+        for d, (sums, value) in found.items():
+            s = now[d]
+            zero, one, first, reads, seen = (sums[:, i] for i in range(5))
+            on = s.live[:, None]
+            # h = 1 only where it is strictly better; genes without entries keep theirs
+            h = np.where(on & (seen > 0), (one > zero).astype(int), s.h)
+            inactive = np.where(h == 0, first, reads - first)
+            pi = np.where(on, np.where(reads > 0, np.clip(inactive / np.maximum(reads, 1), PI_LOW, PI_HIGH), PI_START), s.pi)
+            used[d] = np.where(on, s.h, used[d][0]), np.where(on, s.pi, used[d][1])
+            done = np.abs(value - last[d]) < tolerance
+            last[d] = np.where(s.live, value, last[d])
+            now[d] = State(h, pi, s.live & ~done)
+    best = {d: int(np.argmax(last[d])) for d in genes}
+    return {d: {"h": now[d].h[k], "pi": now[d].pi[k], "h_used": used[d][0][k], "pi_used": used[d][1][k], "ll": last[d][k]} for d, k in best.items()}
+
+
+def gene_evidence(packed: DataFrame, fits: dict[int, dict]) -> dict[int, np.ndarray]:
+    def work(d: int, units: Units) -> tuple[np.ndarray, np.ndarray]:
+        f = fits[d]
+        return units.evidence(f["h"], f["pi"], units.expectation(f["h_used"], f["pi_used"])[2]), np.zeros(1)
+
+    return {d: s for d, (s, _) in added_up(packed, work, {d: ((len(f["h"]),), 1) for d, f in fits.items()}).items()}
+
+
+def kept_genes(evidence: np.ndarray, pi: np.ndarray, threshold: float = 2.0) -> np.ndarray:
+    """Genes that speak for the assignment and do not escape more than usual."""
+    middle = np.median(pi)
+    spread = 1.4826 * np.median(np.abs(pi - middle))
+    usual = (pi - middle) / spread <= threshold if spread > 0 else np.ones(len(pi), bool)
+    return (evidence > 0) & usual
 
 
-def ordinary_genes(ref: np.ndarray, alt: np.ndarray, gene: np.ndarray, genes: int, min_units: int = 10, min_cov: int = 1, threshold: float = 2.0) -> np.ndarray:
-    """Genes covered in enough units whose skew is within `threshold` robust deviations of the median."""
-    c = ref + alt >= min_cov
-    covered = np.bincount(gene[c], minlength=genes)
-    up = np.bincount(gene[c], ref[c] > alt[c], genes)
-    enough = covered >= min_units
-    if not enough.any():
-        raise ValueError("insufficient data: no gene is covered in enough units")
-    s = up / np.maximum(covered, 1)
-    s = np.maximum(s, 1 - s)
-    middle = np.median(s[enough])
-    spread = 1.4826 * np.median(np.abs(s[enough] - middle))
-    return enough & ((np.abs(s - middle) / spread <= threshold) if spread > 0 else True)
+def posteriors(packed: DataFrame, fits: dict[int, dict]) -> DataFrame:
+    """(donor, unit, post): each unit's probability that X1 is inactive."""
 
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for d, some in by_donor(batches):
+            if d in fits:
+                post = sigmoid(Units.of(some).expectation(fits[d]["h_used"], fits[d]["pi_used"])[2])
+                yield pa.RecordBatch.from_arrays([some.column("donor"), some.column("unit"), pa.array(post)], ["donor", "unit", "post"])
 
-def kept_genes(d: Data, fit: dict, threshold: float = 2.0) -> np.ndarray:
-    """Genes that speak for the assignment and do not escape more than usual."""
-    middle = np.median(fit["pi"])
-    spread = 1.4826 * np.median(np.abs(fit["pi"] - middle))
-    usual = (fit["pi"] - middle) / spread <= threshold if spread > 0 else np.ones(d.genes, bool)
-    return (gene_evidence(d, fit) > 0) & usual
-
-
-def infer(gene: np.ndarray, unit: np.ndarray, ref: np.ndarray, alt: np.ndarray, genes: int, units: int, n_inits: int = 10, confidence: float = 0.95, refit: bool = False) -> dict:
-    """Assignments of units and haplotypes of genes; gene numbers are the given ones."""
-    good = ordinary_genes(ref, alt, gene, genes)
-    number = np.cumsum(good) - 1
-    some = good[gene] & (ref + alt >= 1)
-    names = np.flatnonzero(good)
-    d = Data(number[gene[some]], unit[some], ref[some], (ref + alt)[some], len(names), units)
-    fit = max((run_em(d, s) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])  # the first of equal ones
-    keep = kept_genes(d, fit)
-    if refit and keep.any() and not keep.all():
-        again = np.cumsum(keep) - 1
-        s = keep[d.gene]
-        d2 = Data(again[d.gene[s]], d.unit[s], d.ref[s], d.n[s], int(keep.sum()), units)
-        fit = max((run_em(d2, s) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])
-        names, keep = names[keep], np.ones(int(keep.sum()), bool)
-    seen = np.bincount(unit[some], minlength=units) > 0
-    label = np.where(fit["post"] >= confidence, "X1", np.where(fit["post"] <= 1 - confidence, "X2", "unassigned")).astype(object)
-    return {"unit": np.arange(units)[seen], "post": fit["post"][seen], "label": label[seen], "gene": names[keep], "phase": np.where(fit["h"][keep] == 0, "REF", "ALT"), "escape": fit["pi"][keep]}
+    return packed.mapInArrow(judge, "donor int, unit string, post double")

@@ -2,13 +2,14 @@ import math
 import warnings
 
 import numpy as np
+import plain_xci
 import pytest
 from pyspark.sql import functions as F
 
 from allelix import queries
 from allelix.functions.binomial import binom_tail
 from allelix.functions.chroms import convert_chr_style, normalize_chr_names, style_of
-from allelix.model import AlleleCube
+from allelix.model import AlleleCube, numbered
 from allelix.operators import aggregate as A
 from allelix.operators import annotate as N
 from allelix.operators import filters as R
@@ -224,12 +225,38 @@ def test_registered_fits_use_every_restart(spark, monkeypatch, name):
     assert tried == [10]
 
 
-def test_kernel_on_distinct_arguments_is_the_same():
-    rng = np.random.default_rng(0)
-    n = rng.integers(1, 5, 200)
-    d = K.Data(rng.integers(0, 4, 200), rng.integers(0, 30, 200), rng.binomial(n, 0.4), n, 4, 30)
-    pi = np.array([0.1, 0.2, 0.3, 0.05])
-    assert np.allclose(K.both(d, pi)[0], K.log_kernel(d.ref, d.n, pi[d.gene]))
+def test_log_gamma():
+    x = np.concatenate([np.linspace(0.001, 40, 5000), [1e3, 1e6]])
+    assert np.allclose(K.log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-13)
+
+
+@pytest.mark.parametrize("by, refit", [("cell", False), ("clonotype", False), ("cell", True)])
+def test_spread_fit_is_the_plain_one(spark, monkeypatch, by, refit):
+    """Two donors, odd genes and many partitions against a fit of each donor at once."""
+    if refit:
+        monkeypatch.setattr(K, "MOST_BYTES", 0)
+    rng = np.random.default_rng(7)
+    genes, cells = 24, 120
+    phase, group, escape = rng.integers(0, 2, genes), rng.integers(0, 2, cells), np.where(np.arange(genes) % 8 == 0, 0.4, 0.06)
+    p = np.where(phase[:, None] == group, escape[:, None], 1 - escape[:, None])
+    depth = rng.poisson(6, (genes, cells))
+    ref = rng.binomial(depth, p)
+    snps = spark.createDataFrame([("X", 1000 * (i + 1), "A", "G", f"g{i}") for i in range(genes)], "chrom string, pos int, ref string, alt string, gene_name string")
+    frame = spark.createDataFrame([(f"c{j:03d}", f"d{j % 2}", f"t{group[j]}{j % 2}_{j // 6}") for j in range(cells)], "cell_id string, donor string, clonotype string").repartition(7)
+    cube = AlleleCube.from_arrays(spark, ref, depth - ref, snps, numbered(frame, by="cell_id"))
+    got = X.fit(cube, by, 3, 0.95, refit).toPandas()
+    entries = X._entries(cube, X.informative_snps(cube), by).toPandas().sort_values(["unit", "snp_id"])
+    assert len(got) > 40 and got.donor.nunique() == 2
+    for donor, rows in entries.groupby("donor"):
+        units, u = np.unique(rows["unit"].to_numpy(str), return_inverse=True)
+        names, s = np.unique(rows["snp_id"].to_numpy(str), return_inverse=True)
+        want = plain_xci.infer(s, u, rows["ref_count"].to_numpy(np.int64), rows["alt_count"].to_numpy(np.int64), len(names), len(units), 3, 0.95, refit)
+        mine = got[got.donor == donor]
+        a, b = mine[mine.kind == "unit"].set_index("name"), mine[mine.kind == "snp"].set_index("name")
+        assert sorted(a.index) == sorted(units[want["unit"]]) and sorted(b.index) == sorted(names[want["gene"]])
+        assert np.allclose(a.loc[units[want["unit"]]].post, want["post"], atol=1e-6) and a.loc[units[want["unit"]]].label.tolist() == want["label"].tolist()
+        assert b.loc[names[want["gene"]]].label.tolist() == want["phase"].tolist() and np.allclose(b.loc[names[want["gene"]]].post, want["escape"], atol=1e-6)
+
 
 
 def test_streaming_sums(spark, tmp_path):
