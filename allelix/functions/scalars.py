@@ -15,10 +15,6 @@ def smaller(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
 
 
-def larger(a: Column, b: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
-
-
 def expression(ref: Column, alt: Column) -> Column:
     """Depth-weighted allelic expression: (ref - alt) / (ref + alt + 1) * ln(1 + ref + alt)."""
     total = ref + alt
@@ -36,6 +32,7 @@ def in_list(names: Column, name: str) -> Column:
 
 
 def title(name: str) -> str:
+    """A column's name as the beginning of a message."""
     return name.replace("_", " ").title()
 
 

@@ -157,6 +157,10 @@ class AlleleCube:
         n, m = self.shape()
         return {"snps": n, "cells": m, "snp_columns": self.snps.columns, "cell_columns": self.cells.columns, "chr_style": self.chr_style}
 
+    def preview(self, n: int = 5) -> dict[str, DataFrame]:
+        """The first n rows of the SNP and cell tables, metrics included."""
+        return {"snps": self.snps.orderBy("_ord").limit(n).drop("_ord"), "cells": self.cells.orderBy("_ord").limit(n).drop("_ord")}
+
     def _replaced(self, df: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
         if key not in df.columns:
             raise ValueError(f"{name} needs a column {key}")
@@ -197,10 +201,9 @@ class AlleleCube:
         x = list(x)
         if x and isinstance(x[0], str):
             return dim.filter(F.col(key).isin(x))
-        at = Window.orderBy("_ord")  # positions within the present rows, over the key column alone
-        place = dim.select(key, F.row_number().over(at).alias("_at"))
+        place = numbered(dim.select(key, "_ord"), by="_ord")  # positions within the present rows
         wanted = [i + 1 for i, y in enumerate(x) if y] if x and isinstance(x[0], bool) else [int(y) for y in x]
-        return place.filter(F.col("_at").isin(wanted))
+        return place.join(F.broadcast(dim.sparkSession.createDataFrame([(i,) for i in wanted], "_ord long")), "_ord", "left_semi")
 
 
 def column_or_sql(condition: Column | str) -> Column:

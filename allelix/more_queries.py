@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from allelix.functions.chroms import STYLES, TABLE, convert_chr_style, detect_chr_style, normalize_chr_names
@@ -306,3 +307,76 @@ def _(spark, d):
 @_query("xci_informative_snps", f"{_BASE.replace('n_name as donor', 'r_name as donor')},\n{_grouped('donor')},\ng2 as (select *, ref_count + alt_count >= 10 as tested from g),{_tested('g2', keep='tested', family='donor')},\nh as (select donor, snp_id, gene_name, cast(ref_count + alt_count as bigint) as coverage, row_number() over (partition by donor, gene_name order by ref_count + alt_count desc, pos) as rk from t join snps using (snp_id) where tested and adj_p_val < 0.05)\nselect donor, snp_id, gene_name, coverage from h where rk = 1")
 def _(spark, d):
     return X.informative_snps(_on_x(spark, d)).select("donor", "snp_id", "gene_name", "coverage")
+
+
+_INFORMATIVE = f"""{_BASE.replace('n_name as donor', 'r_name as donor')},
+{_grouped('donor')},
+g2 as (select *, ref_count + alt_count >= 10 as tested from g),{_tested('g2', keep='tested', family='donor')},
+best as (select donor, snp_id from (select donor, snp_id, row_number() over (partition by donor, gene_name order by ref_count + alt_count desc, pos) as rk from t join snps using (snp_id) where tested and adj_p_val < 0.05) where rk = 1),
+state as (select donor, snp_id, gene % 2 as h, 0.05 + 0.02 * (gene % 9) as pi from (select *, row_number() over (partition by donor order by snp_id) - 1 as gene from best)),
+entry as (select donor, cell_id as unit, snp_id, h, pi, ref_count as r, ref_count + alt_count as n from counts join cells using (cell_id) join state using (donor, snp_id) where ref_count + alt_count > 0),
+term as (select *, lgamma(r + pi * 19) + lgamma(n - r + (1 - pi) * 19) as inactive, lgamma(r + (1 - pi) * 19) + lgamma(n - r + pi * 19) as active from entry),
+odds as (select donor, unit, sum((1 - 2 * h) * (inactive - active)) as odds from term group by 1, 2)"""
+
+
+def _given_fit(spark, d):
+    """Units of the informative SNPs, and a state of the fit: phases alternate, escape fractions go in steps."""
+    cube = _on_x(spark, d)
+    snps = X.informative_snps(cube).select("donor", "snp_id")
+    names: dict[str, list[str]] = {}
+    for r in snps.orderBy("donor", "snp_id").collect():
+        names.setdefault(r["donor"], []).append(r["snp_id"])
+    donors = sorted(names)
+    genes = spark.createDataFrame([(x, s, k, i) for k, x in enumerate(donors) for i, s in enumerate(names[x])], "donor string, snp_id string, donor_no int, gene int")
+    fits = {}
+    for k, x in enumerate(donors):
+        i = np.arange(len(names[x]))
+        fits[k] = {"h": i % 2, "pi": 0.05 + 0.02 * (i % 9)}
+        fits[k] |= {"h_used": fits[k]["h"], "pi_used": fits[k]["pi"]}
+    packed = X.pack(X._entries(cube, snps, "cell"), genes)
+    return packed, fits, donors, names
+
+
+@_query("xci_unit_posteriors", f"{_INFORMATIVE}\nselect donor, unit, round(1 / (1 + exp(-greatest(-500, least(500, odds)))), 6) as post from odds")
+def _(spark, d):
+    packed, fits, donors, _ = _given_fit(spark, d)
+    named = spark.createDataFrame(list(enumerate(donors)), "donor int, name string")
+    return X.posteriors(packed, fits).join(F.broadcast(named), "donor").select(F.col("name").alias("donor"), "unit", F.round("post", 6).alias("post"))
+
+
+@_query("xci_gene_evidence", f"{_INFORMATIVE}\nselect donor, snp_id, round(sum((1 - 2 * h) * (inactive - active) / (1 + exp(-greatest(-500, least(500, odds))))), 4) as evidence from term join odds using (donor, unit) group by 1, 2")
+def _(spark, d):
+    packed, fits, donors, names = _given_fit(spark, d)
+    found = X.gene_evidence(packed, fits)
+    rows = [(x, s, float(v)) for k, x in enumerate(donors) for s, v in zip(names[x], found[k], strict=True)]
+    return spark.createDataFrame(rows, "donor string, snp_id string, evidence double").withColumn("evidence", F.round("evidence", 4))
+
+
+def _assigned(spark, d) -> AlleleCube:
+    """Assignments as they might come out of a fit: X1, X2 or none by cell, every third SNP informative."""
+    cube = _on_x(spark, d)
+    k = F.col("_ord")
+    cells = cube.cell_dim.withColumns({"inactive_x": F.when(k % 5 != 0, F.when(k % 2 == 0, "X1").otherwise("X2")), "xci_post_X1": (k * 37 % 101) / F.lit(101.0)})
+    snps = cube.snp_dim.withColumns({"xci_informative": k % 3 == 0, "xci_informative_donor": F.when(k % 2 == 0, "ASIA,EUROPE").otherwise("AFRICA,EUROPE"), "xci_allele_on_x1": F.when(k % 2 == 0, "REF").otherwise("ALT"), "xci_escape_fraction": F.lit(0.1)})
+    return AlleleCube(cube.counts, snps, cells, cube.chr_style)
+
+
+_CALLED = f"{_BASE},\ncalled as (select cell_id, region as donor, case when ord % 5 <> 0 then case when ord % 2 = 0 then 'X1' else 'X2' end end as inactive_x, (ord * 37 % 101) / 101.0::double as post from cells)"
+
+
+@_query("xci_tally", f"{_CALLED}\nselect coalesce(inactive_x, 'unassigned') as inactive_x, count(*) as count from called group by 1")
+def _(spark, d):
+    return X.assignment_tally(_assigned(spark, d))
+
+
+@_query("heatmap_values", f"""{_CALLED},
+s as (select snp_id, gene_name as gene from snps where pos % 3 = 0),
+e as (select cell_id, gene, ref_count / (ref_count + alt_count) as ref_fraction, ref_count + alt_count as depth, inactive_x, post from counts join s using (snp_id) join called using (cell_id) where inactive_x is not null and donor = 'EUROPE' and ref_count + alt_count > 0),
+q as (select gene, count(*) as covered, abs((sum(case inactive_x when 'X1' then ref_fraction else 0 end) + 2.5) / (count(*) filter (inactive_x = 'X1') + 5) - (sum(case inactive_x when 'X2' then ref_fraction else 0 end) + 2.5) / (count(*) filter (inactive_x = 'X2') + 5)) as discrimination from e group by 1),
+o as (select *, row_number() over (order by discrimination desc, gene) as gene_order from q where covered >= 3),
+f as (select * from e join o using (gene) where gene_order <= 8),
+u as (select cell_id, row_number() over (order by post desc, cell_id) as unit_order from (select distinct cell_id, post from f))
+select cell_id, gene, round(ref_fraction, 9) as ref_fraction, cast(depth as bigint) as depth, inactive_x, round(post, 9) as xci_post_X1, unit_order, gene_order, round(discrimination, 9) as discrimination from f join u using (cell_id)""")
+def _(spark, d):
+    out = X.heatmap_frame(_assigned(spark, d), "EUROPE", min_coverage_cells=3, max_genes=8)
+    return out.withColumns({c: F.round(c, 9) for c in ("ref_fraction", "xci_post_X1", "discrimination")})

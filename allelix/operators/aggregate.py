@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from allelix.functions.scalars import expression
+from allelix.functions.scalars import expression, title
 from allelix.model import AlleleCube
 from allelix.operators.stats import test_maf
 
@@ -32,7 +32,7 @@ def groups_of(cube: AlleleCube, group_by: str) -> DataFrame:
         raise ValueError(f"the cell table has no column {group_by}")
     cells = cube.cell_dim.select("cell_id", F.col(group_by).cast("string").alias(group_by)).filter(F.col(group_by).isNotNull())
     if cells.isEmpty():
-        raise ValueError(f"all values of {group_by} are missing")
+        raise ValueError(f"{title(group_by)}: all values are missing")
     return cells
 
 

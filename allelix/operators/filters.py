@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 import warnings
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from allelix.functions.scalars import percent
 from allelix.model import AlleleCube, column_or_sql
 
+log = logging.getLogger(__name__)
+
 
 def _matching(df: DataFrame, conditions: tuple[Column | str, ...], name: str) -> DataFrame:
     """Rows for which all conditions are true; a null condition drops the row."""
@@ -23,11 +27,19 @@ def _matching(df: DataFrame, conditions: tuple[Column | str, ...], name: str) ->
     return df
 
 
+def _tell(before: DataFrame, after: DataFrame, what: str) -> None:
+    """Logs how many rows were removed; the rows are counted only where such lines are wanted."""
+    if log.isEnabledFor(logging.INFO):
+        n, left = before.count(), after.count()
+        log.info("%d of %d %s removed (%s)", n - left, n, what, percent(n - left, n))
+
+
 def filter_snps(cube: AlleleCube, *conditions: Column | str, strict: bool = True) -> AlleleCube:
     """SNPs by conditions over the SNP table, metrics included. strict: an empty result is an error (one cheap job)."""
     kept = _matching(cube.snps, conditions, "the SNP table")
     if strict and kept.isEmpty():
         raise ValueError("No SNPs remain after filtering")
+    _tell(cube.snp_dim, kept, "SNPs")
     return cube.keep(snps=kept)
 
 
@@ -35,6 +47,7 @@ def filter_cells(cube: AlleleCube, *conditions: Column | str, strict: bool = Tru
     kept = _matching(cube.cells, conditions, "the cell table")
     if strict and kept.isEmpty():
         raise ValueError("No barcodes remain after filtering")
+    _tell(cube.cell_dim, kept, "cells")
     return cube.keep(cells=kept)
 
 

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from allelix.functions.scalars import in_list
 from allelix.model import AlleleCube, numbered
 from allelix.operators.aggregate import top_snp_per_gene
 from allelix.operators.filters import require_clonotypes
@@ -137,7 +138,7 @@ def heatmap_frame(cube: AlleleCube, donor: str, min_coverage_cells: int = 1, max
     """
     _need(cube.snp_dim, "xci_informative")
     gene = F.coalesce("gene_name", "snp_id") if "gene_name" in cube.snp_dim.columns else F.col("snp_id")
-    snps = cube.snp_dim.filter("xci_informative").filter(F.array_contains(F.split("xci_informative_donor", ","), donor)).select("snp_id", gene.alias("gene"))
+    snps = cube.snp_dim.filter("xci_informative").filter(in_list(F.col("xci_informative_donor"), donor)).select("snp_id", gene.alias("gene"))
     cells = cube.cell_dim.filter((F.col("donor") == donor) & F.col("inactive_x").isNotNull()).select("cell_id", "inactive_x", "xci_post_X1")
     e = cube.counts.join(snps, "snp_id").join(cells, "cell_id").withColumn("depth", F.col("ref_count") + F.col("alt_count")).filter("depth > 0").withColumn("ref_fraction", F.col("ref_count") / F.col("depth"))
     mean = lambda x: (F.sum(F.when(F.col("inactive_x") == x, F.col("ref_fraction")).otherwise(0.0)) + 2.5) / (F.count_if(F.col("inactive_x") == x) + 5)

@@ -46,6 +46,10 @@ class VcfData:
     def select(self, *columns: str) -> VcfData:
         return VcfData(self.header, self.samples, self.variants.select(*columns))
 
+    def head(self, n: int = 6) -> DataFrame:
+        """The first n variants."""
+        return self.variants.limit(n)
+
     def __repr__(self) -> str:
         return f"VcfData({len(self.header)} header lines, {len(self.samples)} samples, columns {', '.join(self.variants.columns)})"
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from allelix import queries
 from allelix.functions.binomial import binom_tail
 from allelix.functions.chroms import convert_chr_style, normalize_chr_names, style_of
-from allelix.model import AlleleCube, numbered
+from allelix.model import AlleleCube, assign_cell_ids, numbered
 from allelix.operators import aggregate as A
 from allelix.operators import annotate as N
 from allelix.operators import filters as R
@@ -268,3 +268,37 @@ def test_streaming_sums(spark, tmp_path):
     q.awaitTermination()
     want = {(r.snp_id, r.donor): r.ref_count for r in A.group_sums(cube, A.groups_of(cube, "donor"), "donor").collect()}
     assert {(r.snp_id, r.donor): r.ref_count for r in spark.table("sums").collect()} == want
+
+
+def test_log_preview_and_positions(spark, caplog):
+    cube = two(spark)
+    with caplog.at_level("INFO", logger="allelix.operators.filters"):
+        R.filter_snps(cube, "coverage > 17")
+    assert "1 of 2 SNPs removed (50.0%)" in caplog.text
+    assert [r.snp_id for r in cube.preview(1)["snps"].collect()] == ["snp_1"] and cube.preview(1)["cells"].first().library_size == 14
+    assert [r.snp_id for r in cube.subset(snps=[2]).snp_dim.collect()] == ["snp_2"]
+    assert cube.subset(cells=[False, True]).cell_ids() == ["cell_2"] and cube.subset(snps=["snp_1"]).snp_ids() == ["snp_1"]
+
+
+def test_numbers_stay(spark):
+    """Made-up ids are the same in every later frame, also of shuffled rows."""
+    rows = spark.range(1000).repartition(13).withColumn("v", F.rand())
+    made = assign_cell_ids(numbered(rows))
+    assert made.collect() == made.collect() and sorted(r._ord for r in made.collect()) == list(range(1, 1001))
+    by = numbered(rows, by="id").collect()
+    assert all(r._ord == r.id + 1 for r in by)
+
+
+def test_adjusted_ties_and_families(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(f), float(p)) for f in range(3) for p in np.round(rng.random(300) ** 3, 2)] + [(0, None), (4, 1.0)] + [(0, 1.0)] * 500
+    got = S.bh_adjust(spark.createDataFrame(rows, "f int, p_val double"), within=("f",)).toPandas()
+    for f, part in got.groupby("f"):
+        known = part[part.p_val.notna()].sort_values("p_val", kind="stable")
+        n = len(known)
+        q = np.minimum.accumulate((known.p_val * n / np.arange(1, n + 1))[::-1])[::-1].clip(upper=1)
+        assert np.allclose(known.adj_p_val, q) and part[part.p_val.isna()].adj_p_val.isna().all()
+
+
+def test_mouse_names():
+    assert style_of(["CM001013.2"]) == "genbank_mouse" and style_of(["NC_000086.7", "NC_000067.6"]) == "refseq_mouse"
