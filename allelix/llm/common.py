@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
@@ -15,44 +13,14 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from allelix.tables import hdfs, new_path, written  # noqa: F401  used by the operators
+
 U64 = np.uint64
 NULL_ID = (1 << 63) - 1  # a null id sorts after every other id
 
 # ---------------------------------------------------------------- shared folder
 
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local master gets a temporary folder, once for each application; on a cluster it is an error,
-    as no folder of this machine reaches the executors.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if re.match(r"local(\[|$)", spark.sparkContext.master) is None:
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="allelix-shared-")
-            spark.sparkContext.setCheckpointDir(_own[app])
-        path = _own[app]
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage with files every executor can reach."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop(df: DataFrame) -> None:
     """Deletes the files of a table made by written()."""
     spark = df.sparkSession
@@ -60,12 +28,6 @@ def drop(df: DataFrame) -> None:
         hdfs(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def hdfs(spark: SparkSession, path: str):
-    """Hadoop's file system for the path, and the path."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow's file system for the path, for workers, and the path in it."""
     if path.startswith("file:"):
