@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import written
+from allelix.llm.common import drop, written
 from allelix.llm.decontaminate import RESULT, mark_contaminated
 from allelix.llm.language_id import fit_language_id, identify
 from allelix.llm.near_dedup import near_duplicates
@@ -71,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What a stage has written goes once the next has been written."""
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, before = written(stage(spark, docs, sf_dir), name), old
+        if before is not None:
+            drop(before)
+        old = docs
     return STAGES[-1][1](spark, docs, sf_dir)
