@@ -1,7 +1,7 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping segments of `size` bytes, one every size / 2. A segment occurs in a text if it
-can be aligned to a stretch of it with at most `size * rate` edits. An occurrence with e edits shares at least
+Benchmark items are cut into overlapping segments of `size` bytes, one every `step`, so a passage of size + step bytes
+holds a whole one wherever it begins. A segment occurs in a text if it can be aligned to a stretch of it with at most `size * rate` edits. An occurrence with e edits shares at least
 m - q + 1 - q e of the segment's q-grams with the text, on diagonals that differ by at most e. So:
 
 1. each text position whose q-gram belongs to any segment is marked; stretches as long as a segment and its budget that
@@ -60,11 +60,11 @@ def _short(data: np.ndarray, q: int) -> np.ndarray:
 
 
 class SegmentIndex:
-    def __init__(self, items: list[tuple[int | None, str]], q: int, size: int, rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], q: int, size: int, rate: float, step: int):
         self.q, self.items, self.segments, self.budget, self.bound = q, [], [], [], []
         for item, text in items:
             raw = FOLD[np.frombuffer((text or "").encode(), np.uint8)]
-            cuts = [0] if len(raw) <= size else [*range(0, len(raw) - size, max(1, size // 2)), len(raw) - size]
+            cuts = [0] if len(raw) <= size else [*range(0, len(raw) - size, step), len(raw) - size]
             for at in cuts:
                 s = raw[at : at + size]
                 e = int(len(s) * rate)
@@ -185,12 +185,12 @@ def _items(folder: str) -> list[tuple[int | None, str]]:
     return sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, size: int = 64, rate: float = 1 / 16, most: int = 2 << 20) -> DataFrame:
+def mark_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 10, size: int = 64, rate: float = 1 / 16, step: int = 16, most: int = 2 << 20) -> DataFrame:
     """df with contaminated, n_regions (segments found), items, the extent of the first region, and the fewest edits."""
     own = [name for name, _ in RESULT]
     out = df.drop(*own)
     for number, folder in enumerate(_blocks(benchmark, item_col, item_text_col, most) or [None]):
-        out = _mark(out, folder, text_col, q, size, rate, number > 0)
+        out = _mark(out, folder, text_col, q, size, rate, step, number > 0)
     return out
 
 
@@ -198,14 +198,14 @@ def _in_order(items: set[int | None]) -> list[int | None]:
     return sorted(items, key=lambda i: (i is None, i or 0))
 
 
-def _mark(df: DataFrame, folder: str | None, text_col: str, q: int, size: int, rate: float, more: bool) -> DataFrame:
+def _mark(df: DataFrame, folder: str | None, text_col: str, q: int, size: int, rate: float, step: int, more: bool) -> DataFrame:
     own = [name for name, _ in RESULT]
     schema = StructType([f for f in df.schema.fields if f.name not in own])
     for name, kind in RESULT:
         schema = schema.add(name, kind)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = SegmentIndex(_items(folder) if folder else [], q, size, rate)
+        index = SegmentIndex(_items(folder) if folder else [], q, size, rate, step)
         for batch in batches:
             for part in in_slices(batch, text_col):
                 n = part.num_rows
@@ -229,14 +229,14 @@ def _mark(df: DataFrame, folder: str | None, text_col: str, q: int, size: int, r
     return df.mapInArrow(lean(mark), schema)
 
 
-def brute_force(texts: list[str | None], items: list[tuple[int, str]], size: int = 64, rate: float = 1 / 16, q: int = 10) -> pd.DataFrame:
+def brute_force(texts: list[str | None], items: list[tuple[int, str]], size: int = 64, rate: float = 1 / 16, q: int = 10, step: int = 16) -> pd.DataFrame:
     """Contamination by full alignment of every segment with every text, for tests."""
     out = []
     for t in texts:
         raw, hit = FOLD[np.frombuffer((t or "").encode(), np.uint8)], set()
         for item, s in items:
             x = FOLD[np.frombuffer(s.encode(), np.uint8)]
-            cuts = [0] if len(x) <= size else [*range(0, len(x) - size, max(1, size // 2)), len(x) - size]
+            cuts = [0] if len(x) <= size else [*range(0, len(x) - size, step), len(x) - size]
             for at in cuts:
                 p = x[at : at + size]
                 e = int(len(p) * rate)
@@ -247,9 +247,9 @@ def brute_force(texts: list[str | None], items: list[tuple[int, str]], size: int
                 cost = np.zeros(len(raw) + 1, np.int64)
                 cells = np.arange(len(raw) + 1)
                 for c in p:
-                    step = cost + 1
-                    step[1:] = np.minimum(step[1:], cost[:-1] + (raw != c))
-                    cost = np.minimum.accumulate(step - cells) + cells
+                    line = cost + 1
+                    line[1:] = np.minimum(line[1:], cost[:-1] + (raw != c))
+                    cost = np.minimum.accumulate(line - cells) + cells
                 if cost.min() <= e:
                     hit.add(item)
         out.append((bool(hit), sorted(hit)))

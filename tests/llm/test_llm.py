@@ -164,6 +164,14 @@ def test_decontamination_by_items_without_id(spark):
         assert got == [(True, [None]), (True, [4, None]), (False, [])]
 
 
+def test_decontamination_of_short_passages_wherever_they_begin(spark):
+    rng = random.Random(9)
+    item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(60))
+    rows = [(i, f"some words before {item[i : i + 80]} and others behind") for i in range(0, len(item) - 80, 3)]
+    found = decontaminate.mark_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert found.filter("contaminated").count() == len(rows) > 50
+
+
 def test_base_spans(spark):
     rng = random.Random(5)
     odd = ["".join(rng.choice("aé1234567890..--  ()@+%_\n漢😀") for _ in range(rng.randint(0, 80))) for _ in range(2000)]
