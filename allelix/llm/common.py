@@ -9,7 +9,6 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +27,10 @@ def drop(df: DataFrame) -> None:
         hdfs(spark, path)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """pyarrow's file system for the path, for workers, and the path in it."""
+def filesystem(path: str):
+    """pyarrow's file system for the path, for workers, and the path in it. Its module is loaded only where it is needed, as it takes memory."""
+    import pyarrow.fs as pafs
+
     if path.startswith("file:"):
         return pafs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", path))
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
@@ -233,7 +234,7 @@ class Grown:
 
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.data):
-            more = np.zeros((max(2 * len(self.data), self.n + len(x)), *self.data.shape[1:]), self.data.dtype)
+            more = np.empty((max(len(self.data) * 5 // 4, self.n + len(x)), *self.data.shape[1:]), self.data.dtype)
             more[: self.n] = self.data[: self.n]
             self.data = more
         self.data[self.n : self.n + len(x)] = x

@@ -25,8 +25,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StructType
@@ -173,14 +171,19 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> li
         return []
     n, path = 1 + 2 * total // most, new_path(benchmark.sparkSession, "benchmark")
     items.repartition(n, F.pmod(F.xxhash64("item", "text"), F.lit(n))).withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).write.partitionBy("block").parquet(path)
+    from pyarrow.fs import FileSelector
+
     fs, root = filesystem(path)
-    return sorted(f"{path}/{x.base_name}" for x in fs.get_file_info(pafs.FileSelector(root)) if x.base_name.startswith("block="))
+    return sorted(f"{path}/{x.base_name}" for x in fs.get_file_info(FileSelector(root)) if x.base_name.startswith("block="))
 
 
 def _items(folder: str) -> list[tuple[int | None, str]]:
     """A block's items, read by a worker."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
     fs, root = filesystem(folder)
-    files = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(root)) if x.path.endswith(".parquet"))
+    files = sorted(x.path for x in fs.get_file_info(FileSelector(root)) if x.path.endswith(".parquet"))
     found = [(r["item"], r["text"]) for f in files for r in pq.read_table(fs.open_input_file(f), columns=["item", "text"]).to_pylist()]
     return sorted(found, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 

@@ -63,8 +63,8 @@ class Pieces:
 
     def _place(self, hashes: np.ndarray, ids: np.ndarray) -> None:
         """An open-addressing table of the prefixes' hashes: a look-up touches one place nearly always."""
-        self.bits = max(10, int(np.ceil(np.log2(len(hashes) + 1))) + 3)
-        self.slots, self.id = np.zeros((1 << self.bits) + 64, U64), np.full((1 << self.bits) + 64, -1)
+        self.bits = max(10, int(np.ceil(np.log2(len(hashes) + 1))) + 2)
+        self.slots, self.id = np.zeros((1 << self.bits) + 64, U64), np.full((1 << self.bits) + 64, -1, np.int32)
         todo, at = np.arange(len(hashes)), self._slot(hashes)
         while len(todo):
             free = self.slots[at[todo]] == 0
@@ -88,7 +88,7 @@ class Pieces:
             there = self.slots[at[todo]]
             ok[todo] = there == h[todo]
             todo = todo[(there != 0) & ~ok[todo]]
-        return ok, self.id[at[ok]]
+        return ok, self.id[at[ok]].astype(np.int64)
 
     def lattice(self, codes: np.ndarray, sizes: np.ndarray) -> Lattice:
         """Of units given by their code points, one after the other, and their sizes."""

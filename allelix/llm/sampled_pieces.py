@@ -37,7 +37,7 @@ from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices,
 from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_scores, table, zipf
 
 LOG_BYTE = -14.0
-MOST_UNITS, MOST_EDGES = 160_000, 6_000_000  # units whose lattices a worker keeps, and edges of these
+MOST_UNITS, MOST_EDGES = 100_000, 3_000_000  # units whose lattices a worker keeps, and edges of these
 ONE = 1 << 32
 
 
@@ -52,15 +52,18 @@ class Sampler:
     def __init__(self, vocabulary: str, power: float = 1.0):
         self.pieces = table(vocabulary)
         self.log_p, self.log_byte = power * zipf(self.pieces.n), power * LOG_BYTE
-        self.forget()
-
-    def forget(self) -> None:
         self.known = HashIndex()
         self.root, self.open = Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first edge, which is the most probable
         # of edges: the node they lead to (-1: the unit ends there), their node, the first and last of their numbers, log probability
         self.end, self.start, self.low, self.last, self.share = Grown(np.int32), Grown(np.int32), Grown(np.uint32), Grown(np.uint32), Grown(float)
         self.id_at, self.id_n, self.ids = Grown(np.int32), Grown(np.int8), Grown(np.int32)
 
+    def forget(self) -> None:
+        """Begins anew, in the memory that the tables have."""
+        self.known = HashIndex()
+        for table_ in (self.root, self.open, self.end, self.start, self.low, self.last, self.share, self.id_at, self.id_n, self.ids):
+            table_.n = 0
+
     def learn(self, codes: np.ndarray, sizes: np.ndarray) -> None:
         """Adds units' lattices. A node's edges divide 0 .. 2**32 by probability."""
         x = self.pieces.lattice(codes, sizes)
