@@ -40,6 +40,30 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, count: str, most: int = 1000) -> DataFrame:
+    """rows joined to totals (a row for each key, nulls included) where one key may have most of the rows.
+
+    `count` says how many rows a key has. Keys with more than a share of 1 / most of all rows are fewer than `most`, so
+    those totals are broadcast and their rows stay where they are; the rows of all other keys meet theirs in a shuffle.
+    """
+    least = totals.agg((F.sum(count) / most).alias("least")).first()["least"] or 0
+    t = totals.withColumnRenamed(key, "_of")
+    hot, rest = t.filter(F.col(count) > least), t.filter(F.col(count) <= least)
+    same = F.col(key).eqNullSafe(F.col("_of"))
+    there = rows.join(F.broadcast(hot), same)
+    other = rows.join(F.broadcast(hot), same, "left_anti").join(rest, same)
+    return there.unionAll(other).drop("_of")
+
+
+def repeated(rows: DataFrame, times: str, number: str, most: int = 10_000) -> DataFrame:
+    """Each row as often as `times` says, with `number` from 1 on. A row with very many goes to many tasks, `most` repeats at a time."""
+    upto = lambda a, z: F.explode(F.sequence(a, z))
+    few = rows.filter(F.col(times).between(1, most)).withColumn(number, upto(F.lit(1).cast("long"), F.col(times)))
+    many = rows.filter(F.col(times) > most).withColumn("_run", upto(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / most)))
+    many = many.repartition(shuffle_parts(rows.sparkSession), F.xxhash64("_run", times)).withColumn(number, upto(F.col("_run") * most + 1, F.least(F.col("_run") * most + most, F.col(times))))
+    return few.unionAll(many.drop("_run"))
+
+
 # ---------------------------------------------------------------- memory of Python workers
 
 #: What operators keep in a worker between tasks, by name.
@@ -103,11 +127,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs of bytes other than ASCII white space), and the n + 1 word offsets of the rows."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs of bytes that are no gaps: by default ASCII white space), and the n + 1 word offsets of the rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    gap = SPACE[data]
+    gap = gaps[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[0], before[1:] = True, gap[:-1]
     after[-1], after[:-1] = True, gap[1:]

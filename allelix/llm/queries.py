@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from .common import new_path
 from .decontaminate import mark_contaminated
+from .importance_sample import oracle as importance_oracle
+from .importance_sample import resample
 from .language_id import LanguageModel, fit_language_id, identify
 from .near_dedup import near_duplicates
 from .pii import KINDS, as_text, find_private
 from .sampled_pieces import sample_pieces
 from .shards import ShardStore
+from .source_mix import mix
 from .substring_dedup import dedup_substrings
 from .token_files import token_dataset
 from .url_filter import filter_urls
 from .url_filter import oracle as url_oracle
+from .vector_codes import compress
+from .vector_codes import oracle as codes_oracle
 from .vector_dedup import near_vectors
 
 
@@ -94,6 +99,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_read(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sampled_pieces": op1_sampled_pieces,
     "op2_decontaminate": op2_decontaminate,
@@ -105,8 +122,13 @@ QUERIES = {
     "op8_shards": op8_shards,
     "op9_vector_dedup": op9_vector_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_mix": op11_source_mix,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_importance_sample": op13_importance_sample,
 }
 ORACLES: dict[str, str] = {
     "op4_url_filter": url_oracle(),
     "op8_shards": "select doc_id, md5(text) as text_md5, lang, source, n_chars from documents",
+    "op12_vector_codes": codes_oracle(),
+    "op13_importance_sample": importance_oracle(),
 }
