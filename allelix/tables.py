@@ -41,6 +41,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table made by written()."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, p = hdfs(df.sparkSession, path)
+        fs.delete(p, True)
+
+
 def hdfs(spark: SparkSession, path: str):
     """Hadoop's file system for the path, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
