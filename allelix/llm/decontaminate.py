@@ -35,6 +35,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
 BITS = 20
+MOST_HITS = 1 << 18  # pairs of a text position and a place in a segment that are held at a time
 
 
 def qgrams(data: np.ndarray, q: int) -> np.ndarray:
@@ -87,7 +88,7 @@ class SegmentIndex:
         self.reach, self.least = longest - q + 1, int(self.bound.min()) if len(self.bound) else 1
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Verified regions: row, segment, start and end byte in the row's text, edits."""
+        """Verified regions, one for each row and segment: row, segment, start and end byte in the row's text, fewest edits."""
         empty = (np.zeros(0, np.int64),) * 5
         if not len(self.items) or len(data) < self.q:
             return empty
@@ -111,26 +112,65 @@ class SegmentIndex:
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + self.q <= offsets[row + 1]
         at, k, row = at[inside], k[inside], row[inside]
+        return self._regions(data, offsets, at, k, row)
+
+    def _regions(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of text positions with a known q-gram, in order: for each row and segment that is found, its first region and the fewest edits.
+
+        A q-gram may have very many places, so positions are taken in runs of a bounded number of pairs with places. What
+        a band has so far is a bit for each q-gram of its segment; a band is judged once positions have left it behind.
+        """
         n = self.count[k]
-        p = ragged(self.first[k], n)
-        seg, place, at, row = self.where[p], self.place[p], np.repeat(at, n), np.repeat(row, n)
-        # each hit is in two bands of its diagonal
-        half = self.budget[seg] + 1
-        diagonal = at - place
-        low = np.floor_divide(diagonal, half)
-        seg, place, at, row, half = (np.concatenate((x, x)) for x in (seg, place, at, row, half))
-        band = np.concatenate((low, low - 1))  # band b has the diagonals from b * half to (b + 2) * half - 1
-        order = np.lexsort((place, at, band, seg, row))
-        seg, place, at, row, half, band = (x[order] for x in (seg, place, at, row, half, band))
-        new = np.concatenate(([True], (seg[1:] != seg[:-1]) | (band[1:] != band[:-1]) | (row[1:] != row[:-1]))) if len(seg) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        pairs = np.unique(group * 65536 + np.minimum(place, 65535))
-        distinct = np.bincount(pairs // 65536, minlength=len(first))
-        good = first[distinct >= self.bound[seg[first]]]
-        if not len(good):
-            return empty
-        return self.verify(data, offsets, row[good], seg[good], band[good] * half[good])
+        upto, done = np.cumsum(n), [(np.zeros(0, np.int64),) * 5]
+        words = 1 + max(0, int(self.sizes.max()) - self.q) // 64
+        keys, bits = np.zeros((0, 3), np.int64), np.zeros((0, words), np.uint64)  # open bands: row, segment, band
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + MOST_HITS, "right")))
+            p = ragged(self.first[k[i:j]], n[i:j])
+            seg, place = self.where[p], self.place[p]
+            half = self.budget[seg] + 1
+            low = np.floor_divide(np.repeat(at[i:j], n[i:j]) - place, half)
+            # each hit is in two bands of its diagonal; band b has the diagonals from b * half to (b + 2) * half - 1
+            found = np.stack([np.tile(np.repeat(row[i:j], n[i:j]), 2), np.tile(seg, 2), np.concatenate((low, low - 1))], 1)
+            keys, bits = self._joined(np.concatenate((keys, found)), bits, np.tile(place, 2))
+            left = (keys[:, 2] + 2) * (self.budget[keys[:, 1]] + 1) + self.sizes[keys[:, 1]] - self.q  # first position that adds nothing
+            over = left <= at[j] if j < len(at) else np.ones(len(keys), bool)
+            good = over & (np.bitwise_count(bits).sum(1) >= self.bound[keys[:, 1]])
+            if good.any():
+                r, s, b = keys[good].T
+                done.append(self._first(*self.verify(data, offsets, r, s, b * (self.budget[s] + 1))))
+            keys, bits = keys[~over], bits[~over]
+            i = j
+        return self._first(*(np.concatenate(x) for x in zip(*done, strict=True)))
+
+    @staticmethod
+    def _joined(keys: np.ndarray, bits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys with the bits they have had and those of the places that the last len(place) keys add."""
+        base = keys.min(0)
+        span = keys.max(0) - base + 1
+        if float(span[0]) * float(span[1]) * float(span[2]) < 2.0**62:
+            x = keys - base
+            order = np.argsort((x[:, 0] * span[1] + x[:, 1]) * span[2] + x[:, 2], kind="stable")
+        else:
+            order = np.lexsort(keys.T[::-1])
+        s, old = keys[order], len(keys) - len(place)
+        first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]).any(1))))
+        out = np.empty((len(first), bits.shape[1]), np.uint64)
+        for w in range(bits.shape[1]):
+            new = np.where(place >> 6 == w, np.uint64(1) << (place & 63).astype(np.uint64), np.uint64(0))
+            out[:, w] = np.bitwise_or.reduceat(np.concatenate((bits[:, w][:old], new))[order], first)
+        return s[first], out
+
+    @staticmethod
+    def _first(row: np.ndarray, seg: np.ndarray, start: np.ndarray, end: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One region of each row and segment, its first, with the fewest edits of all of them."""
+        if not len(row):
+            return row, seg, start, end, edits
+        order = np.lexsort((end, start, seg, row))
+        row, seg, start, end, edits = (x[order] for x in (row, seg, start, end, edits))
+        first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (seg[1:] != seg[:-1]))))
+        return row[first], seg[first], start[first], end[first], np.minimum.reduceat(edits, first)
 
     def verify(self, data: np.ndarray, offsets: np.ndarray, row: np.ndarray, seg: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, ...]:
         """Banded alignment of each segment with the text on the diagonals of its band and a budget to both sides."""

@@ -40,13 +40,18 @@ class LanguageModel:
     log_p: np.ndarray  # pieces x languages
 
 
+def below(most: int, n: int) -> int:
+    """The bound of a 63-bit hash under which about `most` of n rows lie."""
+    return min((most << 63) // n, (1 << 63) - 1)
+
+
 def fit_language_id(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = 400, rounds: int = 4) -> LanguageModel:
     """Fits the model on about `most` rows of each language of df; rows without text or language are not used."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     if not counts:
         return LanguageModel(vocabulary, [], np.zeros((0, 0)))
-    share = [F.when((F.col("lang") == k) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(min(1.0, most / n) * (1 << 20))), True) for k, n in sorted(counts.items())]
+    share = [F.when((F.col("lang") == k) & (F.lit(n <= most) | (F.xxhash64("id").bitwiseAND(F.lit((1 << 63) - 1)) < below(most, n))), True) for k, n in sorted(counts.items())]
     words = rows.filter(F.coalesce(*share, F.lit(False))).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")).groupBy("lang", "word").count().toPandas()
     languages = sorted(counts)
     return LanguageModel(vocabulary, languages, _estimate(words, languages, vocabulary, rounds))

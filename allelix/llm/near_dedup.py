@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, U64, Powers, components, grouped, in_slices, lean, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
+from .common import U64, Powers, components, grouped, in_slices, lean, mix, ragged, run_hash, shuffle_parts, span_hash, utf8, word_spans, written
 
 SHINGLES = Powers(0x8EBC6AF09C88C6E3)
 SLOT = 300_000  # shingles that are sorted at a time
@@ -111,7 +111,7 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int, bands: int, per_band: int, weighted: bool) -> DataFrame:
     """id, copy (the text's hash), bands (null without words)."""
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.md5(text_col), F.lit("null")).alias("copy"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.md5(text_col), F.lit("null")).alias("copy"), F.col(text_col).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,15 +256,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     has it (not `weighted`: 1, so sets are compared). With 32 bands of 6 a pair at 0.8 shares no bucket with probability 6e-5.
     """
     signed = written(signatures(df, id_col, text_col, width, bands, per_band, weighted), "signatures")
-    classes = signed.groupBy("copy").agg(F.min("id").alias("id"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
+    no_id = F.col("id").isNull().alias("no_id")  # a null id comes after every other id
+    classes = signed.groupBy("copy").agg(F.min(F.struct(no_id, "id"))["id"].alias("id"), F.first("bands").alias("bands")).withColumn("node", F.xxhash64("copy"))
     rows = written(classes.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key")), "bands")
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     candidates = written(rows.join(hubs, "key").filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "candidates")
     near = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text"))
+    own = F.coalesce("id", F.lit(0)).alias("own")
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("copy"), F.col(text_col).alias("text")).select(no_id, own, "copy", "text")
     # of rows with equal texts, one with the smallest id
-    chosen = classes.select("node", "id", "copy").join(near.hint("merge"), "node", "left_semi").drop("node")
-    texts = texts.join(chosen.hint("merge"), ["id", "copy"], "left_semi").dropDuplicates(["id", "copy"]).select(F.xxhash64("copy").alias("node"), "text")
+    chosen = classes.select("node", "id", "copy").join(near.hint("merge"), "node", "left_semi").select(no_id, own, "copy")
+    texts = texts.join(chosen.hint("merge"), ["no_id", "own", "copy"], "left_semi").dropDuplicates(["no_id", "own", "copy"]).select(F.xxhash64("copy").alias("node"), "text")
     texts = written(texts, "texts")
     scores = written(_scored(candidates, texts, width, weighted), "scores")
     links = scores.filter(F.col("score") >= least - 1e-12).select("a", "b")
@@ -273,10 +275,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     more = written(_scored(more, texts, width, weighted).filter(F.col("score") >= least - 1e-12).select("a", "b"), "links")
     found = components(links.unionAll(more))
     tied = classes.select("node", "id", "copy").join(found, "node", "left").select("id", "copy", F.coalesce("component", "node").alias("part"))
-    first = tied.groupBy("part").agg(F.min(F.struct("id", "copy")).alias("first"))
+    first = tied.groupBy("part").agg(F.min(F.struct(no_id, "id", "copy")).alias("first"))
     roots = tied.join(first.hint("merge"), "part").select("copy", F.col("first.id").alias("class_id"), F.col("first.copy").alias("root"))
     out = signed.select("id", "copy").join(roots.hint("merge"), "copy")
-    return out.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "copy", F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), "root")
+    return out.select(F.col("id").alias("doc_id"), "copy", "class_id", "root")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = 5, least: float = 0.8, weighted: bool = True) -> dict[int, int]:

@@ -136,40 +136,42 @@ def disclosing_terms(mentions: DataFrame, texts: DataFrame, least: float = 0.9,
 def find_private(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "private", forms: str = "term_forms", **how) -> DataFrame:
     """df with `out`: base spans by kind and start, then term spans (kind 4) by start; and `forms`: terms and what takes their place."""
     df = df.drop(out, forms)
+    given, (id_col, text_col) = df.columns, (f"given{df.columns.index(c)}" for c in (id_col, text_col))
+    df = df.toDF(*(f"given{i}" for i in range(len(given))))  # no column of df has a name that is used here
+    named = {f"given{i}": c for i, c in enumerate(given)}
+    back = lambda x: x.select(*(F.col(k).alias(c) for k, c in named.items()), out, forms)
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     terms = disclosing_terms(base_spans(texts).filter(F.size("base") > 0), texts.select("text"), **how)
     by_row = written(terms.groupBy(F.col("id").alias("__id"), F.col("key").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("term", "form"))).alias("__forms")), "terms")
     found = base_spans(df.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "__key": F.xxhash64(text_col)}), text_col, out)
     nothing = F.expr("cast(map() as map<string,string>)")
     if by_row.isEmpty():
-        return found.withColumn(forms, nothing).drop("__id", "__key")
+        return back(found.withColumn(forms, nothing))
     found = found.join(by_row, ["__id", "__key"], "left")
     hits = F.when(F.col("__forms").isNotNull(), _words(F.col(text_col))).otherwise(F.expr("cast(array() as array<string>)"))
     found = found.withColumn("__words", hits)
     extra = _placed(F.col(text_col), F.col("__words"), WORD, len(KINDS), lambda w: F.map_contains_key(F.col("__forms"), F.lower(w)))
     free = F.filter(extra, lambda t: ~F.exists(out, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    return found.withColumns({out: F.concat(out, free), forms: F.coalesce("__forms", nothing)}).drop("__id", "__key", "__forms", "__words")
+    return back(found.withColumns({out: F.concat(out, free), forms: F.coalesce("__forms", nothing)}))
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """df with its texts' private spans replaced by their kind's label, and terms by their broader form or nothing.
-
-    Columns of df whose names begin with two underscores may be replaced; all others are kept.
-    """
-    found = find_private(df, id_col, text_col, "__private", "__term_forms", **how)
-    text, spans = F.col(text_col), F.col("__private")
+    """df with its texts' private spans replaced by their kind's label, and terms by their broader form or nothing; all columns are kept."""
+    given, (id_col, text_col) = df.columns, (f"given{df.columns.index(c)}" for c in (id_col, text_col))
+    found = find_private(df.toDF(*(f"given{i}" for i in range(len(given)))), id_col, text_col, "private", "term_forms", **how)
+    text, spans = F.col(text_col), F.col("private")
     spans = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     label = lambda s: F.element_at(F.array(*map(F.lit, LABELS.values())), s["kind"] + 1)
     first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
-        put = F.coalesce(F.when(s["kind"] == len(KINDS), F.col("__term_forms")[F.lower(s["value"])]), label(s))
+        put = F.coalesce(F.when(s["kind"] == len(KINDS), F.col("term_forms")[F.lower(s["value"])]), label(s))
         fresh = s["start"] >= acc["at"]
         joined = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), put))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, joined).otherwise(acc["out"]).alias("out"))
 
     clean = F.aggregate(spans, first, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("__private") > 0, clean).otherwise(text)).drop("__private", "__term_forms")
+    return found.withColumn(text_col, F.when(F.size("private") > 0, clean).otherwise(text)).drop("private", "term_forms").toDF(*given)
 
 
 def as_text(spans: Column) -> Column:

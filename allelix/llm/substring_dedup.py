@@ -8,7 +8,7 @@ Equal windows have equal minimisers, so they meet in one bucket. Before the shuf
 own repeats: of equal windows in it, only those of its smallest document travel, the others are known to be repeats.
 So a passage that a third of all documents share sends one window per slice, not one per document.
 
-Defined results: a null text has no words; a null id counts as larger than every other id; rows with the same id and
+Defined results: a null text has no words; a null id counts as the largest id there can be; rows with the same id and
 text get the same result; windows are judged on the input; other columns are ignored.
 """
 
@@ -191,12 +191,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     ranges = written(repeated_ranges(df, id_col, text_col, width, mer), "ranges")
     ranges = ranges.groupBy("id", "key").agg(F.collect_list(F.struct("first", "past")).alias("ranges"))
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, cut in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "ranges")), strict=True):
+            for doc, text, cut in zip(*(batch.column(c).to_pylist() for c in ("own", "text", "ranges")), strict=True):
                 words = (text or "").encode().split()
                 gone = 0
                 if cut:
@@ -207,22 +207,22 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept = [words[i] for i in np.flatnonzero(stay)]
                 else:
                     kept = words
-                out.append((None if doc == NULL_ID else doc, len(words), gone, b" ".join(kept)))
+                out.append((doc, len(words), gone, b" ".join(kept)))
             a = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a[0], pa.int64()), pa.array(a[1], pa.int64()), pa.array(a[2], pa.int64()), pa.array(a[3], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return texts.join(ranges, ["id", "key"], "left").select("id", "text", "ranges").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
+    return texts.join(ranges, ["id", "key"], "left").select("own", "text", "ranges").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], width: int = 13) -> pd.DataFrame:
     """The same by a dictionary of all windows, for tests."""
-    split = [(NULL_ID if i is None else i, (t or "").encode().split()) for i, t in rows]
+    split = [(i, (t or "").encode().split()) for i, t in rows]
     least: dict[tuple, int] = {}
-    for i, w in split:
+    for i, w in ((NULL_ID if i is None else i, w) for i, w in split):
         for k in range(len(w) - width + 1):
             least[tuple(w[k : k + width])] = min(i, least.get(tuple(w[k : k + width]), i))
     out = []
     for i, w in split:
-        gone = {j for k in range(len(w) - width + 1) if least[tuple(w[k : k + width])] < i for j in range(k, k + width)}
-        out.append((None if i == NULL_ID else i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+        gone = {j for k in range(len(w) - width + 1) if least[tuple(w[k : k + width])] < (NULL_ID if i is None else i) for j in range(k, k + width)}
+        out.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
     return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text"])

@@ -3,7 +3,8 @@
 A dataset is a folder of shards in ascending id order. Shard s has `s.bin` (token ids, little endian, of 16 bits
 if the vocabulary and the end id fit in them, else of 32) and `s.idx`
 (document ids, then the offsets of the documents and the shard's end, both 64-bit). The manifest has one row per shard:
-its documents, its tokens, and the number of tokens in all shards before it, a prefix sum over shards.
+its documents, how many of them, its last ones, have a null id, its tokens, and the number of tokens in all shards
+before it, a prefix sum over shards.
 
 A shard is written under a name of the attempt and renamed when complete, so a task that runs twice leaves one whole
 file. Ids are cut into ranges by Spark's range partitioning; a task holds one shard's offsets and the tokens of one
@@ -176,13 +177,13 @@ def encoder(vocabulary: str) -> Encoder:
     return _encoders[vocabulary]
 
 
-SHARD = "shard string, part int, n_docs long, n_tokens long, first_id long"
+SHARD = "shard string, part int, n_docs long, n_null long, n_tokens long, first_id long"
 
 
 def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Writes the dataset to path, and its manifest as a table there; returns the manifest with bases."""
     spark = df.sparkSession
-    texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
     dtype = "<u2" if max(encoder(vocabulary).top, end_id) < 1 << 16 else "<u4"
 
@@ -193,13 +194,14 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
         fs, root = filesystem(path)
         part = TaskContext.get().partitionId()
         own, name = f"{root}/.attempt-{uuid.uuid4().hex}", f"shard-{part:06d}"
-        encode, ids, sizes, out = encoder(vocabulary), [], [np.zeros(1, np.int64)], None
+        encode, ids, sizes, out, n_null = encoder(vocabulary), [], [np.zeros(1, np.int64)], None, 0
         for batch in batches:
             for some in in_slices(batch, "text"):
                 if out is None:
                     fs.create_dir(own, recursive=True)
                     out = fs.open_output_stream(f"{own}/bin")
                 ids.append(some.column("id").to_numpy())
+                n_null += some.column("no_id").true_count
                 tokens, n = encode(some.column("text"), end_id)
                 out.write(tokens.astype(dtype).tobytes())
                 sizes.append(n)
@@ -212,12 +214,12 @@ def write_tokens(df: DataFrame, path: str, vocabulary: str, id_col: str = "doc_i
         for kind in ("bin", "idx"):
             fs.move(f"{own}/{kind}", f"{root}/{name}.{kind}")
         fs.delete_dir(own)
-        yield pa.RecordBatch.from_pylist([{"shard": name, "part": part, "n_docs": len(every), "n_tokens": int(offsets[-1]), "first_id": int(every[0])}], pa.schema([("shard", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())]))
+        yield pa.RecordBatch.from_pylist([{"shard": name, "part": part, "n_docs": len(every), "n_null": n_null, "n_tokens": int(offsets[-1]), "first_id": int(every[0])}], pa.schema([("shard", pa.string()), ("part", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64())]))
 
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
     # rows without id share one place in the order, and are dealt by their texts
-    ordered = texts.repartitionByRange(shards or shuffle_parts(spark), "id", "key").sortWithinPartitions("id", "key")
+    ordered = texts.repartitionByRange(shards or shuffle_parts(spark), "no_id", "id", "key").sortWithinPartitions("no_id", "id", "key")
     rows = sorted(ordered.mapInArrow(write, SHARD).collect(), key=lambda r: r["part"])  # one row for each shard
     base, manifest = 0, []
     for r in rows:
@@ -253,7 +255,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     fs, root = filesystem(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
-    shards = spark.createDataFrame([(s["shard"], s["n_docs"], s["base"]) for s in manifest["shards"]], "shard string, n_docs long, base long").repartition(max(1, len(manifest["shards"])), "shard")
+    shards = spark.createDataFrame([(s["shard"], s["n_docs"], s["n_docs"] - s["n_null"], s["base"]) for s in manifest["shards"]], "shard string, n_docs long, n_ids long, base long").repartition(max(1, len(manifest["shards"])), "shard")
     dtype = manifest["dtype"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, row["n_docs"], 500):
                     k = range(i, min(i + 500, row["n_docs"]))
                     ids = s.ids[k.start : k.stop]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=ids == NULL_ID), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([x.astype("<u4").tobytes() for x in s.run(k.start, k.stop)], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.arange(k.start, k.stop) >= row["n_ids"]), pa.array(row["base"] + s.offsets[k.start : k.stop]), pa.array(np.diff(s.offsets[k.start : k.stop + 1])), pa.array([x.astype("<u4").tobytes() for x in s.run(k.start, k.stop)], pa.binary())], ["doc_id", "start", "n_tokens", "tokens"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, tokens binary")
 
@@ -273,7 +275,7 @@ def brute_force(rows: list[tuple[int, str | None]], vocabulary: str, end_id: int
     from tokenizers import Tokenizer
 
     t, start, out = Tokenizer.from_file(vocabulary), 0, []
-    for i, text in sorted(rows):
+    for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, end_id]
         out.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)

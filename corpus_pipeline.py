@@ -1,17 +1,18 @@
 """The corpus pipeline: stages over the documents table, each written as Parquet and read again before the next.
 
 Every stage works on all that the stage before it kept, for any rows: null and empty texts, very long ones, repeated
-rows, empty tables and further columns. Further columns stay with their documents; names that begin with two
-underscores are used within a stage.
+rows, empty tables and further columns, whatever their names. Further columns stay with their documents.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.llm.common import drop, written
-from allelix.llm.decontaminate import RESULT, mark_contaminated
+from allelix.llm.decontaminate import mark_contaminated
 from allelix.llm.language_id import fit_language_id, identify
 from allelix.llm.near_dedup import near_duplicates
 from allelix.llm.pii import sanitise
@@ -21,37 +22,49 @@ from allelix.llm.sampled_pieces import sample_pieces
 PIECES = "piece_bpe_32k.model"
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(stage):
+    """The stage with all further columns of docs renamed, so that no name of theirs meets one that the stage uses."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in COLUMNS else f"further_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).select(names).toDF(*docs.columns)
+
+    return run
+
+
+@_aside
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters or null, and those whose language is not more likely than all others together."""
     known = docs.filter(~F.coalesce(held_out(), F.lit(True)))
     if known.filter("text is not null and lang is not null").isEmpty():
         return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    own = ("lang_pred", "score")
-    named = docs.withColumnsRenamed({c: f"__{c}" for c in own if c in docs.columns})
-    judged = identify(named, fit_language_id(known, vocabulary(PIECES)))
-    return judged.filter("lang_pred != 'und' and score >= 0.5").drop(*own).withColumnsRenamed({f"__{c}": c for c in own}).select(docs.columns)
+    return identify(docs, fit_language_id(known, vocabulary(PIECES))).filter("lang_pred != 'und' and score >= 0.5")
 
 
+@_aside
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate class; of rows that repeat it, one."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("root"))).select(F.coalesce("doc_id", F.lit(-1)).alias("__id"), F.col("copy").alias("__copy")).distinct()
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-1)), "__copy": F.coalesce(F.md5("text"), F.lit("null"))})
-    return keyed.join(kept, ["__id", "__copy"], "left_semi").dropDuplicates(["__id", "__copy"]).select(docs.columns)
+    key = (F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("own_id"))
+    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == F.col("root"))).select(*key, "copy").distinct()
+    keyed = docs.select("*", *key, F.coalesce(F.md5("text"), F.lit("null")).alias("copy"))
+    return keyed.join(kept, ["no_id", "own_id", "copy"], "left_semi").dropDuplicates(["no_id", "own_id", "copy"])
 
 
+@_aside
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    own = [name for name, _ in RESULT]
-    named = docs.withColumnsRenamed({c: f"__{c}" for c in own if c in docs.columns})
-    clean = mark_contaminated(named, benchmark).filter(~F.col("contaminated")).drop(*own)
-    return clean.withColumnsRenamed({f"__{c}": c for c in own}).select(docs.columns)
+    return mark_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated"))
 
 
+@_aside
 def without_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data and the terms that disclose it; n_chars follows the text."""
     out = sanitise(docs)
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -540,7 +540,7 @@ def test_digests_of_queries(spark, tables):
     assert held == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in rows}
 
 
-CLASHING = "id key private removed_terms term_forms score lang_pred contaminated items n_regions class_id copy root node part component bands kept base spans n_links vector list size is_query verdict rule pattern host path rank ids perturbed first past n_words start n_tokens tokens a b label2 arrival block version n_features weight rank times number first higher size source_size target copies taken code error label_error codebooks_sha256 rows k extra chance _of _run".split()
+CLASHING = "id key private removed_terms term_forms score lang_pred contaminated items n_regions class_id copy root node part component bands kept base spans n_links vector list size is_query verdict rule pattern host path rank ids perturbed first past n_words start n_tokens tokens a b label2 arrival block version n_features weight rank times number first higher size source_size target copies taken code error label_error codebooks_sha256 rows k extra chance _of _run __id __copy __private __key __words __forms __lang_pred no_id own_id own further_1 given1".split()
 
 
 @pytest.fixture(scope="module", params=["odd", "empty", "bare"])
@@ -550,7 +550,7 @@ def odd_tables(spark, request, tmp_path_factory):
     word = lambda: rng.choice(("alpha", "beta", "漢字", "ünder", "a@b.co", "10.0.0.1", "+49 30 1234567")) + str(rng.randrange(50))
     long = " ".join(word() for _ in range(20_000))
     docs = [(i, " ".join(word() for _ in range(rng.randrange(60))), rng.choice(("en", "de", None)), "s", i) for i in range(30)]
-    docs += [(40, None, "en", None, None), (41, "", None, "s", 0), (42, long, "en", "s", 1), (42, long, "en", "s", 1), (43, "x" * 20_000, None, None, None), (44, " \\n\\t  ", "de", "s", 3), (None, "one two", None, None, None), (None, None, None, None, None), (None, long[:2000], "en", "t", 2), (45, docs[3][1], "de", "s", 3), (3, docs[4][1], "de", "s", 3)]
+    docs += [(40, None, "en", None, None), (41, "", None, "s", 0), (42, long, "en", "s", 1), (42, long, "en", "s", 1), (43, "x" * 20_000, None, None, None), (44, " \\n\\t  ", "de", "s", 3), (None, "one two", None, None, None), (None, None, None, None, None), (None, long[:2000], "en", "t", 2), (45, docs[3][1], "de", "s", 3), (3, docs[4][1], "de", "s", 3), (-1, docs[5][1], "de", "s", 3), (2**63 - 1, docs[6][1], "en", "s", 3), (2**63 - 1, None, None, "s", 3)]
     vectors = [(i, [rng.random() for _ in range(8)], i % 2) for i in range(20)] + [(20, None, 1), (21, [], 1), (22, [0.0] * 8, None), (None, [1.0] * 8, 1), (None, None, None), (3, [1.0] * 8, 1), (3, [1.0] * 8, 1)]
     pages = [(i, rng.choice(("http://a.com/x", "HTTP://b.example.com/en/", "no scheme", "", None, "://", "http://net/es/" + "y" * 100_000)), None) for i in range(20)] + [(None, "http://a.com", None)] * 2
     bench = [(1, " ".join(word() for _ in range(40))), (None, None), (2, ""), (None, "short"), (3, long[:500]), (3, long[:500])]
@@ -615,3 +615,53 @@ def plainly_sanitised(text, forms):
             out += [text[at:a], put]
         at = max(at, -z)
     return "".join(out) + text[at:]
+
+
+def test_largest_and_null_ids_stay_apart(spark, tmp_path):
+    """The id 2**63 - 1 is an id like others, in every digest."""
+    top, text = 2**63 - 1, " ".join(f"word{i}" for i in range(40))
+    rows = [(top, text), (None, text), (top, text + " more"), (5, "other words " * 10), (None, "one"), (top, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    crc = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in queries.op5_token_files(spark, str(tmp_path)).collect())
+    assert [r[1] for r in crc] == [5, top, top, top, None, None]
+    assert sorted((n, c) for _, _, n, c in crc) == sorted((n, c) for _, _, n, c in token_files.brute_force(rows, BYTES))
+    kept = sorted(((r.doc_id, r.n_words, r.n_removed) for r in queries.op10_substring_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([(top, 40, 0), (None, 40, 0), (top, 41, 0), (5, 20, 0), (None, 1, 0), (top, 0, 0)], key=str)
+    classes = sorted(((r.doc_id, r.class_id, r.kept) for r in queries.op3_near_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert [c for c in classes if c[0] == top and c[1] == top] and {c[1] for c in classes if c[0] is None} == {top, None}
+    found = corpus_pipeline.one_of_each(spark, spark.read.parquet(str(tmp_path / "documents.parquet")).withColumn("__id", F.lit("kept")), "")
+    assert sorted((str(r.doc_id), r["__id"]) for r in found.collect()) == sorted([(str(top), "kept"), ("5", "kept"), ("None", "kept"), (str(top), "kept")])
+
+
+def test_samples_of_very_large_tables_are_not_empty():
+    for n in (1, 399, 400, 401, 10**7, 10**10, 10**13):
+        expected = language_id.below(400, n) * n / 2**63
+        assert abs(expected - min(n, 400)) < 1e-3 * min(n, 400)
+
+
+@pytest.mark.parametrize("text, lines", [("-" * 300_000, 1), ((" " * 48 + "return x\n") * 6000, 3), ("=" * 70 + "\n" + "ab " * 50_000, 20)])
+def test_frequent_qgrams_in_bounded_memory(text, lines):
+    """Texts of one character, and code with deep indentation, against items that have the same."""
+    import tracemalloc
+
+    items = [(i, "-" * 70 + " " * 60 + "=" * 70 + f" item {i}") for i in range(lines)]
+    index = decontaminate.SegmentIndex(items, 10, 64, 1 / 16, 16)
+    data = np.frombuffer(text.encode(), np.uint8)
+    tracemalloc.start()
+    row, seg, start, end, edits = index.find(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and len(row) and (edits >= 0).all() and len(set(seg.tolist())) == len(seg)
+
+
+def test_runs_of_hits_give_the_same_regions(monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(("aa", "bb", "--", "the")) for _ in range(60))) for i in range(5)]
+    index = decontaminate.SegmentIndex(items, 10, 64, 1 / 16, 16)
+    texts = [items[rng.randrange(5)][1][rng.randrange(30) :] + "x" * rng.randrange(9) + "-- " * 50 for _ in range(30)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = [x.tolist() for x in index.find(data, offsets)]
+    assert len(whole[0]) > 20
+    for most in (1, 50, 1000):
+        monkeypatch.setattr(decontaminate, "MOST_HITS", most)
+        assert [x.tolist() for x in index.find(data, offsets)] == whole
