@@ -35,7 +35,8 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[[9, 10, 11, 12, 13]] = 32
 BITS = 20
-MOST_HITS = 1 << 18  # pairs of a text position and a place in a segment that are held at a time
+MOST_HITS = 1 << 18  # bands hit by text positions that are held at a time
+MOST_RUN = 4096  # positions of a run of equal q-grams that are taken together
 
 
 def qgrams(data: np.ndarray, q: int) -> np.ndarray:
@@ -80,8 +81,16 @@ class SegmentIndex:
         where = np.concatenate([np.full(len(g), i) for i, g in enumerate(grams)]) if grams else np.zeros(0, np.int64)
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, first, self.count = np.unique(hashes[order], return_index=True, return_counts=True)
-        self.first, self.where, self.place = first, where[order], place[order]
+        self.hashes, first = np.unique(hashes[order], return_index=True)
+        # runs of places of one q-gram in one segment
+        where, place = where[order], place[order]
+        new = np.ones(len(place), bool)
+        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (where[1:] != where[:-1]) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        self.run_where, self.run_place, self.run_size = where[begin], place[begin], np.diff(np.append(begin, len(place)))
+        self.run_first = np.searchsorted(begin, first)
+        self.run_count = np.diff(np.append(self.run_first, len(begin)))
+        self.longest_run, self.least_half = int(self.run_size.max(initial=1)), int(self.budget.min(initial=0)) + 1
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[(self.hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
         longest = int((self.sizes + self.budget).max()) if len(self.sizes) else q
@@ -117,36 +126,64 @@ class SegmentIndex:
     def _regions(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray, k: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of text positions with a known q-gram, in order: for each row and segment that is found, its first region and the fewest edits.
 
-        A q-gram may have very many places, so positions are taken in runs of a bounded number of pairs with places. What
-        a band has so far is a bit for each q-gram of its segment; a band is judged once positions have left it behind.
+        Where a q-gram goes on for a run of positions, as in a line of dashes, and for a run of places in a segment, each
+        diagonal band is hit in an interval of places, worked out at once. Runs are taken in lots of a bounded number of
+        bands. What a band has so far is a bit for each q-gram of its segment; it is judged once positions have left it
+        behind.
         """
-        n = self.count[k]
-        upto, done = np.cumsum(n), [(np.zeros(0, np.int64),) * 5]
+        done = [(np.zeros(0, np.int64),) * 5]
+        if not len(at):
+            return done[0]
+        goes_on = (at[1:] == at[:-1] + 1) & (k[1:] == k[:-1]) & (row[1:] == row[:-1])
+        since = np.arange(len(at)) - np.maximum.accumulate(np.where(np.concatenate(([True], ~goes_on)), np.arange(len(at)), 0))
+        first = np.flatnonzero(since % MOST_RUN == 0)
+        a, size, k, row = at[first], np.diff(np.append(first, len(at))), k[first], row[first]
+        n = self.run_count[k]
+        upto = np.cumsum(n * (2 + (size + self.longest_run) // self.least_half))
         words = 1 + max(0, int(self.sizes.max()) - self.q) // 64
         keys, bits = np.zeros((0, 3), np.int64), np.zeros((0, words), np.uint64)  # open bands: row, segment, band
+        settled = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows with segments found without edits, and where
         i = 0
-        while i < len(at):
-            j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + MOST_HITS, "right")))
-            p = ragged(self.first[k[i:j]], n[i:j])
-            seg, place = self.where[p], self.place[p]
-            half = self.budget[seg] + 1
-            low = np.floor_divide(np.repeat(at[i:j], n[i:j]) - place, half)
-            # each hit is in two bands of its diagonal; band b has the diagonals from b * half to (b + 2) * half - 1
-            found = np.stack([np.tile(np.repeat(row[i:j], n[i:j]), 2), np.tile(seg, 2), np.concatenate((low, low - 1))], 1)
-            keys, bits = self._joined(np.concatenate((keys, found)), bits, np.tile(place, 2))
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + MOST_HITS, "right")))
+            p, of = ragged(self.run_first[k[i:j]], n[i:j]), np.repeat(np.arange(i, j), n[i:j])
+            seg, low, high = self.run_where[p], self.run_place[p], self.run_place[p] + self.run_size[p] - 1
+            half, begin, end = self.budget[seg] + 1, a[of], a[of] + size[of] - 1
+            # band b has the diagonals from b * half to (b + 2) * half - 1, so each diagonal is in two bands
+            lowest = np.floor_divide(begin - high, half) - 1
+            bands = np.floor_divide(end - low, half) - lowest + 1
+            band = ragged(lowest, bands)
+            seg, low, high, half, begin, end, of = (np.repeat(x, bands) for x in (seg, low, high, half, begin, end, of))
+            low, high = np.maximum(low, begin - (band + 2) * half + 1), np.minimum(high, end - band * half)
+            keys, bits = self._joined(np.concatenate((keys, np.stack([row[of], seg, band], 1))), bits, low, high)
             left = (keys[:, 2] + 2) * (self.budget[keys[:, 1]] + 1) + self.sizes[keys[:, 1]] - self.q  # first position that adds nothing
-            over = left <= at[j] if j < len(at) else np.ones(len(keys), bool)
-            good = over & (np.bitwise_count(bits).sum(1) >= self.bound[keys[:, 1]])
-            if good.any():
-                r, s, b = keys[good].T
-                done.append(self._first(*self.verify(data, offsets, r, s, b * (self.budget[s] + 1))))
+            over = left <= a[j] if j < len(a) else np.ones(len(keys), bool)
+            good = keys[over & (np.bitwise_count(bits).sum(1) >= self.bound[keys[:, 1]])]
+            fresh = np.concatenate(([True], (good[1:, :2] != good[:-1, :2]).any(1))) if len(good) else np.zeros(0, bool)
+            for some in (good[fresh], good[~fresh]):
+                some = some[~self._beyond(some, offsets, *settled)]
+                if len(some):
+                    r, s, b = some.T
+                    done.append(self._first(*self.verify(data, offsets, r, s, b * (self.budget[s] + 1))))
+                    exact = done[-1][4] == 0
+                    known, which = np.unique(np.concatenate((settled[0], (done[-1][0] * len(self.sizes) + done[-1][1])[exact])), return_index=True)
+                    settled = known, np.concatenate((settled[1], done[-1][2][exact]))[which]
             keys, bits = keys[~over], bits[~over]
             i = j
         return self._first(*(np.concatenate(x) for x in zip(*done, strict=True)))
 
+    def _beyond(self, keys: np.ndarray, offsets: np.ndarray, known: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bands that lie behind where their segment was found without edits, so that nothing in them is earlier or better."""
+        if not len(known) or not len(keys):
+            return np.zeros(len(keys), bool)
+        row, seg, band = keys.T
+        own = row * len(self.sizes) + seg
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        return (known[at] == own) & (band * (self.budget[seg] + 1) - 2 * self.budget[seg] - offsets[row] > starts[at])
+
     @staticmethod
-    def _joined(keys: np.ndarray, bits: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys with the bits they have had and those of the places that the last len(place) keys add."""
+    def _joined(keys: np.ndarray, bits: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys with the bits they have had and, of the last ones, those of the places from low to high."""
         base = keys.min(0)
         span = keys.max(0) - base + 1
         if float(span[0]) * float(span[1]) * float(span[2]) < 2.0**62:
@@ -154,12 +191,13 @@ class SegmentIndex:
             order = np.argsort((x[:, 0] * span[1] + x[:, 1]) * span[2] + x[:, 2], kind="stable")
         else:
             order = np.lexsort(keys.T[::-1])
-        s, old = keys[order], len(keys) - len(place)
+        s = keys[order]
         first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]).any(1))))
         out = np.empty((len(first), bits.shape[1]), np.uint64)
+        under = lambda n: np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.clip(n, 0, 63).astype(np.uint64)) - np.uint64(1))
         for w in range(bits.shape[1]):
-            new = np.where(place >> 6 == w, np.uint64(1) << (place & 63).astype(np.uint64), np.uint64(0))
-            out[:, w] = np.bitwise_or.reduceat(np.concatenate((bits[:, w][:old], new))[order], first)
+            new = under(high + 1 - 64 * w) & ~under(low - 64 * w)
+            out[:, w] = np.bitwise_or.reduceat(np.concatenate((bits[:, w], new))[order], first)
         return s[first], out
 
     @staticmethod

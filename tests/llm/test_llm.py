@@ -639,12 +639,12 @@ def test_samples_of_very_large_tables_are_not_empty():
         assert abs(expected - min(n, 400)) < 1e-3 * min(n, 400)
 
 
-@pytest.mark.parametrize("text, lines", [("-" * 300_000, 1), ((" " * 48 + "return x\n") * 6000, 3), ("=" * 70 + "\n" + "ab " * 50_000, 20)])
+@pytest.mark.parametrize("text, lines", [("-" * 2_000_000, 1), ((" " * 64 + "return x\n") * 1500, 3), ("=" * 70 + "\n" + "ab " * 50_000, 20)])
 def test_frequent_qgrams_in_bounded_memory(text, lines):
     """Texts of one character, and code with deep indentation, against items that have the same."""
     import tracemalloc
 
-    items = [(i, "-" * 70 + " " * 60 + "=" * 70 + f" item {i}") for i in range(lines)]
+    items = [(i, "-" * 70 + " " * 80 + "=" * 70 + f" item {i}") for i in range(lines)]
     index = decontaminate.SegmentIndex(items, 10, 64, 1 / 16, 16)
     data = np.frombuffer(text.encode(), np.uint8)
     tracemalloc.start()
@@ -662,6 +662,7 @@ def test_runs_of_hits_give_the_same_regions(monkeypatch):
     data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
     whole = [x.tolist() for x in index.find(data, offsets)]
     assert len(whole[0]) > 20
-    for most in (1, 50, 1000):
+    for most, run in ((1, 1), (50, 3), (1000, 4096)):
         monkeypatch.setattr(decontaminate, "MOST_HITS", most)
+        monkeypatch.setattr(decontaminate, "MOST_RUN", run)
         assert [x.tolist() for x in index.find(data, offsets)] == whole
