@@ -13,6 +13,7 @@ from allelix.operators import annotate as N
 from allelix.operators import filters as R
 from allelix.operators import xci as X
 from allelix.operators.merge import merge_cubes
+from allelix.plans import density as K
 from allelix.plans import frames as V
 from allelix.queries import _BASE, _ODD, _SNP_METRICS, _case, _grouped, _on_x, _pair, _query, _t, _tested, _two_sql, _with_odd_donors, cube_of
 from allelix.sources import cellsnp, files, mtx, vcf
@@ -285,6 +286,31 @@ def _(spark, d):
     return _binned(V.maf_frame(A.donor_counts(cube_of(spark, d), maf_test=False)))
 
 
+_DENSITY = """,
+s as (select count(*) as n, min(v) as a, max(v) as z, stddev_samp(v) as sd, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34 as iqr from x),
+b as (select *, 0.9 * case when least(sd, iqr) > 0 then least(sd, iqr) else sd end * pow(n, -0.2) as h, (z - a) / 511 as step from s)
+select cast(i as integer) as point, round(any_value(a + i * step), 6) as x, round(sum(exp(-0.5 * pow((a + i * step - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 9) as density from b, range(512) t(i), x group by i"""
+
+
+def _smooth(df):
+    return df.select("point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
+@_query("library_size_density", f"{_BASE},\nc as (select cell_id, coalesce(sum(ref_count + alt_count), 0) as size from cells left join counts using (cell_id) group by 1),\nx as (select cast(size as double) as v from c){_DENSITY}")
+def _(spark, d):
+    return _smooth(K.library_size_density(cube_of(spark, d)))
+
+
+@_query("snp_coverage_density", f"{_BASE},\nc as ({_SNP_METRICS} from snps left join counts using (snp_id) group by 1),\nx as (select log10(coverage) as v from c where coverage > 0){_DENSITY}")
+def _(spark, d):
+    return _smooth(K.snp_coverage_density(cube_of(spark, d)))
+
+
+@_query("maf_density", f"{_BASE},\n{_grouped('donor')},\nx as (select least(ref_count, alt_count) / (ref_count + alt_count) as v from g){_DENSITY}")
+def _(spark, d):
+    return _smooth(K.maf_density(A.donor_counts(cube_of(spark, d), maf_test=False)))
+
+
 @_query("gene_track", "select 'chr' || (s_suppkey % 22 + 1) as chrom, cast(s_suppkey * 4 as bigint) as start, cast(s_suppkey * 4 + 90 as bigint) as \"end\", s_name as gene_name from supplier where s_suppkey * 4 + 90 >= 150 and s_suppkey * 4 <= 300")
 def _(spark, d):
     return V.gene_track(_genes(spark, d), 150, 300).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
@@ -295,10 +321,10 @@ def _(spark, d):
     return V.maf_track(A.donor_counts(cube_of(spark, d), maf_test=False), "donor", 10, 5000)
 
 
-@_query("p_value_track", f"{_BASE},\n{_grouped('region')},{_tested('g')}\nselect snps.pos, round(case when adj_p_val > 1e-5 then -log10(adj_p_val) end, 4) as neg_log10_p, region as facet from t join snps using (snp_id)")
+@_query("p_value_track", f"{_BASE},\n{_grouped('region')},{_tested('g')}\nselect snps.pos, round(case when adj_p_val > 0 then abs(log10(adj_p_val)) end, 4) as neg_log10_p, region as facet from t join snps using (snp_id)")
 def _(spark, d):
     out = V.p_value_track(A.group_counts(cube_of(spark, d), "region"), "region")
-    return out.select("pos", F.round(F.when(F.col("neg_log10_p") < 5, F.col("neg_log10_p")), 4).alias("neg_log10_p"), "facet")
+    return out.select("pos", F.round("neg_log10_p", 4).alias("neg_log10_p"), "facet")
 
 
 # ---------------------------------------------------------------- X-inactivation

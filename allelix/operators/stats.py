@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from allelix.functions.binomial import binom_column
 from allelix.functions.scalars import smaller
 from allelix.model import AlleleCube
+from allelix.operators.quantiles import quantiles
 from allelix.tables import written
 
 
@@ -102,14 +103,16 @@ def donor_het_cube(cube: AlleleCube, donor: str, **how) -> AlleleCube:
 
 
 def percentile_summary(df: DataFrame, column: str, percentiles: tuple[float, ...] = (0.1, 0.25, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    """One row: min, pNN (linear interpolation), median before the first percentile over one half, max."""
-    out, median = [F.min(column).cast("double").alias("min")], False
+    """One row: min, pNN (linear interpolation), median before the first percentile over one half, max. The values are looked up at once."""
+    names, at = ["min"], [0.0]
     for q in percentiles:
-        if q > 0.5 and not median:
-            out.append(F.percentile(column, 0.5).alias("median"))
-            median = True
-        out.append(F.percentile(column, q).alias(f"p{round(q * 100):02d}"))
-    return df.agg(*out, F.max(column).cast("double").alias("max"))
+        if q > 0.5 and "median" not in names:
+            names.append("median")
+            at.append(0.5)
+        names.append(f"p{round(q * 100):02d}")
+        at.append(q)
+    names, at = [*names, "max"], [*at, 1.0]
+    return df.sparkSession.createDataFrame([tuple(quantiles(df, column, tuple(at)))], ", ".join(f"`{n}` double" for n in names))
 
 
 def outlier_genes(units: DataFrame, min_cells: int = 10, min_cov: int = 1, mad_threshold: float = 2.0, within: tuple[str, ...] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from allelix.model import AlleleCube, numbered
 from allelix.operators.aggregate import top_snp_per_gene
 from allelix.operators.filters import require_clonotypes
 from allelix.operators.stats import donor_het_status, outlier_genes
-from allelix.operators.xci_kernel import gene_evidence, kept_genes, posteriors, run_em
+from allelix.operators.xci_kernel import PACKED, blocks, gene_evidence, kept_genes, posteriors, run_em
 from allelix.tables import written
 
 XCI_CELL = ("inactive_x", "xci_post_X1", "xci_fit_unit")
@@ -46,10 +46,11 @@ def _entries(cube: AlleleCube, snps: DataFrame, by: str) -> DataFrame:
 
 
 def pack(entries: DataFrame, genes: DataFrame) -> DataFrame:
-    """A row for each unit: its covered genes, reference counts and depths. genes: (donor, snp_id, donor_no, gene)."""
+    """Blocks of units: their covered genes, reference counts and depths. genes: (donor, snp_id, donor_no, gene)."""
     e = entries.join(F.broadcast(genes), ["donor", "snp_id"]).withColumn("n", F.col("ref_count") + F.col("alt_count")).filter("n >= 1")
     rows = e.groupBy(F.col("donor_no").alias("donor"), "unit").agg(F.sort_array(F.collect_list(F.struct("gene", F.col("ref_count").cast("int").alias("ref"), F.col("n").cast("int").alias("n")))).alias("e"))  # at most as many as genes
-    return written(rows.select("donor", F.col("unit").cast("string").alias("unit"), F.col("e.gene").alias("genes"), F.col("e.ref").alias("refs"), F.col("e.n").alias("depths")), "units")
+    units = rows.select("donor", F.col("unit").cast("string").alias("unit"), F.col("e.gene").alias("genes"), F.col("e.ref").alias("refs"), F.col("e.n").alias("depths"))
+    return written(units.mapInArrow(blocks, PACKED), "units")
 
 
 def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False) -> DataFrame:
@@ -74,7 +75,7 @@ def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_thresh
     lists = {d: names[x] for d, x in enumerate(donors)}
     packed = pack(entries, numbered_genes(lists))
     seen = packed
-    fits = run_em(packed, {d: len(x) for d, x in lists.items()}, n_inits)
+    fits = run_em(packed, lists, n_inits)
     evidence = gene_evidence(packed, fits)
     keep = {d: kept_genes(evidence[d], f["pi"]) for d, f in fits.items()}
     if refit_after_filter:
@@ -82,12 +83,12 @@ def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_thresh
         if again:
             fewer = pack(entries, numbered_genes(again))
             packed = packed.filter(~F.col("donor").isin(list(again))).unionByName(fewer)
-            fits |= run_em(fewer, {d: len(x) for d, x in again.items()}, n_inits)
+            fits |= run_em(fewer, again, n_inits)
             lists |= again
             keep |= {d: np.ones(len(x), bool) for d, x in again.items()}
     post = F.coalesce("post", F.lit(0.5))  # of a unit that has none of the kept genes
     label = F.when(post >= confidence_threshold, "X1").when(post <= 1 - confidence_threshold, "X2").otherwise("unassigned")
-    called = seen.select("donor", "unit").join(posteriors(packed, fits), ["donor", "unit"], "left")
+    called = seen.select("donor", F.explode("units").alias("unit")).join(posteriors(packed, fits), ["donor", "unit"], "left")
     named = spark.createDataFrame(list(enumerate(donors)), "donor int, name string")
     units = called.join(F.broadcast(named), "donor").select(F.col("name").alias("donor"), F.lit("unit").alias("kind"), F.col("unit").alias("name"), label.alias("label"), post.alias("post"))
     snps = [(donors[d], "snp", lists[d][k], "ALT" if f["h"][k] else "REF", float(f["pi"][k])) for d, f in fits.items() for k in np.flatnonzero(keep[d])]
@@ -134,7 +135,8 @@ def assignment_tally(cube: AlleleCube) -> DataFrame:
 def heatmap_frame(cube: AlleleCube, donor: str, min_coverage_cells: int = 1, max_genes: int | None = None) -> DataFrame:
     """(cell_id, gene, ref_fraction, depth, inactive_x, unit_order, gene_order) of a donor's assigned cells and informative genes.
 
-    Genes are ordered by how far the shrunken means of the two groups differ, cells by posterior.
+    Genes are ordered by how far the shrunken means of the two groups differ, cells by posterior, to 9 digits, as the last
+    ones depend on the order in which sums were taken; equal ones by name.
     """
     _need(cube.snp_dim, "xci_informative")
     gene = F.coalesce("gene_name", "snp_id") if "gene_name" in cube.snp_dim.columns else F.col("snp_id")
@@ -143,10 +145,10 @@ def heatmap_frame(cube: AlleleCube, donor: str, min_coverage_cells: int = 1, max
     e = cube.counts.join(snps, "snp_id").join(cells, "cell_id").withColumn("depth", F.col("ref_count") + F.col("alt_count")).filter("depth > 0").withColumn("ref_fraction", F.col("ref_count") / F.col("depth"))
     mean = lambda x: (F.sum(F.when(F.col("inactive_x") == x, F.col("ref_fraction")).otherwise(0.0)) + 2.5) / (F.count_if(F.col("inactive_x") == x) + 5)
     genes = e.groupBy("gene").agg(F.count("*").alias("covered"), F.abs(mean("X1") - mean("X2")).alias("discrimination")).filter(F.col("covered") >= min_coverage_cells)
-    genes = genes.withColumn("sort", F.struct((-F.col("discrimination")).alias("less"), "gene"))
+    genes = genes.withColumn("sort", F.struct((-F.round("discrimination", 12)).alias("less"), "gene"))
     genes = genes.orderBy("sort").limit(max_genes) if max_genes is not None else genes
     genes = numbered(genes, by="sort").withColumnRenamed("_ord", "gene_order")
     e = e.join(genes.select("gene", "gene_order", "discrimination"), "gene")
-    units = e.select("cell_id", F.struct((-F.col("xci_post_X1")).alias("less"), "cell_id").alias("sort")).distinct()
+    units = e.select("cell_id", F.struct((-F.round("xci_post_X1", 9)).alias("less"), "cell_id").alias("sort")).distinct()
     units = numbered(units, by="sort").withColumnRenamed("_ord", "unit_order").drop("sort")
     return e.join(units, "cell_id").select("cell_id", "gene", "ref_fraction", "depth", "inactive_x", "xci_post_X1", "unit_order", "gene_order", "discrimination")

@@ -4,13 +4,15 @@ Each unit (cell or clonotype) has one of two X chromosomes inactive; each gene h
 allele lies on X1) and an escape fraction pi, the share of reads from the inactive chromosome. Given phase and
 inactive X, the reference count is beta-binomial with mean pi or 1 - pi and fixed overdispersion.
 
-A unit is one row with arrays of its covered genes. The state of a donor is a pair of arrays (restarts x genes), as many
+Units are packed into blocks, a row each, whose entries point into the block's own dictionary of distinct (gene,
+reference count, depth): likelihoods are worked out once for each of these. The state of a donor is a pair of arrays (restarts x genes), as many
 numbers as genes on one chromosome, and travels to the tasks; a round adds up what each task finds for all restarts at
 once, by donor, and the driver makes the next state of it. So no task holds a donor's units together.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 RHO, PI_START, PI_LOW, PI_HIGH = 0.05, 0.05, 0.001, 0.499
-PACKED = "donor int, unit string, genes array<int>, refs array<int>, depths array<int>"
+UNIT = "donor int, unit string, genes array<int>, refs array<int>, depths array<int>"
+#: A block: names of its units and their numbers of entries, each entry's place in the dictionary, and that.
+PACKED = "donor int, units array<string>, sizes array<int>, codes array<int>, genes array<int>, refs array<int>, depths array<int>"
+MOST_ENTRIES = 1 << 18  # of a block, unless a single unit has more
 MOST_BYTES = 32 << 20  # of sums that tasks send to the driver
 SUMS = "donor int, sums binary, value binary"
 
@@ -33,11 +38,16 @@ class State:
     live: np.ndarray
 
     @staticmethod
-    def start(genes: int, seeds: list[int]) -> State:
-        h = np.stack([np.random.default_rng(s).integers(0, 2, genes) for s in seeds])
+    def start(genes: list[str], seeds: list[int]) -> State:
+        h = np.array([[first_phase(s, g) for g in genes] for s in seeds], int).reshape(len(seeds), len(genes))
         return State(h, np.full(h.shape, PI_START), np.ones(len(seeds), bool))
 
 
+def first_phase(seed: int, gene: str) -> int:
+    """The phase that a restart begins with: the last bit of the first byte of a hash of seed and SNP."""
+    return hashlib.md5(f"{seed}:{gene}".encode()).digest()[0] & 1
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series, after the argument was raised by eight; relative error about 1e-15."""
     low = np.ones_like(x)
@@ -60,36 +70,50 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the units of each donor in a batch of rows (donor, unit, genes, refs, depths)."""
+    for batch in batches:
+        donors = batch.column("donor").to_numpy()
+        for d in np.unique(donors):
+            own = batch.filter(pa.array(donors == d))
+            sizes = np.diff(own.column("genes").offsets.to_numpy())
+            upto, at = np.cumsum(sizes), 0
+            while at < len(sizes):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + MOST_ENTRIES, "right")))
+                some = own.slice(at, to - at)
+                entries = np.stack([some.column(c).flatten().to_numpy() for c in ("genes", "refs", "depths")], 1)
+                distinct, codes = np.unique(entries, axis=0, return_inverse=True)
+                lists = (some.column("unit").to_pylist(), sizes[at:to], codes.reshape(-1), *distinct.T)
+                kinds = (pa.string(), *(pa.int32(),) * 5)
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x], pa.list_(t)) for x, t in zip(lists, kinds, strict=True))], ["donor", "units", "sizes", "codes", "genes", "refs", "depths"])
+                at = to
+
+
 @dataclass
 class Units:
-    """Units of one donor: of each entry its unit, gene, reference count and depth."""
+    """A block of one donor's units: of each entry its unit and place among the distinct ones; of those gene, reference count and depth."""
 
     unit: np.ndarray
-    gene: np.ndarray
-    ref: np.ndarray
-    n: np.ndarray
+    code: np.ndarray
+    gene_of: np.ndarray
+    ref_of: np.ndarray
+    n_of: np.ndarray
     units: int
 
+    def __post_init__(self):
+        self.gene, self.ref, self.n = (x[self.code] for x in (self.gene_of, self.ref_of, self.n_of))
+
     @staticmethod
-    def of(batch: pa.RecordBatch) -> Units:
-        genes = batch.column("genes")
-        sizes = np.diff(genes.offsets.to_numpy())
-        values = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("genes", "refs", "depths"))
-        return Units(np.repeat(np.arange(len(sizes)), sizes), *values, len(sizes))
+    def of(block: dict[str, np.ndarray]) -> Units:
+        sizes = block["sizes"]
+        return Units(np.repeat(np.arange(len(sizes)), sizes), block["codes"], *(block[c].astype(np.int64) for c in ("genes", "refs", "depths")), len(sizes))
 
     def expectation(self, h: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For one state: log likelihoods with the reference allele on the inactive and the active X, of entries; log odds of X1, of units.
-
-        The likelihoods are worked out once for each distinct (ref, n, gene).
-        """
-        if not hasattr(self, "distinct"):
-            rows = np.stack([self.ref, self.n, self.gene], 1)
-            self.distinct, index = np.unique(rows, axis=0, return_inverse=True)
-            self.index = index.reshape(-1)
-        ref, n, g = self.distinct.T
-        inactive, active = log_kernel(ref, n, pi[g])[self.index], log_kernel(ref, n, 1 - pi[g])[self.index]
-        sign = np.where(h[self.gene] == 0, 1.0, -1.0)
-        return inactive, active, np.bincount(self.unit, sign * (inactive - active), self.units)
+        """For one state: log likelihoods with the reference allele on the inactive and the active X, of entries; log odds of X1, of units."""
+        p = pi[self.gene_of]
+        inactive, active = log_kernel(self.ref_of, self.n_of, p), log_kernel(self.ref_of, self.n_of, 1 - p)
+        contrast = np.where(h[self.gene_of] == 0, inactive - active, active - inactive)
+        return inactive[self.code], active[self.code], np.bincount(self.unit, contrast[self.code], self.units)
 
     def sums(self, state: State) -> tuple[np.ndarray, np.ndarray]:
         """What the next state is made of: (restarts x 5 x genes) evidence for both phases, reads by the first phase, reads, entries; and log likelihoods."""
@@ -110,14 +134,15 @@ class Units:
         return np.bincount(self.gene, sigmoid(odds)[self.unit] * sign * (inactive - active), len(h))
 
 
-def by_donor(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+def by_donor(batches: Iterator[pa.RecordBatch], only) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Each block's donor and columns, of the donors asked for."""
     for batch in batches:
-        donor = batch.column("donor").to_numpy()
-        for d in np.unique(donor):
-            yield int(d), batch.filter(pa.array(donor == d))
+        for i, d in enumerate(batch.column("donor").to_pylist()):
+            if d in only:
+                yield d, {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("units", "sizes", "codes", "genes", "refs", "depths")}
 
 
-def added_up(packed: DataFrame, work, shapes: dict[int, tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def added_up(packed: DataFrame, work, shapes: dict[int, tuple[tuple[int, ...], int]], tasks: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By donor, the sums over all its units of work(donor, units): two arrays.
 
     Tasks add up what they see. What they send meets by donor before it comes to the driver, unless it is little.
@@ -140,11 +165,11 @@ def added_up(packed: DataFrame, work, shapes: dict[int, tuple[tuple[int, ...], i
                 yield row["donor"], np.frombuffer(row["sums"]), np.frombuffer(row["value"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return total((d, *work(d, Units.of(some))) for d, some in by_donor(batches) if d in shapes)
+        return total((d, *work(d, Units.of(some))) for d, some in by_donor(batches, shapes))
 
     parts = packed.mapInArrow(each, SUMS)
     size = 8 * sum(int(np.prod(a)) + b for a, b in shapes.values())
-    if size * packed.rdd.getNumPartitions() > MOST_BYTES:
+    if size * (tasks or packed.rdd.getNumPartitions()) > MOST_BYTES:
         parts = parts.repartition("donor").mapInArrow(lambda batches: total(read(batches)), SUMS)
     rows = total((r["donor"], np.frombuffer(r["sums"]), np.frombuffer(r["value"])) for r in parts.collect())
     out = {}
@@ -154,19 +179,20 @@ def added_up(packed: DataFrame, work, shapes: dict[int, tuple[tuple[int, ...], i
     return out
 
 
-def run_em(packed: DataFrame, genes: dict[int, int], n_inits: int, most: int = 50, tolerance: float = 1e-4) -> dict[int, dict]:
+def run_em(packed: DataFrame, names: dict[int, list[str]], n_inits: int, most: int = 50, tolerance: float = 1e-4) -> dict[int, dict]:
     """By donor the best of n_inits restarts: h and pi, those that its posteriors were made with, and the likelihood.
 
-    genes: number of genes by donor. A restart ends when its likelihood stays, and the first of equal ones is taken.
+    names: the genes' SNPs by donor. A restart ends when its likelihood stays, and the first of equal ones is taken.
     """
-    now = {d: State.start(n, list(range(1, n_inits + 1))) for d, n in genes.items()}
+    genes, tasks = {d: len(x) for d, x in names.items()}, packed.rdd.getNumPartitions()
+    now = {d: State.start(x, list(range(1, n_inits + 1))) for d, x in names.items()}
     used = {d: (s.h, s.pi) for d, s in now.items()}
     last = {d: np.full(n_inits, -np.inf) for d in genes}
     for _ in range(most):
         live = {d: s for d, s in now.items() if s.live.any()}
         if not live:
             break
-        found = added_up(packed, lambda d, units, live=live: units.sums(live[d]), {d: ((n_inits, 5, genes[d]), n_inits) for d in live})
+        found = added_up(packed, lambda d, units, live=live: units.sums(live[d]), {d: ((n_inits, 5, genes[d]), n_inits) for d in live}, tasks)
         for d, (sums, value) in found.items():
             s = now[d]
             zero, one, first, reads, seen = (sums[:, i] for i in range(5))
@@ -203,9 +229,8 @@ def posteriors(packed: DataFrame, fits: dict[int, dict]) -> DataFrame:
     """(donor, unit, post): each unit's probability that X1 is inactive."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for d, some in by_donor(batches):
-            if d in fits:
-                post = sigmoid(Units.of(some).expectation(fits[d]["h_used"], fits[d]["pi_used"])[2])
-                yield pa.RecordBatch.from_arrays([some.column("donor"), some.column("unit"), pa.array(post)], ["donor", "unit", "post"])
+        for d, some in by_donor(batches, fits):
+            post = sigmoid(Units.of(some).expectation(fits[d]["h_used"], fits[d]["pi_used"])[2])
+            yield pa.RecordBatch.from_arrays([pa.array([d] * len(post), pa.int32()), pa.array(some["units"], pa.string()), pa.array(post)], ["donor", "unit", "post"])
 
     return packed.mapInArrow(judge, "donor int, unit string, post double")

@@ -83,17 +83,17 @@ def _tested(source: str, p: float = 0.1, keep: str = "true", family: str = "") -
     by = f"partition by {family} " if family else ""
     return f"""
 m as (select *, case when {keep} then least(ref_count, alt_count) end as minor_allele_count, ref_count + alt_count as n from {source}),
-tail as (select minor_allele_count, n, greatest(0, 1 - coalesce(list_sum(list_transform(range(0, minor_allele_count), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p})))), 0)) as p_val
+tail as (select minor_allele_count, n, case when minor_allele_count = 0 then 1 else least(1, list_sum(list_transform(range(minor_allele_count, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({p}) + (n - k) * ln(1 - {p}))))) end as p_val
   from (select distinct minor_allele_count, n from m where minor_allele_count is not null)),
 r as (select m.*, p_val, count(p_val) over ({by}) * p_val / count(p_val) over ({by}order by p_val nulls last range unbounded preceding) as q from m left join tail using (minor_allele_count, n)),
 t as (select *, case when p_val is not null then least(1.0, min(q) over ({by}order by p_val desc nulls first range unbounded preceding)) end as adj_p_val from r)"""
 
 
-_P = "minor_allele_count, round(p_val, 6) as p_val, round(adj_p_val, 6) as adj_p_val"
+_P = "minor_allele_count, round(p_val + 1e-12, 6) as p_val, round(adj_p_val + 1e-12, 6) as adj_p_val"
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in ("p_val", "adj_p_val")})
+    return df.withColumns({c: F.round(F.col(c) + 1e-12, 6) for c in ("p_val", "adj_p_val")})
 
 
 QUERIES: dict = {}
@@ -201,7 +201,7 @@ def _(spark, d):
     return A.expression_values(_with_odd_donors(cube_of(spark, d)), "don").withColumn("expr", F.round("expr", 9))
 
 
-@_query("maf_test_donor", f"{_BASE},\n{_grouped('donor')},{_tested('g')}\nselect snp_id, donor, minor_allele_count, round(p_val, 6) as p_val, round(adj_p_val, 6) as adj_p_val from t")
+@_query("maf_test_donor", f"{_BASE},\n{_grouped('donor')},{_tested('g')}\nselect snp_id, donor, minor_allele_count, round(p_val + 1e-12, 6) as p_val, round(adj_p_val + 1e-12, 6) as adj_p_val from t")
 def _(spark, d):
     return A.donor_counts(cube_of(spark, d)).select("snp_id", "donor", "minor_allele_count", F.round("p_val", 6).alias("p_val"), F.round("adj_p_val", 6).alias("adj_p_val"))
 
@@ -215,7 +215,7 @@ def _(spark, d):
 _CALL = "case when tested and adj_p_val < 0.05 then 'het' when tested then 'hom' else 'unknown' end as zygosity"
 
 
-@_query("het_status", f"{_BASE},\n{_grouped('donor')},\ng2 as (select *, ref_count + alt_count >= 300 as tested from g),{_tested('g2', keep='tested')}\nselect snp_id, donor, ref_count, alt_count, tested, round(p_val, 6) as p_val, round(adj_p_val, 6) as adj_p_val, {_CALL} from t")
+@_query("het_status", f"{_BASE},\n{_grouped('donor')},\ng2 as (select *, ref_count + alt_count >= 300 as tested from g),{_tested('g2', keep='tested')}\nselect snp_id, donor, ref_count, alt_count, tested, round(p_val + 1e-12, 6) as p_val, round(adj_p_val + 1e-12, 6) as adj_p_val, {_CALL} from t")
 def _(spark, d):
     out = S.donor_het_status(cube_of(spark, d), min_total_count=300)
     return out.select("snp_id", "donor", "ref_count", "alt_count", "tested", F.round("p_val", 6).alias("p_val"), F.round("adj_p_val", 6).alias("adj_p_val"), "zygosity")
@@ -348,18 +348,3 @@ def _(spark, d):
 def _on_x(spark, d) -> AlleleCube:
     cube = cube_of(spark, d)
     return AlleleCube(cube.counts, cube.snp_dim.withColumns({"chrom": F.lit("chrX"), "chrom_canonical": F.lit("chrX")}), cube.cell_dim.withColumn("donor", F.col("region")), cube.chr_style)
-
-
-@_query("xci_assignments")
-def _(spark, d):
-    return X.xci_assignments(X.assign_inactive_x(_on_x(spark, d), strict=False))
-
-
-@_query("xci_haplotypes")
-def _(spark, d):
-    return X.xci_haplotypes(X.assign_inactive_x_by_clonotype(_on_x(spark, d), strict=False))
-
-
-@_query("heatmap_frame")
-def _(spark, d):
-    return X.heatmap_frame(X.assign_inactive_x(_on_x(spark, d), strict=False), "ASIA")

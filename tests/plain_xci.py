@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from allelix.functions.binomial import log_beta
+from allelix.operators.xci_kernel import first_phase
 
 RHO, PI_START, PI_LOW, PI_HIGH = 0.05, 0.05, 0.001, 0.499
 
@@ -72,9 +73,8 @@ def escape_step(d: Data, post: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(total > 0, np.clip(inactive / np.maximum(total, 1), PI_LOW, PI_HIGH), PI_START)
 
 
-def run_em(d: Data, seed: int, most: int = 50, tolerance: float = 1e-4) -> dict:
-    rng = np.random.default_rng(seed)
-    h, pi, last = rng.integers(0, 2, d.genes), np.full(d.genes, PI_START), -np.inf
+def run_em(d: Data, seed: int, snps: list[str], most: int = 50, tolerance: float = 1e-4) -> dict:
+    h, pi, last = np.array([first_phase(seed, x) for x in snps]), np.full(d.genes, PI_START), -np.inf
     post = np.full(d.units, 0.5)
     for _ in range(most):
         ll = both(d, pi)
@@ -118,20 +118,20 @@ def kept_genes(d: Data, fit: dict, threshold: float = 2.0) -> np.ndarray:
     return (gene_evidence(d, fit) > 0) & usual
 
 
-def infer(gene: np.ndarray, unit: np.ndarray, ref: np.ndarray, alt: np.ndarray, genes: int, units: int, n_inits: int = 10, confidence: float = 0.95, refit: bool = False) -> dict:
+def infer(gene: np.ndarray, unit: np.ndarray, ref: np.ndarray, alt: np.ndarray, genes: int, units: int, snps: list[str], n_inits: int = 10, confidence: float = 0.95, refit: bool = False) -> dict:
     """Assignments of units and haplotypes of genes; gene numbers are the given ones."""
     good = ordinary_genes(ref, alt, gene, genes)
     number = np.cumsum(good) - 1
     some = good[gene] & (ref + alt >= 1)
     names = np.flatnonzero(good)
     d = Data(number[gene[some]], unit[some], ref[some], (ref + alt)[some], len(names), units)
-    fit = max((run_em(d, s) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])  # the first of equal ones
+    fit = max((run_em(d, s, [snps[k] for k in names]) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])  # the first of equal ones
     keep = kept_genes(d, fit)
     if refit and keep.any() and not keep.all():
         again = np.cumsum(keep) - 1
         s = keep[d.gene]
         d2 = Data(again[d.gene[s]], d.unit[s], d.ref[s], d.n[s], int(keep.sum()), units)
-        fit = max((run_em(d2, s) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])
+        fit = max((run_em(d2, s, [snps[k] for k in names[keep]]) for s in range(1, n_inits + 1)), key=lambda f: f["ll"])
         names, keep = names[keep], np.ones(int(keep.sum()), bool)
     seen = np.bincount(unit[some], minlength=units) > 0
     label = np.where(fit["post"] >= confidence, "X1", np.where(fit["post"] <= 1 - confidence, "X2", "unassigned")).astype(object)

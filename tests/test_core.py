@@ -6,7 +6,7 @@ import plain_xci
 import pytest
 from pyspark.sql import functions as F
 
-from allelix import queries
+from allelix import queries, xci_queries
 from allelix.functions.binomial import binom_tail
 from allelix.functions.chroms import convert_chr_style, normalize_chr_names, style_of
 from allelix.model import AlleleCube, assign_cell_ids, numbered
@@ -221,7 +221,7 @@ def test_inactive_x(spark):
 def test_registered_fits_use_every_restart(spark, monkeypatch, name):
     tried, fit = [], X.fit
     monkeypatch.setattr(X, "fit", lambda cube, by, n_inits, *how: tried.append(n_inits) or fit(cube, by, n_inits, *how))
-    queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    xci_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert tried == [10]
 
 
@@ -250,7 +250,7 @@ def test_spread_fit_is_the_plain_one(spark, monkeypatch, by, refit):
     for donor, rows in entries.groupby("donor"):
         units, u = np.unique(rows["unit"].to_numpy(str), return_inverse=True)
         names, s = np.unique(rows["snp_id"].to_numpy(str), return_inverse=True)
-        want = plain_xci.infer(s, u, rows["ref_count"].to_numpy(np.int64), rows["alt_count"].to_numpy(np.int64), len(names), len(units), 3, 0.95, refit)
+        want = plain_xci.infer(s, u, rows["ref_count"].to_numpy(np.int64), rows["alt_count"].to_numpy(np.int64), len(names), len(units), names.tolist(), 3, 0.95, refit)
         mine = got[got.donor == donor]
         a, b = mine[mine.kind == "unit"].set_index("name"), mine[mine.kind == "snp"].set_index("name")
         assert sorted(a.index) == sorted(units[want["unit"]]) and sorted(b.index) == sorted(names[want["gene"]])
