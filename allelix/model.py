@@ -8,6 +8,7 @@ generated ids, merges). Metrics are joined to the dimensions when they are asked
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -144,11 +145,18 @@ class AlleleCube:
     def shape(self) -> tuple[int, int]:
         return self.snp_dim.count(), self.cell_dim.count()
 
+    def each_snp_id(self) -> Iterator[str]:
+        """In order, a partition at a time."""
+        return (r[0] for r in self.snp_dim.orderBy("_ord").select("snp_id").toLocalIterator())
+
+    def each_cell_id(self) -> Iterator[str]:
+        return (r[0] for r in self.cell_dim.orderBy("_ord").select("cell_id").toLocalIterator())
+
     def snp_ids(self) -> list[str]:
-        return [r[0] for r in self.snp_dim.orderBy("_ord").select("snp_id").collect()]
+        return list(self.each_snp_id())
 
     def cell_ids(self) -> list[str]:
-        return [r[0] for r in self.cell_dim.orderBy("_ord").select("cell_id").collect()]
+        return list(self.each_cell_id())
 
     def __repr__(self) -> str:
         return f"AlleleCube(snps: {', '.join(self.snp_dim.columns)}; cells: {', '.join(self.cell_dim.columns)}; chromosome style: {self.chr_style})"
@@ -193,17 +201,38 @@ class AlleleCube:
         return AlleleCube(counts, s, c, self.chr_style)
 
     def subset(self, snps=None, cells=None) -> AlleleCube:
-        """Rows and columns by ids, 1-based positions, or booleans."""
+        """Rows and columns by ids, 1-based positions, or booleans.
+
+        Each is a list or array of one of these, a range of positions, or a frame with a column of ids (snp_id, cell_id)
+        or of positions (position); ranges and frames stay in Spark. Positions beyond the end are left out.
+        """
         return self.keep(*(None if x is None else self._picked(x, dim, key) for x, dim, key in ((snps, self.snp_dim, "snp_id"), (cells, self.cell_dim, "cell_id"))))
 
     @staticmethod
     def _picked(x, dim: DataFrame, key: str) -> DataFrame:
-        x = list(x)
-        if x and isinstance(x[0], str):
-            return dim.filter(F.col(key).isin(x))
+        import numpy as np
+        import pandas as pd
+
+        spark, at = dim.sparkSession, F.col("_ord")
+        if isinstance(x, DataFrame):
+            if key in x.columns:
+                return dim.join(x.select(key).distinct(), key, "left_semi")
+            if "position" not in x.columns:
+                raise ValueError(f"the frame has neither {key} nor position")
+            wanted = x.select(F.col("position").cast("long").alias("_ord"))
+        elif not isinstance(x, range):
+            x = np.asarray(x if isinstance(x, np.ndarray) else list(x))
+            if x.dtype.kind in "US" or x.dtype == object:
+                return dim.join(spark.createDataFrame(pd.DataFrame({key: x.astype(str)})).distinct(), key, "left_semi")
+            if x.dtype == bool and len(x) != (n := dim.count()):
+                raise ValueError(f"{len(x)} booleans for {n} rows")
+            x = np.flatnonzero(x) + 1 if x.dtype == bool else x.astype(np.int64)
+            wanted = spark.createDataFrame(pd.DataFrame({"_ord": x})) if len(x) else spark.createDataFrame([], "_ord long")
         place = numbered(dim.select(key, "_ord"), by="_ord")  # positions within the present rows
-        wanted = [i + 1 for i, y in enumerate(x) if y] if x and isinstance(x[0], bool) else [int(y) for y in x]
-        return place.join(F.broadcast(dim.sparkSession.createDataFrame([(i,) for i in wanted], "_ord long")), "_ord", "left_semi")
+        if isinstance(x, range):
+            low, high, step = (min(x), max(x), abs(x.step)) if len(x) else (1, 0, 1)
+            return place.filter(at.between(low, high) & ((at - low) % step == 0))
+        return place.join(wanted.distinct(), "_ord", "left_semi")
 
 
 def column_or_sql(condition: Column | str) -> Column:

@@ -6,6 +6,8 @@ units spread over tasks. A donor that cannot be fitted is left out; if none can
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +18,11 @@ from allelix.operators.aggregate import top_snp_per_gene
 from allelix.operators.filters import require_clonotypes
 from allelix.operators.stats import donor_het_status, outlier_genes
 from allelix.operators.xci_kernel import PACKED, blocks, gene_evidence, kept_genes, posteriors, run_em
-from allelix.tables import written
+from allelix.sources.files import exists
+from allelix.tables import dropped, new_path, written
 
+FITTED = "donor string, kind string, name string, label string, post double"
+MOST_STATE = 4_000_000  # genes x restarts of the donors that are fitted at a time
 XCI_CELL = ("inactive_x", "xci_post_X1", "xci_fit_unit")
 XCI_SNP = ("xci_informative", "xci_informative_donor", "xci_allele_on_x1", "xci_escape_fraction")
 
@@ -53,21 +58,40 @@ def pack(entries: DataFrame, genes: DataFrame) -> DataFrame:
     return written(units.mapInArrow(blocks, PACKED), "units")
 
 
+def _groups(usual: DataFrame, n_inits: int) -> Iterator[dict[str, list[str]]]:
+    """SNPs by donor, of as many donors at a time as MOST_STATE allows; one donor has no more genes than a chromosome."""
+    names: dict[str, list[str]] = {}
+    for r in usual.orderBy("donor", "gene").toLocalIterator():
+        if r["donor"] not in names and n_inits * sum(map(len, names.values())) >= MOST_STATE:
+            yield names
+            names = {}
+        names.setdefault(r["donor"], []).append(r["gene"])
+    if names:
+        yield names
+
+
 def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False) -> DataFrame:
     """Rows of two kinds: unit (donor, name, post, label) and snp (donor, name, label = phase, post = escape fraction).
 
-    A round of the fit is one job over all donors' units, whatever their number; the genes of a chromosome, by donor, are
-    with the driver.
+    A round of the fit is one job over all units of a group of donors; the driver holds the state of one group, whose
+    size is bounded, so very many donors are fitted group by group.
     """
     if by == "clonotype":
         require_clonotypes(cube)
     spark = cube.counts.sparkSession
     entries = written(_entries(cube, informative_snps(cube), by), "entries")
-    usual = outlier_genes(entries.withColumnRenamed("snp_id", "gene"), within=("donor",)).filter("keep").select("donor", "gene")
-    names: dict[str, list[str]] = {}
-    for r in usual.orderBy("donor", "gene").collect():  # one gene each, of one chromosome
-        names.setdefault(r["donor"], []).append(r["gene"])
-    donors = sorted(names)
+    usual = written(outlier_genes(entries.withColumnRenamed("snp_id", "gene"), within=("donor",)).filter("keep").select("donor", "gene"), "usual")
+    path = new_path(spark, "fits")
+    for names in _groups(usual, n_inits):
+        own = entries.filter(F.col("donor").between(min(names), max(names)))
+        _fit_group(own, names, n_inits, confidence_threshold, refit_after_filter).write.mode("append").parquet(path)
+    for old in (entries, usual):
+        dropped(old)
+    return spark.read.schema(FITTED).parquet(path) if exists(spark, path) else spark.createDataFrame([], FITTED)
+
+
+def _fit_group(entries: DataFrame, names: dict[str, list[str]], n_inits: int, confidence_threshold: float, refit_after_filter: bool) -> DataFrame:
+    spark, donors = entries.sparkSession, sorted(names)
 
     def numbered_genes(lists: dict[int, list[str]]) -> DataFrame:
         return spark.createDataFrame([(donors[d], snp, d, k) for d, snps in lists.items() for k, snp in enumerate(snps)], "donor string, snp_id string, donor_no int, gene int")
@@ -92,7 +116,7 @@ def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_thresh
     named = spark.createDataFrame(list(enumerate(donors)), "donor int, name string")
     units = called.join(F.broadcast(named), "donor").select(F.col("name").alias("donor"), F.lit("unit").alias("kind"), F.col("unit").alias("name"), label.alias("label"), post.alias("post"))
     snps = [(donors[d], "snp", lists[d][k], "ALT" if f["h"][k] else "REF", float(f["pi"][k])) for d, f in fits.items() for k in np.flatnonzero(keep[d])]
-    return units.unionByName(spark.createDataFrame(snps, "donor string, kind string, name string, label string, post double"))
+    return units.unionByName(spark.createDataFrame(snps, FITTED))
 
 
 def assign_inactive_x(cube: AlleleCube, n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False, by: str = "cell", strict: bool = True) -> AlleleCube:

@@ -235,6 +235,8 @@ def test_spread_fit_is_the_plain_one(spark, monkeypatch, by, refit):
     """Two donors, odd genes and many partitions against a fit of each donor at once."""
     if refit:
         monkeypatch.setattr(K, "MOST_BYTES", 0)
+        monkeypatch.setattr(K, "MOST_ENTRIES", 40)
+        monkeypatch.setattr(X, "MOST_STATE", 1)
     rng = np.random.default_rng(7)
     genes, cells = 24, 120
     phase, group, escape = rng.integers(0, 2, genes), rng.integers(0, 2, cells), np.where(np.arange(genes) % 8 == 0, 0.4, 0.06)
