@@ -35,6 +35,13 @@ class Quantiser:
     books: np.ndarray  # subspaces x codes x part
     radius: float
 
+    def __post_init__(self):
+        """Distances between all centroids, worked out in blocks of bounded size."""
+        c = self.centroids
+        most = max(1, (4 << 20) // max(1, c.size))
+        gaps = [np.sqrt(np.maximum(((c[i : i + most, None] - c) ** 2).sum(2), 1e-30)) for i in range(0, len(c), most)]
+        self.gaps = np.concatenate(gaps)
+
     @property
     def parts(self) -> tuple[int, int]:
         return self.books.shape[0], self.books.shape[2]
@@ -47,8 +54,7 @@ class Quantiser:
     def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each list that can hold a vector within the radius of the row's."""
         own, d = self.nearest(x)
-        gap = np.sqrt(np.maximum(((self.centroids[own][:, None] - self.centroids) ** 2).sum(2), 1e-30)) if len(x) * self.centroids.size < 2e7 else np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids) ** 2).sum(2), 1e-30))[own]
-        away = (d - d[np.arange(len(x)), own][:, None]) / (2 * gap)
+        away = (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
         return np.nonzero(away <= self.radius + 1e-6)
 
     def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
