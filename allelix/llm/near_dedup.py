@@ -207,6 +207,12 @@ def _alone(texts: DataFrame, width: int, weighted: bool, slots: int) -> DataFram
     return packed.mapInArrow(lean(settle), "node long, alone long").groupBy("node").agg(F.sum("alone").alias("alone"))
 
 
+def _facing(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A hub's texts outside of its largest component, in blocks, and all its texts, once for each block."""
+    left = met.filter("outside").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    return left, met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+
 def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, least: float, weighted: bool, block: int = 2000) -> DataFrame:
     """Pairs (a, b) of texts that met the same hub, are in different components and may still be a link.
 
@@ -218,14 +224,17 @@ def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, le
     text has are in no intersection, and what two texts lost in a stretch of the hub is at most the lesser of the two
     numbers. That bounds the right side from above; pairs it rules out are no links, so none is lost. A pair is judged
     under the first hub that both have met (by the number of texts that met the hub), since one bound is enough.
+
+    Of two texts in different components one at least is outside of the hub's largest component. So those outside are
+    on one side and all of the hub's texts on the other: for one outlier among n copies n rows meet one.
     """
     share = least / (1 + least)
-    placed = scores.join(parts.withColumnsRenamed({"node": "b", "component": "part"}), "b", "left").join(parts.withColumnsRenamed({"node": "a", "component": "own"}), "a", "left")
+    placed = scores.join(parts.withColumnsRenamed({"node": "b", "component": "part"}), "b", "left")
     placed = placed.withColumn("part", F.coalesce("part", "b"))
-    own = F.coalesce("own", "a")
-    hubs = placed.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("part"), F.min(own)).alias("low"), F.greatest(F.max("part"), F.max(own)).alias("high")).filter("low != high")
-    hubs = hubs.select("a", (-F.col("n")).alias("rank"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = written(placed.join(hubs, "a").select("a", "b", "rank", "blocks", "part", "base", "lost", "more"), "met")
+    sizes = placed.groupBy("a", "part").agg(F.count("*").alias("size"))
+    hubs = sizes.groupBy("a").agg(F.sum("size").alias("n"), F.max(F.struct("size", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1")
+    hubs = hubs.select("a", (-F.col("n")).alias("rank"), F.col("largest.part").alias("largest"), F.ceil((F.col("n") - F.col("largest.size")) / block).cast("int").alias("blocks"))
+    met = written(placed.join(hubs, "a").select("a", "b", "rank", "blocks", "part", (F.col("part") != F.col("largest")).alias("outside"), "base", "lost", "more"), "met")
     nodes = met.select(F.col("b").alias("node")).union(met.select("a")).distinct()
     slots = 1 + (met.agg(F.sum("base")).first()[0] or 0) // SLOT
     alone = _alone(texts.hint("merge").join(nodes.hint("merge"), "node", "left_semi"), width, weighted, slots)
@@ -236,16 +245,15 @@ def _apart(scores: DataFrame, parts: DataFrame, texts: DataFrame, width: int, le
     # base * (1 - 2 share) - c(x) - c(y) + shared >= 0 with c = (1 - share) lost + share more
     met = met.withColumns({"cost": (1 - share) * gone + share * F.col("more"), "some": some, "room": F.col("base") * (1 - 2 * share), **{f"l{i}": F.col("lost")[i] for i in range(BLOCKS)}}).drop("lost", "more", "alone", "base")
     met = written(met, "departures")
-    left = met.withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
-    right = met.drop("room", "rank").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one, two = left.alias("x"), right.alias("y")
+    left, right = _facing(met)
+    one, two = left.alias("x"), right.drop("room", "rank").alias("y")
     shared = F.least("x.some", "y.some")
     for i in range(BLOCKS):
         shared = shared + F.least(f"x.l{i}", f"y.l{i}")
     first = F.array_min(F.array_intersect("x.hubs", "y.hubs"))["a"]
-    may = (F.col("x.b") < F.col("y.b")) & (F.col("x.part") != F.col("y.part")) & (F.col("x.room") - F.col("x.cost") - F.col("y.cost") + shared >= -1e-6) & (first == F.col("x.a"))
+    may = (~F.col("y.outside") | (F.col("x.b") < F.col("y.b"))) & (F.col("x.part") != F.col("y.part")) & (F.col("x.room") - F.col("x.cost") - F.col("y.cost") + shared >= -1e-6) & (first == F.col("x.a"))
     pairs = one.hint("merge").join(two, (F.col("x.a") == F.col("y.a")) & (F.col("x.block") == F.col("y.block")) & may)
-    return pairs.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    return pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, bands: int = 32, per_band: int = 6, weighted: bool = True) -> DataFrame:

@@ -477,6 +477,25 @@ def test_near_group_of_many_edits(spark, weighted):
     assert {(r.a, r.b) for r in exact} <= left and len(left) < len(every) / 5
 
 
+def test_one_outlier_of_a_hub_meets_each_text_once(spark, monkeypatch):
+    """n copies in one component and one text outside of it: n + 1 rows, whatever the size of blocks."""
+    seen, real = [], near_dedup._facing
+
+    def facing(met):
+        found = real(met)
+        seen.append(tuple(x.count() for x in found))
+        return found
+
+    monkeypatch.setattr(near_dedup, "_facing", facing)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[:-1], f"x{i}"])) for i in range(120)] + [(120, " ".join(words[:60]))]
+    texts, scores = spark.createDataFrame(rows, "node long, text string"), None
+    scores = near_dedup._scored(spark.createDataFrame([(0, i) for i in range(1, 121)], "a long, b long"), texts, 5, True).cache()
+    links = components(scores.filter("score >= 0.8").select("a", "b"))
+    near_dedup._apart(scores, links, texts, 5, 0.8, True, block=10).collect()
+    assert seen == [(1, 120)]
+
+
 def disclosing(n=400):
     """Documents of which some name an address with words that stand with it alone, mostly, or everywhere."""
     rng = random.Random(8)
