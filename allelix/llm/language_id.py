@@ -178,7 +178,7 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Dat
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, model)
         for batch in batches:
-            for part in in_slices(batch, text_col):
+            for part in in_slices(batch, text_col, 1 << 20):
                 best, score = scorer(part.column(text_col))
                 names = [*model.languages, "und"]
                 names = [names[b] for b in best]

@@ -361,7 +361,7 @@ def sample_pieces(df: DataFrame, vocabulary: str, k: int = 3, id_col: str = "doc
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(vocabulary, power)
         for batch in batches:
-            for part in in_slices(batch, "text", 1 << 20):
+            for part in in_slices(batch, "text", 1 << 19):
                 size = pc.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
                 blank = part.filter(pa.array(size == 0))
                 n = blank.num_rows
