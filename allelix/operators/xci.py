@@ -19,7 +19,7 @@ from allelix.operators.filters import require_clonotypes
 from allelix.operators.stats import donor_het_status, outlier_genes
 from allelix.operators.xci_kernel import PACKED, blocks, gene_evidence, kept_genes, posteriors, run_em
 from allelix.sources.files import exists
-from allelix.tables import dropped, new_path, written
+from allelix.tables import new_path, scratch, written
 
 FITTED = "donor string, kind string, name string, label string, post double"
 MOST_STATE = 4_000_000  # genes x restarts of the donors that are fitted at a time
@@ -79,14 +79,13 @@ def fit(cube: AlleleCube, by: str = "cell", n_inits: int = 10, confidence_thresh
     if by == "clonotype":
         require_clonotypes(cube)
     spark = cube.counts.sparkSession
-    entries = written(_entries(cube, informative_snps(cube), by), "entries")
-    usual = written(outlier_genes(entries.withColumnRenamed("snp_id", "gene"), within=("donor",)).filter("keep").select("donor", "gene"), "usual")
     path = new_path(spark, "fits")
-    for names in _groups(usual, n_inits):
-        own = entries.filter(F.col("donor").between(min(names), max(names)))
-        _fit_group(own, names, n_inits, confidence_threshold, refit_after_filter).write.mode("append").parquet(path)
-    for old in (entries, usual):
-        dropped(old)
+    with scratch(spark):
+        entries = written(_entries(cube, informative_snps(cube), by), "entries")
+        usual = written(outlier_genes(entries.withColumnRenamed("snp_id", "gene"), within=("donor",)).filter("keep").select("donor", "gene"), "usual")
+        for names in _groups(usual, n_inits):
+            own = entries.filter(F.col("donor").between(min(names), max(names)))
+            _fit_group(own, names, n_inits, confidence_threshold, refit_after_filter).write.mode("append").parquet(path)
     return spark.read.schema(FITTED).parquet(path) if exists(spark, path) else spark.createDataFrame([], FITTED)
 
 
@@ -121,7 +120,7 @@ def _fit_group(entries: DataFrame, names: dict[str, list[str]], n_inits: int, co
 
 def assign_inactive_x(cube: AlleleCube, n_inits: int = 10, confidence_threshold: float = 0.95, refit_after_filter: bool = False, by: str = "cell", strict: bool = True) -> AlleleCube:
     """The cube with inactive_x, xci_post_X1 and xci_fit_unit of cells, and the xci columns of SNPs."""
-    fitted = written(fit(cube, by, n_inits, confidence_threshold, refit_after_filter), "fitted")
+    fitted = fit(cube, by, n_inits, confidence_threshold, refit_after_filter)
     if strict and fitted.isEmpty():
         raise ValueError("no donor could be fitted")
     key = "cell_id" if by == "cell" else "clonotype"

@@ -203,7 +203,7 @@ def _(spark, d):
 
 @_query("maf_test_donor", f"{_BASE},\n{_grouped('donor')},{_tested('g')}\nselect snp_id, donor, minor_allele_count, round(p_val + 1e-12, 6) as p_val, round(adj_p_val + 1e-12, 6) as adj_p_val from t")
 def _(spark, d):
-    return A.donor_counts(cube_of(spark, d)).select("snp_id", "donor", "minor_allele_count", F.round("p_val", 6).alias("p_val"), F.round("adj_p_val", 6).alias("adj_p_val"))
+    return A.donor_counts(cube_of(spark, d)).select("snp_id", "donor", "minor_allele_count", F.round(F.col("p_val") + 1e-12, 6).alias("p_val"), F.round(F.col("adj_p_val") + 1e-12, 6).alias("adj_p_val"))
 
 
 @_query("bh_adjust", "with p as (select c_custkey, (c_custkey * 7919 % 997 + 1) / 1000.0 as p_val from customer), q as (select *, cast(count(*) over () as double) * p_val / count(*) over (order by p_val range unbounded preceding) as q from p)\nselect c_custkey, round(cast(p_val as double), 9) as p_val, round(cast(least(1.0, min(q) over (order by p_val desc range unbounded preceding)) as double), 9) as adj_p_val from q")
@@ -218,7 +218,7 @@ _CALL = "case when tested and adj_p_val < 0.05 then 'het' when tested then 'hom'
 @_query("het_status", f"{_BASE},\n{_grouped('donor')},\ng2 as (select *, ref_count + alt_count >= 300 as tested from g),{_tested('g2', keep='tested')}\nselect snp_id, donor, ref_count, alt_count, tested, round(p_val + 1e-12, 6) as p_val, round(adj_p_val + 1e-12, 6) as adj_p_val, {_CALL} from t")
 def _(spark, d):
     out = S.donor_het_status(cube_of(spark, d), min_total_count=300)
-    return out.select("snp_id", "donor", "ref_count", "alt_count", "tested", F.round("p_val", 6).alias("p_val"), F.round("adj_p_val", 6).alias("adj_p_val"), "zygosity")
+    return out.select("snp_id", "donor", "ref_count", "alt_count", "tested", F.round(F.col("p_val") + 1e-12, 6).alias("p_val"), F.round(F.col("adj_p_val") + 1e-12, 6).alias("adj_p_val"), "zygosity")
 
 
 @_query("donor_het_subset", f"{_BASE},\n{_grouped('donor', more=chr(100) + 'onor = ' + chr(39) + 'NATION_3' + chr(39))},\ng2 as (select *, ref_count + alt_count >= 10 as tested from g),{_tested('g2', keep='tested')}\nselect snp_id, cast(ref_count + alt_count as bigint) as coverage from t where tested and adj_p_val < 0.05")

@@ -11,6 +11,7 @@ from allelix.operators.annotate import add_gene_names
 from allelix.sources.files import check_file, delimited, exists, write_lines
 from allelix.sources.mtx import read_mtx, write_mtx
 from allelix.sources.vcf import BASE, read_vcf_base
+from allelix.tables import scratch
 
 ANNOTATION = ("chrom", "start", "end", "gene_name")
 #: File names of the layout.
@@ -87,6 +88,11 @@ def export_bundle(cube: AlleleCube, folder: str) -> None:
         missing = [c for c in names if c not in dim.columns]
         if missing:
             raise ValueError(f"the {what} table lacks {', '.join(missing)}")
+    with scratch(cube.counts.sparkSession):
+        _export(cube, folder)
+
+
+def _export(cube: AlleleCube, folder: str) -> None:
     snps, cells = (numbered(d.drop("_at"), by="_ord") for d in (cube.snp_dim, cube.cell_dim))
     placed = cube.counts.join(snps.select("snp_id", F.col("_ord").alias("row")), "snp_id").join(cells.select("cell_id", F.col("_ord").alias("col")), "cell_id")
     shape = (snps.count(), cells.count())

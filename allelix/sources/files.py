@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.sources import bgzf
-from allelix.tables import counted_up, dropped, hdfs, written
+from allelix.tables import counted_up, hdfs, written
 
 SPLIT = 32 << 20  # bytes of a blocked file that a task reads
 
@@ -182,14 +182,15 @@ def write_records(records: DataFrame, path: str, head: bytes = b"", blocked: boo
         keys = ("chrom", "first", "last", "begin", "end")
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([part.size], pa.int64()), pa.array([[dict(zip(keys, m, strict=True)) for m in marks]], pa.list_(pa.struct([("chrom", pa.string()), *((k, pa.int64()) for k in keys[1:])])))], ["part", "name", "size", "marks"])
 
-    done = written(records.orderBy("_ord").select("data", *(["chrom", "first", "last"] if placed else [])).mapInArrow(write, PARTS), "parts")
+    done = records.orderBy("_ord").select("data", *(["chrom", "first", "last"] if placed else [])).mapInArrow(write, PARTS)
+    if placed:
+        done = written(done, "parts")  # the marks are read again
     parts = [("head", _small(spark, f"{folder}/head", b"".join(bgzf.block(head[i : i + bgzf.MOST]) for i in range(0, len(head), bgzf.MOST)) if blocked else head))]
-    parts += [(r["name"], r["size"]) for r in done.filter("size > 0").select("part", "name", "size").orderBy("part").collect()]  # a row for each task
+    parts += [(r["name"], r["size"]) for r in sorted(done.select("part", "name", "size").collect(), key=lambda r: r["part"]) if r["size"]]  # a row for each task
     if blocked:
         parts.append(("tail", _small(spark, f"{folder}/tail", bgzf.END)))
     _join(spark, folder, parts, target)
     if not placed:
-        dropped(done)
         return None
     at, starts = 0, []
     for name, size in parts:

@@ -11,6 +11,7 @@ from allelix.functions.scalars import snp_key
 from allelix.model import column_or_sql, numbered
 from allelix.sources.files import blocked_lines_between, check_file, delimited, exists, first_lines, numbered_lines, text_lines, write_lines
 from allelix.sources.tabix import ranges_of, read_index, write_index
+from allelix.tables import scratch
 
 BASE = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 REQUIRED = ("CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO")
@@ -104,12 +105,15 @@ def write_vcf(data: VcfData, path: str, gzip: bool = False, index: bool = False)
     """In the order of the variants; gzip: in blocks. index: sorted by contig and position, in blocks, with the index beside the file."""
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in data.variants.columns)).alias("line")
     head = [*data.header, "#" + "\t".join(data.variants.columns)]
+    spark = data.variants.sparkSession
     if not index:
-        write_lines(numbered(data.variants).select("_ord", line), path, head, gzip)
+        with scratch(spark):
+            write_lines(numbered(data.variants).select("_ord", line), path, head, gzip)
         return
     pos = F.col("POS").cast("long")
     rows = data.variants.select(F.struct("CHROM", pos.alias("p"), "REF", "ALT").alias("_ord"), line, F.col("CHROM").alias("chrom"), pos.alias("first"), (pos + F.greatest(F.length("REF"), F.lit(1)) - 1).alias("last"))
-    write_index(data.variants.sparkSession, path, write_lines(rows, path, head, gzip=True))
+    with scratch(spark):
+        write_index(spark, path, write_lines(rows, path, head, gzip=True))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:

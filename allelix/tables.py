@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +41,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, which cuts its lineage with files every executor can reach."""
     path = new_path(df.sparkSession, name)
+    if (mine := _scratch.get()) is not None:
+        mine.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,6 +54,26 @@ def dropped(df: DataFrame) -> None:
         fs.delete(p, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that written() makes within it go at its end, so what depends on them must have been stored elsewhere by then."""
+    mine: list[str] = []
+    before = _scratch.set(mine)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        for path in mine:
+            fs, p = hdfs(spark, path)
+            fs.delete(p, True)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to a path of the caller's own, which no scratch scope removes, and reads it back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hdfs(spark: SparkSession, path: str):
     """Hadoop's file system for the path, and the path."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -87,3 +87,26 @@ def test_a_subset_of_very_many_positions(spark):
     counts = snps.filter(k % 1000 == 0).select("snp_id", F.lit("c1").alias("cell_id"), *(F.lit(1).alias(c) for c in ("ref_count", "alt_count", "oth_count")))
     cube = AlleleCube(counts, snps, spark.createDataFrame([("c1", 1)], "cell_id string, _ord long"))
     assert cube.subset(range(1, n + 1, 2)).snp_dim.count() == n // 2
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    import os
+
+    from allelix.tables import scratch, shared_dir, stored, written
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with scratch(spark):
+        inner = written(spark.range(10), "inner")
+        with scratch(spark):
+            written(inner, "deeper")
+        assert len(set(os.listdir(folder)) - before) == 1
+        kept = stored(inner.selectExpr("id * 2 as x"), f"file://{folder}/kept-{len(before)}")
+    assert {n for n in set(os.listdir(folder)) - before} == {f"kept-{len(before)}"} and kept.count() == 10
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        written(spark.range(3), "lost")
+        raise ZeroDivisionError
+    assert not any(n.startswith("lost") for n in os.listdir(folder))
+    with scratch(spark):
+        out = stored(S.percentile_summary(spark.range(100), "id"), f"file://{folder}/summary-{len(before)}")
+    assert out.first()["max"] == 99.0
