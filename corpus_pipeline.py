@@ -11,13 +11,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from allelix.llm.common import drop, written
+from allelix.llm.common import drop, new_path, written  # noqa: F401
 from allelix.llm.decontaminate import mark_contaminated
 from allelix.llm.language_id import fit_language_id, identify
 from allelix.llm.near_dedup import near_duplicates
 from allelix.llm.pii import sanitise
 from allelix.llm.queries import held_out, vocabulary
 from allelix.llm.sampled_pieces import sample_pieces
+from allelix.tables import scratch, stored
 
 PIECES = "piece_bpe_32k.model"
 
@@ -84,10 +85,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage has written goes once the next has been written."""
+    """The last stage's rows. What a stage has stored goes once the next has been, and tables within a stage at its end."""
     docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs, before = written(stage(spark, docs, sf_dir), name), old
+        with scratch(spark):
+            docs, before = stored(stage(spark, docs, sf_dir), new_path(spark, name)), old
         if before is not None:
             drop(before)
         old = docs
