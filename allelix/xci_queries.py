@@ -64,3 +64,17 @@ select cell_id, gene, round(ref_fraction, 9) as ref_fraction, cast(depth as bigi
 def _(spark, d):
     out = X.heatmap_frame(X.assign_inactive_x(_on_x(spark, d), strict=False), "ASIA")
     return out.withColumns({"ref_fraction": F.round("ref_fraction", 9), "xci_post_X1": F.round("xci_post_X1", 6), "discrimination": F.round("discrimination", 9)})
+
+
+@_query("xci_snp_columns", f"""{_fitted('cell_id')},
+told as (select snp_id, string_agg(donor, ',' order by donor) as donors, case when arg_min(h, donor) = 1 then 'ALT' else 'REF' end as allele, arg_min(pi, donor) as escape from kept group by 1)
+select snps.snp_id, told.snp_id is not null as xci_informative, donors as xci_informative_donor, allele as xci_allele_on_x1, round(escape, 6) as xci_escape_fraction from snps left join told on told.snp_id = snps.snp_id""")
+def _(spark, d):
+    fitted = X.assign_inactive_x(_on_x(spark, d), strict=False)
+    return fitted.snp_dim.select("snp_id", *X.XCI_SNP).withColumn("xci_escape_fraction", F.round("xci_escape_fraction", 6))
+
+
+@_query("xci_cells_by_clonotype", f"{_fitted('clonotype')}\nselect cells.cell_id, cells.clonotype, inactive_x, round(post, 6) as xci_post_X1, case when post is not null then 'clonotype' end as xci_fit_unit from cells left join label on label.donor = cells.donor and unit = clonotype")
+def _(spark, d):
+    fitted = X.assign_inactive_x_by_clonotype(_on_x(spark, d), strict=False)
+    return fitted.cell_dim.select("cell_id", "clonotype", "inactive_x", F.round("xci_post_X1", 6).alias("xci_post_X1"), "xci_fit_unit")
