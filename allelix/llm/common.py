@@ -90,6 +90,7 @@ def lean(work: Callable[[Iterator], Iterator], *names: str) -> Callable[[Iterato
 
     def run(batches: Iterator) -> Iterator:
         keep_only(*names)
+        trim()
         yield from work(batches)
         trim()
 

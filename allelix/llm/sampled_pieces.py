@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices, lean, mix, ragged, span_hash, sums, utf8
+from .common import CACHES, U64, Grown, HashIndex, codes_of, grouped, in_slices, lean, mix, ragged, span_hash, sums, trim, utf8
 from .pieces import LITERAL_MARK, MARK, MOST, backward, edge_scores, table, zipf
 
 LOG_BYTE = -14.0
-MOST_UNITS, MOST_EDGES = 100_000, 3_000_000  # units whose lattices a worker keeps, and edges of these
+MOST_UNITS, MOST_EDGES = 60_000, 2_000_000  # units whose lattices a worker keeps, and edges of these
 ONE = 1 << 32
 
 
@@ -53,7 +53,7 @@ class Sampler:
         self.pieces = table(vocabulary)
         self.log_p, self.log_byte = power * zipf(self.pieces.n), power * LOG_BYTE
         self.known = HashIndex()
-        self.root, self.open = Grown(np.int64), Grown(np.int64)  # of units: first node; of nodes: first edge, which is the most probable
+        self.root, self.open = Grown(np.int64), Grown(np.int32)  # of units: first node; of nodes: first edge, which is the most probable
         # of edges: the node they lead to (-1: the unit ends there), their node, the first and last of their numbers, log probability
         self.end, self.start, self.low, self.last, self.share = Grown(np.int32), Grown(np.int32), Grown(np.uint32), Grown(np.uint32), Grown(float)
         self.id_at, self.id_n, self.ids = Grown(np.int32), Grown(np.int8), Grown(np.int32)
@@ -361,7 +361,9 @@ def sample_pieces(df: DataFrame, vocabulary: str, k: int = 3, id_col: str = "doc
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sampler(vocabulary, power)
         for batch in batches:
-            for part in in_slices(batch, "text", 1 << 19):
+            for number, part in enumerate(in_slices(batch, "text", 1 << 19)):
+                if number % 4 == 3:
+                    trim()
                 size = pc.binary_length(part.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
                 blank = part.filter(pa.array(size == 0))
                 n = blank.num_rows
