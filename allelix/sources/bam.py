@@ -14,15 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from allelix.sources.bgzf import Blocks
-from allelix.sources.files import SPLIT, check_file, length_of, qualified, store, write_records
+from allelix.sources.files import SPLIT, check_file, length_of, qualified, store, tasks, write_records
 
 OPS = "MIDNSHP=X"  # fixed order of the layout
 ALONG, COVERING = np.isin(np.arange(16), (0, 2, 3, 7, 8)), np.isin(np.arange(16), (0, 7, 8))
 FIXED = 36  # bytes of a record before its name
+#: The fixed part of a record.
+HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("width", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("ops", "<u2"), ("flag", "<u2"), ("bases", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("length", "<i4")])
 RECORD = "name string, flag int, chrom string, pos int, mapq int, cigar array<int>, starts array<int>, lengths array<int>"
 RUN, AT_ONCE = 16, 4 << 20  # records that a guess must be followed by; bytes that are taken apart together
 
@@ -200,7 +203,7 @@ def read_bam(spark: SparkSession, path: str, split: int = SPLIT) -> Bam:
                         at = _guess(blocks, start, sizes) if k else within
                         yield from _read_range(blocks, start, end, at or 0, sizes, names)
 
-    return Bam(text, contigs, spark.range(0, n, 1, n).mapInArrow(read, RECORD))
+    return Bam(text, contigs, tasks(spark, range(n), "id long").mapInArrow(read, RECORD))
 
 
 def packed_cigar(text: Column) -> Column:
@@ -213,23 +216,37 @@ def cigar_text(cigar: Column) -> Column:
     return F.coalesce(F.nullif(F.array_join(F.transform(cigar, lambda c: F.concat(F.shiftright(c, 4).cast("string"), F.substring(F.lit(OPS), c.bitwiseAND(15) + 1, F.lit(1)))), ""), F.lit("")), F.lit("*"))
 
 
+def _packed(name: pa.Array, flag: pa.Array, contig: pa.Array, pos: pa.Array, mapq: pa.Array, cigar: pa.Array) -> bytes:
+    """The records of these columns, one behind the other."""
+    if any(x.null_count for x in (name, flag, mapq, cigar)):
+        raise ValueError("an alignment lacks its name, flag, quality or cigar")
+    text, ops = name.cast(pa.binary()), np.asarray(pc.list_value_length(cigar), np.int64)
+    width = np.asarray(pc.binary_length(text), np.int64) + 1
+    fixed = np.zeros(len(name), HEAD)
+    values = {"size": FIXED - 4 + width + 4 * ops, "ref": pc.fill_null(contig, -1), "pos": np.asarray(pc.fill_null(pos, 0), np.int64) - 1, "width": width, "mapq": mapq, "ops": ops, "flag": flag, "mate": -1, "mate_pos": -1}
+    for field, x in values.items():
+        x = np.asarray(x, np.int64)
+        if len(name) and not (np.iinfo(HEAD[field]).min <= x.min() and x.max() <= np.iinfo(HEAD[field]).max):
+            raise ValueError(f"{field} of an alignment is out of its range")
+        fixed[field] = x
+    size = FIXED + width + 4 * ops
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    out[at[:, None] + np.arange(FIXED)] = fixed.view(np.uint8).reshape(-1, FIXED)
+    out[_ragged(at + FIXED, width - 1)] = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+    out[_ragged(at + FIXED + width, 4 * ops)] = np.asarray(cigar.flatten()).astype("<i4").view(np.uint8)
+    return out.tobytes()
+
+
 def write_bam(alignments: DataFrame, contigs: list[tuple[str, int]], path: str, text: str | None = None) -> None:
     """Alignments (name, flag, chrom, pos, mapq, cigar) sorted by contig and position, without bases."""
     lines = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs) if text is None else text
     head = [b"BAM\1", struct.pack("<i", len(lines.encode())), lines.encode(), struct.pack("<i", len(contigs))]
     head += [struct.pack("<i", len(n.encode()) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs]
-    number = {n: i for i, (n, _) in enumerate(contigs)}
+    number = alignments.sparkSession.createDataFrame(list({n: i for i, (n, _) in enumerate(contigs)}.items()), "chrom string, contig int")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                ref, own, cigar = number.get(r["chrom"], -1), r["name"].encode() + b"\0", [c & 0xFFFFFFFF for c in r["cigar"]]
-                body = struct.pack(f"<2i2B3H4i{len(own)}s{len(cigar)}I", ref, (r["pos"] or 0) - 1, len(own), r["mapq"], 0, len(cigar), r["flag"], 0, -1, -1, 0, own, *cigar)
-                out.append(struct.pack("<i", len(body)) + body)
-            ref = [number.get(x, len(number)) for x in batch.column("chrom").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int32()), batch.column("pos"), batch.column("name"), pa.array(out, pa.binary())], ["ref", "pos", "name", "data"])
-
-    rows = alignments.select("name", F.col("flag").cast("int").alias("flag"), "chrom", F.col("pos").cast("int").alias("pos"), F.col("mapq").cast("int").alias("mapq"), "cigar")
-    packed = rows.mapInArrow(pack, "ref int, pos int, name string, data binary")
-    write_records(packed.select(F.struct("ref", "pos", "name").alias("_ord"), "data"), path, b"".join(head), blocked=True)
+    def pack(batch: pa.RecordBatch) -> bytes:
+        return _packed(*(batch.column(c) for c in ("name", "flag", "contig", "pos", "mapq", "cigar")))
+
+    rows = alignments.select("name", F.col("flag").cast("int").alias("flag"), "chrom", F.col("pos").cast("int").alias("pos"), F.col("mapq").cast("int").alias("mapq"), "cigar").join(F.broadcast(number), "chrom", "left")  # as many rows as the header has contigs
+    write_records(rows.drop("chrom").withColumn("_ord", F.struct(F.coalesce("contig", F.lit(len(contigs))), "pos", "name")), path, b"".join(head), blocked=True, pack=pack)

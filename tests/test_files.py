@@ -178,6 +178,21 @@ def test_depth(spark, alignments, tmp_path):
     assert [("c1", "c2").index(c) for c, _, _ in lines] == sorted(("c1", "c2").index(c) for c, _, _ in lines)
 
 
+def test_depth_sends_no_alignments_to_the_driver(spark, alignments):
+    """What is read from a file is not taken for the few bytes of its tasks' numbers, which made Spark broadcast it and sweep in one task."""
+    reads = bam.read_bam(spark, alignments[0]).alignments
+    for df in (depth.depth_runs(reads), depth.depth_at_positions(reads.select(F.col("chrom").alias("CHROM"), F.col("pos").alias("POS")), reads)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_alignments_that_cannot_be_packed(spark, tmp_path):
+    for row in (("r" * 255, 0, "c1", 5, 0, [16]), ("r", 0, "c1", 5, 256, [16]), ("r", 0, "c1", 5, 0, None)):
+        df = spark.createDataFrame([row], "name string, flag int, chrom string, pos int, mapq int, cigar array<int>")
+        with pytest.raises(Exception, match="out of its range|lacks"):
+            bam.write_bam(df, [("c1", 100)], str(tmp_path / "x.bam"))
+
+
 def test_other_files_are_no_alignments(spark, tmp_path):
     (tmp_path / "x.bam").write_bytes(bgzf.block(b"something else") + bgzf.END)
     with pytest.raises(ValueError, match="no binary alignment"):
