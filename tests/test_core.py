@@ -1,4 +1,5 @@
 import math
+import re
 import warnings
 
 import numpy as np
@@ -304,3 +305,31 @@ def test_adjusted_ties_and_families(spark):
 
 def test_mouse_names():
     assert style_of(["CM001013.2"]) == "genbank_mouse" and style_of(["NC_000086.7", "NC_000067.6"]) == "refseq_mouse"
+
+
+def watched(spark, cube):
+    """The cube, and the number of rows of its counts that were worked out so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return AlleleCube(cube.counts.mapInArrow(look, cube.counts.schema), cube.snp_dim, cube.cell_dim, cube.chr_style), seen
+
+
+@pytest.mark.parametrize("by", ["cell", "clonotype"])
+def test_the_fit_works_the_counts_out_once(spark, by):
+    cube, _ = simulated(spark)
+    n, (cube, seen) = cube.counts.count(), watched(spark, cube)
+    X.fit(cube, by, n_inits=2)
+    assert seen.value == n
+
+
+def test_the_heatmap_works_the_counts_out_once(spark):
+    cube, _ = simulated(spark)
+    cells = cube.cell_dim.withColumns({"inactive_x": F.lit("X1"), "xci_post_X1": F.lit(1.0)})
+    snps = cube.snp_dim.withColumns({"xci_informative": F.lit(True), "xci_informative_donor": F.lit("donor0")})
+    n, (cube, seen) = cube.counts.count(), watched(spark, AlleleCube(cube.counts, snps, cells, cube.chr_style))
+    assert X.heatmap_frame(cube, "donor0").count() == n == seen.value
