@@ -333,3 +333,14 @@ def test_the_heatmap_works_the_counts_out_once(spark):
     snps = cube.snp_dim.withColumns({"xci_informative": F.lit(True), "xci_informative_donor": F.lit("donor0")})
     n, (cube, seen) = cube.counts.count(), watched(spark, AlleleCube(cube.counts, snps, cells, cube.chr_style))
     assert X.heatmap_frame(cube, "donor0").count() == n == seen.value
+
+
+def test_a_bundle_is_made_of_counts_worked_out_once(spark, tmp_path):
+    cube = example_cube(spark)
+    n, (watching, seen) = cube.counts.count(), watched(spark, cube)
+    export_bundle(watching, str(tmp_path / "b"))
+    assert seen.value == n
+    genes = spark.createDataFrame([("chr1", 1, 10, "G")], "chrom string, start int, end int, gene_name string")
+    back = import_bundle(spark, str(tmp_path / "b"), genes, donors=str(tmp_path / "b" / DONORS))
+    assert not any(f.endswith(".mtx") for f in back.counts.inputFiles())  # the matrices were put together once
+    assert back.counts.agg(*(F.sum(c) for c in ("ref_count", "alt_count", "oth_count"))).first() == cube.counts.agg(*(F.sum(c) for c in ("ref_count", "alt_count", "oth_count"))).first()
