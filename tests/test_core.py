@@ -344,3 +344,15 @@ def test_a_bundle_is_made_of_counts_worked_out_once(spark, tmp_path):
     back = import_bundle(spark, str(tmp_path / "b"), genes, donors=str(tmp_path / "b" / DONORS))
     assert not any(f.endswith(".mtx") for f in back.counts.inputFiles())  # the matrices were put together once
     assert back.counts.agg(*(F.sum(c) for c in ("ref_count", "alt_count", "oth_count"))).first() == cube.counts.agg(*(F.sum(c) for c in ("ref_count", "alt_count", "oth_count"))).first()
+
+
+@pytest.mark.parametrize("key", ["cell_id", "barcode"])
+def test_merging_deals_counts_out_once_and_does_not_sort_them(spark, key):
+    x, y = two(spark), two(spark)
+    if key == "barcode":
+        x, y = (AlleleCube(c.counts, c.snp_dim, c.cell_dim.withColumn("barcode", F.concat(F.lit("b"), "cell_id"))) for c in (x, y))
+    merged = merge_cubes(x, y)
+    plan = merged.counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == (1 if key == "cell_id" else 2) and "SortMergeJoin" not in plan
+    assert not re.search(r"hashpartitioning\(snp_id#\d+, cell_id", plan)  # by cell alone
+    assert sorted(r.ref_count for r in merged.counts.collect()) == [10, 12, 14, 16]
