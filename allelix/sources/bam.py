@@ -223,7 +223,7 @@ def _packed(name: pa.Array, flag: pa.Array, contig: pa.Array, pos: pa.Array, map
     text, ops = name.cast(pa.binary()), np.asarray(pc.list_value_length(cigar), np.int64)
     width = np.asarray(pc.binary_length(text), np.int64) + 1
     fixed = np.zeros(len(name), HEAD)
-    values = {"size": FIXED - 4 + width + 4 * ops, "ref": pc.fill_null(contig, -1), "pos": np.asarray(pc.fill_null(pos, 0), np.int64) - 1, "width": width, "mapq": mapq, "ops": ops, "flag": flag, "mate": -1, "mate_pos": -1}
+    values = {"size": FIXED - 4 + width + 4 * ops, "ref": contig, "pos": np.asarray(pc.fill_null(pos, 0), np.int64) - 1, "width": width, "mapq": mapq, "ops": ops, "flag": flag, "mate": -1, "mate_pos": -1}
     for field, x in values.items():
         x = np.asarray(x, np.int64)
         if len(name) and not (np.iinfo(HEAD[field]).min <= x.min() and x.max() <= np.iinfo(HEAD[field]).max):
@@ -246,7 +246,10 @@ def write_bam(alignments: DataFrame, contigs: list[tuple[str, int]], path: str,
     number = alignments.sparkSession.createDataFrame(list({n: i for i, (n, _) in enumerate(contigs)}.items()), "chrom string, contig int")
 
     def pack(batch: pa.RecordBatch) -> bytes:
-        return _packed(*(batch.column(c) for c in ("name", "flag", "contig", "pos", "mapq", "cigar")))
+        contig = batch.column("contig")
+        known = pc.if_else(pc.less(contig, len(contigs)), contig, -1)
+        return _packed(batch.column("name"), batch.column("flag"), known, *(batch.column(c) for c in ("pos", "mapq", "cigar")))
 
+    # what is sorted by is in the rows once
     rows = alignments.select("name", F.col("flag").cast("int").alias("flag"), "chrom", F.col("pos").cast("int").alias("pos"), F.col("mapq").cast("int").alias("mapq"), "cigar").join(F.broadcast(number), "chrom", "left")  # as many rows as the header has contigs
-    write_records(rows.drop("chrom").withColumn("_ord", F.struct(F.coalesce("contig", F.lit(len(contigs))), "pos", "name")), path, b"".join(head), blocked=True, pack=pack)
+    write_records(rows.select(F.struct(F.coalesce("contig", F.lit(len(contigs))).alias("contig"), "pos", "name").alias("_ord"), "flag", "mapq", "cigar"), path, b"".join(head), blocked=True, pack=pack)

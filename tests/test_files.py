@@ -186,6 +186,16 @@ def test_depth_sends_no_alignments_to_the_driver(spark, alignments):
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_alignments_are_sorted_with_each_value_once(spark, alignments, monkeypatch, tmp_path):
+    seen, write = [], bam.write_records
+    monkeypatch.setattr(bam, "write_records", lambda records, *rest, **how: (seen.append(records), write(records, *rest, **how)))
+    data, path = bam.read_bam(spark, alignments[0]), str(tmp_path / "again.bam")
+    bam.write_bam(data.alignments, data.contigs, path, data.text)
+    names = [*seen[0].schema["_ord"].dataType.names, *seen[0].columns]
+    assert len(set(names)) == len(names) == 7
+    assert sorted(map(str, bam.read_bam(spark, path).alignments.collect())) == sorted(map(str, data.alignments.collect()))
+
+
 def test_alignments_that_cannot_be_packed(spark, tmp_path):
     for row in (("r" * 255, 0, "c1", 5, 0, [16]), ("r", 0, "c1", 5, 256, [16]), ("r", 0, "c1", 5, 0, None)):
         df = spark.createDataFrame([row], "name string, flag int, chrom string, pos int, mapq int, cigar array<int>")
