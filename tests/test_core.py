@@ -356,3 +356,12 @@ def test_merging_deals_counts_out_once_and_does_not_sort_them(spark, key):
     assert plan.count("ShuffledHashJoin") == (1 if key == "cell_id" else 2) and "SortMergeJoin" not in plan
     assert not re.search(r"hashpartitioning\(snp_id#\d+, cell_id", plan)  # by cell alone
     assert sorted(r.ref_count for r in merged.counts.collect()) == [10, 12, 14, 16]
+
+
+@pytest.mark.parametrize("key", ["cell_id", "barcode"])
+def test_counts_to_be_added_up_stay_in_all_partitions(spark, key):
+    """Adaptive execution would make one task of these few rows, and of many rows tasks whose tables are over ten times their compressed size."""
+    x, y = two(spark), two(spark)
+    if key == "barcode":
+        x, y = (AlleleCube(c.counts, c.snp_dim, c.cell_dim.withColumn("barcode", F.concat(F.lit("b"), "cell_id"))) for c in (x, y))
+    assert merge_cubes(x, y).counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
