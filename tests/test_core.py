@@ -327,6 +327,16 @@ def test_the_fit_works_the_counts_out_once(spark, by):
     assert seen.value == n
 
 
+@pytest.mark.parametrize("by", ["cell", "clonotype"])
+def test_the_fit_knows_how_few_snps_units_are_joined_with(spark, monkeypatch, by):
+    plans, join = [], X._informative_entries
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(X, "_informative_entries", lambda units, snps: plans.append((plan(snps), plan(join(units, snps)))) or join(units, snps))
+    X.fit(simulated(spark)[0], by, n_inits=2)
+    (snps, entries), = plans
+    assert "Exchange" not in snps and "BroadcastHashJoin" in entries and "hashpartitioning" not in entries
+
+
 def test_the_heatmap_works_the_counts_out_once(spark):
     cube, _ = simulated(spark)
     cells = cube.cell_dim.withColumns({"inactive_x": F.lit("X1"), "xci_post_X1": F.lit(1.0)})
