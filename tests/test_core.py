@@ -7,7 +7,7 @@ import plain_xci
 import pytest
 from pyspark.sql import functions as F
 
-from allelix import queries, xci_queries
+from allelix import more_queries, queries, xci_queries  # noqa: F401  more_queries adds to queries
 from allelix.functions.binomial import binom_tail
 from allelix.functions.chroms import convert_chr_style, normalize_chr_names, style_of
 from allelix.model import AlleleCube, assign_cell_ids, numbered
@@ -375,3 +375,23 @@ def test_counts_to_be_added_up_stay_in_all_partitions(spark, key):
     if key == "barcode":
         x, y = (AlleleCube(c.counts, c.snp_dim, c.cell_dim.withColumn("barcode", F.concat(F.lit("b"), "cell_id"))) for c in (x, y))
     assert merge_cubes(x, y).counts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+
+
+def test_merging_moves_counts_dealt_out_by_cell_no_more_than_it_must(spark):
+    """Lines are dealt out once for each cube; after that only new cell ids move counts, and rows on the way hold what ids are made of."""
+    plans = {n: queries.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for n in ("merge_union_union", "merge_by_barcode")}
+    deals = {n: re.findall(r"Exchange hashpartitioning\((.*), \d+\), REPARTITION_BY_NUM", p) for n, p in plans.items()}
+    assert [len(d) for d in deals.values()] == [2, 3]
+    assert all("o_custkey" in d or "cast(_cell" in d for ds in deals.values() for d in ds)
+    assert len(re.findall(r"Exchange hashpartitioning\(_old", plans["merge_by_barcode"])) == 2  # the two tables of cells, not the counts
+
+
+def test_the_first_cell_of_a_barcode_is_merged(spark):
+    def cube(cells):
+        rows = [("snpA", c[0], 1, 2, 0) for c in cells]
+        counts = spark.createDataFrame(rows, "snp_id string, cell_id string, ref_count long, alt_count long, oth_count long")
+        return AlleleCube.from_frames(counts, spark.createDataFrame([("snpA", 1)], "snp_id string, _ord long"), spark.createDataFrame(cells, "cell_id string, barcode string, donor string, _ord long"))
+
+    m = merge_cubes(cube([("a", "B1", "late", 9), ("b", "B1", "early", 2), ("c", None, "none", 3)]), cube([("d", "B1", "y", 1), ("e", "B2", "y", 2)]))
+    assert [(r.cell_id, r.barcode, r.donor) for r in m.cell_dim.orderBy("_ord").collect()] == [("cell_1", "B1", "early"), ("cell_2", "B2", "y")]
+    assert sorted((r.cell_id, r.ref_count, r.alt_count) for r in m.counts.collect()) == [("cell_1", 3, 6), ("cell_2", 1, 2)]
